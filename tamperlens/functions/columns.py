@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,16 +58,31 @@ def numeric_columns(
     return first + [c for c in found if c not in first]
 
 
+def quoted(column: str) -> str:
+    """Column name for use inside a SQL expression."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def text_literal(text: str) -> str:
+    """String literal for use inside a SQL expression."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def clean_sql(df: DataFrame, column: str) -> str:
+    """The column with NaN turned into NULL, as SQL."""
+    if is_floating(df.schema[column].dataType):
+        return f"nullif({quoted(column)}, {df.schema[column].dataType.simpleString()}('NaN'))"
+    return quoted(column)
+
+
 def clean(df: DataFrame, column: str) -> Column:
     """The column with NaN turned into NULL."""
-    if is_floating(df.schema[column].dataType):
-        return F.nanvl(F.col(column), F.lit(None).cast("double")).cast(df.schema[column].dataType)
-    return F.col(column)
+    return F.expr(clean_sql(df, column))
 
 
-def as_double(df: DataFrame, column: str) -> Column:
-    """The column as DOUBLE with NaN turned into NULL."""
-    return clean(df, column).cast("double")
+def double_sql(df: DataFrame, column: str) -> str:
+    """The column as DOUBLE with NaN turned into NULL, as SQL."""
+    return f"cast({clean_sql(df, column)} AS DOUBLE)"
 
 
 def normalize_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -82,12 +97,17 @@ def long_form(
     columns: Sequence[str],
     keep: Sequence[str] = (),
     value: str = "value",
-    expression=as_double,
+    expression: Callable[[DataFrame, str], str] = double_sql,
 ) -> DataFrame:
-    """(keep…, column, value): one row per cell, NULL cells left out, one scan."""
-    narrow = df.select(*keep, *[expression(df, c).alias(c) for c in columns])
+    """(keep…, column, value): one row per cell, NULL cells left out, one scan.
+
+    ``expression`` gives the SQL of one column's cell.
+    """
+    narrow = df.selectExpr(
+        *[quoted(c) for c in keep], *[f"{expression(df, c)} AS {quoted(c)}" for c in columns]
+    )
     cells = narrow.unpivot(list(keep), list(columns), "column", value)
-    return cells.filter(F.col(value).isNotNull())
+    return cells.filter(f"{quoted(value)} IS NOT NULL")
 
 
 def grouped_long(
@@ -99,26 +119,28 @@ def grouped_long(
     """
     if by is None:
         return long_form(df, columns).withColumn("group", F.lit(None).cast("string"))
-    label = F.col(by).cast("string")
-    keyed = df.withColumn("_g", label)
+    keyed = df.withColumn("_g", F.expr(f"cast({clean_sql(df, by)} AS STRING)"))
     if not include_overall:
-        cells = long_form(keyed.filter(F.col("_g").isNotNull()), columns, ["_g"])
+        cells = long_form(keyed.filter("_g IS NOT NULL"), columns, ["_g"])
         return cells.withColumnRenamed("_g", "group")
     cells = long_form(keyed, columns, ["_g"])
-    levels = F.array_distinct(F.array(F.lit(None).cast("string"), F.col("_g")))
-    return cells.select("column", F.explode(levels).alias("group"), "value")
+    return cells.selectExpr(
+        "`column`", "explode(array_distinct(array(cast(NULL AS STRING), _g))) AS `group`", "value"
+    )
 
 
 def group_map(columns: Sequence[str]) -> Column:
     """Group values as MAP<STRING,STRING> in column order."""
-    pairs = []
-    for c in columns:
-        pairs += [F.lit(c), F.col(c).cast("string")]
-    return F.create_map(*pairs)
+    return F.expr(
+        "map("
+        + ", ".join(f"{text_literal(c)}, cast({quoted(c)} AS STRING)" for c in columns)
+        + ")"
+    )
 
 
 def group_label(columns: Sequence[str]) -> Column:
     """Group values as ``col=value, col=value``."""
-    return F.concat_ws(
-        ", ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("nan"))) for c in columns]
-    )
+    parts = [
+        f"concat({text_literal(c + '=')}, coalesce(cast({quoted(c)} AS STRING), 'nan'))" for c in columns
+    ]
+    return F.expr(f"concat_ws(', ', {', '.join(parts)})")

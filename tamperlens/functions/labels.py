@@ -1,47 +1,42 @@
-"""Tier and label expressions."""
+"""Tier and label expressions; every function takes and gives SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
-
-def stepped(value: Column, steps: list[tuple[float, object]], otherwise: object) -> Column:
-    """First label whose upper bound lies above ``value``; NULL stays NULL."""
-    chain = F.when(value.isNull(), F.lit(None))
-    for bound, label in steps:
-        chain = chain.when(value < bound, F.lit(label))
-    return chain.otherwise(F.lit(otherwise))
+# fixed values: effect sizes and z-scores are read with these bounds
+EFFECT_STEPS = ((0.2, "negligible"), (0.5, "small"), (0.8, "medium"))
+Z_STEPS = ((1.5, "typical"), (2.0, "somewhat unusual"), (3.0, "unusual"), (4.0, "very unusual"))
 
 
-# fixed values: effect sizes and z-scores are read with these bounds
-EFFECT_STEPS = [(0.2, "negligible"), (0.5, "small"), (0.8, "medium")]
-Z_STEPS = [(1.5, "typical"), (2.0, "somewhat unusual"), (3.0, "unusual"), (4.0, "very unusual")]
+def stepped(value: str, steps: Sequence[tuple[float, str]], otherwise: str) -> str:
+    """First label whose upper bound lies above ``value``; NULL stays NULL."""
+    whens = " ".join(f"WHEN {value} < {bound} THEN '{label}'" for bound, label in steps)
+    return f"CASE WHEN {value} IS NULL THEN NULL {whens} ELSE '{otherwise}' END"
 
 
-def effect_label(cohens_d: Column) -> Column:
+def effect_label(cohens_d: str) -> str:
     """E4."""
-    return stepped(F.abs(cohens_d), EFFECT_STEPS, "large")
+    return stepped(f"abs({cohens_d})", EFFECT_STEPS, "large")
 
 
-def z_label(z: Column) -> Column:
+def z_label(z: str) -> str:
     """E9."""
-    return stepped(F.abs(z), Z_STEPS, "extreme")
+    return stepped(f"abs({z})", Z_STEPS, "extreme")
 
 
-def score_tier(score: Column) -> Column:
+def score_tier(score: str) -> str:
     """Suspicion tier of an additive score."""
     return (
-        F.when(score >= 5, "high").when(score >= 3, "medium").when(score >= 1, "low").otherwise("none")
+        f"CASE WHEN {score} >= 5 THEN 'high' WHEN {score} >= 3 THEN 'medium' "
+        f"WHEN {score} >= 1 THEN 'low' ELSE 'none' END"
     )
 
 
-def tier_score(tier: Column) -> Column:
+def tier_score(tier: str) -> str:
     """Score shown for a tier."""
-    return (
-        F.when(tier == "high", 9).when(tier == "medium", 7).when(tier == "low", 5).otherwise(3)
-    )
+    return f"CASE {tier} WHEN 'high' THEN 9 WHEN 'medium' THEN 7 WHEN 'low' THEN 5 ELSE 3 END"
 
 
-def confidence_tier(score: Column) -> Column:
-    return F.when(score >= 5, "high").when(score >= 3, "medium").otherwise("low")
+def confidence_tier(score: str) -> str:
+    return f"CASE WHEN {score} >= 5 THEN 'high' WHEN {score} >= 3 THEN 'medium' ELSE 'low' END"

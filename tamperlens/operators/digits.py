@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamperlens.functions.columns import is_floating, long_form, numeric_columns, present_columns
+from tamperlens.functions.columns import (
+    is_floating,
+    long_form,
+    numeric_columns,
+    present_columns,
+    quoted,
+)
 from tamperlens.functions.labels import tier_score
 from tamperlens.functions.tails import chi_square_p
 
@@ -21,59 +27,50 @@ EVEN_SHARE = 0.65
 SINGLE_DIGIT_SHARE = 0.2
 MIN_VALUES = 20
 
+DIGITS = [f"d{d}" for d in range(10)]
 
-def terminal_digit(df: DataFrame, column: str) -> Column:
-    """Ones digit of the absolute value; NULL for NULL, NaN and infinities."""
-    kind = df.schema[column].dataType
-    value = F.col(column)
+
+def terminal_digit(df: DataFrame, column: str) -> str:
+    """SQL of the ones digit; NULL for NULL, NaN and infinities."""
+    kind, name = df.schema[column].dataType, quoted(column)
     if is_floating(kind):
-        # the floating remainder is exact, also beyond the BIGINT range
-        size = F.abs(value.cast("double"))
-        finite = ~F.isnan(size) & (size < F.lit(float("inf")))
-        return F.when(finite, F.floor(size % F.lit(10.0)).cast("int"))
+        # the floating remainder is exact, also beyond the BIGINT range; NaN
+        # compares as greater than infinity
+        size = f"abs(cast({name} AS DOUBLE))"
+        return f"CASE WHEN {size} < double('Infinity') THEN cast(floor({size} % 10D) AS INT) END"
     if isinstance(kind, T.BooleanType):
-        return value.cast("int")
+        return f"cast({name} AS INT)"
     if isinstance(kind, T.DecimalType):
-        return F.pmod(F.floor(F.abs(value)), F.lit(10)).cast("int")
+        return f"cast(floor(abs({name})) % 10 AS INT)"
     # remainder before abs: the most negative BIGINT has no positive twin
-    return F.abs(value % 10).cast("int")
-
-
-def _checked(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
-    chosen = df.columns if columns is None else present_columns(df, columns)
-    return numeric_columns(df, chosen)
+    return f"cast(abs({name} % 10) AS INT)"
 
 
 def _digit_counts(df: DataFrame, columns: Sequence[str] | None, min_values: int) -> DataFrame:
     """One row per checked column with the ten counts ``d0`` … ``d9``."""
-    cells = long_form(
-        df, _checked(df, columns), value="digit", expression=terminal_digit
-    )
+    chosen = df.columns if columns is None else present_columns(df, columns)
+    cells = long_form(df, numeric_columns(df, chosen), value="digit", expression=terminal_digit)
     counts = cells.groupBy("column").agg(
-        F.count("*").alias("sample_size"),
-        *[F.count_if(F.col("digit") == d).alias(f"d{d}") for d in range(10)],
+        F.expr("count(*) AS sample_size"),
+        *[F.expr(f"count_if(digit = {d}) AS d{d}") for d in range(10)],
     )
-    return counts.filter(F.col("sample_size") >= min_values)
+    return counts.filter(f"sample_size >= {min_values}")
 
 
 def digit_histogram(
     df: DataFrame, columns: Sequence[str] | None = None, min_values: int = MIN_VALUES
 ) -> DataFrame:
     """(column, digit, count) with all ten digits, absent ones at zero."""
-    counts = _digit_counts(df, columns, min_values)
-    bars = F.array(
-        *[F.struct(F.lit(d).alias("digit"), F.col(f"d{d}").alias("count")) for d in range(10)]
-    )
-    return counts.select("column", F.inline(bars))
+    bars = ", ".join(f"struct({d} AS digit, d{d} AS count)" for d in range(10))
+    return _digit_counts(df, columns, min_values).selectExpr("column", f"inline(array({bars}))")
 
 
-def digit_tier(chi_square: Column) -> Column:
-    """Tier through the critical values, the same as through the p-value."""
+def digit_tier(chi_square: str) -> str:
+    """SQL of the tier through the critical values, the same as through the p-value."""
     return (
-        F.when(chi_square > CRITICAL_001, "high")
-        .when(chi_square > CRITICAL_01, "medium")
-        .when(chi_square > CRITICAL_05, "low")
-        .otherwise("none")
+        f"CASE WHEN {chi_square} > {CRITICAL_001}D THEN 'high' "
+        f"WHEN {chi_square} > {CRITICAL_01}D THEN 'medium' "
+        f"WHEN {chi_square} > {CRITICAL_05}D THEN 'low' ELSE 'none' END"
     )
 
 
@@ -85,54 +82,37 @@ def terminal_digits(
     Columns with fewer than ``min_values`` finite values are left out.  Ties for
     the most and least common digit go to the smaller digit.
     """
-    counts = _digit_counts(df, columns, min_values)
-    n = F.col("sample_size")
-    digits = [F.col(f"d{d}") for d in range(10)]
-    expected = n / 10
-    chi_square = sum(((d - expected) * (d - expected) / expected for d in digits), F.lit(0.0))
-
-    def information(d: Column) -> Column:
-        share = d / n
-        return F.when(d > 0, -share * F.log2(share)).otherwise(F.lit(0.0))
-
-    entropy = sum((information(d) for d in digits), F.lit(0.0)) / F.log2(F.lit(10.0))
-    seen = F.array_compact(
-        F.array(
-            *[
-                F.when(digits[d] > 0, F.struct(digits[d].alias("n"), F.lit(d).alias("digit")))
-                for d in range(10)
-            ]
-        )
+    n = "sample_size"
+    chi_square = " + ".join(f"pow({d} - {n} / 10D, 2) / ({n} / 10D)" for d in DIGITS)
+    entropy = " + ".join(f"if({d} > 0, -({d} / {n}) * log2({d} / {n}), 0D)" for d in DIGITS)
+    seen = ", ".join(f"if(d{d} > 0, struct(d{d} AS n, {d} AS digit), NULL)" for d in range(10))
+    # largest count, then smallest digit
+    ranked = "array_max(transform(_seen, s -> struct(s.n, -s.digit AS d)))"
+    patterns = (
+        f"if((d0 + d2 + d4 + d6 + d8) / {n} > {EVEN_SHARE}, 'even_digits_overrepresented', NULL), "
+        f"if(d5 / {n} > {SINGLE_DIGIT_SHARE}, 'digit_5_overrepresented', NULL), "
+        f"if(d0 / {n} > {SINGLE_DIGIT_SHARE}, 'digit_0_overrepresented', NULL)"
     )
-    most = F.array_max(F.transform(seen, lambda s: F.struct(s["n"], (-s["digit"]).alias("d"))))
-    even = (digits[0] + digits[2] + digits[4] + digits[6] + digits[8]) / n
-    patterns = F.array_compact(
-        F.array(
-            F.when(even > EVEN_SHARE, "even_digits_overrepresented"),
-            F.when(digits[5] / n > SINGLE_DIGIT_SHARE, "digit_5_overrepresented"),
-            F.when(digits[0] / n > SINGLE_DIGIT_SHARE, "digit_0_overrepresented"),
-        )
+    scored = _digit_counts(df, columns, min_values).selectExpr(
+        "*", f"{chi_square} AS chi_square", f"array_compact(array({seen})) AS _seen"
     )
-    scored = counts.withColumn("chi_square", chi_square).withColumn(
-        "suspicion", digit_tier(F.col("chi_square"))
-    )
-    return scored.select(
+    counts = ", ".join(f"'{d}', d{d}" for d in range(10))
+    result = scored.selectExpr(
         "column",
-        F.create_map(
-            *[x for d in range(10) for x in (F.lit(str(d)), F.col(f"d{d}"))]
-        ).alias("terminal_digit_counts"),
+        f"map({counts}) AS terminal_digit_counts",
         "chi_square",
-        chi_square_p("chi_square").alias("p_value"),
-        entropy.alias("entropy"),
-        "suspicion",
-        tier_score(F.col("suspicion")).alias("suspicion_score"),
-        (-most["d"]).alias("most_common_digit"),
-        F.array_min(seen)["digit"].alias("least_common_digit"),
-        patterns.alias("patterns_detected"),
-        "sample_size",
+        f"({entropy}) / log2(10D) AS entropy",
+        f"{digit_tier('chi_square')} AS suspicion",
+        f"-{ranked}.d AS most_common_digit",
+        "array_min(_seen).digit AS least_common_digit",
+        f"array_compact(array({patterns})) AS patterns_detected",
+        n,
+    )
+    return result.withColumns(
+        {"p_value": chi_square_p("chi_square"), "suspicion_score": F.expr(tier_score("suspicion"))}
     )
 
 
 def keep_suspicious(results: DataFrame) -> DataFrame:
     """Rows of a digit, distribution or inlier result worth reporting."""
-    return results.filter(F.col("suspicion").isin("medium", "high"))
+    return results.filter("suspicion IN ('medium', 'high')")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamperlens.functions.columns import (
@@ -47,28 +47,26 @@ def _cells(
     chosen = df.columns if columns is None else present_columns(df, columns)
     names = [c for c in numeric_columns(df, chosen) if c != by]
     cells = grouped_long(df, names, by, include_overall)
-    key = F.coalesce(F.concat(F.lit("="), F.col("group")), F.lit(_OVERALL))
-    return cells.select("column", key.alias("_g"), "value")
+    key = f"coalesce(concat('=', `group`), '{_OVERALL}') AS _g"
+    return cells.selectExpr("`column`", key, "value")
 
 
 def _group_name() -> Column:
-    return F.when(F.col("_g") != _OVERALL, F.substring("_g", 2, 2**31 - 1)).alias("group")
+    return F.expr(f"if(_g = '{_OVERALL}', NULL, substring(_g, 2)) AS `group`")
 
 
 def _moments(cells: DataFrame, min_values: int) -> DataFrame:
-    return (
-        cells.groupBy(*KEYS)
-        .agg(
-            F.count("*").alias("sample_size"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std_dev"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-            F.skewness("value").alias("skewness"),
-            F.kurtosis("value").alias("kurtosis"),
-        )
-        .filter(F.col("sample_size") >= min_values)
-    )
+    aggregates = {
+        "sample_size": "count(*)",
+        "mean": "avg(value)",
+        "std_dev": "stddev_samp(value)",
+        "min": "min(value)",
+        "max": "max(value)",
+        "skewness": "skewness(value)",
+        "kurtosis": "kurtosis(value)",
+    }
+    summed = cells.groupBy(*KEYS).agg(*[F.expr(f"{sql} AS {c}") for c, sql in aggregates.items()])
+    return summed.filter(f"sample_size >= {min_values}")
 
 
 def _largest(stats: DataFrame) -> int:
@@ -115,13 +113,12 @@ def _value_counts(cells: DataFrame, stats: DataFrame, limits: Limits) -> DataFra
 
 def _gaps(values: DataFrame, stats: DataFrame) -> DataFrame:
     steps = previous_in_order(values, KEYS, "value", "_before")
-    widest = steps.groupBy(*KEYS).agg(F.max(F.col("value") - F.col("_before")).alias("_gap"))
-    mean_gap = (F.col("max") - F.col("min")) / (F.col("sample_size") - 1)
-    return stats.join(widest, KEYS, "left").select(
+    widest = steps.groupBy(*KEYS).agg(F.expr("coalesce(max(value - _before), 0D) AS max_gap_size"))
+    return stats.join(widest, KEYS, "left").selectExpr(
         *KEYS,
-        F.coalesce("_gap", F.lit(0.0)).alias("max_gap_size"),
-        mean_gap.alias("mean_gap"),
-        (F.coalesce("_gap", F.lit(0.0)) > GAP_FACTOR * mean_gap).alias("suspicious_gaps"),
+        "max_gap_size",
+        "(max - min) / nullif(sample_size - 1, 0) AS mean_gap",
+        f"max_gap_size > {GAP_FACTOR}D * ((max - min) / nullif(sample_size - 1, 0)) AS suspicious_gaps",
     )
 
 
@@ -146,27 +143,20 @@ def _grid(values: DataFrame, stats: DataFrame, limits: Limits) -> DataFrame:
     Every distinct value adds its kernel to the grid points inside the task that
     holds it; only grid sums are shuffled.
     """
-    curve = stats.filter(F.col("std_dev") > 0).select(
-        *KEYS,
-        "sample_size",
-        "min",
-        "max",
-        (F.col("std_dev") * F.pow(F.col("sample_size"), F.lit(-0.2))).alias("h"),
+    last = GRID_POINTS - 1
+    curve = stats.filter("std_dev > 0").selectExpr(
+        *KEYS, "sample_size", "min", "max", "std_dev * pow(sample_size, -0.2D) AS h"
     )
     placed = attach_by_key(values, curve, KEYS, "sample_size", "value", limits=limits)
-    points = placed.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1))))
-    x = F.when(F.col("i") == GRID_POINTS - 1, F.col("max")).otherwise(
-        F.col("min") + F.col("i") * ((F.col("max") - F.col("min")) / (GRID_POINTS - 1))
+    points = placed.selectExpr("*", f"explode(sequence(0, {last})) AS i").selectExpr(
+        "*", f"if(i = {last}, max, min + i * ((max - min) / {last})) AS x"
     )
-    z = (F.col("x") - F.col("value")) / F.col("h")
-    scale = F.col("sample_size") * F.col("h") * F.sqrt(2 * F.pi())
-    return (
-        points.withColumn("x", x)
-        .groupBy(*KEYS, "i")
-        .agg(
-            F.max("x").alias("x"),
-            (F.sum(F.col("cnt") * F.exp(-z * z / 2)) / F.max(scale)).alias("density"),
-        )
+    return points.groupBy(*KEYS, "i").agg(
+        F.expr("max(x) AS x"),
+        F.expr(
+            "sum(cnt * exp(-pow((x - value) / h, 2) / 2)) "
+            "/ max(sample_size * h * sqrt(2 * pi())) AS density"
+        ),
     )
 
 
@@ -187,16 +177,13 @@ def density_grid(
 
 def _peaks(grid: DataFrame) -> DataFrame:
     """Peaks per key; the windows span the 100 grid points of one key."""
-    along = Window.partitionBy(*KEYS).orderBy("i")
-    tops = (
-        grid.withColumn("_l", F.lag("density").over(along))
-        .withColumn("_r", F.lead("density").over(along))
-        .filter((F.col("density") > F.col("_l")) & (F.col("density") > F.col("_r")))
-    )
-    entry = F.struct((-F.col("density")).alias("low"), F.col("i"), F.col("x"))
+    along = "(PARTITION BY `column`, _g ORDER BY i)"
+    tops = grid.selectExpr(
+        "*", f"lag(density) OVER {along} AS _l", f"lead(density) OVER {along} AS _r"
+    ).filter("density > _l AND density > _r")
     return tops.groupBy(*KEYS).agg(
-        F.count("*").alias("peak_count"),
-        F.slice(F.sort_array(F.collect_list(entry)), 1, TOP_PEAKS).alias("_tops"),
+        F.expr("count(*) AS peak_count"),
+        F.expr(f"slice(sort_array(collect_list(struct(-density AS low, i, x))), 1, {TOP_PEAKS}) AS _tops"),
     )
 
 
@@ -212,15 +199,13 @@ def density_peaks(
     cells = _cells(df, columns, by, include_overall)
     stats = stage(_moments(cells, min_values))
     peaks = _peaks(_grid(_value_counts(cells, stats, limits), stats, limits))
-    return peaks.select(
-        *KEYS, "peak_count", F.posexplode("_tops").alias("_p", "_top")
-    ).select(
+    return peaks.selectExpr(*KEYS, "peak_count", "posexplode(_tops) AS (_p, _top)").select(
         "column",
         _group_name(),
-        "peak_count",
-        (F.col("_p") + 1).alias("peak_rank"),
-        F.col("_top.x").alias("x"),
-        (-F.col("_top.low")).alias("density"),
+        F.expr("peak_count"),
+        F.expr("_p + 1 AS peak_rank"),
+        F.expr("_top.x AS x"),
+        F.expr("-_top.low AS density"),
     )
 
 
@@ -234,15 +219,13 @@ def _shapiro_per_key(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _shapiro(values: DataFrame, stats: DataFrame, limits: Limits) -> DataFrame:
     """p per key of up to 5000 values; larger keys never reach the grouped step."""
-    small = stats.filter(
-        (F.col("sample_size") <= SHAPIRO_ROWS) & (F.col("std_dev") > 0)
-    ).select(*KEYS, "sample_size")
+    small = stats.filter(f"sample_size <= {SHAPIRO_ROWS} AND std_dev > 0").select(*KEYS)
     # key by key the counts are joined through the full statistics, so the rows
     # of a large key are spread before they are dropped
     every = attach_by_key(
         values, stats.select(*KEYS, "sample_size"), KEYS, "sample_size", "value", limits=limits
     )
-    chosen = every.filter(F.col("sample_size") <= SHAPIRO_ROWS).select(*KEYS, "value", "cnt")
+    chosen = every.filter(f"sample_size <= {SHAPIRO_ROWS}").select(*KEYS, "value", "cnt")
     results = chosen.groupBy(*KEYS).applyInPandas(
         _shapiro_per_key, "column string, _g string, shapiro_w double, shapiro_p double"
     )
@@ -289,43 +272,29 @@ def multimodality(
         .join(_gaps(values, stats), KEYS, "left")
         .join(peaks, KEYS, "left")
         .join(_shapiro(values, stats, limits), KEYS, "left")
-        .withColumn("peak_count", F.coalesce("peak_count", F.lit(0)))
+        .withColumn("peak_count", F.expr("coalesce(peak_count, 0L)"))
     )
-    second = F.get("_tops", F.lit(1))["low"] / F.get("_tops", F.lit(0))["low"]
-
-    def points(condition: Column, amount: int) -> Column:
-        return F.when(condition, F.lit(amount)).otherwise(F.lit(0))
-
     score = (
-        points((F.col("peak_count") >= 2) & (second > PEAK_SHARE), 3)
-        + points(F.col("shapiro_p") < NORMALITY_P, 2)
-        + points(F.abs("kurtosis") > FAR_KURTOSIS, 2)
-        + points(F.col("suspicious_gaps"), 2)
+        f"if(peak_count >= 2 AND get(_tops, 1).low / get(_tops, 0).low > {PEAK_SHARE}, 3, 0) "
+        f"+ if(shapiro_p < {NORMALITY_P}, 2, 0) + if(abs(kurtosis) > {FAR_KURTOSIS}, 2, 0) "
+        "+ if(suspicious_gaps, 2, 0)"
     )
-    usable = F.col("std_dev") > 0
-    scored = joined.withColumn("_score", score)
-    peak_values = F.transform(F.coalesce("_tops", F.array()), lambda t: t["x"])
-    shown = {
-        "mean": F.col("mean"),
-        "median": F.col("median"),
-        "std_dev": F.col("std_dev"),
-        "min": F.col("min"),
-        "max": F.col("max"),
-        "skewness": F.col("skewness"),
-        "kurtosis": F.col("kurtosis"),
-        "shapiro_p": F.col("shapiro_p"),
-        "potential_multimodal": F.col("kurtosis") < FLAT_KURTOSIS,
-        "peak_count": F.col("peak_count"),
-        "peak_values": peak_values,
-        "suspicious_gaps": F.col("suspicious_gaps"),
-        "max_gap_size": F.col("max_gap_size"),
-        "suspicion": score_tier(F.col("_score")),
-        "suspicion_score": F.col("_score"),
-    }
+    shown = [
+        *("mean", "median", "std_dev", "min", "max", "skewness", "kurtosis", "shapiro_p"),
+        "potential_multimodal",
+        *("peak_count", "peak_values", "suspicious_gaps", "max_gap_size"),
+        *("suspicion", "suspicion_score"),
+    ]
+    scored = joined.selectExpr(
+        "*",
+        f"{score} AS suspicion_score",
+        f"kurtosis < {FLAT_KURTOSIS} AS potential_multimodal",
+        "transform(coalesce(_tops, array()), t -> t.x) AS peak_values",
+    ).withColumn("suspicion", F.expr(score_tier("suspicion_score")))
     return scored.select(
         "column",
         _group_name(),
-        *[F.when(usable, c).alias(name) for name, c in shown.items()],
+        *[F.expr(f"if(std_dev > 0, {c}, NULL) AS {c}") for c in shown],
         "sample_size",
-        F.when(~usable, F.lit("zero variance")).alias("error"),
+        F.expr("if(std_dev > 0, NULL, 'zero variance') AS error"),
     )

@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamperlens.functions.columns import (
-    clean,
+    clean_sql,
     long_form,
     numeric_columns,
     present_columns,
+    quoted,
     require_columns,
+    text_literal,
 )
 from tamperlens.functions.labels import effect_label, z_label
 from tamperlens.functions.tails import welch_p
-from tamperlens.operators.rows import flag_rows
+from tamperlens.operators.rows import flag_rows, rows_frame
 from tamperlens.plans.joins import attach_by_key
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
 from tamperlens.plans.quantiles import grouped_quantiles
@@ -40,79 +42,81 @@ def _flagged_cells(
     """(row_id, is_suspicious, _g, column, value) of rows that have a group."""
     require_columns(df, [row_id, group])
     names = numeric_columns(df, present_columns(df, outcomes))
-    label = clean(df, group).cast("string")
-    narrow = df.withColumn("_g", label).select(row_id, "_g", *names)
-    flagged = flag_rows(narrow.filter(F.col("_g").isNotNull()), rows, row_id)
+    narrow = df.selectExpr(
+        quoted(row_id),
+        f"cast({clean_sql(df, group)} AS STRING) AS _g",
+        *[quoted(c) for c in names],
+    )
+    flagged = flag_rows(narrow.filter("_g IS NOT NULL"), rows, row_id)
     return long_form(flagged, names, [row_id, "is_suspicious", "_g"])
 
 
 def _scoped(cells: DataFrame) -> DataFrame:
     """Every cell in the full scope and in the one its row belongs to."""
-    side = F.when(F.col("is_suspicious"), ONLY).otherwise(WITHOUT)
-    return cells.withColumn("scope", F.explode(F.array(F.lit(FULL), side)))
+    scopes = f"explode(array('{FULL}', if(is_suspicious, '{ONLY}', '{WITHOUT}'))) AS scope"
+    return cells.selectExpr("*", scopes).withColumnRenamed("column", "outcome")
 
 
-def _summaries(scoped: DataFrame, *more: Column) -> DataFrame:
-    return scoped.groupBy("scope", F.col("column").alias("outcome"), "_g").agg(
-        F.count("*").alias("n"),
-        F.avg("value").alias("mean"),
-        F.var_samp("value").alias("var"),
-        *more,
+def _summaries(scoped: DataFrame) -> DataFrame:
+    return scoped.groupBy("scope", "outcome", "_g").agg(
+        F.expr("count(*) AS n"), F.expr("avg(value) AS mean"), F.expr("var_samp(value) AS var")
     )
 
 
 def group_order(df: DataFrame, group: str, row_id: str = "row_id") -> DataFrame:
     """(_g, first_row), groups by first appearance; NULL groups drop."""
-    keyed = df.select(clean(df, group).cast("string").alias("_g"), row_id)
-    return keyed.filter(F.col("_g").isNotNull()).groupBy("_g").agg(F.min(row_id).alias("first_row"))
+    keyed = df.selectExpr(f"cast({clean_sql(df, group)} AS STRING) AS _g", f"{quoted(row_id)} AS _row")
+    return keyed.filter("_g IS NOT NULL").groupBy("_g").agg(F.expr("min(_row) AS first_row"))
 
 
 def _pairs(groups: DataFrame, per_group: DataFrame, outcomes: Sequence[str]) -> DataFrame:
     """All ordered group pairs per scope and outcome, summaries on both sides."""
-    scopes = F.array(*[F.lit(s) for s in (FULL, WITHOUT, ONLY)])
-    names = F.array(*[F.lit(o) for o in outcomes])
-    grid = groups.withColumn("scope", F.explode(scopes)).withColumn("outcome", F.explode(names))
+    scopes = ", ".join(f"'{scope}'" for scope in (FULL, WITHOUT, ONLY))
+    names = ", ".join(text_literal(o) for o in outcomes)
+    grid = groups.selectExpr("*", f"explode(array({scopes})) AS scope").selectExpr(
+        "*", f"explode(array({names})) AS outcome"
+    )
     filled = grid.join(per_group, ["scope", "outcome", "_g"], "left").withColumn(
-        "n", F.coalesce("n", F.lit(0).cast("bigint"))
+        "n", F.expr("coalesce(n, 0L)")
     )
-    sides = []
-    for i in (1, 2):
-        renamed = [F.col(c).alias(f"{c}{i}") for c in ("_g", "first_row", "n", "mean", "var")]
-        sides.append(filled.select("scope", "outcome", *renamed))
-    salt = F.pmod(F.xxhash64("_g1"), F.lit(PAIR_SPREAD).cast("bigint"))
-    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(PAIR_SPREAD - 1).cast("bigint"))
-    left = sides[0].withColumn("_salt", salt)
-    right = sides[1].withColumn("_salt", F.explode(salts))
+
+    def side(i: int, salt: str) -> DataFrame:
+        renamed = [f"{c} AS {c}{i}" for c in ("_g", "first_row", "n", "mean", "var")]
+        return filled.selectExpr("scope", "outcome", f"{salt} AS _salt", *renamed)
+
+    left = side(1, f"pmod(xxhash64(_g), {PAIR_SPREAD}L)")
+    right = side(2, f"explode(sequence(0L, {PAIR_SPREAD - 1}L))")
     return left.join(right, ["scope", "outcome", "_salt"]).filter("first_row1 < first_row2")
 
 
 def _compare(pairs: DataFrame) -> DataFrame:
     """E2-E4 from the sufficient statistics of both sides."""
-    n1, n2, v1, v2 = (F.col(c) for c in ("n1", "n2", "var1", "var2"))
-    enough = (n1 >= 2) & (n2 >= 2)
-    difference = F.col("mean2") - F.col("mean1")
-    error2 = v1 / n1 + v2 / n2
-    freedom = (error2 * error2) / F.nullif(
-        (v1 / n1) * (v1 / n1) / (n1 - 1) + (v2 / n2) * (v2 / n2) / (n2 - 1), F.lit(0.0)
-    )
-    t = F.when(error2 > 0, -difference / F.sqrt(error2)).when(
-        difference != 0, -F.signum(difference) * F.lit(float("inf"))
-    )
-    pooled = F.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))
-    d = F.when(pooled > 0, difference / pooled).otherwise(F.lit(0.0))
-    known = pairs.filter(enough)
+    enough = "n1 >= 2 AND n2 >= 2"
     computed = (
-        known.withColumn("t_statistic", t)
-        .withColumn("_df", F.coalesce(freedom, F.lit(1.0)))
-        .withColumn("p_value", F.nanvl(welch_p("t_statistic", "_df"), F.lit(None).cast("double")))
-        .withColumn("mean_difference", difference)
-        .withColumn("cohens_d", d)
-        .withColumn("effect_size_interpretation", effect_label(F.col("cohens_d")))
-        .withColumn("significant", F.coalesce(F.col("p_value") < SIGNIFICANT_P, F.lit(False)))
-        .withColumn("error", F.lit(None).cast("string"))
+        pairs.filter(enough)
+        .selectExpr("*", "mean2 - mean1 AS mean_difference", "var1 / n1 AS _e1", "var2 / n2 AS _e2")
+        .selectExpr(
+            "*",
+            # without any variance the statistic is infinite, or undefined for equal means
+            "CASE WHEN _e1 + _e2 > 0 THEN -mean_difference / sqrt(_e1 + _e2) "
+            "WHEN mean_difference <> 0 THEN -signum(mean_difference) * double('Infinity') END "
+            "AS t_statistic",
+            "coalesce(pow(_e1 + _e2, 2) / nullif(pow(_e1, 2) / (n1 - 1) + pow(_e2, 2) / (n2 - 1), 0D), 1D) "
+            "AS _df",
+            "sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2)) AS _pooled",
+        )
+        .selectExpr("*", "if(_pooled > 0, mean_difference / _pooled, 0D) AS cohens_d")
+        .withColumn("_p", welch_p("t_statistic", "_df"))
+        .selectExpr(
+            "*",
+            "nullif(_p, double('NaN')) AS p_value",
+            f"{effect_label('cohens_d')} AS effect_size_interpretation",
+            f"coalesce(_p < {SIGNIFICANT_P}, false) AS significant",
+            "cast(NULL AS STRING) AS error",
+        )
     )
-    short = pairs.filter(~enough & (F.col("scope") != ONLY)).withColumn(
-        "error", F.lit("Not enough data points for comparison")
+    short = pairs.filter(f"NOT ({enough}) AND scope <> '{ONLY}'").selectExpr(
+        "*", "'Not enough data points for comparison' AS error"
     )
     return computed.unionByName(short, allowMissingColumns=True)
 
@@ -130,12 +134,12 @@ def compare_with_without(
     cells = _flagged_cells(df, rows, group, names, row_id)
     per_group = _summaries(_scoped(cells))
     pairs = _pairs(group_order(df, group, row_id), per_group, names)
-    return _compare(pairs).select(
+    return _compare(pairs).selectExpr(
         "scope",
         "outcome",
-        F.col("_g1").alias("group1"),
-        F.col("_g2").alias("group2"),
-        F.concat("_g1", F.lit(" vs "), "_g2").alias("pair"),
+        "_g1 AS group1",
+        "_g2 AS group2",
+        "concat(_g1, ' vs ', _g2) AS pair",
         "t_statistic",
         "p_value",
         "mean_difference",
@@ -157,23 +161,21 @@ def descriptive_stats(
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Mean, median, deviation and range per scope, outcome and group."""
-    scoped = _scoped(_flagged_cells(df, rows, group, outcomes, row_id)).withColumnRenamed(
-        "column", "outcome"
-    )
+    scoped = _scoped(_flagged_cells(df, rows, group, outcomes, row_id))
     keys = ["scope", "outcome", "_g"]
     stats = stage(
         scoped.groupBy(*keys).agg(
-            F.avg("value").alias("mean"),
-            F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-            F.count("*").alias("n"),
+            F.expr("avg(value) AS mean"),
+            F.expr("coalesce(stddev_samp(value), 0D) AS std"),
+            F.expr("min(value) AS min"),
+            F.expr("max(value) AS max"),
+            F.expr("count(*) AS n"),
         )
     )
     largest = stats.agg(F.max("n")).first()[0] or 0
     medians = grouped_quantiles(scoped, keys, "value", {"median": 0.5}, largest, limits)
-    return stats.join(medians, keys).select(
-        "scope", "outcome", F.col("_g").alias("group"), "mean", "median", "std", "min", "max", "n"
+    return stats.join(medians, keys).selectExpr(
+        "scope", "outcome", "_g AS `group`", "mean", "median", "std", "min", "max", "n"
     )
 
 
@@ -184,51 +186,52 @@ def significance_change(
 
     Percent changes compare the column without the rows to the column with them.
     """
-    compared = compare_with_without(df, rows, group, outcomes, row_id)
-
-    def of(scope: str, column: str) -> Column:
-        return F.max(F.when(F.col("scope") == scope, F.col(column)))
-
-    pairs = compared.filter(F.col("scope") != ONLY).groupBy("outcome", "pair").agg(
-        of(FULL, "cohens_d").alias("with_effect_size"),
-        of(WITHOUT, "cohens_d").alias("without_effect_size"),
-        of(FULL, "p_value").alias("with_p_value"),
-        of(WITHOUT, "p_value").alias("without_p_value"),
-        of(FULL, "significant").alias("with_significant"),
-        of(WITHOUT, "significant").alias("without_significant"),
+    listed = rows_frame(df.sparkSession, rows)
+    compared = compare_with_without(df, listed, group, outcomes, row_id)
+
+    def of(scope: str, column: str, name: str) -> Column:
+        return F.expr(f"max(if(scope = '{scope}', {column}, NULL)) AS {name}")
+
+    pairs = compared.filter(f"scope <> '{ONLY}'").groupBy("outcome", "pair").agg(
+        of(FULL, "cohens_d", "with_effect_size"),
+        of(WITHOUT, "cohens_d", "without_effect_size"),
+        of(FULL, "p_value", "with_p_value"),
+        of(WITHOUT, "p_value", "without_p_value"),
+        of(FULL, "coalesce(significant, false)", "_with"),
+        of(WITHOUT, "coalesce(significant, false)", "_without"),
     )
     names = numeric_columns(df, present_columns(df, outcomes))
-    flagged = flag_rows(df.select(row_id, *names), rows, row_id)
-    kept = F.when(~F.col("is_suspicious"), F.col("value"))
-    columns = long_form(flagged, names, ["is_suspicious"]).groupBy(
-        F.col("column").alias("outcome")
-    ).agg(
-        F.avg("value").alias("with_mean"),
-        F.avg(kept).alias("without_mean"),
-        F.stddev_samp("value").alias("with_std"),
-        F.stddev_samp(kept).alias("without_std"),
+    flagged = flag_rows(df.select(row_id, *names), listed, row_id)
+    columns = (
+        long_form(flagged, names, ["is_suspicious"])
+        .withColumnRenamed("column", "outcome")
+        .groupBy("outcome")
+        .agg(
+            F.expr("avg(value) AS with_mean"),
+            F.expr("avg(value) FILTER (WHERE NOT is_suspicious) AS without_mean"),
+            F.expr("stddev_samp(value) AS with_std"),
+            F.expr("stddev_samp(value) FILTER (WHERE NOT is_suspicious) AS without_std"),
+        )
     )
 
-    def percent(after: str, before: str) -> Column:
-        return (F.col(after) - F.col(before)) / F.nullif(F.abs(before), F.lit(0.0)) * 100
+    def percent(what: str) -> str:
+        before, after = f"with_{what}", f"without_{what}"
+        return f"({after} - {before}) / nullif(abs({before}), 0D) * 100 AS {what}_change_percent"
 
-    return pairs.join(columns, "outcome").select(
-        F.col("outcome").alias("column"),
+    return pairs.join(columns, "outcome").selectExpr(
+        "outcome AS `column`",
         "pair",
         "with_mean",
         "without_mean",
         "with_std",
         "without_std",
-        percent("without_mean", "with_mean").alias("mean_change_percent"),
-        percent("without_std", "with_std").alias("std_change_percent"),
+        percent("mean"),
+        percent("std"),
         "with_effect_size",
         "without_effect_size",
         "with_p_value",
         "without_p_value",
-        (
-            F.coalesce("with_significant", F.lit(False))
-            != F.coalesce("without_significant", F.lit(False))
-        ).alias("significance_changed"),
+        "coalesce(_with, false) <> coalesce(_without, false) AS significance_changed",
     )
 
 
@@ -249,31 +252,29 @@ def suspicious_effects(
     keys = ["column", "_g"]
     stats = stage(
         cells.groupBy(*keys).agg(
-            F.count("*").alias("n"),
-            F.avg("value").alias("group_mean"),
-            (F.var_pop("value") * F.count("*")).alias("_m2"),
+            F.expr("count(*) AS n"),
+            F.expr("avg(value) AS group_mean"),
+            F.expr("var_pop(value) * count(*) AS _m2"),
         )
     )
     listed = cells.filter("is_suspicious")
     joined = attach_by_key(listed, stats, keys, "n", row_id, limits=limits).filter("n >= 3")
-    n, distance = F.col("n"), F.col("value") - F.col("group_mean")
-    rest = F.col("_m2") - distance * distance * n / (n - 1)
-    spread = F.when(rest > F.col("_m2") * ROUNDING, F.sqrt(rest / (n - 2)))
-    z = distance / spread
+    spread = f"if(_rest > _m2 * {ROUNDING}D, sqrt(_rest / (n - 2)), NULL)"
     return (
-        joined.withColumn("difference", distance)
-        .withColumn("z_score", z)
-        .filter(F.abs("z_score") > UNUSUAL_Z)
-        .select(
-            F.col(row_id).alias("row_index"),
-            F.col("_g").alias("group"),
-            F.col("column").alias("outcome"),
+        joined.selectExpr("*", "value - group_mean AS difference")
+        .selectExpr("*", "_m2 - difference * difference * n / (n - 1) AS _rest")
+        .selectExpr("*", f"difference / {spread} AS z_score")
+        .filter(f"abs(z_score) > {UNUSUAL_Z}")
+        .selectExpr(
+            f"{quoted(row_id)} AS row_index",
+            "_g AS `group`",
+            "`column` AS outcome",
             "value",
             "group_mean",
             "difference",
             "z_score",
-            F.when(F.col("difference") > 0, "stronger").otherwise("weaker").alias("effect_direction"),
-            z_label(F.col("z_score")).alias("magnitude"),
-            F.lit("suspicious_effect").alias("type"),
+            "if(difference > 0, 'stronger', 'weaker') AS effect_direction",
+            f"{z_label('z_score')} AS magnitude",
+            "'suspicious_effect' AS type",
         )
     )

@@ -8,7 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamperlens.functions.columns import long_form, numeric_columns, present_columns, require_columns
+from tamperlens.functions.columns import (
+    clean_sql,
+    long_form,
+    numeric_columns,
+    present_columns,
+    quoted,
+    require_columns,
+    text_literal,
+)
 from tamperlens.operators.effects import (
     FULL,
     WITHOUT,
@@ -52,9 +60,10 @@ def suspicious_vs_normal(
 ) -> DataFrame:
     """Mean and count per outcome, side and group."""
     cells = _flagged_cells(df, rows, group, outcomes, row_id)
-    return cells.groupBy(
-        F.col("column").alias("outcome"), "is_suspicious", F.col("_g").alias("group")
-    ).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    named = cells.selectExpr("`column` AS outcome", "is_suspicious", "_g AS `group`", "value")
+    return named.groupBy("outcome", "is_suspicious", "group").agg(
+        F.expr("avg(value) AS mean"), F.expr("count(*) AS n")
+    )
 
 
 def box_summary(
@@ -77,22 +86,20 @@ def box_summary(
         cells, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, largest, limits
     )
     boxes = stage(sizes.join(quartiles, keys))
-    reach = WHISKER * (F.col("q3") - F.col("q1"))
-    low, high = F.col("q1") - reach, F.col("q3") + reach
-    inside = (F.col("value") >= low) & (F.col("value") <= high)
+    inside = f"value BETWEEN q1 - {WHISKER}D * (q3 - q1) AND q3 + {WHISKER}D * (q3 - q1)"
     fenced = (
         attach_by_key(cells, boxes, keys, "n", row_id, limits=limits)
         .groupBy(*keys)
         .agg(
-            F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
-            F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-            F.count_if(~inside).alias("outside"),
+            F.expr(f"min(value) FILTER (WHERE {inside}) AS whisker_low"),
+            F.expr(f"max(value) FILTER (WHERE {inside}) AS whisker_high"),
+            F.expr(f"count_if(NOT ({inside})) AS outside"),
         )
     )
-    return boxes.join(fenced, keys).select(
-        F.col("column").alias("outcome"),
+    return boxes.join(fenced, keys).selectExpr(
+        "`column` AS outcome",
         "is_suspicious",
-        F.col("_g").alias("group"),
+        "_g AS `group`",
         "n",
         "q1",
         "median",
@@ -112,58 +119,50 @@ def effect_size_table(
     outcome without values on one of the four sides is left out.
     """
     names = numeric_columns(df, present_columns(df, outcomes))
-    keyed = df.withColumn("_g", F.col(group).cast("string")).filter(F.col("_g").isNotNull())
-    listed = rows_frame(df.sparkSession, rows).select(F.col("row_index").alias(row_id))
+    listed = rows_frame(df.sparkSession, rows)
+    keyed = df.selectExpr(f"{quoted(row_id)} AS row_index", f"cast({clean_sql(df, group)} AS STRING) AS _g")
     first_two = (
-        keyed.join(listed, row_id, "left_semi")
+        keyed.filter("_g IS NOT NULL")
+        .join(listed, "row_index", "left_semi")
         .groupBy("_g")
-        .agg(F.min(row_id).alias("first_row"))
+        .agg(F.expr("min(row_index) AS first_row"))
         .orderBy("first_row")
         .limit(2)
     )
-    pair = first_two.agg(F.sort_array(F.collect_list(F.struct("first_row", "_g")))).scalar()
-    cells = _flagged_cells(df, rows, group, names, row_id)
-    sided = cells.withColumn("_pair", pair).withColumn(
-        "_side",
-        F.when(F.col("_g") == F.get("_pair", F.lit(0))["_g"], "a").when(
-            F.col("_g") == F.get("_pair", F.lit(1))["_g"], "b"
-        ),
+    pair = first_two.agg(F.expr("sort_array(collect_list(struct(first_row, _g)))")).scalar()
+    sided = _flagged_cells(df, listed, group, names, row_id).withColumn("_pair", pair).selectExpr(
+        "*", "CASE _g WHEN get(_pair, 0)._g THEN 'a' WHEN get(_pair, 1)._g THEN 'b' END AS _side"
     )
-    aggregates = []
-    for flag, mark in (("s", F.col("is_suspicious")), ("n", ~F.col("is_suspicious"))):
-        for side in ("a", "b"):
-            v = F.when(mark & (F.col("_side") == side), F.col("value"))
-            aggregates += [
-                F.count(v).alias(f"n_{side}{flag}"),
-                F.avg(v).alias(f"m_{side}{flag}"),
-                F.var_samp(v).alias(f"v_{side}{flag}"),
-            ]
-    stats = sided.filter(F.col("_side").isNotNull()).groupBy("column").agg(*aggregates)
-    full = [F.col(f"n_{side}{flag}") >= 1 for side in "ab" for flag in "sn"]
-    kept = stats.filter(reduce(lambda a, b: a & b, full))
-
-    def raw(flag: str) -> Column:
-        return F.abs(F.col(f"m_a{flag}") - F.col(f"m_b{flag}"))
-
-    def cohen(flag: str) -> Column:
-        na, nb = F.col(f"n_a{flag}"), F.col(f"n_b{flag}")
-        pooled = F.sqrt(
-            ((na - 1) * F.col(f"v_a{flag}") + (nb - 1) * F.col(f"v_b{flag}"))
-            / F.nullif(na + nb - 2, F.lit(0).cast("bigint"))
-        )
-        d = (F.col(f"m_a{flag}") - F.col(f"m_b{flag}")) / F.nullif(pooled, F.lit(0.0))
-        return F.coalesce(F.when((na > 1) & (nb > 1), d), F.lit(0.0))
-
-    entries = [
-        ("Raw Difference (Suspicious)", raw("s")),
-        ("Raw Difference (Normal)", raw("n")),
-        ("Cohen's d (Suspicious)", cohen("s")),
-        ("Cohen's d (Normal)", cohen("n")),
+    aggregates = [
+        F.expr(f"{fn}(value) FILTER (WHERE _side = '{side}' AND {test}) AS {short}_{side}{flag}")
+        for flag, test in (("s", "is_suspicious"), ("n", "NOT is_suspicious"))
+        for side in "ab"
+        for short, fn in (("n", "count"), ("m", "avg"), ("v", "var_samp"))
     ]
-    bars = F.array(
-        *[F.struct(F.lit(t).alias("effect_size_type"), v.alias("effect_size")) for t, v in entries]
+    stats = sided.filter("_side IS NOT NULL").groupBy("column").agg(*aggregates)
+    full = " AND ".join(f"n_{side}{flag} >= 1" for side in "ab" for flag in "sn")
+
+    def raw(f: str) -> str:
+        return f"abs(m_a{f} - m_b{f})"
+
+    def cohen(f: str) -> str:
+        pooled = (
+            f"sqrt(((n_a{f} - 1) * v_a{f} + (n_b{f} - 1) * v_b{f}) / nullif(n_a{f} + n_b{f} - 2, 0L))"
+        )
+        d = f"(m_a{f} - m_b{f}) / nullif({pooled}, 0D)"
+        return f"coalesce(if(n_a{f} > 1 AND n_b{f} > 1, {d}, NULL), 0D)"
+
+    entries = {
+        "Raw Difference (Suspicious)": raw("s"),
+        "Raw Difference (Normal)": raw("n"),
+        "Cohen's d (Suspicious)": cohen("s"),
+        "Cohen's d (Normal)": cohen("n"),
+    }
+    bars = ", ".join(
+        f"struct({text_literal(name)} AS effect_size_type, {sql} AS effect_size)"
+        for name, sql in entries.items()
     )
-    return kept.select(F.col("column").alias("outcome"), F.inline(bars))
+    return stats.filter(full).selectExpr("`column` AS outcome", f"inline(array({bars}))")
 
 
 def with_without_chart(
@@ -174,26 +173,20 @@ def with_without_chart(
     ``measure`` is ``mean`` (label group, spread deviation), ``effect_size`` or
     ``p_value_x100`` (label pair).
     """
-    stats = descriptive_stats(df, rows, group, outcomes, row_id).filter(
-        F.col("scope").isin(FULL, WITHOUT)
-    )
-    means = stats.select(
-        "outcome",
-        "scope",
-        F.lit("mean").alias("measure"),
-        F.col("group").alias("label"),
-        F.col("mean").alias("value"),
-        F.col("std").alias("spread"),
+    listed = rows_frame(df.sparkSession, rows)
+    shown = f"scope IN ('{FULL}', '{WITHOUT}')"
+    means = descriptive_stats(df, listed, group, outcomes, row_id).filter(shown).selectExpr(
+        "outcome", "scope", "'mean' AS measure", "`group` AS label", "mean AS value", "std AS spread"
     )
-    pairs = compare_with_without(df, rows, group, outcomes, row_id).filter(
-        F.col("scope").isin(FULL, WITHOUT) & F.col("error").isNull()
+    pairs = compare_with_without(df, listed, group, outcomes, row_id).filter(
+        f"{shown} AND error IS NULL"
     )
-    bars = F.array(
-        F.struct(F.lit("effect_size").alias("measure"), F.col("cohens_d").alias("value")),
-        F.struct(F.lit("p_value_x100").alias("measure"), (F.col("p_value") * 100).alias("value")),
+    bars = (
+        "inline(array(struct('effect_size' AS measure, cohens_d AS value), "
+        "struct('p_value_x100' AS measure, p_value * 100 AS value)))"
     )
-    tests = pairs.select("outcome", "scope", F.col("pair").alias("label"), F.inline(bars))
-    return means.unionByName(tests.withColumn("spread", F.lit(None).cast("double")))
+    tests = pairs.selectExpr("outcome", "scope", "pair AS label", bars)
+    return means.unionByName(tests.withColumn("spread", F.expr("cast(NULL AS DOUBLE)")))
 
 
 # --- outliers and preview rows --------------------------------------------
@@ -210,15 +203,14 @@ def zscore_outliers(
     names = [c for c in numeric_columns(df, chosen) if c != row_id]
     cells = long_form(df, names, [row_id])
     stats = cells.groupBy("column").agg(
-        F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_std")
+        F.expr("avg(value) AS _mean"), F.expr("nullif(stddev_samp(value), 0D) AS _std")
     )
     # one row per table column: the schema bounds this broadcast
-    z = (F.col("value") - F.col("_mean")) / F.nullif("_std", F.lit(0.0))
     return (
         cells.join(F.broadcast(stats), "column")
-        .withColumn("z_score", z)
-        .filter(F.abs("z_score") > threshold)
-        .select(F.col(row_id).alias("row_index"), "column", "value", "z_score")
+        .selectExpr("*", "(value - _mean) / _std AS z_score")
+        .filter(f"abs(z_score) > {threshold}")
+        .selectExpr(f"{quoted(row_id)} AS row_index", "`column`", "value", "z_score")
     )
 
 
@@ -235,19 +227,25 @@ def context_rows(
     ``omitted_before`` counts the rows hidden since the preceding shown row.
     """
     listed = rows_frame(df.sparkSession, rows)
-    around = F.sequence(F.greatest(F.col("row_index") - reach, F.lit(0).cast("bigint")), F.col("row_index") + reach)
-    near = listed.select(F.explode(around).alias(row_id))
-    first = df.sparkSession.range(head).select(F.col("id").alias(row_id))
-    wanted = near.union(first).distinct()
-    shown = flag_rows(df.join(wanted, row_id, "left_semi"), listed, row_id)
-    # blocks of row numbers stand in for a sort: one block never outgrows its rows
-    blocked = shown.withColumn(BLOCK, F.floor(F.col(row_id) / F.lit(limits.block_rows))).withColumn(
-        SEQ, F.col(row_id)
+    name = quoted(row_id)
+    around = f"explode(sequence(greatest(row_index - {reach}, 0L), row_index + {reach})) AS {name}"
+    first = df.sparkSession.range(head).selectExpr(f"id AS {name}")
+    wanted = listed.selectExpr(around).union(first).distinct()
+    marks = listed.selectExpr(f"row_index AS {name}", "true AS is_suspicious")
+    shown = (
+        df.join(wanted, row_id, "left_semi")
+        .join(marks, row_id, "left")
+        # blocks of row numbers stand in for a sort: one block never outgrows its rows
+        .selectExpr(
+            *[quoted(c) for c in df.columns],
+            "coalesce(is_suspicious, false) AS is_suspicious",
+            f"{name} div {limits.block_rows}L AS {BLOCK}",
+            f"{name} AS {SEQ}",
+        )
     )
-    ordered = previous_in_order(blocked, [], row_id, "_before")
-    return ordered.withColumn(
-        "omitted_before", F.coalesce(F.col(row_id) - F.col("_before") - 1, F.lit(0).cast("bigint"))
-    ).drop(BLOCK, SEQ, "_before")
+    ordered = previous_in_order(shown, [], row_id, "_before")
+    omitted = f"coalesce({name} - _before - 1, 0L) AS omitted_before"
+    return ordered.selectExpr("*", omitted).drop(BLOCK, SEQ, "_before")
 
 
 def context_totals(df: DataFrame, shown: DataFrame) -> DataFrame:

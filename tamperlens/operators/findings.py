@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamperlens.plans.staging import stage
+
 
 def findings_long(results: Mapping[str, DataFrame]) -> DataFrame:
     """(type, row_index, severity, description, significance_changed, details).
@@ -38,14 +40,16 @@ def findings_long(results: Mapping[str, DataFrame]) -> DataFrame:
 def findings_summary(findings: DataFrame) -> DataFrame:
     """Per type its count, with totals and the significance flag.
 
-    The totals run over the per-type counts, one row per finding type.
+    The per-type counts are staged, so the totals do not repeat the checks.
     """
     flag = (
         F.col("significance_changed") if "significance_changed" in findings.columns else F.lit(None)
     )
-    per_type = findings.groupBy("type").agg(
-        F.count("*").alias("finding_count"),
-        F.coalesce(F.bool_or(flag.cast("boolean")), F.lit(False)).alias("significance_changed"),
+    per_type = stage(
+        findings.groupBy("type").agg(
+            F.count("*").alias("finding_count"),
+            F.coalesce(F.bool_or(flag.cast("boolean")), F.lit(False)).alias("significance_changed"),
+        )
     )
     totals = per_type.agg(
         F.struct(F.sum("finding_count").alias("issues"), F.count("*").alias("types"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamperlens.functions.labels import score_tier, tier_score
@@ -22,15 +22,20 @@ from tamperlens.plans.staging import stage
 EXPECTED_SHARES = {"very_close": 0.383, "close": 0.348, "moderate": 0.236, "far": 0.033}
 
 
-def _inlier_points() -> Column:
-    """Additive score of the three crowding signs."""
-    near, far = F.col("very_close_ratio"), F.col("far_ratio")
-    enough = F.col("very_close_count") >= 10
-    return (
-        F.when((near > 1.5) & enough, 3).when((near > 1.2) & enough, 1).otherwise(0)
-        + F.when((far < 0.5) & (F.col("sample_size") >= 50), 2).otherwise(0)
-        + F.when((F.col("close_ratio") > 1.3) & (F.col("moderate_ratio") < 0.7), 2).otherwise(0)
-    )
+# |z| bands in the order of EXPECTED_SHARES
+BANDS = {
+    "very_close": "_z < 0.5D",
+    "close": "_z >= 0.5D AND _z < 1D",
+    "moderate": "_z >= 1D AND _z < 2D",
+    "far": "_z >= 2D",
+}
+# Additive score of the three crowding signs
+POINTS = (
+    "CASE WHEN very_close_ratio > 1.5 AND very_close_count >= 10 THEN 3 "
+    "WHEN very_close_ratio > 1.2 AND very_close_count >= 10 THEN 1 ELSE 0 END "
+    "+ if(far_ratio < 0.5 AND sample_size >= 50, 2, 0) "
+    "+ if(close_ratio > 1.3 AND moderate_ratio < 0.7, 2, 0)"
+)
 
 
 def inlier_bands(
@@ -51,39 +56,32 @@ def inlier_bands(
     stats = stage(
         cells.groupBy(*KEYS)
         .agg(
-            F.count("*").alias("sample_size"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std_dev"),
+            F.expr("count(*) AS sample_size"),
+            F.expr("avg(value) AS mean"),
+            F.expr("stddev_samp(value) AS std_dev"),
         )
-        .filter(F.col("sample_size") >= min_values)
+        .filter(f"sample_size >= {min_values}")
     )
-    z = F.abs((F.col("value") - F.col("mean")) / F.nullif(F.col("std_dev"), F.lit(0.0)))
     banded = (
         attach_by_key(cells, stats, KEYS, "sample_size", "value", limits=limits)
-        .withColumn("_z", z)
+        .withColumn("_z", F.expr("abs((value - mean) / nullif(std_dev, 0D))"))
         .groupBy(*KEYS)
-        .agg(
-            F.count_if(F.col("_z") < 0.5).alias("very_close_count"),
-            F.count_if((F.col("_z") >= 0.5) & (F.col("_z") < 1)).alias("close_count"),
-            F.count_if((F.col("_z") >= 1) & (F.col("_z") < 2)).alias("moderate_count"),
-            F.count_if(F.col("_z") >= 2).alias("far_count"),
-        )
+        .agg(*[F.expr(f"count_if({test}) AS {band}_count") for band, test in BANDS.items()])
+    )
+    shares = stats.join(banded, KEYS).selectExpr(
+        "*", *[f"{band}_count / sample_size AS {band}_pct" for band in BANDS]
+    )
+    ratios = shares.selectExpr(
+        "*", *[f"{band}_pct / {expected[band]}D AS {band}_ratio" for band in BANDS]
     )
-    joined = stats.join(banded, KEYS)
-    n = F.col("sample_size")
-    for band in expected:
-        joined = joined.withColumn(f"{band}_pct", F.col(f"{band}_count") / n)
-    for band, share in expected.items():
-        joined = joined.withColumn(f"{band}_ratio", F.col(f"{band}_pct") / F.lit(share))
-    usable = F.col("std_dev") > 0
-    tier = score_tier(_inlier_points())
-    bands = [f"{band}_{kind}" for kind in ("count", "pct", "ratio") for band in expected]
-    return joined.select(
+    scored = ratios.selectExpr("*", f"{score_tier(f'({POINTS})')} AS suspicion")
+    bands = [f"{band}_{kind}" for kind in ("count", "pct", "ratio") for band in BANDS]
+    shown = ["mean", "std_dev", *bands, "suspicion"]
+    return scored.select(
         "column",
         _group_name(),
-        *[F.when(usable, F.col(c)).alias(c) for c in ("mean", "std_dev", *bands)],
-        F.when(usable, tier).alias("suspicion"),
-        F.when(usable, tier_score(tier)).alias("suspicion_score"),
+        *[F.expr(f"if(std_dev > 0, {c}, NULL) AS {c}") for c in shown],
+        F.expr(f"if(std_dev > 0, {tier_score('suspicion')}, NULL) AS suspicion_score"),
         "sample_size",
-        F.when(~usable, F.lit("Zero standard deviation")).alias("error"),
+        F.expr("if(std_dev > 0, NULL, 'Zero standard deviation') AS error"),
     )

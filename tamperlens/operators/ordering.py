@@ -115,20 +115,29 @@ def duplicate_ids(
 
 
 def _with_previous_id(
-    findings: DataFrame, df: DataFrame, id_col: str, row_id: str
+    findings: DataFrame, df: DataFrame, id_col: str, row_id: str, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
-    """Id of the row before, over the whole file; NULL for the first row."""
+    """Id of the row before, over the whole file; NULL for the first row.
+
+    Few findings look their row numbers up in one pass over the table; many meet
+    it in an equi-join on the row number, where no key repeats.
+    """
     numeric = is_numeric(df.schema[id_col].dataType)
     identified = _identified(df, id_col, row_id)
     text = F.col("_id").cast("bigint").cast("string") if numeric else _text(F.col("_id"))
     before = previous_row_value(identified.withColumn("_id", text), row_id, "_id", "previous_id")
-    return findings.join(before, row_id, "left")
+    found = stage(findings)
+    if found.count() <= limits.lookup_rows:
+        before = before.join(F.broadcast(found.select(row_id)), row_id)
+    return found.join(before, row_id, "left")
 
 
 def previous_ids(df: DataFrame, id_col: str, row_id: str = "row_id") -> DataFrame:
     """(row_index, id_value, previous_id) for every row."""
     rows = _identified(df, id_col, row_id).select(row_id, _text(F.col("_id")).alias("id_value"))
-    return _with_previous_id(rows, df, id_col, row_id).withColumnRenamed(row_id, "row_index")
+    # every row asks, so there is nothing to look up first
+    everything = Limits(lookup_rows=-1)
+    return _with_previous_id(rows, df, id_col, row_id, everything).withColumnRenamed(row_id, "row_index")
 
 
 def duplicate_ids_across_groups(
@@ -165,7 +174,7 @@ def duplicate_ids_across_groups(
             "other_instances", F.lit(None).cast("array<bigint>")
         )
         listed = listed.unionByName(unlisted)
-    return _with_previous_id(listed, df, id_col, row_id).select(
+    return _with_previous_id(listed, df, id_col, row_id, limits).select(
         F.lit("duplicate_id").alias("type"),
         _text(F.col("_id")).alias("id_value"),
         F.col(row_id).alias("row_index"),
@@ -223,6 +232,26 @@ def _only_disordered(
     return marked.filter(F.col("_disordered")).drop("_disordered", "_rows")
 
 
+def _around(window: str) -> dict[str, str]:
+    """The neighbouring ids as structs, NULL only where there is no row."""
+    steps = range(1, NEIGHBOURS + 1)
+    before = {f"_before{k}": f"lag(struct(_id), {k}) OVER ({window})" for k in steps}
+    after = {f"_after{k}": f"lead(struct(_id), {k}) OVER ({window})" for k in steps}
+    return {**before, **after}
+
+
+def _surrounding() -> str:
+    """SQL of ARRAY<STRUCT<relative_position, id_value>> around the row."""
+    steps = range(1, NEIGHBOURS + 1)
+    places = [(-k, f"_before{k}") for k in reversed(steps)] + [(k, f"_after{k}") for k in steps]
+    entries = [
+        f"if({c} IS NULL, NULL, struct({k} AS relative_position, cast({c}._id AS STRING) AS id_value))"
+        for k, c in places
+    ]
+    entries.insert(NEIGHBOURS, "struct(0 AS relative_position, cast(_id AS STRING) AS id_value)")
+    return f"array_compact(array({', '.join(entries)}))"
+
+
 def out_of_sequence_ids(
     df: DataFrame,
     id_col: str,
@@ -245,65 +274,41 @@ def out_of_sequence_ids(
     block_rows = None if small else limits.block_rows
     placed = position_in_group(facts, groups, row_id, "actual_position", block_rows)
 
-    entry = F.struct(F.col("_id"))
-
-    def around(window):
-        before = {f"_at-{k}": F.lag(entry, k).over(window) for k in range(NEIGHBOURS, 0, -1)}
-        after = {f"_at+{k}": F.lead(entry, k).over(window) for k in range(1, NEIGHBOURS + 1)}
-        return {**before, **after}
-
-    seen = over_neighbours(placed, groups, "actual_position", NEIGHBOURS, around, block_rows)
-    before = F.col("`_at-1`")
+    seen = over_neighbours(placed, groups, "actual_position", NEIGHBOURS, _around, block_rows)
     seen = seen.withColumn(
         "_descent",
-        before.isNotNull()
-        & F.col("_id").isNotNull()
-        & (before["_id"].isNull() | (F.col("_id") < before["_id"])),
+        F.expr(
+            "_before1 IS NOT NULL AND _id IS NOT NULL AND (_before1._id IS NULL OR _id < _before1._id)"
+        ),
     )
     if not numeric:
         seen = _only_disordered(seen, groups, row_id, small, limits)
     ranked = _expected_by_rank(
         seen.filter(F.col("_id").isNotNull()), groups, row_id, small, limits
     )
-    shift = F.abs(F.col("actual_position") - F.col("expected_position"))
-    flagged = ranked.withColumn("position_difference", shift).filter(
-        F.col("position_difference") >= (NUMERIC_SHIFT if numeric else STRING_SHIFT)
-    )
+    flagged = ranked.selectExpr(
+        "*", "abs(actual_position - expected_position) AS position_difference"
+    ).filter(f"position_difference >= {NUMERIC_SHIFT if numeric else STRING_SHIFT}")
     if numeric:
-        flagged = _with_previous_id(flagged, df, id_col, row_id)
-        severity = F.least(F.col("position_difference") + 5, F.lit(TOP_SEVERITY)).cast("int")
-        description = F.concat(
-            F.lit("ID "),
-            _text(F.col("_id")),
-            F.lit(" is "),
-            _text(F.col("position_difference")),
-            F.lit(" positions out of sequence"),
-        )
+        flagged = _with_previous_id(flagged, df, id_col, row_id, limits)
+        severity = f"cast(least(position_difference + 5, {TOP_SEVERITY}) AS INT)"
+        description = "concat('ID ', _id, ' is ', position_difference, ' positions out of sequence')"
     else:
-        flagged = flagged.withColumn("previous_id", before["_id"])
-        severity = F.lit(STRING_SEVERITY)
-        description = F.concat(F.lit("ID "), _text(F.col("_id")), F.lit(" is out of sequence"))
-
-    def near(offset: int) -> Column:
-        source = entry if offset == 0 else F.col(f"`_at{offset:+d}`")
-        found = F.struct(
-            F.lit(offset).alias("relative_position"), _text(source["_id"]).alias("id_value")
-        )
-        return F.when(source.isNotNull(), found)
-
-    surrounding = F.array_compact(F.array(*[near(k) for k in range(-NEIGHBOURS, NEIGHBOURS + 1)]))
+        flagged = flagged.withColumn("previous_id", F.expr("cast(_before1._id AS STRING)"))
+        severity = str(STRING_SEVERITY)
+        description = "concat('ID ', _id, ' is out of sequence')"
     return flagged.select(
-        F.lit("out_of_sequence_id").alias("type"),
-        _text(F.col("_id")).alias("id_value"),
+        F.expr("'out_of_sequence_id' AS type"),
+        F.expr("cast(_id AS STRING) AS id_value"),
         F.col(row_id).alias("row_index"),
         group_map(groups).alias("condition_values"),
         group_label(groups).alias("group_label"),
         "actual_position",
         "expected_position",
         "position_difference",
-        surrounding.alias("surrounding_ids"),
-        severity.alias("severity"),
-        description.alias("description"),
+        F.expr(f"{_surrounding()} AS surrounding_ids"),
+        F.expr(f"{severity} AS severity"),
+        F.expr(f"{description} AS description"),
         "previous_id",
     )
 
@@ -317,26 +322,19 @@ def filter_order_anomalies(findings: DataFrame, limits: Limits = DEFAULT_LIMITS)
     staged = stage(findings.withColumn("_key", F.to_json("condition_values")))
     sizes = stage(staged.groupBy("_key").agg(F.count("*").alias("_size")))
     sized = attach_by_key(staged, sizes, ["_key"], "_size", "row_index", limits=limits)
-    clustered = F.col("_size") >= CLUSTER_SIZE
-    kept = sized.filter(clustered | (F.col("position_difference") >= LONE_SHIFT))
-    note = F.concat(
-        F.lit(" (Part of a cluster of "),
-        _text(F.col("_size")),
-        F.lit(" anomalies in "),
-        F.col("group_label"),
-        F.lit(")"),
+    clustered = f"_size >= {CLUSTER_SIZE}"
+    note = "concat(description, ' (Part of a cluster of ', _size, ' anomalies in ', group_label, ')')"
+    return (
+        sized.filter(f"{clustered} OR position_difference >= {LONE_SHIFT}")
+        .withColumns(
+            {
+                "cluster_size": F.expr(f"if({clustered}, _size, NULL)"),
+                "severity": F.expr(f"if({clustered}, least(severity + 1, {TOP_SEVERITY}), severity)"),
+                "description": F.expr(f"if({clustered}, {note}, description)"),
+            }
+        )
+        .drop("_key", "_size")
     )
-    return kept.withColumns(
-        {
-            "cluster_size": F.when(clustered, F.col("_size")),
-            "severity": F.when(
-                clustered, F.least(F.col("severity") + 1, F.lit(TOP_SEVERITY))
-            ).otherwise(F.col("severity")),
-            "description": F.when(clustered, F.concat("description", note)).otherwise(
-                F.col("description")
-            ),
-        }
-    ).drop("_key", "_size")
 
 
 # --- effects on measured columns ------------------------------------------
@@ -351,32 +349,24 @@ def dependent_var_effects(
     """Columns whose mean among the listed rows is half a deviation off or more."""
     columns = numeric_columns(df, columns, exclude=[row_id])
     flagged = flag_rows(df.select(row_id, *columns), rows, row_id, "_anomalous")
-    cells = long_form(flagged, columns, ["_anomalous"])
-    inside, outside = F.col("_anomalous"), ~F.col("_anomalous")
-
-    def of(side: Column) -> Column:
-        return F.when(side, F.col("value"))
-
-    stats = cells.groupBy("column").agg(
-        F.avg(of(inside)).alias("anomalous_mean"),
-        F.avg(of(outside)).alias("non_anomalous_mean"),
-        F.stddev_samp(of(inside)).alias("anomalous_std"),
-        F.stddev_samp(of(outside)).alias("non_anomalous_std"),
-        F.count(of(inside)).alias("_na"),
-        F.count(of(outside)).alias("_nn"),
+    sides = {"anomalous": "_anomalous", "non_anomalous": "NOT _anomalous"}
+    aggregates = [
+        F.expr(f"{fn}(value) FILTER (WHERE {test}) AS {side}_{name}")
+        for side, test in sides.items()
+        for name, fn in (("mean", "avg"), ("std", "stddev_samp"), ("n", "count"))
+    ]
+    stats = long_form(flagged, columns, ["_anomalous"]).groupBy("column").agg(*aggregates)
+    effect = (
+        "if(non_anomalous_std > 0, (anomalous_mean - non_anomalous_mean) / non_anomalous_std, 0D)"
     )
-    shift = F.col("anomalous_mean") - F.col("non_anomalous_mean")
-    effect = F.when(
-        F.col("non_anomalous_std") > 0, shift / F.col("non_anomalous_std")
-    ).otherwise(F.lit(0.0))
     return (
-        stats.filter((F.col("_na") >= 2) & (F.col("_nn") >= 2))
-        .withColumn("effect_size", effect)
-        .filter(F.abs("effect_size") >= NOTED_EFFECT)
-        .select(
-            "column",
+        stats.filter("anomalous_n >= 2 AND non_anomalous_n >= 2")
+        .selectExpr("*", f"{effect} AS effect_size")
+        .filter(f"abs(effect_size) >= {NOTED_EFFECT}")
+        .selectExpr(
+            "`column`",
             "effect_size",
-            F.when(F.col("effect_size") > 0, "higher").otherwise("lower").alias("direction"),
+            "if(effect_size > 0, 'higher', 'lower') AS direction",
             "anomalous_mean",
             "non_anomalous_mean",
             "anomalous_std",
@@ -390,7 +380,7 @@ def escalate_severity(
 ) -> DataFrame:
     """Attach all effects to each finding; each large one adds a severity step.
 
-    The effects are one row per column, so they travel as two scalar subqueries.
+    The effects are one row per column, so they travel as one scalar subquery.
     """
     place = (
         F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column"))
@@ -398,18 +388,19 @@ def escalate_severity(
         else F.lit(0)
     )
     fields = [c for c in effects.columns]
-    steps = effects.agg(F.count_if(F.abs("effect_size") >= LARGE_EFFECT)).scalar()
-    entries = effects.agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct(place.alias("_p"), F.struct(*fields).alias("e")))),
-            lambda x: x["e"],
+    listing = F.sort_array(F.collect_list(F.struct(place.alias("_p"), F.struct(*fields).alias("e"))))
+    packed = effects.agg(
+        F.struct(
+            F.count_if(F.abs("effect_size") >= LARGE_EFFECT).alias("steps"),
+            F.transform(listing, lambda x: x["e"]).alias("entries"),
         )
     ).scalar()
-    return findings.withColumns(
-        {
-            "severity": F.least(F.lit(TOP_SEVERITY), F.col("severity") + steps).cast("int"),
-            "dependent_var_effects": entries,
-        }
+    steps = F.col("_effects.steps")
+    return (
+        findings.withColumn("_effects", packed)
+        .withColumn("severity", F.least(F.lit(TOP_SEVERITY), F.col("severity") + steps).cast("int"))
+        .withColumn("dependent_var_effects", F.col("_effects.entries"))
+        .drop("_effects")
     )
 
 

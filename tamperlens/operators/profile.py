@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamperlens.functions.columns import (
-    as_double,
-    clean,
+    clean_sql,
     is_floating,
     is_numeric,
     long_form,
     present_columns,
+    quoted,
+    text_literal,
 )
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
 from tamperlens.plans.quantiles import grouped_quantiles
@@ -24,12 +25,10 @@ REVIEW_UNIQUE = (5, 1000)
 HIGH_RATING = 7
 
 
-def _as_text(df: DataFrame, column: str) -> Column:
-    kind = df.schema[column].dataType
-    value = clean(df, column)
-    if is_floating(kind):
-        value = value + F.lit(0.0).cast(kind)  # negative zero is the same value as zero
-    return value.cast("string")
+def _as_text(df: DataFrame, column: str) -> str:
+    """SQL of the value as text; negative zero is the same value as zero."""
+    zero = " + 0D" if is_floating(df.schema[column].dataType) else ""
+    return f"cast({clean_sql(df, column)}{zero} AS STRING)"
 
 
 def schema_table(df: DataFrame) -> DataFrame:
@@ -40,10 +39,9 @@ def schema_table(df: DataFrame) -> DataFrame:
 
 def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value text, n) with NULL as one value; counted before any shuffle."""
-    texts = df.select(*[_as_text(df, c).alias(c) for c in columns])
-    return texts.unpivot([], list(columns), "column", "value").groupBy("column", "value").agg(
-        F.count("*").alias("n")
-    )
+    texts = df.selectExpr(*[f"{_as_text(df, c)} AS {quoted(c)}" for c in columns])
+    cells = texts.unpivot([], list(columns), "column", "value")
+    return cells.groupBy("column", "value").agg(F.expr("count(*) AS n"))
 
 
 def listed_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = LISTED_VALUES) -> DataFrame:
@@ -55,20 +53,20 @@ def listed_values(df: DataFrame, columns: Sequence[str] | None = None, n: int =
     columns = list(df.columns) if columns is None else present_columns(df, columns)
     counts = _value_counts(df, columns)
     unique = counts.groupBy("column").agg(F.count("*").alias("_unique"))
-    pick = Window.partitionBy("column").orderBy(F.xxhash64("value"), "value")
+    pick = "row_number() OVER (PARTITION BY `column` ORDER BY xxhash64(value), value)"
     chosen = (
-        counts.withColumn("_r", F.row_number().over(pick))
-        .filter(F.col("_r") <= n)
+        counts.selectExpr("*", f"{pick} AS _r")
+        .filter(f"_r <= {n}")
         .groupBy("column")
         .agg(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("value"))),
-                lambda s: F.coalesce(s["value"], F.lit("nan")),
-            ).alias("values")
+            F.expr(
+                "transform(sort_array(collect_list(struct(value))), s -> coalesce(s.value, 'nan')) "
+                "AS values"
+            )
         )
     )
-    return chosen.join(unique, "column").select(
-        "column", "values", (F.col("_unique") > n).alias("is_sampled")
+    return chosen.join(unique, "column").selectExpr(
+        "`column`", "values", f"_unique > {n} AS is_sampled"
     )
 
 
@@ -81,33 +79,30 @@ def column_profile(
     """
     columns = list(df.columns) if columns is None else present_columns(df, columns)
     counts = _value_counts(df, columns).groupBy("column").agg(
-        F.count("*").alias("unique_count"),
-        F.sum("n").alias("total_count"),
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias(
-            "non_null_count"
-        ),
+        F.expr("count(*) AS unique_count"),
+        F.expr("sum(n) AS total_count"),
+        F.expr("coalesce(sum(n) FILTER (WHERE value IS NOT NULL), 0L) AS non_null_count"),
     )
-    kinds = schema_table(df.select(*columns)).select("column", "dtype")
     numeric = [c for c in columns if is_numeric(df.schema[c].dataType)]
-    flags = F.col("column").isin(numeric) if numeric else F.lit(False)
-    profile = kinds.join(counts, "column", "left").select(
-        "column",
-        "dtype",
-        flags.alias("is_numeric"),
-        *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("unique_count", "total_count", "non_null_count")],
-    ).withColumn(
-        "uniqueness_ratio",
-        F.col("unique_count") / F.nullif("non_null_count", F.lit(0).cast("bigint")),
+    names = ", ".join(text_literal(c) for c in numeric)
+    kinds = schema_table(df.select(*columns)).selectExpr(
+        "`column`", "dtype", f"array_contains(array({names}), `column`) AS is_numeric" if numeric else "false AS is_numeric"
+    )
+    counted = [f"coalesce({c}, 0L) AS {c}" for c in ("unique_count", "total_count", "non_null_count")]
+    profile = (
+        kinds.join(counts, "column", "left")
+        .selectExpr("`column`", "dtype", "is_numeric", *counted)
+        .selectExpr("*", "unique_count / nullif(non_null_count, 0L) AS uniqueness_ratio")
     )
     if not numeric:
-        empty = {c: F.lit(None).cast("double") for c in ("min", "max", "mean", "median", "std")}
-        return profile.withColumns(empty)
+        empty = [f"cast(NULL AS DOUBLE) AS {c}" for c in ("min", "max", "mean", "median", "std")]
+        return profile.selectExpr("*", *empty)
     cells = long_form(df, numeric)
     stats = cells.groupBy("column").agg(
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
+        F.expr("min(value) AS min"),
+        F.expr("max(value) AS max"),
+        F.expr("avg(value) AS mean"),
+        F.expr("stddev_samp(value) AS std"),
     )
     largest = df.count()  # answered from file footers when df is a plain scan
     medians = grouped_quantiles(cells, ["column"], "value", {"median": 0.5}, largest, limits)
@@ -142,19 +137,12 @@ def suspicion_summary(ratings: DataFrame) -> DataFrame:
 
 def frame_profile(df: DataFrame) -> DataFrame:
     """(position, column, dtype, null_count, row_count, column_count)."""
-    nulls = df.agg(
-        F.count("*").alias("_rows"),
-        *[F.count_if(clean(df, c).isNull()).alias(f"c{i}") for i, c in enumerate(df.columns)],
-    )
+    counted = [f"count_if({clean_sql(df, c)} IS NULL) AS c{i}" for i, c in enumerate(df.columns)]
+    nulls = df.agg(F.expr("count(*) AS _rows"), *[F.expr(c) for c in counted])
     entries = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(f.name).alias("column"),
-            F.lit(f.dataType.simpleString()).alias("dtype"),
-            F.col(f"c{i}").alias("null_count"),
-            F.col("_rows").alias("row_count"),
-            F.lit(len(df.columns)).alias("column_count"),
-        )
+        f"struct({i} AS position, {text_literal(f.name)} AS column, "
+        f"{text_literal(f.dataType.simpleString())} AS dtype, c{i} AS null_count, "
+        f"_rows AS row_count, {len(df.columns)} AS column_count)"
         for i, f in enumerate(df.schema.fields)
     ]
-    return nulls.select(F.inline(F.array(*entries)))
+    return nulls.selectExpr(f"inline(array({', '.join(entries)}))")

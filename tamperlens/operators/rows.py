@@ -7,8 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamperlens.functions.columns import is_numeric, require_columns
-from tamperlens.plans.staging import with_row_id
+from tamperlens.functions.columns import is_numeric, quoted, require_columns
+from tamperlens.plans.staging import stage, with_row_id
 
 __all__ = [
     "column_roles",
@@ -29,10 +29,14 @@ _PIECE = 100_000  # longest array one exploded range piece builds
 
 
 def rows_frame(spark: SparkSession, rows: DataFrame | Iterable[int]) -> DataFrame:
-    """Distinct row numbers as one ``row_index`` column."""
+    """Distinct row numbers as one ``row_index`` column.
+
+    A frame is staged: its size is known from then on, so joins against a short
+    list become broadcasts, and whatever found the rows does not run again.
+    """
     if isinstance(rows, DataFrame):
         require_columns(rows, ["row_index"])
-        return rows.select(F.col("row_index").cast("bigint")).distinct()
+        return stage(rows.select(F.col("row_index").cast("bigint")).distinct())
     return spark.createDataFrame([(int(r),) for r in set(rows)], "row_index bigint")
 
 
@@ -72,10 +76,11 @@ def flag_rows(
 ) -> DataFrame:
     """Boolean column telling listed rows from the others."""
     require_columns(df, [row_id])
-    listed = rows_frame(df.sparkSession, rows).select(
-        F.col("row_index").alias(row_id), F.lit(True).alias(flag)
+    listed = rows_frame(df.sparkSession, rows).selectExpr(
+        f"row_index AS {quoted(row_id)}", f"true AS {quoted(flag)}"
     )
-    return df.join(listed, row_id, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    known = f"coalesce({quoted(flag)}, false) AS {quoted(flag)}"
+    return df.join(listed, row_id, "left").selectExpr(*[quoted(c) for c in df.columns], known)
 
 
 def split_suspicious(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamperlens.functions.columns import quoted
 from tamperlens.plans.limits import Limits
+from tamperlens.plans.staging import partition_by
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -33,21 +35,21 @@ def position_in_group(
     the block counts are summed up; without it a plain window numbers the group.
     """
     if block_rows is None:
-        window = Window.partitionBy(*keys).orderBy(order)
-        return df.withColumn(out, F.row_number().over(window).cast("bigint") - 1)
-    blocked = df.withColumn("_ob", F.floor(F.col(order) / F.lit(block_rows)))
-    local = Window.partitionBy(*keys, "_ob").orderBy(order)
-    carried = Window.partitionBy(*keys).orderBy("_ob").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+        ranked = f"row_number() OVER ({partition_by(keys)} ORDER BY {quoted(order)})"
+        return df.withColumn(out, F.expr(f"cast({ranked} AS BIGINT) - 1"))
+    blocked = df.withColumn("_ob", F.expr(f"{quoted(order)} div {block_rows}L"))
     counts = blocked.groupBy(*keys, "_ob").agg(F.count("*").alias("_cnt"))
-    bases = counts.select(
-        *keys, "_ob", F.coalesce(F.sum("_cnt").over(carried), F.lit(0)).alias("_base")
+    bases = counts.selectExpr(
+        *[quoted(k) for k in keys],
+        "_ob",
+        f"coalesce(sum(_cnt) OVER ({partition_by(keys)} ORDER BY _ob "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _base",
     )
+    local = f"row_number() OVER ({partition_by([*keys, '_ob'])} ORDER BY {quoted(order)}) - 1"
     return (
-        blocked.withColumn("_local", F.row_number().over(local) - 1)
+        blocked.selectExpr("*", f"{local} AS _local")
         .join(bases, [*keys, "_ob"])
-        .withColumn(out, (F.col("_base") + F.col("_local")).cast("bigint"))
+        .withColumn(out, F.expr("cast(_base + _local AS BIGINT)"))
         .drop("_ob", "_local", "_base")
     )
 
@@ -57,32 +59,34 @@ def over_neighbours(
     keys: Sequence[str],
     position: str,
     reach: int,
-    columns: Callable[[WindowSpec], dict[str, Column]],
+    columns: Callable[[str], Mapping[str, str]],
     block_rows: int | None,
 ) -> DataFrame:
     """Add window columns that look at most ``reach`` positions away.
 
-    ``columns`` receives the ordered window.  With ``block_rows`` each block of
-    positions gets copies of the ``reach`` rows on either side of it; the copies
-    leave again after the window ran.
+    ``columns`` receives the PARTITION BY and ORDER BY of the window and names
+    the SQL of each new column.  With ``block_rows`` each block of positions gets
+    copies of the ``reach`` rows on either side of it; the copies leave again
+    after the window ran.
     """
+    at = quoted(position)
+
+    def extended(frame: DataFrame, window: str) -> DataFrame:
+        new = [f"{sql} AS {quoted(name)}" for name, sql in columns(window).items()]
+        return frame.selectExpr("*", *new)
+
     if block_rows is None:
-        window = Window.partitionBy(*keys).orderBy(position)
-        return df.withColumns(columns(window))
+        return extended(df, f"{partition_by(keys)} ORDER BY {at}")
     size = max(block_rows, reach + 1)
-    home = F.floor(F.col(position) / F.lit(size))
-    touched = F.array_distinct(
-        F.array(
-            F.floor(F.greatest(F.col(position) - reach, F.lit(0)) / F.lit(size)),
-            home,
-            F.floor((F.col(position) + reach) / F.lit(size)),
-        )
+    touched = (
+        f"array_distinct(array(greatest({at} - {reach}, 0L) div {size}L, {at} div {size}L, "
+        f"({at} + {reach}) div {size}L))"
     )
-    copies = df.withColumn("_pb", F.explode(touched))
-    window = Window.partitionBy(*keys, "_pb").orderBy(position)
-    return copies.withColumns(columns(window)).filter(F.col("_pb") == home).drop("_pb")
+    copies = df.withColumn("_pb", F.explode(F.expr(touched)))
+    seen = extended(copies, f"{partition_by([*keys, '_pb'])} ORDER BY {at}")
+    return seen.filter(f"_pb = {at} div {size}L").drop("_pb")
 
 
 def previous_row_value(df: DataFrame, row_id: str, value: str, out: str) -> DataFrame:
     """(row_id, out): ``value`` of the row just before, by equi-join key row_id."""
-    return df.select((F.col(row_id) + 1).alias(row_id), F.col(value).alias(out))
+    return df.selectExpr(f"{quoted(row_id)} + 1 AS {quoted(row_id)}", f"{quoted(value)} AS {quoted(out)}")

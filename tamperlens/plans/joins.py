@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamperlens.functions.columns import quoted
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
 
 
@@ -15,7 +16,7 @@ def attach_by_key(
     per_key: DataFrame,
     keys: Sequence[str],
     rows: str,
-    spread_by: str | Column,
+    spread_by: str,
     how: str = "inner",
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
@@ -32,25 +33,25 @@ def attach_by_key(
     if (largest or 0) < floor:
         return facts.join(per_key, list(keys), how)
     payload = [c for c in per_key.columns if c not in keys]
-    hot = per_key.filter(F.col(rows) >= floor).select(
-        *keys, F.struct(*payload).alias("_hot")
+    names = [quoted(k) for k in keys]
+    packed = f"struct({', '.join(quoted(c) for c in payload)})"
+    hot = per_key.filter(f"{quoted(rows)} >= {floor}").selectExpr(*names, f"{packed} AS _hot")
+    cold = per_key.filter(f"{quoted(rows)} < {floor}").selectExpr(
+        *names, "0L AS _salt", f"{packed} AS _cold"
     )
-    cold = per_key.filter(F.col(rows) < floor).select(
-        *keys, F.lit(0).cast("bigint").alias("_salt"), F.struct(*payload).alias("_cold")
-    )
-    spread = F.pmod(F.xxhash64(spread_by), F.lit(limits.spread).cast("bigint")) + 1
+    spread = f"pmod(xxhash64({quoted(spread_by)}), {limits.spread}L) + 1"
     tagged = facts.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull(), spread).otherwise(F.lit(0).cast("bigint"))
+        "_salt", F.expr(f"if(_hot IS NOT NULL, {spread}, 0L)")
     )
     joined = tagged.join(cold, [*keys, "_salt"], "left").withColumn(
         "_found", F.coalesce("_hot", "_cold")
     )
     if how == "inner":
-        joined = joined.filter(F.col("_found").isNotNull())
+        joined = joined.filter("_found IS NOT NULL")
     elif how != "left":
         raise ValueError("how must be 'inner' or 'left'")
-    return joined.select(
-        *[F.col(c) for c in facts.columns], *[F.col(f"_found.{c}").alias(c) for c in payload]
+    return joined.selectExpr(
+        *[quoted(c) for c in facts.columns], *[f"_found.{quoted(c)} AS {quoted(c)}" for c in payload]
     )
 
 
@@ -58,11 +59,10 @@ def join_spread(
     facts: DataFrame,
     few: DataFrame,
     keys: Sequence[str],
-    spread_by: str | Column,
+    spread_by: str,
     spread: int,
 ) -> DataFrame:
     """Inner join where ``few`` has few rows per key but facts may pile up on a key."""
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(spread).cast("bigint")))
-    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))
-    copies = few.withColumn("_salt", F.explode(salts))
+    salted = facts.withColumn("_salt", F.expr(f"pmod(xxhash64({quoted(spread_by)}), {spread}L)"))
+    copies = few.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {spread - 1}L)")))
     return salted.join(copies, [*keys, "_salt"]).drop("_salt")

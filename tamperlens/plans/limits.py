@@ -21,6 +21,8 @@ class Limits:
     hot_rows: int = 1_000_000
     # at most this many keys can exceed the hot share, so this bounds a broadcast
     max_hot_keys: int = 100_000
+    # row numbers a lookup may broadcast (8 bytes each before hashing)
+    lookup_rows: int = 500_000
     # ways a hot key is spread
     spread: int = 64
 

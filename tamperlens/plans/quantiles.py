@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamperlens.functions.columns import quoted
 from tamperlens.plans.joins import attach_by_key
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
 from tamperlens.plans.staging import running_total, stage, stage_sorted
@@ -27,13 +28,15 @@ def grouped_quantiles(
     big for one buffer the distinct values are range-sorted, and running counts
     pick the two values around each rank.
     """
-    present = df.filter(F.col(value).isNotNull())
+    present = df.filter(f"{quoted(value)} IS NOT NULL")
     if largest <= limits.percentile_rows:
+        ranks = ", ".join(f"{p}D" for p in probabilities.values())
         found = present.groupBy(*keys).agg(
-            F.percentile(value, F.array(*[F.lit(p) for p in probabilities.values()])).alias("_q")
+            F.expr(f"percentile({quoted(value)}, array({ranks})) AS _q")
         )
-        return found.select(
-            *keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probabilities)]
+        return found.selectExpr(
+            *[quoted(k) for k in keys],
+            *[f"_q[{i}] AS {quoted(name)}" for i, name in enumerate(probabilities)],
         )
     counts = present.groupBy(*keys, value).agg(F.count("*").alias("_cnt"))
     staged = stage_sorted(counts, [*keys, value])
@@ -54,17 +57,13 @@ def quantiles_of_staged(
     )
     running = running_total(staged, keys, count, "_upto")
     sized = attach_by_key(running, sizes, keys, "_rows", value, limits=limits)
-    aggregates = []
+    aggregates, columns = [], []
     for name, p in probabilities.items():
-        rank = F.lit(p) * (F.col("_n") - 1)
+        rank, low, high = f"({p}D * (_n - 1))", quoted(f"_lo_{name}"), quoted(f"_hi_{name}")
         aggregates += [
-            F.min(F.when(F.col("_upto") > F.floor(rank), F.col(value))).alias(f"_lo_{name}"),
-            F.min(F.when(F.col("_upto") > F.ceil(rank), F.col(value))).alias(f"_hi_{name}"),
+            F.expr(f"min(if(_upto > floor({rank}), {quoted(value)}, NULL)) AS {low}"),
+            F.expr(f"min(if(_upto > ceil({rank}), {quoted(value)}, NULL)) AS {high}"),
         ]
-    edges = sized.groupBy(*keys).agg(F.max("_n").alias("_n"), *aggregates)
-    columns = []
-    for name, p in probabilities.items():
-        rank = F.lit(p) * (F.col("_n") - 1)
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        columns.append((low + (high - low) * (rank - F.floor(rank))).alias(name))
-    return edges.select(*keys, *columns)
+        columns.append(f"{low} + ({high} - {low}) * ({rank} - floor({rank})) AS {quoted(name)}")
+    edges = sized.groupBy(*keys).agg(F.expr("max(_n) AS _n"), *aggregates)
+    return edges.selectExpr(*[quoted(k) for k in keys], *columns)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamperlens.functions.columns import quoted
 from tamperlens.session import shared_folder
 
 BLOCK = "_block"
@@ -76,38 +77,50 @@ def with_row_id(
     return numbered.select(F.col(row_id), *df.columns)
 
 
+def partition_by(keys: Sequence[str]) -> str:
+    """PARTITION BY clause; empty without keys."""
+    return f"PARTITION BY {', '.join(quoted(k) for k in keys)}" if keys else ""
+
+
 def running_total(staged: DataFrame, keys: Sequence[str], amount: str, out: str) -> DataFrame:
     """Inclusive running sum of ``amount`` inside ``keys`` along a staged sort.
 
     Local sums run inside (keys, block); block totals, at most one per written
     partition and key, carry the sum from block to block.
     """
-    local = Window.partitionBy(*keys, BLOCK).orderBy(SEQ)
-    carried = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    names = ", ".join(quoted(k) for k in [*keys, BLOCK])
     totals = staged.groupBy(*keys, BLOCK).agg(F.sum(amount).alias("_total"))
-    bases = totals.select(
-        *keys, BLOCK, F.coalesce(F.sum("_total").over(carried), F.lit(0)).alias("_base")
+    bases = totals.selectExpr(
+        *[quoted(k) for k in [*keys, BLOCK]],
+        f"coalesce(sum(_total) OVER ({partition_by(keys)} ORDER BY {BLOCK} "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _base",
     )
+    local = f"sum({quoted(amount)}) OVER (PARTITION BY {names} ORDER BY {SEQ})"
     return (
-        staged.withColumn("_local", F.sum(amount).over(local))
+        staged.selectExpr("*", f"{local} AS _local")
         .join(bases, [*keys, BLOCK])
-        .withColumn(out, F.col("_base") + F.col("_local"))
+        .withColumn(out, F.expr("_base + _local"))
         .drop("_base", "_local")
     )
 
 
 def previous_in_order(staged: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Value of the preceding row inside ``keys`` along a staged sort."""
-    local = Window.partitionBy(*keys, BLOCK).orderBy(SEQ)
-    across = Window.partitionBy(*keys).orderBy(BLOCK)
+    """Value of the preceding row inside ``keys`` along a staged sort.
+
+    Blocks look back inside themselves; the first row of a block takes the last
+    value of the block before it.
+    """
+    names = [quoted(k) for k in [*keys, BLOCK]]
+    here = f"(PARTITION BY {', '.join(names)} ORDER BY {SEQ})"
     lasts = staged.groupBy(*keys, BLOCK).agg(F.max_by(value, SEQ).alias("_last"))
-    carried = lasts.select(*keys, BLOCK, F.lag("_last").over(across).alias("_carry"))
+    carried = lasts.selectExpr(
+        *names, f"lag(_last) OVER ({partition_by(keys)} ORDER BY {BLOCK}) AS _carry"
+    )
+    looked = staged.selectExpr(
+        "*", f"row_number() OVER {here} AS _n", f"lag({quoted(value)}) OVER {here} AS _prev"
+    )
     return (
-        staged.withColumn("_n", F.row_number().over(local))
-        .withColumn("_prev", F.lag(value).over(local))
-        .join(carried, [*keys, BLOCK])
-        .withColumn(out, F.when(F.col("_n") == 1, F.col("_carry")).otherwise(F.col("_prev")))
+        looked.join(carried, [*keys, BLOCK])
+        .withColumn(out, F.expr("if(_n = 1, _carry, _prev)"))
         .drop("_n", "_prev", "_carry")
     )
