@@ -44,7 +44,10 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def detect_file_types(spark: SparkSession, path: str) -> DataFrame:
-    """(path, file_type) by extension, else by the first line."""
+    """(path, file_type) by extension, else by the first line.
+
+    Spark's file scans leave out empty files, so these have no row.
+    """
     files = list_files(spark, path).select("path", _kind_by_name(F.col("path")).alias("_kind"))
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
     # a file's first line is in its first split
