@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamperlens.functions.columns import (
@@ -18,6 +18,7 @@ from tamperlens.functions.columns import (
     long_form,
     numeric_columns,
     present_columns,
+    quoted,
     require_columns,
 )
 from tamperlens.operators.rows import flag_rows
@@ -29,7 +30,7 @@ from tamperlens.plans.blocks import (
 )
 from tamperlens.plans.joins import attach_by_key
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
-from tamperlens.plans.staging import running_total, stage, stage_sorted
+from tamperlens.plans.staging import partition_by, running_total, stage, stage_sorted
 
 # fixed values: thresholds of the ordering checks
 NUMERIC_SHIFT = 4
@@ -123,95 +124,106 @@ def _with_previous_id(
     it in an equi-join on the row number, where no key repeats.
     """
     numeric = is_numeric(df.schema[id_col].dataType)
-    identified = _identified(df, id_col, row_id)
-    text = F.col("_id").cast("bigint").cast("string") if numeric else _text(F.col("_id"))
-    before = previous_row_value(identified.withColumn("_id", text), row_id, "_id", "previous_id")
+    text = "cast(cast(_id AS BIGINT) AS STRING) AS _id" if numeric else "cast(_id AS STRING) AS _id"
+    identified = _identified(df, id_col, row_id).selectExpr(f"{quoted(row_id)} AS row_index", text)
+    before = previous_row_value(identified, "row_index", "_id", "previous_id")
     found = stage(findings)
     if found.count() <= limits.lookup_rows:
-        before = before.join(F.broadcast(found.select(row_id)), row_id)
-    return found.join(before, row_id, "left")
+        before = before.join(F.broadcast(found.select("row_index").distinct()), "row_index")
+    return found.join(before, "row_index", "left")
 
 
 def previous_ids(df: DataFrame, id_col: str, row_id: str = "row_id") -> DataFrame:
     """(row_index, id_value, previous_id) for every row."""
-    rows = _identified(df, id_col, row_id).select(row_id, _text(F.col("_id")).alias("id_value"))
+    rows = _identified(df, id_col, row_id).selectExpr(
+        f"{quoted(row_id)} AS row_index", "cast(_id AS STRING) AS id_value"
+    )
     # every row asks, so there is nothing to look up first
     everything = Limits(lookup_rows=-1)
-    return _with_previous_id(rows, df, id_col, row_id, everything).withColumnRenamed(row_id, "row_index")
+    return _with_previous_id(rows, df, id_col, row_id, everything)
 
 
-def duplicate_ids_across_groups(
-    df: DataFrame,
-    id_col: str,
-    groups: str | Sequence[str],
-    row_id: str = "row_id",
-    max_listed: int = 100,
-    limits: Limits = DEFAULT_LIMITS,
+def _repeated_across_groups(
+    df: DataFrame, id_col: str, groups: list[str], row_id: str, max_listed: int, limits: Limits
 ) -> DataFrame:
-    """Every row of an id that occurs in more than one group.
-
-    ``other_instances`` lists the other positions of ids with up to
-    ``max_listed`` rows and is NULL above, where ``duplicate_id_rows`` holds the
-    positions; the counts are always exact.  A NULL group is one group value.
-    """
-    groups = present_columns(df, _as_columns(groups))
-    facts = _identified(df, id_col, row_id, *groups).filter(F.col("_id").isNotNull())
-    per_pair = facts.groupBy("_id", *groups).agg(F.count("*").alias("n"))
+    """C2 without the previous id."""
+    facts = _identified(df, id_col, row_id, *groups).filter("_id IS NOT NULL")
+    per_pair = facts.groupBy("_id", *groups).agg(F.expr("count(*) AS n"))
     per_id = stage(
         per_pair.groupBy("_id")
-        .agg(F.sum("n").alias("duplicate_count"), F.count("*").alias("different_conditions"))
-        .filter((F.col("duplicate_count") > 1) & (F.col("different_conditions") > 1))
+        .agg(F.expr("sum(n) AS duplicate_count"), F.expr("count(*) AS different_conditions"))
+        .filter("duplicate_count > 1 AND different_conditions > 1")
     )
     rows = attach_by_key(facts, per_id, ["_id"], "duplicate_count", row_id, limits=limits)
-    small = F.col("duplicate_count") <= max_listed
-    same_id = Window.partitionBy("_id")
-    listed = rows.filter(small).withColumn(
-        "other_instances",
-        F.array_remove(F.sort_array(F.collect_list(row_id).over(same_id)), F.col(row_id)),
+    # only ids with a bounded number of rows meet in one window
+    same_id = f"collect_list({quoted(row_id)}) OVER (PARTITION BY _id)"
+    listed = rows.filter(f"duplicate_count <= {max_listed}").selectExpr(
+        "*", f"array_remove(sort_array({same_id}), {quoted(row_id)}) AS other_instances"
     )
-    if not per_id.filter(~small).isEmpty():
-        unlisted = rows.filter(~small).withColumn(
-            "other_instances", F.lit(None).cast("array<bigint>")
+    if not per_id.filter(f"duplicate_count > {max_listed}").isEmpty():
+        unlisted = rows.filter(f"duplicate_count > {max_listed}").selectExpr(
+            "*", "cast(NULL AS ARRAY<BIGINT>) AS other_instances"
         )
         listed = listed.unionByName(unlisted)
-    return _with_previous_id(listed, df, id_col, row_id, limits).select(
-        F.lit("duplicate_id").alias("type"),
-        _text(F.col("_id")).alias("id_value"),
+    return listed.select(
+        F.expr("'duplicate_id' AS type"),
+        F.expr("cast(_id AS STRING) AS id_value"),
         F.col(row_id).alias("row_index"),
         group_map(groups).alias("condition_values"),
         group_label(groups).alias("group_label"),
         "other_instances",
         "duplicate_count",
         "different_conditions",
-        F.lit(TOP_SEVERITY).alias("severity"),
-        F.concat(
-            F.lit("ID "),
-            _text(F.col("_id")),
-            F.lit(" appears in "),
-            _text(F.col("different_conditions")),
-            F.lit(" different conditions"),
-        ).alias("description"),
-        "previous_id",
+        F.expr(f"{TOP_SEVERITY} AS severity"),
+        F.expr(
+            "concat('ID ', _id, ' appears in ', different_conditions, ' different conditions') AS description"
+        ),
     )
 
 
+def duplicate_ids_across_groups(
+    df: DataFrame,
+    id_col: str,
+    groups: str | Sequence[str],
+    row_id: str = "row_id",
+    max_listed: int = 100,
+    limits: Limits = DEFAULT_LIMITS,
+) -> DataFrame:
+    """Every row of an id that occurs in more than one group.
+
+    ``other_instances`` lists the other positions of ids with up to
+    ``max_listed`` rows and is NULL above, where ``duplicate_id_rows`` holds the
+    positions; the counts are always exact.  A NULL group is one group value.
+    """
+    groups = present_columns(df, _as_columns(groups))
+    found = _repeated_across_groups(df, id_col, groups, row_id, max_listed, limits)
+    return _with_previous_id(found, df, id_col, row_id, limits)
+
+
 # --- misplaced identifiers ------------------------------------------------
 
 
 def _expected_by_rank(
-    placed: DataFrame, groups: list[str], row_id: str, small: bool, limits: Limits
+    placed: DataFrame,
+    facts: DataFrame,
+    groups: list[str],
+    row_id: str,
+    small: bool,
+    limits: Limits,
 ) -> DataFrame:
-    """Add ``expected_position``: the last sorted position of the row's id."""
+    """Add ``expected_position``: the last sorted position of the row's id.
+
+    Takes rows with an id; ``facts`` are the rows before any window ran, so the
+    ranks of the distributed plan do not repeat the position windows.
+    """
     if small:
-        upto = Window.partitionBy(*groups).orderBy("_id").rangeBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        return placed.withColumn("expected_position", F.count("_id").over(upto) - 1)
-    counts = placed.groupBy(*groups, "_id").agg(F.count("*").alias("_n"))
+        upto = f"count(_id) OVER ({partition_by(groups)} ORDER BY _id RANGE UNBOUNDED PRECEDING)"
+        return placed.withColumn("expected_position", F.expr(f"{upto} - 1"))
+    counts = facts.filter("_id IS NOT NULL").groupBy(*groups, "_id").agg(F.expr("count(*) AS _n"))
     ranks = running_total(stage_sorted(counts, [*groups, "_id"]), groups, "_n", "_upto")
     ranked = stage(ranks.select(*groups, "_id", "_n", "_upto"))
     joined = attach_by_key(placed, ranked, [*groups, "_id"], "_n", row_id, limits=limits)
-    return joined.withColumn("expected_position", F.col("_upto") - 1).drop("_n", "_upto")
+    return joined.withColumn("expected_position", F.expr("_upto - 1")).drop("_n", "_upto")
 
 
 def _only_disordered(
@@ -219,17 +231,15 @@ def _only_disordered(
 ) -> DataFrame:
     """Keep groups in which some id sorts before the id preceding it."""
     if small:
-        marked = rows.withColumn(
-            "_disordered", F.max("_descent").over(Window.partitionBy(*groups))
-        )
-        return marked.filter(F.col("_disordered")).drop("_disordered")
+        marked = rows.selectExpr("*", f"max(_descent) OVER ({partition_by(groups)}) AS _disordered")
+        return marked.filter("_disordered").drop("_disordered")
     states = stage(
         rows.groupBy(*groups).agg(
-            F.max("_descent").alias("_disordered"), F.count("*").alias("_rows")
+            F.expr("max(_descent) AS _disordered"), F.expr("count(*) AS _rows")
         )
     )
     marked = attach_by_key(rows, states, groups, "_rows", row_id, limits=limits)
-    return marked.filter(F.col("_disordered")).drop("_disordered", "_rows")
+    return marked.filter("_disordered").drop("_disordered", "_rows")
 
 
 def _around(window: str) -> dict[str, str]:
@@ -252,51 +262,36 @@ def _surrounding() -> str:
     return f"array_compact(array({', '.join(entries)}))"
 
 
-def out_of_sequence_ids(
-    df: DataFrame,
-    id_col: str,
-    groups: str | Sequence[str],
-    row_id: str = "row_id",
-    strategy: str = "auto",
-    limits: Limits = DEFAULT_LIMITS,
+def _misplaced(
+    df: DataFrame, id_col: str, groups: list[str], row_id: str, strategy: str, limits: Limits
 ) -> DataFrame:
-    """Ids that stand away from their sorted place inside the group.
-
-    Numeric ids are flagged from four places on, other ids from two places on
-    and only in groups that are not sorted.  ``strategy`` picks plain group
-    windows or block windows; ``auto`` measures the largest group first.
-    """
-    groups = present_columns(df, _as_columns(groups))
+    """C3-C5; ``previous_id`` (inside the group) only for ids that are no numbers."""
     numeric = is_numeric(df.schema[id_col].dataType)
     cleaned = df.withColumns({g: clean(df, g) for g in groups})
     facts = _identified(cleaned, id_col, row_id, *groups).dropna(subset=groups)
     small = fits_window(facts, groups, limits, strategy)
     block_rows = None if small else limits.block_rows
     placed = position_in_group(facts, groups, row_id, "actual_position", block_rows)
-
     seen = over_neighbours(placed, groups, "actual_position", NEIGHBOURS, _around, block_rows)
-    seen = seen.withColumn(
-        "_descent",
-        F.expr(
-            "_before1 IS NOT NULL AND _id IS NOT NULL AND (_before1._id IS NULL OR _id < _before1._id)"
-        ),
-    )
     if not numeric:
-        seen = _only_disordered(seen, groups, row_id, small, limits)
-    ranked = _expected_by_rank(
-        seen.filter(F.col("_id").isNotNull()), groups, row_id, small, limits
-    )
+        descent = (
+            "_before1 IS NOT NULL AND _id IS NOT NULL AND (_before1._id IS NULL OR _id < _before1._id)"
+        )
+        seen = _only_disordered(
+            seen.selectExpr("*", f"{descent} AS _descent"), groups, row_id, small, limits
+        )
+    ranked = _expected_by_rank(seen.filter("_id IS NOT NULL"), facts, groups, row_id, small, limits)
     flagged = ranked.selectExpr(
         "*", "abs(actual_position - expected_position) AS position_difference"
     ).filter(f"position_difference >= {NUMERIC_SHIFT if numeric else STRING_SHIFT}")
     if numeric:
-        flagged = _with_previous_id(flagged, df, id_col, row_id, limits)
         severity = f"cast(least(position_difference + 5, {TOP_SEVERITY}) AS INT)"
         description = "concat('ID ', _id, ' is ', position_difference, ' positions out of sequence')"
+        previous = []
     else:
-        flagged = flagged.withColumn("previous_id", F.expr("cast(_before1._id AS STRING)"))
         severity = str(STRING_SEVERITY)
         description = "concat('ID ', _id, ' is out of sequence')"
+        previous = [F.expr("cast(_before1._id AS STRING) AS previous_id")]
     return flagged.select(
         F.expr("'out_of_sequence_id' AS type"),
         F.expr("cast(_id AS STRING) AS id_value"),
@@ -309,10 +304,32 @@ def out_of_sequence_ids(
         F.expr(f"{_surrounding()} AS surrounding_ids"),
         F.expr(f"{severity} AS severity"),
         F.expr(f"{description} AS description"),
-        "previous_id",
+        *previous,
     )
 
 
+def out_of_sequence_ids(
+    df: DataFrame,
+    id_col: str,
+    groups: str | Sequence[str],
+    row_id: str = "row_id",
+    strategy: str = "auto",
+    limits: Limits = DEFAULT_LIMITS,
+) -> DataFrame:
+    """Ids that stand away from their sorted place inside the group.
+
+    Numeric ids are flagged from four places on, other ids from two places on
+    and only in groups that are not sorted.  ``strategy`` picks plain group
+    windows or block windows; ``auto`` measures the largest group first.
+    """
+    groups = present_columns(df, _as_columns(groups))
+    require_columns(df, [id_col, row_id])
+    found = _misplaced(df, id_col, groups, row_id, strategy, limits)
+    if "previous_id" in found.columns:
+        return found
+    return _with_previous_id(found, df, id_col, row_id, limits)
+
+
 def filter_order_anomalies(findings: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Keep clusters of five and more whole, from smaller ones the far shifts.
 
@@ -416,13 +433,19 @@ def sorting_anomalies(
 ) -> DataFrame:
     """Duplicates across groups and misplaced ids, filtered and ranked."""
     groups = present_columns(df, _as_columns(groups))
-    repeated = duplicate_ids_across_groups(df, id_col, groups, row_id, limits=limits)
-    misplaced = out_of_sequence_ids(df, id_col, groups, row_id, strategy, limits)
-    kept = filter_order_anomalies(misplaced, limits)
-    found = repeated.unionByName(kept, allowMissingColumns=True)
+    require_columns(df, [id_col, row_id])
+    repeated = _repeated_across_groups(df, id_col, groups, row_id, 100, limits)
+    kept = filter_order_anomalies(
+        _misplaced(df, id_col, groups, row_id, strategy, limits), limits
+    )
+    if "previous_id" in kept.columns:
+        repeated = _with_previous_id(repeated, df, id_col, row_id, limits)
+        found = repeated.unionByName(kept, allowMissingColumns=True)
+    else:
+        both = repeated.unionByName(kept, allowMissingColumns=True)
+        found = _with_previous_id(both, df, id_col, row_id, limits)
     columns = numeric_columns(df, exclude=[id_col, row_id, *groups], prioritize=prioritize)
     if check_dependent and columns:
-        found = stage(found)
         effects = dependent_var_effects(df, found, columns, row_id)
         found = escalate_severity(found, effects, columns)
     return found.orderBy(F.desc("severity"), "row_index", "type")
