@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamperlens.functions.columns import long_form, numeric_columns, present_columns
+from tamperlens.plans.staging import stage
 
 # fixed values: segment sizes and report bounds
 MAX_ROWS, MIN_ROWS, MAX_CHUNKS, ONE_PIECE = 500, 50, 10, 1000
@@ -166,22 +167,22 @@ def _confident() -> Column:
 def segment_rollup(responses: DataFrame) -> DataFrame:
     """H5: one row over the confident anomalous segments.
 
-    ``anomaly_types`` is a set of finding names; counting pairs of segment and
-    type first keeps the collected set as small as the vocabulary.
+    ``anomaly_types`` is the set of finding names.  Only the flag and the names
+    of each response are staged, so the responses are parsed once.
     """
-    confident = responses.filter(_confident())
-    types = (
-        confident.select(F.explode("findings").alias("f"))
-        .filter(F.col("f.type").isNotNull())
-        .groupBy("f.type")
-        .agg(F.count("*").alias("n"))
+    confident = stage(
+        responses.select(
+            F.coalesce(_confident(), F.lit(False)).alias("confident"),
+            F.expr("transform(findings, f -> f.type) AS types"),
+        )
     )
-    listing = types.agg(F.sort_array(F.collect_list("type"))).scalar()
-    size = F.when(F.col("findings").isNotNull(), F.size("findings")).otherwise(0)
-    return responses.agg(
-        F.count_if(_confident()).alias("anomaly_chunks"),
-        F.coalesce(F.sum(F.when(_confident(), size)), F.lit(0)).alias("total_anomalies"),
-        F.count("*").alias("total_chunks"),
+    names = confident.filter("confident").selectExpr("explode(types) AS type")
+    known = names.filter("type IS NOT NULL").distinct()
+    listing = known.agg(F.expr("sort_array(collect_list(type))")).scalar()
+    return confident.agg(
+        F.expr("count_if(confident) AS anomaly_chunks"),
+        F.expr("coalesce(sum(size(types)) FILTER (WHERE confident AND types IS NOT NULL), 0L) AS total_anomalies"),
+        F.expr("count(*) AS total_chunks"),
     ).select("anomaly_chunks", "total_anomalies", listing.alias("anomaly_types"), "total_chunks")
 
 

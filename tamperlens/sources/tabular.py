@@ -6,6 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamperlens.functions.columns import quoted, text_literal
+
+
+# values of whole and of floating columns in blank-separated text
+NUMBER_PATTERNS = {
+    "bigint": r"^[+-]?[0-9]{1,18}$",
+    "double": r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$",
+}
+
 
 def has_invalid_utf8(spark: SparkSession, path: str) -> bool:
     """True if any line of the files is not valid UTF-8; stops at the first one."""
@@ -62,38 +71,40 @@ def read_delimited(
     sep = sep or sniff_delimiter(line)
     if sep is not None:
         return read_csv(spark, path, sep, schema)
-    names = line.split()
-    lines = spark.read.text(path).filter(F.trim("value") != "")
     # one header line per file, equal to the first line
-    rows = lines.filter(F.trim("value") != F.lit(line.strip()))
-    packed = F.array_join(F.split(F.trim("value"), r"\s+"), "\t")
-    text = rows.select(packed.alias("value"))
-    if schema is None:
-        schema = _blank_schema(text, names)
-    columns = F.from_csv("value", _ddl(schema), {"sep": "\t"})
-    return text.select(columns.alias("r")).select("r.*")
-
-
-def _ddl(schema: str | T.StructType) -> str:
-    if isinstance(schema, str):
-        return schema
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-
-
-def _blank_schema(text: DataFrame, names: list[str]) -> T.StructType:
-    """Narrowest of BIGINT, DOUBLE and STRING that every value of a column fits."""
-    parts = F.split("value", "\t")
-    checks = []
-    for i in range(len(names)):
-        part = F.get(parts, F.lit(i))
-        for kind in ("bigint", "double"):
-            checks.append(F.bool_and(part.isNull() | part.try_cast(kind).isNotNull()).alias(f"{kind}{i}"))
-    fits = text.agg(*checks).first()
-    fields = []
-    for i, name in enumerate(names):
-        kind = T.LongType() if fits[f"bigint{i}"] else T.DoubleType() if fits[f"double{i}"] else T.StringType()
-        fields.append(T.StructField(name, kind))
-    return T.StructType(fields)
+    header = text_literal(line.strip())
+    lines = spark.read.text(path).filter(f"trim(value) NOT IN ('', {header})")
+    parts = lines.selectExpr(r"split(trim(value), r'\s+') AS parts")
+    fields = _fields(schema) if schema is not None else _blank_fields(parts, line.split())
+    return parts.selectExpr(
+        *[
+            f"try_cast(get(parts, {i}) AS {kind}) AS {quoted(name)}"
+            for i, (name, kind) in enumerate(fields)
+        ]
+    )
+
+
+def _fields(schema: str | T.StructType) -> list[tuple[str, str]]:
+    parsed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return [(f.name, f.dataType.simpleString()) for f in parsed.fields]
+
+
+def _blank_fields(parts: DataFrame, names: list[str]) -> list[tuple[str, str]]:
+    """Narrowest of BIGINT, DOUBLE and STRING that every value of a column fits.
+
+    Patterns tell the kinds apart; failing casts are far slower than a pattern.
+    """
+    checks = [
+        f"count_if(NOT get(parts, {i}) RLIKE r'{pattern}') AS {kind}{i}"
+        for i in range(len(names))
+        for kind, pattern in NUMBER_PATTERNS.items()
+    ]
+    misfits = parts.agg(*[F.expr(c) for c in checks]).first()
+    kinds = [
+        "bigint" if not misfits[f"bigint{i}"] else "double" if not misfits[f"double{i}"] else "string"
+        for i in range(len(names))
+    ]
+    return list(zip(names, kinds))
 
 
 def read_json(
