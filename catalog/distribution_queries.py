@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import joined, rounded, sql_round, table
+from catalog.common import joined, rounded, sql_gamma_tail, sql_round, sql_shapiro, table
 from tamperlens.operators.digits import digit_histogram, keep_suspicious, terminal_digits
 from tamperlens.operators.distribution import (
     density_grid,
@@ -61,7 +61,8 @@ def suspicious_digits(spark, sf_dir):
 
 
 def digit_p_values(spark, sf_dir):
-    return terminal_digits(table(spark, sf_dir, "lineitem")).select("column", "chi_square", "p_value")
+    found = terminal_digits(table(spark, sf_dir, "lineitem"))
+    return rounded(found.select("column", "chi_square", "p_value"))
 
 
 def _events(spark, sf_dir):
@@ -92,19 +93,23 @@ def event_peaks(spark, sf_dir):
 
 
 def event_normality(spark, sf_dir):
-    return shapiro_normality(_events(spark, sf_dir), ["value", "user_id"], "event_type")
+    return rounded(shapiro_normality(_events(spark, sf_dir), ["value", "user_id"], "event_type"))
+
+
+def _flat_shapes(found):
+    peaks = F.array_join(F.transform("peak_values", lambda x: F.format_string("%.4f", x)), ",")
+    return rounded(found.withColumn("peak_values", peaks), 4)
 
 
 def event_shapes(spark, sf_dir):
-    return multimodality(_events(spark, sf_dir), ["value"], "event_type")
+    """Groups of about 2000 rows at the small scale, so the score has a Shapiro part."""
+    return _flat_shapes(multimodality(_events(spark, sf_dir), ["value", "user_id"], "event_type"))
 
 
 def line_shapes(spark, sf_dir):
     """Groups above 5000 rows, so the score has no Shapiro part."""
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
-    found = multimodality(lines, ["l_quantity", "l_extendedprice"], "l_returnflag")
-    peaks = F.array_join(F.transform("peak_values", lambda x: F.format_string("%.4f", x)), ",")
-    return rounded(found.withColumn("peak_values", peaks), 4)
+    return _flat_shapes(multimodality(lines, ["l_quantity", "l_extendedprice"], "l_returnflag"))
 
 
 def event_bands(spark, sf_dir):
@@ -280,6 +285,38 @@ def _sql_bands(columns: list[str], overall: bool) -> str:
         FROM points"""
 
 
+def _sql_shapes(source: str, columns: list[str], by: str) -> str:
+    return f"""
+        WITH {_sql_stats(source, columns, by, False)}, {sql_shapiro()},
+        tops AS (
+            SELECT "column", gk, max(peak_count) AS peak_count,
+                string_agg(printf('%.4f', x), ',' ORDER BY k) FILTER (WHERE k <= 3) AS peak_values,
+                max(density) FILTER (WHERE k = 2) / max(density) FILTER (WHERE k = 1) AS ratio
+            FROM peaks GROUP BY ALL),
+        scored AS (
+            SELECT s.*, skewness, gap, p.p AS shapiro_p, coalesce(peak_count, 0) AS peak_count,
+                coalesce(peak_values, '') AS peak_values,
+                gap > 5 * ((mx - mn) / (n - 1)) AS wide,
+                CASE WHEN coalesce(ratio, 0) > 0.7 THEN 3 ELSE 0 END
+                + CASE WHEN p.p < 0.001 THEN 2 ELSE 0 END
+                + CASE WHEN abs(kurtosis) > 2 THEN 2 ELSE 0 END
+                + CASE WHEN gap > 5 * ((mx - mn) / (n - 1)) THEN 2 ELSE 0 END AS pts
+            FROM stats s JOIN third t ON s."column" = t."column" AND s.gk = t.gk
+            JOIN gaps g ON s."column" = g."column" AND s.gk = g.gk
+            LEFT JOIN tops o ON s."column" = o."column" AND s.gk = o.gk
+            LEFT JOIN (SELECT "column", gk, p FROM shapiro) p ON s."column" = p."column" AND s.gk = p.gk)
+        SELECT "column", "group", {sql_round("mean", "mean", 4)}, {sql_round("median", "median", 4)},
+            {sql_round("sd", "std_dev", 4)}, {sql_round("mn", "min", 4)}, {sql_round("mx", "max", 4)},
+            {sql_round("skewness", "skewness", 4)}, {sql_round("kurtosis", "kurtosis", 4)},
+            {sql_round("shapiro_p", "shapiro_p", 4)}, kurtosis < -0.5 AS potential_multimodal,
+            peak_count::BIGINT AS peak_count, peak_values, wide AS suspicious_gaps,
+            {sql_round("gap", "max_gap_size", 4)},
+            CASE WHEN pts >= 5 THEN 'high' WHEN pts >= 3 THEN 'medium' WHEN pts >= 1 THEN 'low'
+                ELSE 'none' END AS suspicion,
+            pts::INTEGER AS suspicion_score, n AS sample_size, NULL::VARCHAR AS error
+        FROM scored"""
+
+
 SQL = {
     "terminal_digits": f"WITH {_LINE_DIGITS} SELECT * FROM result",
     "terminal_digits_events": f"WITH {_sql_digits('events', {'value': _ones('value')})} SELECT * FROM result",
@@ -307,33 +344,19 @@ SQL = {
         SELECT "column", "group", peak_count, k::INTEGER AS peak_rank, {sql_round("x", "x")},
             {sql_round("density", "density")}
         FROM peaks WHERE k <= 3""",
-    "multimodality_lineitem": f"""
-        WITH {_sql_stats("lineitem", ["l_quantity", "l_extendedprice"], "l_returnflag", False)},
-        tops AS (
-            SELECT "column", gk, max(peak_count) AS peak_count,
-                string_agg(printf('%.4f', x), ',' ORDER BY k) FILTER (WHERE k <= 3) AS peak_values,
-                max(density) FILTER (WHERE k = 2) / max(density) FILTER (WHERE k = 1) AS ratio
-            FROM peaks GROUP BY ALL),
-        scored AS (
-            SELECT s.*, skewness, gap, coalesce(peak_count, 0) AS peak_count,
-                coalesce(peak_values, '') AS peak_values,
-                gap > 5 * ((mx - mn) / (n - 1)) AS wide,
-                CASE WHEN coalesce(ratio, 0) > 0.7 THEN 3 ELSE 0 END
-                + CASE WHEN abs(kurtosis) > 2 THEN 2 ELSE 0 END
-                + CASE WHEN gap > 5 * ((mx - mn) / (n - 1)) THEN 2 ELSE 0 END AS pts
-            FROM stats s JOIN third t ON s."column" = t."column" AND s.gk = t.gk
-            JOIN gaps g ON s."column" = g."column" AND s.gk = g.gk
-            LEFT JOIN tops p ON s."column" = p."column" AND s.gk = p.gk)
-        SELECT "column", "group", {sql_round("mean", "mean", 4)}, {sql_round("median", "median", 4)},
-            {sql_round("sd", "std_dev", 4)}, {sql_round("mn", "min", 4)}, {sql_round("mx", "max", 4)},
-            {sql_round("skewness", "skewness", 4)}, {sql_round("kurtosis", "kurtosis", 4)},
-            NULL::DOUBLE AS shapiro_p, kurtosis < -0.5 AS potential_multimodal,
-            peak_count::BIGINT AS peak_count, peak_values, wide AS suspicious_gaps,
-            {sql_round("gap", "max_gap_size", 4)},
-            CASE WHEN pts >= 5 THEN 'high' WHEN pts >= 3 THEN 'medium' WHEN pts >= 1 THEN 'low'
-                ELSE 'none' END AS suspicion,
-            pts::INTEGER AS suspicion_score, n AS sample_size, NULL::VARCHAR AS error
-        FROM scored""",
+    "shapiro_normality": f"""
+        WITH {_sql_stats("events", ["value", "user_id"], "event_type", False)}, {sql_shapiro()}
+        SELECT s."column", s."group", n AS sample_size, {sql_round("w", "shapiro_w")},
+            {sql_round("p", "shapiro_p")}
+        FROM stats s LEFT JOIN (SELECT "column", gk, w, p FROM shapiro) t
+            ON s."column" = t."column" AND s.gk = t.gk""",
+    "multimodality": _sql_shapes("events", ["value", "user_id"], "event_type"),
+    "multimodality_lineitem": _sql_shapes("lineitem", ["l_quantity", "l_extendedprice"], "l_returnflag"),
+    "terminal_digits_p_value": f"""
+        WITH {_LINE_DIGITS}
+        SELECT "column", {sql_round("chi2", "chi_square")},
+            {sql_round(sql_gamma_tail("4.5", "chi2 / 2"), "p_value")}
+        FROM tests""",
     "inlier_bands": _sql_bands(["value"], False),
     "inlier_bands_overall": _sql_bands(["value", "user_id"], True),
 }

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from catalog.common import SQL_EVENTS, events, round_rows, rounded, sql_round
 from pyspark.sql import functions as F
+
+from catalog.common import SQL_EVENTS, events, round_rows, rounded, sql_round, sql_t_two_sided
 from tamperlens.operators.effects import (
     compare_with_without,
     descriptive_stats,
@@ -25,14 +26,13 @@ def event_groups(spark, sf_dir):
 
 
 def welch_comparison(spark, sf_dir):
-    """Without the p-value and its verdict, which SQL cannot compute."""
     found = compare_with_without(*_inputs(spark, sf_dir))
     return rounded(found.drop("p_value", "significant"))
 
 
 def welch_p_values(spark, sf_dir):
     found = compare_with_without(*_inputs(spark, sf_dir))
-    return found.select("scope", "outcome", "pair", "t_statistic", "p_value", "significant")
+    return rounded(found.select("scope", "outcome", "pair", "t_statistic", "p_value", "significant"))
 
 
 def group_descriptions(spark, sf_dir):
@@ -46,7 +46,9 @@ def changed_results(spark, sf_dir):
 
 def changed_significance(spark, sf_dir):
     found = significance_change(*_inputs(spark, sf_dir))
-    return found.select("column", "pair", "with_p_value", "without_p_value", "significance_changed")
+    return rounded(
+        found.select("column", "pair", "with_p_value", "without_p_value", "significance_changed")
+    )
 
 
 def unusual_rows(spark, sf_dir):
@@ -85,12 +87,29 @@ _BASE = f"""
             SELECT a.scope, a.outcome, a.g AS group1, b.g AS group2, a.g || ' vs ' || b.g AS pair,
                 (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t, b.m - a.m AS diff,
                 (b.m - a.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) AS d,
-                a.n AS n1, b.n AS n2
+                a.n AS n1, b.n AS n2,
+                pow(a.v / a.n + b.v / b.n, 2)
+                    / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)) AS freedom
             FROM stats a JOIN stats b ON a.scope = b.scope AND a.outcome = b.outcome
             JOIN firsts fa ON fa.g = a.g JOIN firsts fb ON fb.g = b.g
             WHERE fa.first_row < fb.first_row AND a.n >= 2 AND b.n >= 2)"""
 
+# two-sided p-values of all pairs
+_TESTED = f"""{_BASE},
+        tested AS (SELECT *, {sql_t_two_sided("t", "freedom")} AS p FROM pairs)"""
+
 SQL = {
+    "welch_p_values": f"""
+        WITH {_TESTED}
+        SELECT scope, outcome, pair, {sql_round("t", "t_statistic")}, {sql_round("p", "p_value")},
+            p < 0.05 AS significant
+        FROM tested""",
+    "significance_change_p_values": f"""
+        WITH {_TESTED}
+        SELECT f.outcome AS "column", f.pair, {sql_round("f.p", "with_p_value")},
+            {sql_round("w.p", "without_p_value")}, (f.p < 0.05) <> (w.p < 0.05) AS significance_changed
+        FROM tested f JOIN tested w ON f.outcome = w.outcome AND f.pair = w.pair
+        WHERE f.scope = 'full_dataset' AND w.scope = 'without_suspicious'""",
     "group_order": f"""
         SELECT event_type AS "group", min(row_id) AS first_row FROM ({SQL_EVENTS}) GROUP BY 1""",
     "compare_with_without": f"""

@@ -17,6 +17,7 @@ from catalog.common import (
     table,
 )
 from catalog.effect_queries import _BASE as SQL_EFFECTS
+from catalog.effect_queries import _TESTED as SQL_TESTED
 from catalog.ordering_queries import _NAME_SEQUENCE
 from tamperlens.analysis import analyze
 from tamperlens.operators.evidence import (
@@ -71,7 +72,7 @@ def chart_bars(spark, sf_dir):
 
 
 def chart_p_values(spark, sf_dir):
-    return with_without_chart(*_inputs(spark, sf_dir)).filter("measure = 'p_value_x100'")
+    return rounded(with_without_chart(*_inputs(spark, sf_dir)).filter("measure = 'p_value_x100'"), 4)
 
 
 def outliers(spark, sf_dir):
@@ -269,6 +270,11 @@ SQL = {
         UNION ALL
         SELECT outcome, scope, 'effect_size', pair, {sql_round("d", "value")}, NULL
         FROM pairs WHERE scope <> 'suspicious_only'""",
+    "with_without_chart_p_values": f"""
+        WITH {SQL_TESTED}
+        SELECT outcome, scope, 'p_value_x100' AS measure, pair AS label, {sql_round("p * 100", "value", 4)},
+            NULL::DOUBLE AS spread
+        FROM tested WHERE scope <> 'suspicious_only'""",
     "zscore_outliers": f"""
         WITH base AS ({SQL_EVENTS}),
         cells AS (SELECT row_id, 'value' AS "column", value FROM base

@@ -152,5 +152,8 @@ SQL = {
         FROM names, counts""",
     "head_sample": f"""
         SELECT row_id, event_id, event_type, value FROM ({SQL_EVENTS}) ORDER BY row_id LIMIT 10""",
+    "random_sample": """
+        SELECT event_id, event_type, value FROM events
+        ORDER BY md5(concat_ws('|', '7', event_id)), event_id LIMIT 100""",
     "preview_columns": "SELECT conv_id, turn, role, text FROM conversations",
 }

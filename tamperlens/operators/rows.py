@@ -105,11 +105,13 @@ def random_sample(
 ) -> DataFrame:
     """N rows without replacement; with ``key`` the choice is repeatable.
 
-    Both forms are a top-n, so each task keeps n rows and only those travel.
+    Both forms are a top-n, so each task keeps n rows and only those travel.  The
+    repeatable choice goes by MD5, which other engines compute alike.
     """
     if key is None:
         return df.orderBy(F.rand(seed)).limit(n)
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    named = [F.col(k).cast("string") for k in key]
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *named)), *key).limit(n)
 
 
 # fixed values: name parts that mark a column's role

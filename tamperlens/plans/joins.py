@@ -17,10 +17,9 @@ def attach_by_key(
     keys: Sequence[str],
     rows: str,
     spread_by: str,
-    how: str = "inner",
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Join facts to a staged one-row-per-key table whose ``rows`` column counts facts.
+    """Inner join of facts to a staged one-row-per-key table whose ``rows`` counts facts.
 
     At most ``max_hot_keys`` keys can own more than 1/max_hot_keys of all rows,
     so those go out as a broadcast of proven size; their fact rows are spread
@@ -31,7 +30,7 @@ def attach_by_key(
     total, largest = per_key.agg(F.sum(rows), F.max(rows)).first()
     floor = max(limits.hot_rows, int(total or 0) // limits.max_hot_keys + 1)
     if (largest or 0) < floor:
-        return facts.join(per_key, list(keys), how)
+        return facts.join(per_key, list(keys))
     payload = [c for c in per_key.columns if c not in keys]
     names = [quoted(k) for k in keys]
     packed = f"struct({', '.join(quoted(c) for c in payload)})"
@@ -40,17 +39,15 @@ def attach_by_key(
         *names, "0L AS _salt", f"{packed} AS _cold"
     )
     spread = f"pmod(xxhash64({quoted(spread_by)}), {limits.spread}L) + 1"
-    tagged = facts.join(F.broadcast(hot), list(keys), "left").withColumn(
+    # rows without a key match nothing and must not pile up in the shuffle
+    keyed = facts.filter(" AND ".join(f"{k} IS NOT NULL" for k in names))
+    tagged = keyed.join(F.broadcast(hot), list(keys), "left").withColumn(
         "_salt", F.expr(f"if(_hot IS NOT NULL, {spread}, 0L)")
     )
     joined = tagged.join(cold, [*keys, "_salt"], "left").withColumn(
         "_found", F.coalesce("_hot", "_cold")
     )
-    if how == "inner":
-        joined = joined.filter("_found IS NOT NULL")
-    elif how != "left":
-        raise ValueError("how must be 'inner' or 'left'")
-    return joined.selectExpr(
+    return joined.filter("_found IS NOT NULL").selectExpr(
         *[quoted(c) for c in facts.columns], *[f"_found.{quoted(c)} AS {quoted(c)}" for c in payload]
     )
 
