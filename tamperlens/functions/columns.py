@@ -92,6 +92,13 @@ def normalize_missing(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     return df.withColumns(changes) if changes else df
 
 
+def unpivoted(df: DataFrame, columns: Sequence[str], keep: Sequence[str], value: str) -> DataFrame:
+    """(keep…, column, value) of columns of one type, whatever characters their names have."""
+    return df.unpivot(
+        [F.col(quoted(c)) for c in keep], [F.col(quoted(c)) for c in columns], "column", value
+    )
+
+
 def long_form(
     df: DataFrame,
     columns: Sequence[str],
@@ -106,7 +113,7 @@ def long_form(
     narrow = df.selectExpr(
         *[quoted(c) for c in keep], *[f"{expression(df, c)} AS {quoted(c)}" for c in columns]
     )
-    cells = narrow.unpivot(list(keep), list(columns), "column", value)
+    cells = unpivoted(narrow, columns, keep, value)
     return cells.filter(f"{quoted(value)} IS NOT NULL")
 
 
@@ -129,18 +136,18 @@ def grouped_long(
     )
 
 
-def group_map(columns: Sequence[str]) -> Column:
-    """Group values as MAP<STRING,STRING> in column order."""
-    return F.expr(
-        "map("
-        + ", ".join(f"{text_literal(c)}, cast({quoted(c)} AS STRING)" for c in columns)
-        + ")"
-    )
+def group_map(names: Sequence[str], columns: Sequence[str]) -> Column:
+    """Values of ``columns`` as MAP<STRING,STRING> under the given names."""
+    entries = [
+        f"{text_literal(name)}, cast({quoted(c)} AS STRING)" for name, c in zip(names, columns)
+    ]
+    return F.expr(f"map({', '.join(entries)})")
 
 
-def group_label(columns: Sequence[str]) -> Column:
-    """Group values as ``col=value, col=value``."""
+def group_label(names: Sequence[str], columns: Sequence[str]) -> Column:
+    """Values of ``columns`` as ``name=value, name=value``."""
     parts = [
-        f"concat({text_literal(c + '=')}, coalesce(cast({quoted(c)} AS STRING), 'nan'))" for c in columns
+        f"concat({text_literal(name + '=')}, coalesce(cast({quoted(c)} AS STRING), 'nan'))"
+        for name, c in zip(names, columns)
     ]
     return F.expr(f"concat_ws(', ', {', '.join(parts)})")

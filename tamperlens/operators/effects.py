@@ -201,7 +201,8 @@ def significance_change(
         of(WITHOUT, "coalesce(significant, false)", "_without"),
     )
     names = numeric_columns(df, present_columns(df, outcomes))
-    flagged = flag_rows(df.select(row_id, *names), listed, row_id)
+    narrow = df.selectExpr(*[quoted(c) for c in [row_id, *names]])
+    flagged = flag_rows(narrow, listed, row_id)
     columns = (
         long_form(flagged, names, ["is_suspicious"])
         .withColumnRenamed("column", "outcome")

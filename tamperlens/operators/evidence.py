@@ -46,13 +46,12 @@ def id_sequence(
 ) -> DataFrame:
     """(row_number, id_value, group, is_suspicious) for every row."""
     require_columns(df, [id_col, group, row_id])
-    flagged = flag_rows(df.select(row_id, id_col, group), rows, row_id)
-    return flagged.select(
-        F.col(row_id).alias("row_number"),
-        F.col(id_col).alias("id_value"),
-        F.col(group).cast("string").alias("group"),
-        "is_suspicious",
+    narrow = df.selectExpr(
+        f"{quoted(row_id)} AS row_number",
+        f"{quoted(id_col)} AS id_value",
+        f"cast({quoted(group)} AS STRING) AS `group`",
     )
+    return flag_rows(narrow, rows, "row_number")
 
 
 def suspicious_vs_normal(

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamperlens.functions.columns import (
-    clean,
+    clean_sql,
     group_label,
     group_map,
     is_numeric,
@@ -44,40 +44,44 @@ LARGE_EFFECT = 0.8
 NEIGHBOURS = 2
 
 
-def _identified(df: DataFrame, id_col: str, row_id: str, *more: str) -> DataFrame:
-    require_columns(df, [id_col, row_id, *more])
-    return df.select(row_id, clean(df, id_col).alias("_id"), *more)
+def _identified(
+    df: DataFrame, id_col: str, row_id: str, groups: Sequence[str] = ()
+) -> tuple[DataFrame, list[str]]:
+    """(row_index, _id, _g0, …) and the names of the group columns in it."""
+    require_columns(df, [id_col, row_id, *groups])
+    keys = [f"_g{i}" for i in range(len(groups))]
+    grouped = [f"{clean_sql(df, g)} AS {k}" for g, k in zip(groups, keys)]
+    facts = df.selectExpr(
+        f"{quoted(row_id)} AS row_index", f"{clean_sql(df, id_col)} AS _id", *grouped
+    )
+    return facts, keys
 
 
 def _as_columns(groups: str | Sequence[str]) -> list[str]:
     return [groups] if isinstance(groups, str) else list(groups)
 
 
-def _text(value: Column) -> Column:
-    return value.cast("string")
-
-
 # --- repeated identifiers -------------------------------------------------
 
 
-def _with_id_counts(facts: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
+def _with_id_counts(
+    df: DataFrame, id_col: str, row_id: str, limits: Limits
+) -> tuple[DataFrame, DataFrame]:
+    """(_id, count) of repeated ids, and their rows with the count."""
+    facts, _ = _identified(df, id_col, row_id)
+    known = facts.filter("_id IS NOT NULL")
     counts = stage(
-        facts.filter(F.col("_id").isNotNull())
-        .groupBy("_id")
-        .agg(F.count("*").alias("count"))
-        .filter(F.col("count") > 1)
+        known.groupBy("_id").agg(F.expr("count(*) AS count")).filter("count > 1")
     )
-    known = facts.filter(F.col("_id").isNotNull())
-    return counts, attach_by_key(known, counts, ["_id"], "count", "row_id", limits=limits)
+    return counts, attach_by_key(known, counts, ["_id"], "count", "row_index", limits)
 
 
 def duplicate_id_rows(
     df: DataFrame, id_col: str, row_id: str = "row_id", limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
     """C1, long: (id_value, row_index, count) for every row of every repeated id."""
-    facts = _identified(df, id_col, row_id).withColumnRenamed(row_id, "row_id")
-    _, rows = _with_id_counts(facts, limits)
-    return rows.select(_text(F.col("_id")).alias("id_value"), F.col("row_id").alias("row_index"), "count")
+    _, rows = _with_id_counts(df, id_col, row_id, limits)
+    return rows.selectExpr("cast(_id AS STRING) AS id_value", "row_index", "count")
 
 
 def duplicate_ids(
@@ -93,25 +97,22 @@ def duplicate_ids(
     above; ``duplicate_id_rows`` has every position of every id.  NULL ids are
     not duplicates.
     """
-    facts = _identified(df, id_col, row_id).withColumnRenamed(row_id, "row_id")
-    counts, rows = _with_id_counts(facts, limits)
+    counts, rows = _with_id_counts(df, id_col, row_id, limits)
     listed = (
-        rows.filter(F.col("count") <= max_listed)
+        rows.filter(f"count <= {max_listed}")
         .groupBy("_id")
-        .agg(F.max("count").alias("count"), F.sort_array(F.collect_list("row_id")).alias("rows"))
+        .agg(F.expr("max(count) AS count"), F.expr("sort_array(collect_list(row_index)) AS rows"))
     )
-    unlisted = counts.filter(F.col("count") > max_listed).withColumn(
-        "rows", F.lit(None).cast("array<bigint>")
+    unlisted = counts.filter(f"count > {max_listed}").selectExpr(
+        "*", "cast(NULL AS ARRAY<BIGINT>) AS rows"
     )
-    return listed.unionByName(unlisted).select(
-        F.lit("duplicate_id").alias("type"),
-        _text(F.col("_id")).alias("id_value"),
+    return listed.unionByName(unlisted).selectExpr(
+        "'duplicate_id' AS type",
+        "cast(_id AS STRING) AS id_value",
         "count",
         "rows",
-        F.lit(TOP_SEVERITY).alias("severity"),
-        F.concat(
-            F.lit("ID "), _text(F.col("_id")), F.lit(" appears "), _text(F.col("count")), F.lit(" times")
-        ).alias("description"),
+        f"{TOP_SEVERITY} AS severity",
+        "concat('ID ', _id, ' appears ', count, ' times') AS description",
     )
 
 
@@ -125,8 +126,10 @@ def _with_previous_id(
     """
     numeric = is_numeric(df.schema[id_col].dataType)
     text = "cast(cast(_id AS BIGINT) AS STRING) AS _id" if numeric else "cast(_id AS STRING) AS _id"
-    identified = _identified(df, id_col, row_id).selectExpr(f"{quoted(row_id)} AS row_index", text)
-    before = previous_row_value(identified, "row_index", "_id", "previous_id")
+    identified, _ = _identified(df, id_col, row_id)
+    before = previous_row_value(
+        identified.selectExpr("row_index", text), "row_index", "_id", "previous_id"
+    )
     found = stage(findings)
     if found.count() <= limits.lookup_rows:
         before = before.join(F.broadcast(found.select("row_index").distinct()), "row_index")
@@ -135,9 +138,8 @@ def _with_previous_id(
 
 def previous_ids(df: DataFrame, id_col: str, row_id: str = "row_id") -> DataFrame:
     """(row_index, id_value, previous_id) for every row."""
-    rows = _identified(df, id_col, row_id).selectExpr(
-        f"{quoted(row_id)} AS row_index", "cast(_id AS STRING) AS id_value"
-    )
+    facts, _ = _identified(df, id_col, row_id)
+    rows = facts.selectExpr("row_index", "cast(_id AS STRING) AS id_value")
     # every row asks, so there is nothing to look up first
     everything = Limits(lookup_rows=-1)
     return _with_previous_id(rows, df, id_col, row_id, everything)
@@ -147,18 +149,19 @@ def _repeated_across_groups(
     df: DataFrame, id_col: str, groups: list[str], row_id: str, max_listed: int, limits: Limits
 ) -> DataFrame:
     """C2 without the previous id."""
-    facts = _identified(df, id_col, row_id, *groups).filter("_id IS NOT NULL")
-    per_pair = facts.groupBy("_id", *groups).agg(F.expr("count(*) AS n"))
+    facts, keys = _identified(df, id_col, row_id, groups)
+    facts = facts.filter("_id IS NOT NULL")
+    per_pair = facts.groupBy("_id", *keys).agg(F.expr("count(*) AS n"))
     per_id = stage(
         per_pair.groupBy("_id")
         .agg(F.expr("sum(n) AS duplicate_count"), F.expr("count(*) AS different_conditions"))
         .filter("duplicate_count > 1 AND different_conditions > 1")
     )
-    rows = attach_by_key(facts, per_id, ["_id"], "duplicate_count", row_id, limits=limits)
+    rows = attach_by_key(facts, per_id, ["_id"], "duplicate_count", "row_index", limits)
     # only ids with a bounded number of rows meet in one window
-    same_id = f"collect_list({quoted(row_id)}) OVER (PARTITION BY _id)"
+    same_id = "collect_list(row_index) OVER (PARTITION BY _id)"
     listed = rows.filter(f"duplicate_count <= {max_listed}").selectExpr(
-        "*", f"array_remove(sort_array({same_id}), {quoted(row_id)}) AS other_instances"
+        "*", f"array_remove(sort_array({same_id}), row_index) AS other_instances"
     )
     if not per_id.filter(f"duplicate_count > {max_listed}").isEmpty():
         unlisted = rows.filter(f"duplicate_count > {max_listed}").selectExpr(
@@ -168,9 +171,9 @@ def _repeated_across_groups(
     return listed.select(
         F.expr("'duplicate_id' AS type"),
         F.expr("cast(_id AS STRING) AS id_value"),
-        F.col(row_id).alias("row_index"),
-        group_map(groups).alias("condition_values"),
-        group_label(groups).alias("group_label"),
+        "row_index",
+        group_map(groups, keys).alias("condition_values"),
+        group_label(groups, keys).alias("group_label"),
         "other_instances",
         "duplicate_count",
         "different_conditions",
@@ -204,12 +207,7 @@ def duplicate_ids_across_groups(
 
 
 def _expected_by_rank(
-    placed: DataFrame,
-    facts: DataFrame,
-    groups: list[str],
-    row_id: str,
-    small: bool,
-    limits: Limits,
+    placed: DataFrame, facts: DataFrame, keys: list[str], small: bool, limits: Limits
 ) -> DataFrame:
     """Add ``expected_position``: the last sorted position of the row's id.
 
@@ -217,28 +215,24 @@ def _expected_by_rank(
     ranks of the distributed plan do not repeat the position windows.
     """
     if small:
-        upto = f"count(_id) OVER ({partition_by(groups)} ORDER BY _id RANGE UNBOUNDED PRECEDING)"
+        upto = f"count(_id) OVER ({partition_by(keys)} ORDER BY _id RANGE UNBOUNDED PRECEDING)"
         return placed.withColumn("expected_position", F.expr(f"{upto} - 1"))
-    counts = facts.filter("_id IS NOT NULL").groupBy(*groups, "_id").agg(F.expr("count(*) AS _n"))
-    ranks = running_total(stage_sorted(counts, [*groups, "_id"]), groups, "_n", "_upto")
-    ranked = stage(ranks.select(*groups, "_id", "_n", "_upto"))
-    joined = attach_by_key(placed, ranked, [*groups, "_id"], "_n", row_id, limits=limits)
+    counts = facts.filter("_id IS NOT NULL").groupBy(*keys, "_id").agg(F.expr("count(*) AS _n"))
+    ranks = running_total(stage_sorted(counts, [*keys, "_id"]), keys, "_n", "_upto")
+    ranked = stage(ranks.select(*keys, "_id", "_n", "_upto"))
+    joined = attach_by_key(placed, ranked, [*keys, "_id"], "_n", "row_index", limits)
     return joined.withColumn("expected_position", F.expr("_upto - 1")).drop("_n", "_upto")
 
 
-def _only_disordered(
-    rows: DataFrame, groups: list[str], row_id: str, small: bool, limits: Limits
-) -> DataFrame:
+def _only_disordered(rows: DataFrame, keys: list[str], small: bool, limits: Limits) -> DataFrame:
     """Keep groups in which some id sorts before the id preceding it."""
     if small:
-        marked = rows.selectExpr("*", f"max(_descent) OVER ({partition_by(groups)}) AS _disordered")
+        marked = rows.selectExpr("*", f"max(_descent) OVER ({partition_by(keys)}) AS _disordered")
         return marked.filter("_disordered").drop("_disordered")
     states = stage(
-        rows.groupBy(*groups).agg(
-            F.expr("max(_descent) AS _disordered"), F.expr("count(*) AS _rows")
-        )
+        rows.groupBy(*keys).agg(F.expr("max(_descent) AS _disordered"), F.expr("count(*) AS _rows"))
     )
-    marked = attach_by_key(rows, states, groups, "_rows", row_id, limits=limits)
+    marked = attach_by_key(rows, states, keys, "_rows", "row_index", limits)
     return marked.filter("_disordered").drop("_disordered", "_rows")
 
 
@@ -267,20 +261,18 @@ def _misplaced(
 ) -> DataFrame:
     """C3-C5; ``previous_id`` (inside the group) only for ids that are no numbers."""
     numeric = is_numeric(df.schema[id_col].dataType)
-    cleaned = df.withColumns({g: clean(df, g) for g in groups})
-    facts = _identified(cleaned, id_col, row_id, *groups).dropna(subset=groups)
-    small = fits_window(facts, groups, limits, strategy)
+    facts, keys = _identified(df, id_col, row_id, groups)
+    facts = facts.dropna(subset=keys)
+    small = fits_window(facts, keys, limits, strategy)
     block_rows = None if small else limits.block_rows
-    placed = position_in_group(facts, groups, row_id, "actual_position", block_rows)
-    seen = over_neighbours(placed, groups, "actual_position", NEIGHBOURS, _around, block_rows)
+    placed = position_in_group(facts, keys, "row_index", "actual_position", block_rows)
+    seen = over_neighbours(placed, keys, "actual_position", NEIGHBOURS, _around, block_rows)
     if not numeric:
         descent = (
             "_before1 IS NOT NULL AND _id IS NOT NULL AND (_before1._id IS NULL OR _id < _before1._id)"
         )
-        seen = _only_disordered(
-            seen.selectExpr("*", f"{descent} AS _descent"), groups, row_id, small, limits
-        )
-    ranked = _expected_by_rank(seen.filter("_id IS NOT NULL"), facts, groups, row_id, small, limits)
+        seen = _only_disordered(seen.selectExpr("*", f"{descent} AS _descent"), keys, small, limits)
+    ranked = _expected_by_rank(seen.filter("_id IS NOT NULL"), facts, keys, small, limits)
     flagged = ranked.selectExpr(
         "*", "abs(actual_position - expected_position) AS position_difference"
     ).filter(f"position_difference >= {NUMERIC_SHIFT if numeric else STRING_SHIFT}")
@@ -295,9 +287,9 @@ def _misplaced(
     return flagged.select(
         F.expr("'out_of_sequence_id' AS type"),
         F.expr("cast(_id AS STRING) AS id_value"),
-        F.col(row_id).alias("row_index"),
-        group_map(groups).alias("condition_values"),
-        group_label(groups).alias("group_label"),
+        "row_index",
+        group_map(groups, keys).alias("condition_values"),
+        group_label(groups, keys).alias("group_label"),
         "actual_position",
         "expected_position",
         "position_difference",
@@ -365,7 +357,8 @@ def dependent_var_effects(
 ) -> DataFrame:
     """Columns whose mean among the listed rows is half a deviation off or more."""
     columns = numeric_columns(df, columns, exclude=[row_id])
-    flagged = flag_rows(df.select(row_id, *columns), rows, row_id, "_anomalous")
+    narrow = df.selectExpr(*[quoted(c) for c in [row_id, *columns]])
+    flagged = flag_rows(narrow, rows, row_id, "_anomalous")
     sides = {"anomalous": "_anomalous", "non_anomalous": "NOT _anomalous"}
     aggregates = [
         F.expr(f"{fn}(value) FILTER (WHERE {test}) AS {side}_{name}")

@@ -15,6 +15,7 @@ from tamperlens.functions.columns import (
     present_columns,
     quoted,
     text_literal,
+    unpivoted,
 )
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
 from tamperlens.plans.quantiles import grouped_quantiles
@@ -40,7 +41,7 @@ def schema_table(df: DataFrame) -> DataFrame:
 def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value text, n) with NULL as one value; counted before any shuffle."""
     texts = df.selectExpr(*[f"{_as_text(df, c)} AS {quoted(c)}" for c in columns])
-    cells = texts.unpivot([], list(columns), "column", "value")
+    cells = unpivoted(texts, columns, [], "value")
     return cells.groupBy("column", "value").agg(F.expr("count(*) AS n"))
 
 
@@ -85,7 +86,7 @@ def column_profile(
     )
     numeric = [c for c in columns if is_numeric(df.schema[c].dataType)]
     names = ", ".join(text_literal(c) for c in numeric)
-    kinds = schema_table(df.select(*columns)).selectExpr(
+    kinds = schema_table(df.selectExpr(*[quoted(c) for c in columns])).selectExpr(
         "`column`", "dtype", f"array_contains(array({names}), `column`) AS is_numeric" if numeric else "false AS is_numeric"
     )
     counted = [f"coalesce({c}, 0L) AS {c}" for c in ("unique_count", "total_count", "non_null_count")]

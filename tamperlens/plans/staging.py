@@ -47,7 +47,8 @@ def stage_sorted(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
     ``_seq`` rises along the total order, ``_block`` is the written partition, so
     a block holds one task's share of the sort no matter how keys are skewed.
     """
-    ordered = df.orderBy(*order_by).withColumn(SEQ, F.monotonically_increasing_id())
+    order = [F.col(quoted(c)) if isinstance(c, str) else c for c in order_by]
+    ordered = df.orderBy(*order).withColumn(SEQ, F.monotonically_increasing_id())
     return stage(ordered.withColumn(BLOCK, F.shiftright(F.col(SEQ), _SEQ_BITS)))
 
 
@@ -74,7 +75,7 @@ def with_row_id(
         numbered = staged.join(F.broadcast(offsets), BLOCK).withColumn(
             row_id, F.col(SEQ) + F.col("_shift")
         )
-    return numbered.select(F.col(row_id), *df.columns)
+    return numbered.selectExpr(*[quoted(c) for c in [row_id, *df.columns]])
 
 
 def partition_by(keys: Sequence[str]) -> str:

@@ -241,3 +241,34 @@ def test_known_counts_on_the_tables(spark, sf_dir):
     assert QUERIES["duplicate_ids"](spark, sf_dir).count() == 13623
     assert QUERIES["out_of_sequence_ids"](spark, sf_dir).count() == 79
     assert QUERIES["out_of_sequence_string_ids"](spark, sf_dir).count() == 1485
+
+
+def test_awkward_column_names(spark):
+    """Dots, blanks and quotes in names, as research tables have them."""
+    from tamperlens.operators.digits import terminal_digits
+    from tamperlens.operators.distribution import multimodality
+    from tamperlens.operators.effects import compare_with_without
+    from tamperlens.operators.evidence import id_sequence, zscore_outliers
+    from tamperlens.operators.inliers import inlier_bands
+    from tamperlens.operators.profile import column_profile, frame_profile
+    from tamperlens.plans.staging import with_row_id
+
+    names = ["pos", "subj.id", "the group's", "r.t (ms)"]
+    plain = experiment(spark).toDF("pos", "pid", "grp", "score")
+    awkward = with_row_id(plain.toDF(*names), ["pos"])
+    base = with_row_id(plain, ["pos"])
+    ident, group, value = names[1:]
+    found = sorting_anomalies(awkward, ident, group)
+    known = sorting_anomalies(base, "pid", "grp")
+    shown = ["row_index", "id_value", "severity", "previous_id"]
+    assert same_rows(found.select(*shown), known.select(*shown))
+    assert found.first()["condition_values"].keys() == {group}
+    assert duplicate_ids(awkward, ident).count() == 1
+    assert multimodality(awkward, [value], group).count() == 3
+    assert inlier_bands(awkward, [value], group, include_overall=True).count() == 4
+    assert terminal_digits(awkward, [value]).first()["column"] == value
+    assert compare_with_without(awkward, [1, 2], group, [value]).count() == 6
+    assert id_sequence(awkward, ident, group, [3]).filter("is_suspicious").count() == 1
+    assert zscore_outliers(awkward, [value]).count() == 0
+    assert set(r["column"] for r in column_profile(awkward).collect()) == {"row_id", *names}
+    assert frame_profile(awkward).count() == 5
