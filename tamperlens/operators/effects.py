@@ -76,8 +76,11 @@ def _pairs(groups: DataFrame, per_group: DataFrame, outcomes: Sequence[str]) ->
     grid = groups.selectExpr("*", f"explode(array({scopes})) AS scope").selectExpr(
         "*", f"explode(array({names})) AS outcome"
     )
-    filled = grid.join(per_group, ["scope", "outcome", "_g"], "left").withColumn(
-        "n", F.expr("coalesce(n, 0L)")
+    # one row per scope, outcome and group; both sides of the pairing read it
+    filled = stage(
+        grid.join(per_group, ["scope", "outcome", "_g"], "left").withColumn(
+            "n", F.expr("coalesce(n, 0L)")
+        )
     )
 
     def side(i: int, salt: str) -> DataFrame:
@@ -91,34 +94,43 @@ def _pairs(groups: DataFrame, per_group: DataFrame, outcomes: Sequence[str]) ->
 
 def _compare(pairs: DataFrame) -> DataFrame:
     """E2-E4 from the sufficient statistics of both sides."""
-    enough = "n1 >= 2 AND n2 >= 2"
-    computed = (
-        pairs.filter(enough)
-        .selectExpr("*", "mean2 - mean1 AS mean_difference", "var1 / n1 AS _e1", "var2 / n2 AS _e2")
+
+    def known(sql: str, name: str) -> str:
+        return f"if(_enough, {sql}, NULL) AS {name}"
+
+    # without any variance the statistic is infinite, or undefined for equal means
+    t = (
+        "CASE WHEN _e1 + _e2 > 0 THEN -mean_difference / sqrt(_e1 + _e2) "
+        "WHEN mean_difference <> 0 THEN -signum(mean_difference) * double('Infinity') END"
+    )
+    freedom = (
+        "coalesce(pow(_e1 + _e2, 2) / nullif(pow(_e1, 2) / (n1 - 1) + pow(_e2, 2) / (n2 - 1), 0D), 1D)"
+    )
+    return (
+        pairs.selectExpr("*", "n1 >= 2 AND n2 >= 2 AS _enough")
+        .filter(f"_enough OR scope <> '{ONLY}'")
         .selectExpr(
             "*",
-            # without any variance the statistic is infinite, or undefined for equal means
-            "CASE WHEN _e1 + _e2 > 0 THEN -mean_difference / sqrt(_e1 + _e2) "
-            "WHEN mean_difference <> 0 THEN -signum(mean_difference) * double('Infinity') END "
-            "AS t_statistic",
-            "coalesce(pow(_e1 + _e2, 2) / nullif(pow(_e1, 2) / (n1 - 1) + pow(_e2, 2) / (n2 - 1), 0D), 1D) "
-            "AS _df",
-            "sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2)) AS _pooled",
+            known("mean2 - mean1", "mean_difference"),
+            known("var1 / n1", "_e1"),
+            known("var2 / n2", "_e2"),
+            known("sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2))", "_pooled"),
+        )
+        .selectExpr(
+            "*",
+            known(t, "t_statistic"),
+            known(freedom, "_df"),
+            known("if(_pooled > 0, mean_difference / _pooled, 0D)", "cohens_d"),
         )
-        .selectExpr("*", "if(_pooled > 0, mean_difference / _pooled, 0D) AS cohens_d")
         .withColumn("_p", welch_p("t_statistic", "_df"))
         .selectExpr(
             "*",
             "nullif(_p, double('NaN')) AS p_value",
             f"{effect_label('cohens_d')} AS effect_size_interpretation",
-            f"coalesce(_p < {SIGNIFICANT_P}, false) AS significant",
-            "cast(NULL AS STRING) AS error",
+            known(f"coalesce(_p < {SIGNIFICANT_P} AND NOT isnan(_p), false)", "significant"),
+            "if(_enough, NULL, 'Not enough data points for comparison') AS error",
         )
     )
-    short = pairs.filter(f"NOT ({enough}) AND scope <> '{ONLY}'").selectExpr(
-        "*", "'Not enough data points for comparison' AS error"
-    )
-    return computed.unionByName(short, allowMissingColumns=True)
 
 
 def compare_with_without(

@@ -242,7 +242,8 @@ def context_rows(
             f"{name} AS {SEQ}",
         )
     )
-    ordered = previous_in_order(shown, [], row_id, "_before")
+    # staged, because the block edges and the rows both read it
+    ordered = previous_in_order(stage(shown), [], row_id, "_before")
     omitted = f"coalesce({name} - _before - 1, 0L) AS omitted_before"
     return ordered.selectExpr("*", omitted).drop(BLOCK, SEQ, "_before")
 

@@ -130,19 +130,20 @@ def _with_previous_id(
     before = previous_row_value(
         identified.selectExpr("row_index", text), "row_index", "_id", "previous_id"
     )
-    found = stage(findings)
-    if found.count() <= limits.lookup_rows:
-        before = before.join(F.broadcast(found.select("row_index").distinct()), "row_index")
-    return found.join(before, "row_index", "left")
+    if limits.lookup_rows > 0:
+        findings = stage(findings)
+        if findings.count() <= limits.lookup_rows:
+            asked = findings.select("row_index").distinct()
+            before = before.join(F.broadcast(asked), "row_index")
+    return findings.join(before, "row_index", "left")
 
 
 def previous_ids(df: DataFrame, id_col: str, row_id: str = "row_id") -> DataFrame:
     """(row_index, id_value, previous_id) for every row."""
     facts, _ = _identified(df, id_col, row_id)
     rows = facts.selectExpr("row_index", "cast(_id AS STRING) AS id_value")
-    # every row asks, so there is nothing to look up first
-    everything = Limits(lookup_rows=-1)
-    return _with_previous_id(rows, df, id_col, row_id, everything)
+    # every row asks, so there is no short list to look up
+    return _with_previous_id(rows, df, id_col, row_id, Limits(lookup_rows=0))
 
 
 def _repeated_across_groups(

@@ -72,13 +72,20 @@ def listed_values(df: DataFrame, columns: Sequence[str] | None = None, n: int =
 
 
 def column_profile(
-    df: DataFrame, columns: Sequence[str] | None = None, limits: Limits = DEFAULT_LIMITS
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    with_values: bool = False,
+    limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Distinct counts of every column, moments and median of numeric ones.
 
-    A missing value counts as one distinct value.
+    A missing value counts as one distinct value.  ``with_values`` adds the
+    ``values`` and ``is_sampled`` of ``listed_values``.
     """
     columns = list(df.columns) if columns is None else present_columns(df, columns)
+    if with_values:
+        plain = column_profile(df, columns, limits=limits)
+        return plain.join(listed_values(df, columns), "column", "left")
     counts = _value_counts(df, columns).groupBy("column").agg(
         F.expr("count(*) AS unique_count"),
         F.expr("sum(n) AS total_count"),

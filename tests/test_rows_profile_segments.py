@@ -139,6 +139,12 @@ def test_column_profile(spark, mixed, tiny):
     assert {r["column"] for r in review_candidates(column_profile(mixed)).collect()} == {"id"}
 
 
+def test_column_profile_with_values(mixed):
+    found = by(column_profile(mixed, ["s", "id"], with_values=True).collect(), "column")
+    assert found["s"]["values"] == ["nan", "a", "b"] and found["s"]["unique_count"] == 3
+    assert found["id"]["is_sampled"] and found["id"]["median"] == 20
+
+
 def test_profile_of_text_and_of_nothing(spark, mixed):
     text = column_profile(mixed, ["s"]).collect()[0]
     assert text["median"] is None and text["total_count"] == 41
