@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
+
 from catalog import (
     calcchain_queries,
     distribution_queries,
@@ -14,6 +18,9 @@ from catalog import (
     source_queries,
 )
 
+# the scorer and workbook builder of two queries travel inside the job
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FAMILIES = (
     row_queries,
     ordering_queries,
