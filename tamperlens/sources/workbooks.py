@@ -171,10 +171,11 @@ def workbook_tables(cells: DataFrame) -> DataFrame:
     different places.  Only the distinct header names reach the driver.
     """
     staged = stage(cells)
-    tops = staged.groupBy("path").agg(F.min("row").alias("_top"))
+    # one row per workbook, then per header cell: staged, so that their size decides the join
+    tops = stage(staged.groupBy("path").agg(F.min("row").alias("_top")))
     placed = staged.join(tops, "path")
-    headers = placed.filter("row = _top").select(
-        "path", "column_index", F.col("value").alias("_name")
+    headers = stage(
+        placed.filter("row = _top").select("path", "column_index", F.col("value").alias("_name"))
     )
     named = placed.filter("row > _top").join(headers, ["path", "column_index"])
     order = headers.groupBy("_name").agg(F.min("column_index").alias("_i")).orderBy("_i", "_name")
