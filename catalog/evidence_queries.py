@@ -260,7 +260,8 @@ SQL = {
                 AS effect_size_type, {sql_round("abs(ma - mb)", "effect_size")} FROM sides
         UNION ALL
         SELECT outcome, CASE WHEN s THEN 'Cohen''s d (Suspicious)' ELSE 'Cohen''s d (Normal)' END,
-            {sql_round("(ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2))", "effect_size")}
+            {sql_round("CASE WHEN na <= 1 OR nb <= 1 OR (va = 0 AND vb = 0) THEN 0 ELSE (ma - mb) "
+                       "/ sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) END", "effect_size")}
         FROM sides""",
     "with_without_chart": f"""
         WITH {SQL_EFFECTS}
