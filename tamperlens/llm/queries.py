@@ -6,8 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamperlens.llm.common import table
+from tamperlens.llm.common import Scratch, table
 from tamperlens.llm.jaccard_forest import jaccard_join
+from tamperlens.llm.packing import pack_documents
+from tamperlens.llm.token_files import read_token_files, write_token_files
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Path of an installed public tokenizer file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document as written to, and read back from, the token files."""
+    folder = Scratch(spark, "token-files").path("files")
+    write_token_files(table(spark, sf_dir, "documents"), folder, vocabulary(), end_id=0)
+    return read_token_files(spark, folder).selectExpr(
+        "doc_id", "start", "n_tokens", "crc32(ids) AS ids_crc32"
+    )
 
 
 def op6_jaccard_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +33,18 @@ def op6_jaccard_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op9_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 ids."""
+    pieces = pack_documents(table(spark, sf_dir, "documents"), vocabulary(), length=2048, end_id=1)
+    return pieces.selectExpr(
+        "doc_id", "start", "length", "crc32(ids) AS ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_token_files": op5_token_files,
     "op6_jaccard_forest_join": op6_jaccard_forest_join,
+    "op9_curve_packing": op9_curve_packing,
 }
 
 SQL: dict[str, str] = {}
