@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tamperlens.llm.common import Scratch, table
+from tamperlens.llm.itq_dedup import link_near_duplicates
 from tamperlens.llm.jaccard_forest import jaccard_join
 from tamperlens.llm.packing import pack_documents
 from tamperlens.llm.token_files import read_token_files, write_token_files
+from tamperlens.llm.threshold_topk import exact_top_k
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -19,6 +21,11 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best others for every vector whose id is divisible by 50."""
+    return exact_top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5, scale=256)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document as written to, and read back from, the token files."""
     folder = Scratch(spark, "token-files").path("files")
@@ -41,10 +48,55 @@ def op9_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at cosine 0.98 within its label."""
+    return link_near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_threshold_topk": op1_threshold_topk,
     "op5_token_files": op5_token_files,
     "op6_jaccard_forest_join": op6_jaccard_forest_join,
     "op9_curve_packing": op9_curve_packing,
+    "op10_itq_near_duplicates": op10_itq_near_duplicates,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_threshold_topk": """
+        WITH clean AS (
+            SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS d FROM clean),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+            FROM parts q JOIN parts c ON q.d = c.d AND q.vec_id <> c.vec_id
+            WHERE q.vec_id % 50 = 0 GROUP BY ALL
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (
+                PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+    "op10_itq_near_duplicates": """
+        WITH RECURSIVE clean AS (
+            SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM clean a JOIN clean b
+            ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+        ), reach AS (
+            SELECT a AS node, a AS seen FROM links
+            UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a
+        ), least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+        degree AS (SELECT a AS node, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+               coalesce(component_id, vec_id) = vec_id AS kept
+        FROM embeddings LEFT JOIN least ON vec_id = least.node LEFT JOIN degree ON vec_id = degree.node
+    """,
+}
