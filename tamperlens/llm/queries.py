@@ -10,10 +10,16 @@ from tamperlens.llm.common import Scratch, table
 from tamperlens.llm.itq_dedup import link_near_duplicates
 from tamperlens.llm.jaccard_forest import jaccard_join
 from tamperlens.llm.packing import pack_documents
+from tamperlens.llm.pii import digest_columns, find_personal_data
 from tamperlens.llm.token_files import read_token_files, write_token_files
 from tamperlens.llm.threshold_topk import exact_top_k
 
 
+def op2_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of personal data in every document."""
+    return digest_columns(find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Path of an installed public tokenizer file, the same on every machine."""
     import public_tokenizers
@@ -55,6 +61,7 @@ def op10_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_threshold_topk": op1_threshold_topk,
+    "op2_pii_weak_supervision": op2_pii_weak_supervision,
     "op5_token_files": op5_token_files,
     "op6_jaccard_forest_join": op6_jaccard_forest_join,
     "op9_curve_packing": op9_curve_packing,
