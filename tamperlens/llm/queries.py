@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tamperlens.llm.common import Scratch, table
 from tamperlens.llm.itq_dedup import link_near_duplicates
 from tamperlens.llm.jaccard_forest import jaccard_join
+from tamperlens.llm.licenses import BASE, GAP, MORE, SEPARATORS, SHARE, scan_licenses
 from tamperlens.llm.packing import pack_documents
 from tamperlens.llm.pii import digest_columns, find_personal_data
 from tamperlens.llm.token_files import read_token_files, write_token_files
@@ -20,6 +21,11 @@ def op2_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op3_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every document."""
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Path of an installed public tokenizer file, the same on every machine."""
     import public_tokenizers
@@ -62,13 +68,61 @@ def op10_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_threshold_topk": op1_threshold_topk,
     "op2_pii_weak_supervision": op2_pii_weak_supervision,
+    "op3_license_diagonals": op3_license_diagonals,
     "op5_token_files": op5_token_files,
     "op6_jaccard_forest_join": op6_jaccard_forest_join,
     "op9_curve_packing": op9_curve_packing,
     "op10_itq_near_duplicates": op10_itq_near_duplicates,
 }
 
+_TEMPLATES = ", ".join(
+    f"('{w}', '{words[at + 1]}', {number}, {at}, {len(words) - 1}, '{label}', {(phrase, label) in BASE})"
+    for number, (phrase, label) in enumerate(BASE + MORE)
+    for words in [phrase.split(" ")]
+    for at, w in enumerate(words[:-1])
+)
+
 SQL: dict[str, str] = {
+    "op3_license_diagonals": rf"""
+        WITH t(w, nxt, tpl, tpl_pos, pairs, label, base) AS (VALUES {_TEMPLATES}),
+        docs AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   list_filter(string_split_regex(lower(coalesce(text, '')), '{SEPARATORS}'), lambda x: x <> '') AS words
+            FROM documents
+        ),
+        pairs AS (
+            SELECT r, unnest(words) AS w, unnest(words[2:]) AS nxt, unnest(range(len(words))) AS pos FROM docs
+        ),
+        votes AS (
+            SELECT r, tpl, t.pairs, label, base, pos - tpl_pos AS diagonal, list(DISTINCT tpl_pos) AS met
+            FROM pairs JOIN t USING (w, nxt) GROUP BY ALL
+        ),
+        opened AS (
+            SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= {GAP} THEN 0 ELSE 1 END AS opens FROM votes
+            WINDOW o AS (PARTITION BY r, tpl ORDER BY diagonal)
+        ),
+        chained AS (
+            SELECT *, sum(opens) OVER (PARTITION BY r, tpl ORDER BY diagonal) AS chain FROM opened
+        ),
+        spans AS (
+            SELECT r, tpl, label, base, chain, list(diagonal) FILTER (len(met) = pairs) AS exact,
+                   len(list_distinct(flatten(list(met)))) / any_value(pairs) AS score
+            FROM chained GROUP BY r, tpl, label, base, chain
+        ),
+        texts AS (
+            SELECT r, flatten(list(exact) FILTER (base AND exact IS NOT NULL)) AS starts,
+                   list(DISTINCT label) FILTER (base AND exact IS NOT NULL) AS base_set,
+                   list(DISTINCT label) FILTER (NOT base OR exact IS NOT NULL) AS label_set,
+                   max(score) AS score
+            FROM spans WHERE score >= {SHARE} GROUP BY r
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(starts), 0) AS BIGINT) AS n_base,
+               CAST(list_min(starts) AS BIGINT) AS first_word, CAST(list_max(starts) AS BIGINT) AS last_word,
+               coalesce(array_to_string(list_sort(base_set), ','), '') AS base_labels,
+               coalesce(array_to_string(list_sort(label_set), ','), '') AS labels,
+               coalesce(CAST(score AS DOUBLE), 0) AS score
+        FROM docs LEFT JOIN texts USING (r)
+    """,
     "op1_threshold_topk": """
         WITH clean AS (
             SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
