@@ -14,6 +14,7 @@ from tamperlens.llm.packing import pack_documents
 from tamperlens.llm.pii import digest_columns, find_personal_data
 from tamperlens.llm.token_files import read_token_files, write_token_files
 from tamperlens.llm.threshold_topk import exact_top_k
+from tamperlens.llm.toxicity import score_toxicity
 
 
 def op2_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +53,11 @@ def op6_jaccard_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 ids."""
     pieces = pack_documents(table(spark, sf_dir, "documents"), vocabulary(), length=2048, end_id=1)
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_diagonals": op3_license_diagonals,
     "op5_token_files": op5_token_files,
     "op6_jaccard_forest_join": op6_jaccard_forest_join,
+    "op7_toxicity_automata": op7_toxicity_automata,
     "op9_curve_packing": op9_curve_packing,
     "op10_itq_near_duplicates": op10_itq_near_duplicates,
 }
