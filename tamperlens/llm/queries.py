@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tamperlens.llm.common import Scratch, table
+from tamperlens.llm.html_text import extract_text
 from tamperlens.llm.itq_dedup import link_near_duplicates
 from tamperlens.llm.jaccard_forest import jaccard_join
 from tamperlens.llm.licenses import BASE, GAP, MORE, SEPARATORS, SHARE, scan_licenses
@@ -27,6 +28,12 @@ def op3_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = extract_text(table(spark, sf_dir, "pages"))
+    return pages.selectExpr("page_id", "url", "text", "CAST(length(text) AS BIGINT) AS n_chars")
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Path of an installed public tokenizer file, the same on every machine."""
     import public_tokenizers
@@ -75,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_threshold_topk": op1_threshold_topk,
     "op2_pii_weak_supervision": op2_pii_weak_supervision,
     "op3_license_diagonals": op3_license_diagonals,
+    "op4_html_tree_scoring": op4_html_tree_scoring,
     "op5_token_files": op5_token_files,
     "op6_jaccard_forest_join": op6_jaccard_forest_join,
     "op7_toxicity_automata": op7_toxicity_automata,
