@@ -11,6 +11,7 @@ from tamperlens.llm.html_text import extract_text
 from tamperlens.llm.itq_dedup import link_near_duplicates
 from tamperlens.llm.jaccard_forest import jaccard_join
 from tamperlens.llm.licenses import BASE, GAP, MORE, SEPARATORS, SHARE, scan_licenses
+from tamperlens.llm.mixing import WORD, mix_sources
 from tamperlens.llm.packing import pack_documents
 from tamperlens.llm.pii import digest_columns, find_personal_data
 from tamperlens.llm.token_files import read_token_files, write_token_files
@@ -65,6 +66,17 @@ def op7_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    sized = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "source", f"CAST(regexp_count(coalesce(text, ''), r'{WORD}') AS BIGINT) AS words"
+    )
+    sized = Scratch(spark, "sized").stage(sized, "documents")
+    return mix_sources(sized, "words", "array(source)").selectExpr(
+        "doc_id", "words AS size", "mix.source_size", "mix.target", "words * mix.times AS taken"
+    )
+
+
 def op9_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 ids."""
     pieces = pack_documents(table(spark, sf_dir, "documents"), vocabulary(), length=2048, end_id=1)
@@ -86,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_jaccard_forest_join": op6_jaccard_forest_join,
     "op7_toxicity_automata": op7_toxicity_automata,
+    "op8_source_mixing": op8_source_mixing,
     "op9_curve_packing": op9_curve_packing,
     "op10_itq_near_duplicates": op10_itq_near_duplicates,
 }
