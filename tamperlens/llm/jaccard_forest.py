@@ -316,8 +316,22 @@ def jaccard_join(
     )
 
 
-def one_of_each_group(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents that stay: the smallest id of each group, once even if its row repeats."""
-    keep = joined.where("kept").select(id_col).where(f"{quoted(id_col)} IS NOT NULL").distinct()
-    nameless = docs.where(F.col(quoted(id_col)).isNull())
-    return docs.dropDuplicates([id_col]).join(keep, id_col, "left_semi").unionByName(nameless)
+def one_of_each_group(
+    docs: DataFrame, joined: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Documents that stay: those of the smallest id of each group, and all without an id.
+
+    Equal rows of an id that repeats stay once; its different texts all stay, as an id
+    says nothing about which of them the group is about.
+    """
+    key = quoted(id_col)
+    keep = joined.where(f"kept AND {key} IS NOT NULL").select(F.col(key).alias("_kept")).distinct()
+    repeated = docs.groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_n")).where("_n > 1")
+    single = keep.join(repeated, "_kept", "left_anti")
+    several = keep.join(repeated, "_kept", "left_semi")
+    nameless = docs.where(F.col(key).isNull())
+    return (
+        docs.join(single, docs[id_col] == single["_kept"], "left_semi")
+        .unionAll(docs.join(several, docs[id_col] == several["_kept"], "left_semi").dropDuplicates([id_col, text_col]))
+        .unionAll(nameless)
+    )

@@ -70,7 +70,7 @@ def write_token_files(
 
         for frame in frames:
             keys = frame.column(0)
-            for begin, end in _slices(frame.column(1), 1 << 22):
+            for begin, end in _slices(frame.column(1), min(1 << 22, 4 * ids_per_file)):
                 key = keys.slice(begin, end - begin)
                 ids, lengths = encoder.encode(frame.column(1).slice(begin, end - begin).to_pylist())
                 ids, lengths = with_end(ids, lengths, end_id)

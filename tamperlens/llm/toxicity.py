@@ -382,6 +382,22 @@ class ToxicityModel:
         return docs.mapInArrow(run, f"{kept}, {HITS}" if kept else HITS)
 
 
+    def below(self, docs: DataFrame, text_col: str, threshold: float) -> DataFrame:
+        """Rows of ``docs``, all columns unchanged, that score below ``threshold``."""
+        lexicon, beta, place = self.lexicon, self.beta, docs.columns.index(text_col)
+
+        def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton, reporting, address = Automaton(lexicon), _codes(REPORTING), _codes(ADDRESS)
+            for frame in frames:
+                texts = frame.column(place).to_pylist()
+                for begin, end in batches(texts):
+                    features = window_scores(words_of(texts[begin:end]), automaton, reporting, address)[0]
+                    score = 1 / (1 + np.exp(-(beta[0] + features @ beta[1:])))
+                    yield frame.slice(begin, end - begin).filter(pa.array(score < threshold))
+
+        return docs.mapInArrow(run, docs.schema)
+
+
 def train_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -446,3 +462,15 @@ def score_toxicity(
         f"if(score >= {threshold}, 1, 0) AS predicted",
         "n_exact", "n_edited", "n_quoted", "terms",
     )
+
+
+def without_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = 0.7,
+) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, in one pass after training."""
+    model = train_toxicity(docs, labels.where(f"NOT {held_out('doc_id')}"), id_col, text_col)
+    return model.below(docs, text_col, threshold)
