@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from tamperlens.functions.columns import quoted
 from tamperlens.llm.token_files import _slices, with_end
-from tamperlens.llm.tokens import PieceEncoder
+from tamperlens.llm.tokens import worker_encoder
 
 KEYED = "doc_id bigint, text string, curve_key bigint, tie bigint"
 PIECES = (
@@ -140,7 +140,7 @@ def pack_documents(
     """
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         first = TaskContext.get().partitionId() << _SEQUENCE_BITS
         done, filled = 0, 0  # closed sequences, ids in the open one
         for frame in frames:

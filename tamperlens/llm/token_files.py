@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tamperlens.functions.columns import quoted
 from tamperlens.llm.simple8b import read_file, write_file
-from tamperlens.llm.tokens import PieceEncoder
+from tamperlens.llm.tokens import worker_encoder
 
 FILES = "part int, file int, ids_before bigint, documents bigint, ids bigint, content binary"
 ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
@@ -49,7 +49,7 @@ def write_token_files(
     """Write the token files of all documents; files close at about ``ids_per_file`` ids."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         part, file, before = TaskContext.get().partitionId(), 0, 0
         held: list[tuple] = []
 

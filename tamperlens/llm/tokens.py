@@ -8,6 +8,9 @@ beyond ASCII and Latin letters up to U+017F go to the library whole.
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 
@@ -86,12 +89,17 @@ def piece_starts(chars: np.ndarray, kinds: np.ndarray, text_start: np.ndarray) -
 class PieceEncoder:
     """Encoder with a bounded memory of pieces, for use inside one Python worker."""
 
-    def __init__(self, path: str, most_pieces: int = 1_000_000):
+    def __init__(self, path: str, most_pieces: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most_pieces = most_pieces
+        vocabulary = self.tokenizer.get_vocab()
+        # a byte-level token has one character for each byte of text
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int32)
+        for token, number in vocabulary.items():
+            self.width[number] = len(token)
         self._forget()
 
     def _forget(self) -> None:
@@ -121,11 +129,13 @@ class PieceEncoder:
         others = [p for p in pieces if not (len(p) > 1 and p[0] == " " and p[1].isalpha())]
         for at in range(0, len(words), 1024):
             group = words[at : at + 1024]
-            encoded = self.tokenizer.encode("".join(group), add_special_tokens=False)
-            piece_of = np.array(encoded.word_ids, np.int64)
-            lengths = np.bincount(piece_of, minlength=len(group))
-            if len(lengths) == len(group):
-                self._remember(group, np.array(encoded.ids, np.uint32), lengths)
+            joined = "".join(group)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            token_ends = np.cumsum(self.width[ids])
+            piece_ends = np.cumsum(np.fromiter((len(p.encode()) for p in group), np.int64, len(group)))
+            last = np.searchsorted(token_ends, piece_ends)
+            if last[-1] < len(ids) and (token_ends[last] == piece_ends).all():
+                self._remember(group, ids, np.diff(last, prepend=-1))
             else:  # the library splits otherwise: one by one
                 others.extend(group)
         if others:
@@ -170,9 +180,9 @@ class PieceEncoder:
         if not len(chars):
             return np.zeros(0, np.uint32), np.zeros(len(sizes), np.int64)
         begin = piece_starts(chars, kinds, starts[sizes > 0])
-        width = (chars >= 0x80).astype(np.int64) + 1
-        bytes_before = np.concatenate(([0], np.cumsum(width)))
-        offsets = np.append(bytes_before[begin], bytes_before[-1]).astype(np.int32)
+        wide = np.cumsum(chars >= 0x80, dtype=np.int32)  # these take two bytes
+        ends = np.append(begin[1:], len(chars)).astype(np.int32)
+        offsets = np.append(np.int32(0), ends + wide[ends - 1])
         pieces = pa.StringArray.from_buffers(
             len(begin), pa.py_buffer(offsets), pa.py_buffer(joined.encode("utf-8"))
         ).dictionary_encode()
@@ -191,3 +201,15 @@ class PieceEncoder:
         text_of = np.searchsorted(starts + sizes, begin, side="right")
         counts = np.bincount(text_of, weights=lengths, minlength=len(sizes)).astype(np.int64)
         return self.ids[source], counts
+
+
+def worker_encoder(path: str) -> PieceEncoder:
+    """The encoder of this Python worker, kept from task to task.
+
+    Functions reach a worker by value, so the encoder lives in a module of its own.
+    """
+    held = sys.modules.setdefault("_tamperlens_worker", types.ModuleType("_tamperlens_worker"))
+    encoders = held.__dict__.setdefault("encoders", {})
+    if path not in encoders:
+        encoders[path] = PieceEncoder(path)
+    return encoders[path]
