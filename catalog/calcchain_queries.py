@@ -156,13 +156,11 @@ _FOUND = rf"""{_CHAIN},
                 CASE WHEN evidence_type = 'position_outlier' THEN abs(row - m) END AS distance,
                 (CASE evidence_type WHEN 'calculation_order_anomaly' THEN 4 WHEN 'calculation_gap' THEN 2
                     ELSE 1 END)::INTEGER AS confidence_score,
-                'Cell ' || cell_ref || ' in row ' || row || CASE evidence_type
-                    WHEN 'calculation_order_anomaly' THEN ' was calculated between rows ' || p || ' and '
-                        || n || ', strongly suggesting it was moved from its original position.'
-                    WHEN 'calculation_gap' THEN ' is calculated in sequence with rows ' || p || ' and ' || n
-                        || ', which are significantly distant, suggesting row movement.'
-                    ELSE ' is calculated together with rows around ' || m || ', suggesting it may have been '
-                        || 'moved ' || abs(row - m) || ' rows from its original position.' END AS explanation,
+                cell_ref || ': row ' || row || CASE evidence_type
+                    WHEN 'calculation_order_anomaly' THEN ' skips rows of the chain step ' || p || ' to ' || n
+                    WHEN 'calculation_gap' THEN ' has chain neighbours ' || p || ' and ' || n
+                        || ', over 3 rows away'
+                    ELSE ' is ' || abs(row - m) || ' rows off the chain median ' || m END AS explanation,
                 CASE WHEN evidence_type = 'calculation_order_anomaly' THEN p + 1
                     WHEN evidence_type = 'calculation_gap' AND n < row AND row < p THEN n + 1
                     WHEN evidence_type = 'position_outlier' THEN m END AS original_sheet_row
@@ -187,9 +185,9 @@ SQL = {
             CASE WHEN sum(confidence_score) >= 5 THEN 'high' WHEN sum(confidence_score) >= 3 THEN 'medium'
                 ELSE 'low' END AS confidence,
             sum(confidence_score)::BIGINT AS confidence_score,
-            string_agg(explanation, ' Furthermore, ' ORDER BY o, start, calc_index) AS explanation,
+            string_agg(explanation, '; ' ORDER BY o, start, calc_index) AS explanation,
             array_to_string(list_transform(list_sort(list_distinct(list(o))),
-                lambda x: 'Excel row number (1-indexed) = Data row index + ' || x), '|')
+                lambda x: 'sheet row = data row + ' || x), '|')
                 AS mapping_strategies,
             (list(original ORDER BY o, start, calc_index) FILTER (WHERE original IS NOT NULL))[1]
                 AS probable_original_position

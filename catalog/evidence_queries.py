@@ -197,24 +197,23 @@ _ISSUES = f"""
         far AS (SELECT row_id FROM numbered, stats WHERE abs((c_acctbal - m) / s) > 1.7),
         issues AS (
             SELECT row_index, 'sorting_anomaly' AS issue_type, 'out_of_sequence_id' AS finding_type,
-                'Sorting anomaly: ID ' || id_value || ' comes after ID ' || coalesce(previous_id, 'None')
-                    || ' in group ' || group_label AS explanation,
+                'id ' || id_value || ' follows id ' || coalesce(previous_id, 'None')
+                    || ' in ' || group_label AS explanation,
                 'c_name' AS "column", 'sorting' AS cell_type,
-                'ID ' || id_value || ' out of sequence (previous ID: ' || coalesce(previous_id, 'None') || ')'
+                id_value || ' off its place, after ' || coalesce(previous_id, 'None')
                     AS cell, 1 AS rank
             FROM found
             UNION ALL
             SELECT row_id, 'duplicate_id', 'duplicate_ids',
-                'Duplicate ID: ' || c_acctbal || ' appears ' || n || ' times', 'c_acctbal', 'duplicate',
-                'Duplicate ID ' || c_acctbal || ' appears ' || n || ' times', 3
+                'id ' || c_acctbal || ' stands in ' || n || ' rows', 'c_acctbal', 'duplicate',
+                'id ' || c_acctbal || ' stands in ' || n || ' rows', 3
             FROM repeats WHERE n > 1
             UNION ALL
             SELECT row_id, 'statistical_anomaly', 'statistical_anomaly',
-                'Statistical outlier in c_acctbal column (z-score > 3)', 'c_acctbal', 'outlier',
-                'Statistical outlier (z-score > 3)', 4 FROM far
+                'c_acctbal: z-score beyond 1.7', 'c_acctbal', 'outlier', 'z-score beyond 1.7', 4 FROM far
             UNION ALL
             SELECT row_id, 'segment_anomaly', 'segment_anomaly',
-                'negative balance (Columns: c_acctbal, c_name, Severity: 6/10)', c, 'segment_anomaly',
+                'negative balance [columns c_acctbal, c_name; severity 6]', c, 'segment_anomaly',
                 'negative balance', 5
             FROM numbered CROSS JOIN (VALUES ('c_acctbal'), ('c_name')) t(c) WHERE c_acctbal < 0),
         rows_ AS (
@@ -283,7 +282,8 @@ SQL = {
         scored AS (
             SELECT *, (value - avg(value) OVER (PARTITION BY "column"))
                 / stddev_samp(value) OVER (PARTITION BY "column") AS z FROM cells)
-        SELECT row_id AS row_index, "column", {sql_round("value", "value")}, {sql_round("z", "z_score")}
+        SELECT row_id AS row_index, "column", {sql_round("value", "value")}, {sql_round("z", "z_score")},
+            3.0::DOUBLE AS threshold
         FROM scored WHERE abs(z) > 3""",
     "context_rows": f"WITH {_CONTEXT} SELECT * FROM shown",
     "context_totals": f"""
@@ -291,7 +291,7 @@ SQL = {
         SELECT count(*) AS displayed_rows, (SELECT count(*) FROM base) - count(*) AS skipped_rows FROM shown""",
     "segment_range_rows": """
         SELECT o_orderkey, unnest(CASE o_orderstatus WHEN 'F' THEN [o_custkey, 3] WHEN 'O' THEN [o_custkey]
-            ELSE range(o_custkey, o_custkey + least(10, length(o_orderpriority) + 1)) END) AS row_index
+            ELSE range(o_custkey, o_custkey + length(o_orderpriority) + 1) END) AS row_index
         FROM orders""",
     "row_issues": f"WITH {_ISSUES} SELECT * FROM rows_",
     "issue_counts": f"WITH {_ISSUES} SELECT issue_type, count(*) AS rows FROM rows_ GROUP BY issue_type",

@@ -62,13 +62,19 @@ def repeated_ids(spark, sf_dir):
     return found.withColumn("rows", joined("rows"))
 
 
+def hot_ids(spark, sf_dir):
+    """Three ids that own all rows: their lists come in complete parts."""
+    found = duplicate_ids(_lineitem(spark, sf_dir), "l_returnflag")
+    return found.withColumn("rows", joined("rows"))
+
+
 def repeated_id_rows(spark, sf_dir):
     return duplicate_id_rows(_lineitem(spark, sf_dir), "l_orderkey")
 
 
 def repeated_across_groups(spark, sf_dir):
     found = duplicate_ids_across_groups(_lineitem(spark, sf_dir), "l_orderkey", FLAGS)
-    return found.withColumn("other_instances", joined("other_instances")).drop("condition_values")
+    return found.drop("condition_values")
 
 
 def previous_order_ids(spark, sf_dir):
@@ -138,6 +144,7 @@ def ranked_anomalies(spark, sf_dir):
 
 QUERIES = {
     "duplicate_ids": repeated_ids,
+    "duplicate_ids_hot": hot_ids,
     "duplicate_id_rows": repeated_id_rows,
     "duplicate_ids_across_groups": repeated_across_groups,
     "previous_ids": previous_order_ids,
@@ -158,11 +165,11 @@ def _sql_sequence(source: str, ident: str, groups: list[str], numeric: bool) ->
     label = " || ', ' || ".join(f"'{g}=' || {g}" for g in groups)
     if numeric:
         gate, limit, severity = "true", 4, "least(5 + abs(actual - expected), 9)"
-        text = "'ID ' || id || ' is ' || abs(actual - expected) || ' positions out of sequence'"
+        text = "id || ' stands ' || abs(actual - expected) || ' places off its sorted place'"
         before = "previous_in_file"
     else:
         gate, limit, severity = "disordered", 2, "7"
-        text = "'ID ' || id || ' is out of sequence'"
+        text = "id || ' stands off its sorted place'"
         before = "m1"
     return f"""
         numbered AS ({source}),
@@ -193,8 +200,8 @@ def _sql_sequence(source: str, ident: str, groups: list[str], numeric: bool) ->
             SELECT * EXCLUDE (size, severity, description),
                 CASE WHEN size >= 5 THEN size END AS cluster_size,
                 CASE WHEN size >= 5 THEN least(severity + 1, 9) ELSE severity END AS severity,
-                CASE WHEN size >= 5 THEN description || ' (Part of a cluster of ' || size
-                    || ' anomalies in ' || group_label || ')' ELSE description END AS description
+                CASE WHEN size >= 5 THEN description || ', one of ' || size
+                    || ' in ' || group_label ELSE description END AS description
             FROM sized WHERE size >= 5 OR position_difference >= 7)"""
 
 
@@ -207,16 +214,13 @@ _LINE_DUPLICATES = f"""
         base AS ({SQL_LINEITEM}),
         lagged AS (SELECT *, lag(l_orderkey) OVER (ORDER BY row_id) AS before FROM base),
         per_id AS (
-            SELECT l_orderkey, count(*) AS n, count(DISTINCT (l_returnflag, l_linestatus)) AS conditions,
-                list(row_id ORDER BY row_id) AS positions
+            SELECT l_orderkey, count(*) AS n, count(DISTINCT (l_returnflag, l_linestatus)) AS conditions
             FROM base GROUP BY l_orderkey),
         repeated AS (
             SELECT 'duplicate_id' AS type, l_orderkey::VARCHAR AS id_value, row_id AS row_index,
                 'l_returnflag=' || l_returnflag || ', l_linestatus=' || l_linestatus AS group_label,
-                array_to_string(list_filter(positions, lambda p: p <> row_id), ',') AS other_instances,
                 n AS duplicate_count, conditions AS different_conditions, 9::INTEGER AS severity,
-                'ID ' || l_orderkey || ' appears in ' || conditions || ' different conditions'
-                    AS description,
+                l_orderkey || ' stands in ' || conditions || ' groups' AS description,
                 before::VARCHAR AS previous_id
             FROM lagged JOIN per_id USING (l_orderkey) WHERE n > 1 AND conditions > 1)"""
 
@@ -240,9 +244,16 @@ def _sql_effects(listed: str, source: str, columns: list[str]) -> str:
 SQL = {
     "duplicate_ids": f"""
         SELECT 'duplicate_id' AS type, l_orderkey::VARCHAR AS id_value, count(*) AS count,
-            string_agg(row_id::VARCHAR, ',' ORDER BY row_id) AS rows, 9::INTEGER AS severity,
-            'ID ' || l_orderkey || ' appears ' || count(*) || ' times' AS description
+            0::BIGINT AS part, string_agg(row_id::VARCHAR, ',' ORDER BY row_id) AS rows, 9::INTEGER AS severity,
+            l_orderkey || ' stands in ' || count(*) || ' rows' AS description
         FROM ({SQL_LINEITEM}) GROUP BY l_orderkey HAVING count(*) > 1""",
+    "duplicate_ids_hot": f"""
+        SELECT 'duplicate_id' AS type, l_returnflag AS id_value, any_value(n) AS count, part,
+            string_agg(row_id::VARCHAR, ',' ORDER BY row_id) AS rows, 9::INTEGER AS severity,
+            l_returnflag || ' stands in ' || any_value(n) || ' rows' AS description
+        FROM (SELECT *, count(*) OVER (PARTITION BY l_returnflag) AS n FROM ({SQL_LINEITEM})),
+            LATERAL (SELECT CASE WHEN n <= 1000 THEN 0 ELSE row_id // 1000 END::BIGINT AS part)
+        WHERE n > 1 GROUP BY l_returnflag, part""",
     "duplicate_id_rows": f"""
         SELECT id_value, row_index, count FROM (
             SELECT l_orderkey::VARCHAR AS id_value, row_id AS row_index,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from catalog.common import SQL_EVENTS, events, rounded, sql_round, table
+from catalog.common import SQL_EVENTS, events, joined, rounded, sql_round, table
 from tamperlens.operators.segments import (
     assign_segments,
     extract_response_json,
@@ -93,7 +93,8 @@ def reported(spark, sf_dir):
 
 
 def reported_findings(spark, sf_dir):
-    return report_findings(extract_response_json(_responses(spark, sf_dir)))
+    found = report_findings(extract_response_json(_responses(spark, sf_dir)))
+    return found.withColumn("row_indices", joined("row_indices"))
 
 
 QUERIES = {
@@ -138,7 +139,7 @@ def _sql_described(column: str) -> str:
 
 
 SQL = {
-    "segments": f"WITH {_SEGMENTS} {_BOUNDS} WHERE chunk <= 10 GROUP BY ALL",
+    "segments": f"WITH {_SEGMENTS} {_BOUNDS} GROUP BY ALL",
     "segments_full_coverage": f"WITH {_SEGMENTS} {_BOUNDS} GROUP BY ALL",
     "segment_describe": f"""
         WITH {_SEGMENTS} {_sql_described("value")} UNION ALL {_sql_described("user_id")}""",
@@ -157,7 +158,7 @@ SQL = {
             CASE WHEN ok THEN 'user ' || user_id END AS explanation,
             CASE WHEN ok THEN event_type END AS type,
             CASE WHEN ok THEN listed ELSE 0 END AS rows,
-            CASE WHEN NOT ok THEN 'Failed to parse JSON from the response' END AS error,
+            CASE WHEN NOT ok THEN 'no readable JSON object in the response' END AS error,
             CASE WHEN value < 10 THEN 'Nothing found for ' || user_id
                 WHEN value < 20 THEN '{{broken ' || user_id END AS raw_response
         FROM answers""",
@@ -180,6 +181,7 @@ SQL = {
             '7' AS severity, 'd' AS description, 'value, props' AS columns_involved,
             CASE WHEN listed <= 10 THEN array_to_string(range(1, listed + 1), ', ')
                 ELSE '1, 2, 3, 4, 5, ... (' || (listed - 10) || ' more rows) ..., '
-                    || array_to_string(range(listed - 4, listed + 1), ', ') END AS rows_affected
+                    || array_to_string(range(listed - 4, listed + 1), ', ') END AS rows_affected,
+            array_to_string(range(1, listed + 1), ',') AS row_indices
         FROM confident""",
 }

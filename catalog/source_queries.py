@@ -31,6 +31,32 @@ def csv_latin1(spark, sf_dir):
     return read_csv(spark, folder)
 
 
+def csv_untidy(spark, sf_dir):
+    """Missing marks, quoted line ends, 19-digit ids, and one folder with two encodings."""
+    folder = scratch(spark, "csv")
+    source = table(spark, sf_dir, "customer").select(
+        F.expr("9007199254740993000 + c_custkey AS big_id"),
+        F.expr("if(c_custkey % 7 = 0, 'NA', cast(c_acctbal AS STRING)) AS balance"),
+        F.expr("concat(c_name, if(c_custkey % 5 = 0, '\n', ' '), 'é') AS name"),
+    )
+    source.filter("c_custkey % 2 = 0").write.csv(f"{folder}/part=a", header=True, escape='"')
+    source.filter("c_custkey % 2 = 1").write.csv(f"{folder}/part=b", header=True, escape='"', encoding="ISO-8859-1")
+    found = read_csv(spark, f"{folder}/part=*")
+    return found.selectExpr("cast(big_id AS BIGINT) AS big_id", "balance", "replace(name, '\n', '|') AS name")
+
+
+def json_documents(spark, sf_dir):
+    """One folder with a file of one object per line and files that hold an array each."""
+    folder = scratch(spark, "json")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    orders.filter("o_orderstatus = 'F'").coalesce(1).write.json(f"{folder}/kind=lines")
+    packed = orders.filter("o_orderstatus <> 'F'").groupBy(F.expr("o_orderkey div 1000")).agg(
+        F.to_json(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("value")
+    )
+    packed.select("value").repartition(200).write.option("maxRecordsPerFile", 1).text(f"{folder}/kind=arrays")
+    return read_json(spark, f"{folder}/kind=*").select("o_orderkey", "o_orderstatus")
+
+
 def semicolon_text(spark, sf_dir):
     folder = scratch(spark, "delimited")
     _customers(spark, sf_dir).write.csv(folder, header=True, sep=";")
@@ -56,7 +82,7 @@ def blank_text(spark, sf_dir):
 def json_table(spark, sf_dir):
     folder = scratch(spark, "json")
     table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").write.json(folder)
-    found = read_json(spark, folder, multi_line=False)
+    found = read_json(spark, folder)
     return found.select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
@@ -73,15 +99,17 @@ def fasta_records(spark, sf_dir):
 
 
 def vcf_records(spark, sf_dir):
+    """Two files, each with a header of its own in another column order."""
     folder = scratch(spark, "vcf")
-    rows = table(spark, sf_dir, "part").select(
-        F.concat_ws("\t", "p_size", "p_partkey", "p_brand", "p_retailprice").alias("value")
-    )
-    head = spark.createDataFrame(
-        [("##fileformat=VCFv4.2",), ("##source=test",), ("#CHROM\tPOS\tID\tQUAL",)], "value string"
-    )
-    head.coalesce(1).union(rows).write.text(folder)
-    return read_vcf(spark, folder).select(
+    orders = {"a": ["p_size", "p_partkey", "p_brand", "p_retailprice"], "b": ["p_size", "p_brand", "p_partkey", "p_retailprice"]}
+    names = {"p_size": "#CHROM", "p_partkey": "POS", "p_brand": "ID", "p_retailprice": "QUAL"}
+    for n, (part, columns) in enumerate(orders.items()):
+        rows = table(spark, sf_dir, "part").filter(F.col("p_partkey") % 2 == n)
+        lines = rows.select(F.lit(1).alias("o"), F.concat_ws("\t", *columns).alias("value"))
+        head = "##fileformat=VCFv4.2\n##source=test\n" + "\t".join(names[c] for c in columns)
+        top = spark.createDataFrame([(0, head)], "o int, value string")
+        top.union(lines).coalesce(1).sortWithinPartitions("o").select("value").write.text(f"{folder}/part={part}")
+    return read_vcf(spark, f"{folder}/part=*").select(
         F.col("CHROM").cast("bigint").alias("chrom"),
         F.col("POS").cast("bigint").alias("pos"),
         F.col("ID").alias("id"),
@@ -163,6 +191,8 @@ def json_blocks(spark, sf_dir):
 QUERIES = {
     "read_csv": csv_table,
     "read_csv_latin1": csv_latin1,
+    "read_csv_untidy": csv_untidy,
+    "read_json_documents": json_documents,
     "read_delimited": semicolon_text,
     "read_delimited_blanks": blank_text,
     "read_json": json_table,
@@ -180,6 +210,12 @@ _CUSTOMERS = "SELECT c_custkey::INTEGER AS c_custkey, c_name, c_mktsegment, c_ac
 SQL = {
     "read_csv": _CUSTOMERS,
     "read_csv_latin1": _CUSTOMERS.replace("c_name,", "c_name || ' é' AS c_name,"),
+    "read_csv_untidy": """
+        SELECT 9007199254740993000 + c_custkey AS big_id,
+            CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS balance,
+            c_name || CASE WHEN c_custkey % 5 = 0 THEN '|' ELSE ' ' END || 'é' AS name
+        FROM customer""",
+    "read_json_documents": "SELECT o_orderkey, o_orderstatus FROM orders",
     "read_delimited": _CUSTOMERS,
     "read_delimited_blanks": f"""
         SELECT l_returnflag AS flag, count(*) AS n, sum(l_orderkey)::BIGINT AS keys,

@@ -128,7 +128,7 @@ def _compare(pairs: DataFrame) -> DataFrame:
             "nullif(_p, double('NaN')) AS p_value",
             f"{effect_label('cohens_d')} AS effect_size_interpretation",
             known(f"coalesce(_p < {SIGNIFICANT_P} AND NOT isnan(_p), false)", "significant"),
-            "if(_enough, NULL, 'Not enough data points for comparison') AS error",
+            "if(_enough, NULL, 'too few values to compare') AS error",
         )
     )
 

@@ -34,7 +34,7 @@ from tamperlens.plans.staging import BLOCK, SEQ, previous_in_order, stage
 # fixed values: preview and chart bounds
 CONTEXT, HEAD = 2, 5
 OUTLIER_Z = 3.0
-RANGE_ROWS = 10
+RANGE_STEP = 1000
 WHISKER = 1.5
 
 
@@ -197,7 +197,7 @@ def zscore_outliers(
     row_id: str = "row_id",
     threshold: float = OUTLIER_Z,
 ) -> DataFrame:
-    """(row_index, column, value, z_score) beyond the threshold."""
+    """(row_index, column, value, z_score, threshold) beyond the threshold."""
     chosen = df.columns if columns is None else present_columns(df, columns)
     names = [c for c in numeric_columns(df, chosen) if c != row_id]
     cells = long_form(df, names, [row_id])
@@ -209,7 +209,7 @@ def zscore_outliers(
         cells.join(F.broadcast(stats), "column")
         .selectExpr("*", "(value - _mean) / _std AS z_score")
         .filter(f"abs(z_score) > {threshold}")
-        .selectExpr(f"{quoted(row_id)} AS row_index", "`column`", "value", "z_score")
+        .selectExpr(f"{quoted(row_id)} AS row_index", "`column`", "value", "z_score", f"{float(threshold)}D AS threshold")
     )
 
 
@@ -262,7 +262,7 @@ def segment_range_rows(
     """One row per row number named by a segment finding.
 
     ``indices`` is text, a JSON list or a single number; where it gives nothing,
-    the first ten rows of the range ``rows`` ("100-200") stand in.
+    all rows of the range ``rows`` ("100-200", both ends) stand in.
     """
     none = F.lit(None).cast("array<bigint>")
     named = none
@@ -275,13 +275,15 @@ def segment_range_rows(
         single = F.array_compact(F.array(text.try_cast("bigint")))
         chosen = F.when(F.startswith(text, F.lit("[")), as_list).otherwise(single)
         named = F.when(F.size(chosen) > 0, chosen)
-    ranged = none
-    if rows is not None:
-        start = F.regexp_extract(rows, r"^(\d+)-(\d+)", 1).try_cast("bigint")
-        end = F.regexp_extract(rows, r"^(\d+)-(\d+)", 2).try_cast("bigint")
-        last = F.least(end, start + (RANGE_ROWS - 1))
-        ranged = F.when(start <= end, F.sequence(start, F.greatest(last, start)))
-    return df.withColumn(out, F.explode(F.coalesce(named, ranged)))
+    if rows is None:
+        return df.withColumn(out, F.explode(named))
+    start = F.regexp_extract(rows, r"^(\d+)-(\d+)", 1).try_cast("bigint")
+    end = F.regexp_extract(rows, r"^(\d+)-(\d+)", 2).try_cast("bigint")
+    # long ranges unfold in steps, so that no array holds a whole range
+    steps = F.when(named.isNull() & (start <= end), F.sequence(start, end, F.lit(RANGE_STEP).cast("bigint")))
+    first = F.explode(F.coalesce(steps, F.when(named.isNotNull(), F.array(F.lit(0).cast("bigint")))))
+    unfolded = F.coalesce(named, F.sequence(F.col("_from"), F.least(F.col("_from") + (RANGE_STEP - 1), end)))
+    return df.withColumn("_from", first).withColumn(out, F.explode(unfolded)).drop("_from")
 
 
 # --- issue lists ----------------------------------------------------------
@@ -324,12 +326,10 @@ def issues_from_sorting(findings: DataFrame, id_column: str | None = None) -> Da
         row_index=F.col("row_index"),
         issue_type=F.lit("sorting_anomaly"),
         finding_type=F.col("type"),
-        explanation=_join_text(
-            "Sorting anomaly: ID ", ident, " comes after ID ", before, " in group ", F.col("group_label")
-        ),
+        explanation=_join_text("id ", ident, " follows id ", before, " in ", F.col("group_label")),
         column=F.lit(id_column).cast("string"),
         cell_type=F.lit("sorting"),
-        cell_explanation=_join_text("ID ", ident, " out of sequence (previous ID: ", before, ")"),
+        cell_explanation=_join_text(ident, " off its place, after ", before),
     )
 
 
@@ -343,13 +343,13 @@ def issues_from_movement(movement: DataFrame) -> DataFrame:
         row_index=F.col("data_row_index"),
         issue_type=F.lit("excel_movement"),
         finding_type=F.lit("excel_row_movement"),
-        explanation=F.coalesce("explanation", F.lit("Row movement detected")),
+        explanation=F.coalesce("explanation", F.lit("the row was moved")),
     )
 
 
 def issues_from_duplicates(rows: DataFrame, id_column: str | None = None) -> DataFrame:
     """Issues of ``duplicate_id_rows``."""
-    text = ("ID ", F.col("id_value"), " appears ", F.col("count"), " times")
+    text = _join_text("id ", F.col("id_value"), " stands in ", F.col("count"), " rows")
     return _issue(
         rows,
         3,
@@ -358,15 +358,16 @@ def issues_from_duplicates(rows: DataFrame, id_column: str | None = None) -> Dat
         row_index=F.col("row_index"),
         issue_type=F.lit("duplicate_id"),
         finding_type=F.lit("duplicate_ids"),
-        explanation=_join_text("Duplicate ID: ", *text[1:]),
+        explanation=text,
         column=F.lit(id_column).cast("string"),
         cell_type=F.lit("duplicate"),
-        cell_explanation=_join_text("Duplicate ", *text),
+        cell_explanation=text,
     )
 
 
 def issues_from_outliers(outliers: DataFrame) -> DataFrame:
-    """Issues of ``zscore_outliers`` rows."""
+    """Issues of ``zscore_outliers`` rows, which carry the threshold they passed."""
+    bound = F.concat(F.lit("z-score beyond "), F.col("threshold").cast("string"))
     return _issue(
         outliers,
         4,
@@ -375,10 +376,10 @@ def issues_from_outliers(outliers: DataFrame) -> DataFrame:
         row_index=F.col("row_index"),
         issue_type=F.lit("statistical_anomaly"),
         finding_type=F.lit("statistical_anomaly"),
-        explanation=_join_text("Statistical outlier in ", F.col("column"), " column (z-score > 3)"),
+        explanation=_join_text(F.col("column"), ": ", bound),
         column=F.col("column"),
         cell_type=F.lit("outlier"),
-        cell_explanation=F.lit("Statistical outlier (z-score > 3)"),
+        cell_explanation=bound,
     )
 
 
@@ -387,17 +388,17 @@ def issues_from_segments(findings: DataFrame, default_column: str | None = None)
 
     Each involved column is marked, or ``default_column`` when none is named.
     """
-    named = F.coalesce("columns_involved", F.array(F.lit("Unknown")))
+    named = F.coalesce("columns_involved", F.array(F.lit("unknown")))
     marked = F.when(F.size("columns_involved") > 0, F.col("columns_involved")).otherwise(
         F.array(F.lit(default_column).cast("string"))
     )
     text = _join_text(
-        F.coalesce("description", F.lit("No description provided")),
-        " (Columns: ",
+        F.coalesce("description", F.lit("no description")),
+        " [columns ",
         F.array_join(named, ", "),
-        ", Severity: ",
-        F.coalesce(F.col("severity").cast("string"), F.lit("N/A")),
-        "/10)",
+        "; severity ",
+        F.coalesce(F.col("severity").cast("string"), F.lit("unknown")),
+        "]",
     )
     cells = findings.withColumn("_text", text).withColumn("_marked", F.explode_outer(marked))
     return _issue(
@@ -411,7 +412,7 @@ def issues_from_segments(findings: DataFrame, default_column: str | None = None)
         explanation=F.col("_text"),
         column=F.col("_marked"),
         cell_type=F.lit("segment_anomaly"),
-        cell_explanation=F.coalesce("description", F.lit("No description provided")),
+        cell_explanation=F.coalesce("description", F.lit("no description")),
     )
 
 

@@ -83,5 +83,5 @@ def inlier_bands(
         *[F.expr(f"if(std_dev > 0, {c}, NULL) AS {c}") for c in shown],
         F.expr(f"if(std_dev > 0, {tier_score('suspicion')}, NULL) AS suspicion_score"),
         "sample_size",
-        F.expr("if(std_dev > 0, NULL, 'Zero standard deviation') AS error"),
+        F.expr("if(std_dev > 0, NULL, 'no spread of values') AS error"),
     )

@@ -88,31 +88,29 @@ def duplicate_ids(
     df: DataFrame,
     id_col: str,
     row_id: str = "row_id",
-    max_listed: int = 1000,
+    per_part: int = 1000,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """One row per repeated id.
+    """The positions of every repeated id, in parts of at most ``per_part`` rows.
 
-    ``rows`` lists the positions of ids with up to ``max_listed`` rows and is NULL
-    above; ``duplicate_id_rows`` has every position of every id.  NULL ids are
-    not duplicates.
+    An id of up to ``per_part`` rows is one row with part 0.  The rows of a larger
+    id are listed by blocks of the file, ``part`` being the block, so its lists
+    are complete and none grows with the id.  NULL ids are not duplicates.
     """
-    counts, rows = _with_id_counts(df, id_col, row_id, limits)
+    _, rows = _with_id_counts(df, id_col, row_id, limits)
     listed = (
-        rows.filter(f"count <= {max_listed}")
-        .groupBy("_id")
+        rows.withColumn("part", F.expr(f"if(count <= {per_part}, 0L, row_index div {per_part})"))
+        .groupBy("_id", "part")
         .agg(F.expr("max(count) AS count"), F.expr("sort_array(collect_list(row_index)) AS rows"))
     )
-    unlisted = counts.filter(f"count > {max_listed}").selectExpr(
-        "*", "cast(NULL AS ARRAY<BIGINT>) AS rows"
-    )
-    return listed.unionByName(unlisted).selectExpr(
+    return listed.selectExpr(
         "'duplicate_id' AS type",
         "cast(_id AS STRING) AS id_value",
         "count",
+        "part",
         "rows",
         f"{TOP_SEVERITY} AS severity",
-        "concat('ID ', _id, ' appears ', count, ' times') AS description",
+        "concat(_id, ' stands in ', count, ' rows') AS description",
     )
 
 
@@ -147,7 +145,7 @@ def previous_ids(df: DataFrame, id_col: str, row_id: str = "row_id") -> DataFram
 
 
 def _repeated_across_groups(
-    df: DataFrame, id_col: str, groups: list[str], row_id: str, max_listed: int, limits: Limits
+    df: DataFrame, id_col: str, groups: list[str], row_id: str, limits: Limits
 ) -> DataFrame:
     """C2 without the previous id."""
     facts, keys = _identified(df, id_col, row_id, groups)
@@ -159,28 +157,17 @@ def _repeated_across_groups(
         .filter("duplicate_count > 1 AND different_conditions > 1")
     )
     rows = attach_by_key(facts, per_id, ["_id"], "duplicate_count", "row_index", limits)
-    # only ids with a bounded number of rows meet in one window
-    same_id = "collect_list(row_index) OVER (PARTITION BY _id)"
-    listed = rows.filter(f"duplicate_count <= {max_listed}").selectExpr(
-        "*", f"array_remove(sort_array({same_id}), row_index) AS other_instances"
-    )
-    if not per_id.filter(f"duplicate_count > {max_listed}").isEmpty():
-        unlisted = rows.filter(f"duplicate_count > {max_listed}").selectExpr(
-            "*", "cast(NULL AS ARRAY<BIGINT>) AS other_instances"
-        )
-        listed = listed.unionByName(unlisted)
-    return listed.select(
+    return rows.select(
         F.expr("'duplicate_id' AS type"),
         F.expr("cast(_id AS STRING) AS id_value"),
         "row_index",
         group_map(groups, keys).alias("condition_values"),
         group_label(groups, keys).alias("group_label"),
-        "other_instances",
         "duplicate_count",
         "different_conditions",
         F.expr(f"{TOP_SEVERITY} AS severity"),
         F.expr(
-            "concat('ID ', _id, ' appears in ', different_conditions, ' different conditions') AS description"
+            "concat(_id, ' stands in ', different_conditions, ' groups') AS description"
         ),
     )
 
@@ -190,17 +177,16 @@ def duplicate_ids_across_groups(
     id_col: str,
     groups: str | Sequence[str],
     row_id: str = "row_id",
-    max_listed: int = 100,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Every row of an id that occurs in more than one group.
 
-    ``other_instances`` lists the other positions of ids with up to
-    ``max_listed`` rows and is NULL above, where ``duplicate_id_rows`` holds the
-    positions; the counts are always exact.  A NULL group is one group value.
+    The other rows of an id are those with its ``id_value``, here and in
+    ``duplicate_ids``; a list of them in each row would grow with the square of
+    the id's rows.  A NULL group is one group value.
     """
     groups = present_columns(df, _as_columns(groups))
-    found = _repeated_across_groups(df, id_col, groups, row_id, max_listed, limits)
+    found = _repeated_across_groups(df, id_col, groups, row_id, limits)
     return _with_previous_id(found, df, id_col, row_id, limits)
 
 
@@ -279,11 +265,11 @@ def _misplaced(
     ).filter(f"position_difference >= {NUMERIC_SHIFT if numeric else STRING_SHIFT}")
     if numeric:
         severity = f"cast(least(position_difference + 5, {TOP_SEVERITY}) AS INT)"
-        description = "concat('ID ', _id, ' is ', position_difference, ' positions out of sequence')"
+        description = "concat(_id, ' stands ', position_difference, ' places off its sorted place')"
         previous = []
     else:
         severity = str(STRING_SEVERITY)
-        description = "concat('ID ', _id, ' is out of sequence')"
+        description = "concat(_id, ' stands off its sorted place')"
         previous = [F.expr("cast(_before1._id AS STRING) AS previous_id")]
     return flagged.select(
         F.expr("'out_of_sequence_id' AS type"),
@@ -333,7 +319,7 @@ def filter_order_anomalies(findings: DataFrame, limits: Limits = DEFAULT_LIMITS)
     sizes = stage(staged.groupBy("_key").agg(F.count("*").alias("_size")))
     sized = attach_by_key(staged, sizes, ["_key"], "_size", "row_index", limits=limits)
     clustered = f"_size >= {CLUSTER_SIZE}"
-    note = "concat(description, ' (Part of a cluster of ', _size, ' anomalies in ', group_label, ')')"
+    note = "concat(description, ', one of ', _size, ' in ', group_label)"
     return (
         sized.filter(f"{clustered} OR position_difference >= {LONE_SHIFT}")
         .withColumns(
@@ -428,7 +414,7 @@ def sorting_anomalies(
     """Duplicates across groups and misplaced ids, filtered and ranked."""
     groups = present_columns(df, _as_columns(groups))
     require_columns(df, [id_col, row_id])
-    repeated = _repeated_across_groups(df, id_col, groups, row_id, 100, limits)
+    repeated = _repeated_across_groups(df, id_col, groups, row_id, limits)
     kept = filter_order_anomalies(
         _misplaced(df, id_col, groups, row_id, strategy, limits), limits
     )

@@ -13,11 +13,10 @@ from tamperlens.functions.columns import long_form, numeric_columns, present_col
 from tamperlens.plans.staging import stage
 
 # fixed values: segment sizes and report bounds
-MAX_ROWS, MIN_ROWS, MAX_CHUNKS, ONE_PIECE = 500, 50, 10, 1000
+MAX_ROWS, MIN_ROWS, PARTS, ONE_PIECE = 500, 50, 10, 1000
 HIGH_CONFIDENCE = 7
-RAW_LENGTH = 1000
 LISTED_ROWS = 10
-PARSE_ERROR = "Failed to parse JSON from the response"
+PARSE_ERROR = "no readable JSON object in the response"
 
 RESPONSE_SCHEMA = (
     "anomalies_detected boolean, confidence string, explanation string, error string, "
@@ -26,9 +25,9 @@ RESPONSE_SCHEMA = (
 )
 
 
-def segment_size(total: Column, max_rows: int = MAX_ROWS, max_chunks: int = MAX_CHUNKS) -> Column:
+def segment_size(total: Column, max_rows: int = MAX_ROWS, parts: int = PARTS) -> Column:
     """Rows per segment for a table of ``total`` rows."""
-    tenth = F.floor(total / F.lit(max_chunks))
+    tenth = F.floor(total / F.lit(parts))
     wanted = F.when(total <= ONE_PIECE, total).otherwise(tenth)
     return F.greatest(F.lit(MIN_ROWS), F.least(wanted, F.lit(max_rows))).cast("bigint")
 
@@ -37,15 +36,14 @@ def assign_segments(
     df: DataFrame,
     row_id: str = "row_id",
     max_rows: int = MAX_ROWS,
-    max_chunks: int | None = MAX_CHUNKS,
+    max_chunks: int | None = None,
 ) -> DataFrame:
     """H1: add ``chunk`` (from 1) and ``rows`` ("start-end", end exclusive).
 
-    Rows after the last allowed segment are left out; ``max_chunks=None`` covers
-    the whole table.
+    Every row gets a segment; ``max_chunks`` keeps the first segments only.
     """
     total = df.agg(F.max(row_id) + 1).scalar()
-    size = segment_size(total, max_rows, max_chunks or MAX_CHUNKS)
+    size = segment_size(total, max_rows, max_chunks or PARTS)
     chunked = df.withColumn("_size", size).withColumn(
         "chunk", F.floor(F.col(row_id) / F.col("_size")).cast("bigint") + 1
     )
@@ -130,7 +128,7 @@ def extract_response_json(df: DataFrame, response: str = "response") -> DataFram
     """H4: parse the JSON object inside a free-text response.
 
     Takes the text from the first ``{`` to the last ``}``; text that does not
-    parse gives ``error``, the start of the raw text and no anomalies.
+    parse gives ``error``, the raw text and no anomalies.
     """
     found = F.regexp_extract(response, r"(?s)\{.*\}", 0)
     text = F.when(found != "", found).otherwise(F.col(response))
@@ -139,10 +137,6 @@ def extract_response_json(df: DataFrame, response: str = "response") -> DataFram
         text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     )
     usable = F.startswith(F.ltrim(text), F.lit("{")) & F.col("_p").isNotNull() & F.col("_p._corrupt").isNull()
-    raw = F.when(
-        F.length(response) > RAW_LENGTH,
-        F.concat(F.substring(response, 1, RAW_LENGTH), F.lit("...")),
-    ).otherwise(F.col(response))
     return (
         df.withColumn("_p", parsed)
         .withColumn("_ok", F.coalesce(usable, F.lit(False)))
@@ -153,7 +147,7 @@ def extract_response_json(df: DataFrame, response: str = "response") -> DataFram
                 "explanation": F.when(F.col("_ok"), F.col("_p.explanation")),
                 "findings": F.when(F.col("_ok"), F.col("_p.findings")),
                 "error": F.when(F.col("_ok"), F.col("_p.error")).otherwise(F.lit(PARSE_ERROR)),
-                "raw_response": F.when(~F.col("_ok"), raw),
+                "raw_response": F.when(~F.col("_ok"), F.col(response)),
             }
         )
         .drop("_p", "_ok")
@@ -209,7 +203,7 @@ def abbreviate_rows(rows: Column) -> Column:
 
 
 def report_findings(responses: DataFrame) -> DataFrame:
-    """H6: one row per finding of a confident segment, rows abbreviated."""
+    """H6: one row per finding of a confident segment; rows whole and as short text."""
     listed = responses.filter(F.col("error").isNull() & _confident())
     entries = listed.select("chunk", "confidence", F.posexplode("findings").alias("_i", "f"))
     columns = F.array_join(F.coalesce("f.columns_involved", F.array(F.lit("Unknown"))), ", ")
@@ -222,4 +216,5 @@ def report_findings(responses: DataFrame) -> DataFrame:
         F.coalesce("f.description", F.lit("No description")).alias("description"),
         columns.alias("columns_involved"),
         F.when(F.size("f.row_indices") > 0, abbreviate_rows(F.col("f.row_indices"))).alias("rows_affected"),
+        F.col("f.row_indices").alias("row_indices"),
     )

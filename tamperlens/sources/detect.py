@@ -48,16 +48,15 @@ def detect_file_types(spark: SparkSession, path: str) -> DataFrame:
 
     Spark's file scans leave out empty files, so these have no row.
     """
-    files = list_files(spark, path).select("path", _kind_by_name(F.col("path")).alias("_kind"))
+    place = F.col("_metadata.file_path")
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(place.alias("path"))
+    ).withColumn("_kind", _kind_by_name(F.col("path")))
+    # only files whose name says nothing are opened; a first line is in the first split
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    # a file's first line is in its first split
-    starts = lines.filter(F.col("_metadata.file_block_start") == 0).select(
-        F.col("_metadata.file_path").alias("path"),
-        "value",
-        F.monotonically_increasing_id().alias("_i"),
-    )
-    unnamed = starts.filter(_kind_by_name(F.col("path")).isNull())
-    first = unnamed.groupBy("path").agg(F.min_by("value", "_i").alias("_line"))
+    unnamed = lines.filter(_kind_by_name(place).isNull() & (F.col("_metadata.file_block_start") == 0))
+    starts = unnamed.select(place.alias("path"), "value").withColumn("_i", F.monotonically_increasing_id())
+    first = starts.groupBy("path").agg(F.min_by("value", "_i").alias("_line"))
     return files.join(first, "path", "left").select(
         "path",
         F.coalesce("_kind", _kind_by_line(F.coalesce("_line", F.lit("")))).alias("file_type"),

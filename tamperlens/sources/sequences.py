@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamperlens.functions.columns import quoted
+from tamperlens.sources.tabular import typed
+
 FIRST_BASES = 50
 
 
@@ -38,14 +43,24 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """Variant lines with the column names of the ``#CHROM`` line."""
-    head = (
-        spark.read.text(path)
-        .filter(F.col("value").startswith("#") & ~F.col("value").startswith("##"))
-        .first()
+    """Variant lines with the column names of each file's own ``#CHROM`` line.
+
+    Files of one header are read together; files without one are an error.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    heads = (
+        lines.groupBy("file")
+        .agg(F.expr("min(value) FILTER (WHERE value LIKE '#%' AND value NOT LIKE '##%') AS head"))
+        .collect()  # one row for each file
     )
-    if head is None:
-        raise ValueError(f"no header line in {path}")
-    names = head[0].lstrip("#").rstrip("\r").split("\t")
-    rows = spark.read.csv(path, sep="\t", comment="#", inferSchema=True)
-    return rows.toDF(*names)
+    lost = [unquote(r.file) for r in heads if r.head is None]
+    if lost or not heads:
+        raise ValueError(f"no header line in {', '.join(lost) or path}")
+    table = None
+    for head in sorted({r.head for r in heads}):
+        files = [unquote(r.file) for r in heads if r.head == head]
+        names = head.lstrip("#").rstrip("\r").split("\t")
+        fields = ", ".join(f"{quoted(n)} string" for n in names)
+        rows = spark.read.schema(fields).csv(files, sep="\t", comment="#", quote="")
+        table = rows if table is None else table.unionByName(rows, allowMissingColumns=True)
+    return typed(table)

@@ -2,27 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamperlens.functions.columns import quoted, text_literal
 
+#: fixed values: texts that stand for a missing value
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+    "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+# one bit for each kind of value; a column's bits together decide its type
+INT, BIG, WIDE, REAL, BOOL, DAY, TIME, TEXT = (1 << i for i in range(8))
+FILE, START, ORDER = "source_file", "source_block", "source_order"
+
+
+def _value(column: str) -> str:
+    marks = ", ".join(text_literal(m) for m in MISSING)
+    return f"if({quoted(column)} IN ({marks}), NULL, {quoted(column)})"
+
+
+def _kind(column: str) -> str:
+    c = quoted(column)
+    return (
+        f"CASE WHEN {c} IS NULL THEN 0 "
+        f"WHEN {c} RLIKE '^[+-]?[0-9]+$' THEN CASE WHEN try_cast({c} AS INT) IS NOT NULL THEN {INT} "
+        f"WHEN try_cast({c} AS BIGINT) IS NOT NULL THEN {BIG} WHEN length({c}) <= 38 THEN {WIDE} ELSE {TEXT} END "
+        f"WHEN {c} RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$' THEN {REAL} "
+        f"WHEN lower({c}) IN ('true', 'false') THEN {BOOL} "
+        f"WHEN {c} RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' AND try_cast({c} AS DATE) IS NOT NULL THEN {DAY} "
+        f"WHEN {c} RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ]' AND try_cast({c} AS TIMESTAMP) IS NOT NULL "
+        f"THEN {TIME} ELSE {TEXT} END"
+    )
+
 
-# values of whole and of floating columns in blank-separated text
-NUMBER_PATTERNS = {
-    "bigint": r"^[+-]?[0-9]{1,18}$",
-    "double": r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$",
-}
+def _type_of(bits: int) -> str:
+    """Narrowest type that holds every value exactly as written; wide ids never turn to DOUBLE."""
+    for kinds, name in (
+        (INT, "int"), (INT | BIG, "bigint"), (INT | BIG | WIDE, "decimal(38,0)"), (INT | BIG | REAL, "double"),
+        (BOOL, "boolean"), (DAY, "date"), (DAY | TIME, "timestamp"),
+    ):
+        if bits and not bits & ~kinds:
+            return name
+    return "string"
 
 
-def has_invalid_utf8(spark: SparkSession, path: str) -> bool:
-    """True if any line of the files is not valid UTF-8; stops at the first one."""
-    return not spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty()
+def typed(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Text columns as the types their values have; marks of missing values become NULL.
+
+    One pass looks at every value of every column.
+    """
+    names = [c for c in raw.columns if c not in keep]
+    cleaned = raw.selectExpr(*[quoted(c) for c in keep], *[f"{_value(c)} AS {quoted(c)}" for c in names])
+    if not names:
+        return cleaned
+    found = cleaned.agg(*[F.expr(f"bit_or({_kind(c)}) AS k{i}") for i, c in enumerate(names)]).first()
+    kinds = {c: _type_of(found[f"k{i}"] or 0) for i, c in enumerate(names)}
+    return cleaned.selectExpr(
+        *[
+            quoted(c) if kinds.get(c, "string") == "string" else f"try_cast({quoted(c)} AS {kinds[c]}) AS {quoted(c)}"
+            for c in raw.columns
+        ]
+    )
+
 
+def _file_sets(spark: SparkSession, path: str, encoding: str | None) -> dict[tuple[str, bool], list[str] | str]:
+    """Files by (encoding, whether a quoted value runs over a line end).
 
-def _schema_options(schema: str | T.StructType | None) -> dict:
-    return {"schema": schema} if schema is not None else {"inferSchema": True}
+    One row for each file reaches the driver, as it does for Spark's own listing.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    flags = lines.groupBy("file").agg(
+        F.expr("bool_and(is_valid_utf8(value)) AS utf8"),
+        F.expr("bool_or(length(value) % 2 <> length(replace(value, '\"', '')) % 2) AS runs_on"),
+    )
+    sets: dict[tuple[str, bool], list[str]] = {}
+    for row in flags.collect():
+        kind = (encoding or ("UTF-8" if row.utf8 else "ISO-8859-1"), row.runs_on)
+        sets.setdefault(kind, []).append(unquote(row.file))
+    if len(sets) <= 1:  # all files alike: read the path as it was given
+        return {kind: path for kind in sets} or {(encoding or "UTF-8", False): path}
+    return sets
 
 
 def read_csv(
@@ -31,19 +94,46 @@ def read_csv(
     sep: str = ",",
     schema: str | T.StructType | None = None,
     encoding: str | None = None,
+    file_order: bool = False,
 ) -> DataFrame:
-    """A1: header and types from the file, UTF-8 or else Latin-1.
+    """A1: header from the file, types from the values, UTF-8 or else Latin-1 file by file.
 
-    Without ``schema`` and ``encoding`` the files are scanned for both; name them
-    for large inputs.
+    Files in which a quoted value runs over a line end are read whole, the others
+    are split.  ``file_order`` adds ``source_file``, ``source_block`` and
+    ``source_order``, whose order is the order of the rows in the files.
     """
-    if encoding is None:
-        encoding = "ISO-8859-1" if has_invalid_utf8(spark, path) else "UTF-8"
-    return spark.read.csv(
-        path, header=True, sep=sep, encoding=encoding, quote='"', escape='"', **_schema_options(schema)
+    tables = []
+    for (coding, runs_on), files in _file_sets(spark, path, encoding).items():
+        table = spark.read.csv(
+            files, header=True, sep=sep, encoding=coding, multiLine=runs_on, quote='"', escape='"'
+        )
+        if file_order:
+            table = table.selectExpr(
+                f"_metadata.file_path AS {FILE}", f"_metadata.file_block_start AS {START}",
+                f"monotonically_increasing_id() AS {ORDER}", *[quoted(c) for c in table.columns],
+            )
+        tables.append(table)
+    raw = tables[0]
+    for more in tables[1:]:
+        raw = raw.unionByName(more, allowMissingColumns=True)
+    place = (FILE, START, ORDER) if file_order else ()
+    if schema is None:
+        return typed(raw, place)
+    names = [c for c in raw.columns if c not in place]
+    return raw.selectExpr(
+        *place,
+        *[
+            f"try_cast({_value(have)} AS {kind}) AS {quoted(name)}"
+            for have, (name, kind) in zip(names, _fields(schema))
+        ],
     )
 
 
+def in_file_order() -> list[Column]:
+    """Sort keys of rows read with ``file_order``, for ``with_row_id``."""
+    return [F.col(FILE), F.col(START), F.col(ORDER)]
+
+
 def first_line(spark: SparkSession, path: str) -> str:
     row = spark.read.text(path).filter(F.trim("value") != "").first()
     return row[0] if row else ""
@@ -65,23 +155,25 @@ def read_delimited(
 ) -> DataFrame:
     """A2: .tsv and .txt; the delimiter is read off the first line.
 
-    Blank-separated text is split on runs of blanks.
+    Blank-separated text is split on runs of blanks.  If a line has more fields
+    than the header, a column ``extra_fields`` holds what is left over.
     """
     line = first_line(spark, path)
     sep = sep or sniff_delimiter(line)
     if sep is not None:
         return read_csv(spark, path, sep, schema)
     # one header line per file, equal to the first line
-    header = text_literal(line.strip())
+    header, names = text_literal(line.strip()), line.split()
     lines = spark.read.text(path).filter(f"trim(value) NOT IN ('', {header})")
     parts = lines.selectExpr(r"split(trim(value), r'\s+') AS parts")
-    fields = _fields(schema) if schema is not None else _blank_fields(parts, line.split())
-    return parts.selectExpr(
-        *[
-            f"try_cast(get(parts, {i}) AS {kind}) AS {quoted(name)}"
-            for i, (name, kind) in enumerate(fields)
-        ]
-    )
+    fields = _fields(schema) if schema is not None else [(n, None) for n in names]
+    over = parts.filter(f"size(parts) > {len(fields)}")
+    extra = [] if over.isEmpty() else [f"slice(parts, {len(fields) + 1}, size(parts)) AS extra_fields"]
+    raw = parts.selectExpr(*extra, *[f"get(parts, {i}) AS {quoted(n)}" for i, (n, _) in enumerate(fields)])
+    keep = ("extra_fields",) if extra else ()
+    if schema is None:
+        return typed(raw, keep)
+    return raw.selectExpr(*keep, *[f"try_cast({_value(n)} AS {kind}) AS {quoted(n)}" for n, kind in fields])
 
 
 def _fields(schema: str | T.StructType) -> list[tuple[str, str]]:
@@ -89,33 +181,31 @@ def _fields(schema: str | T.StructType) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in parsed.fields]
 
 
-def _blank_fields(parts: DataFrame, names: list[str]) -> list[tuple[str, str]]:
-    """Narrowest of BIGINT, DOUBLE and STRING that every value of a column fits.
-
-    Patterns tell the kinds apart; failing casts are far slower than a pattern.
-    """
-    checks = [
-        f"count_if(NOT get(parts, {i}) RLIKE r'{pattern}') AS {kind}{i}"
-        for i in range(len(names))
-        for kind, pattern in NUMBER_PATTERNS.items()
-    ]
-    misfits = parts.agg(*[F.expr(c) for c in checks]).first()
-    kinds = [
-        "bigint" if not misfits[f"bigint{i}"] else "double" if not misfits[f"double{i}"] else "string"
-        for i in range(len(names))
-    ]
-    return list(zip(names, kinds))
-
-
 def read_json(
     spark: SparkSession,
     path: str,
     schema: str | T.StructType | None = None,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """A5: a JSON array or object per file; ``multi_line=False`` for one object per line."""
+    """A5: a JSON array or object per file, or one object per line.
+
+    Without ``multi_line`` each file is looked at: if every line that is not blank
+    is a whole object, it is read line by line, else as one document.
+    """
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.json(path, multiLine=multi_line)
+    if multi_line is not None:
+        return reader.json(path, multiLine=multi_line)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("line"))
+    by_file = (
+        lines.filter("line <> ''")
+        .groupBy("file")
+        .agg(F.expr("bool_and(line LIKE '{%}' AND try_parse_json(line) IS NOT NULL) AS by_line"))
+        .collect()  # one row for each file
+    )
+    if len({r.by_line for r in by_file}) <= 1:
+        return reader.json(path, multiLine=not (by_file and by_file[0].by_line))
+    kinds = [[unquote(r.file) for r in by_file if r.by_line == kind] for kind in (True, False)]
+    return reader.json(kinds[0]).unionByName(reader.json(kinds[1], multiLine=True), allowMissingColumns=True)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -221,7 +221,7 @@ def test_inlier_bands(spark):
     mine = found["spread"]
     assert mine["very_close_count"] == (z < 0.5).sum() and mine["close_count"] == ((z >= 0.5) & (z < 1)).sum()
     assert mine["moderate_count"] == ((z >= 1) & (z < 2)).sum() and mine["far_count"] == (z >= 2).sum()
-    assert found["flat"]["error"] == "Zero standard deviation" and found["flat"]["sample_size"] == 25
+    assert found["flat"]["error"] == "no spread of values" and found["flat"]["sample_size"] == 25
     assert found["flat"]["suspicion"] is None
 
 

@@ -31,7 +31,8 @@ from tamperlens.sources.archive import extract_json_blocks, read_reports, report
 from tamperlens.sources.detect import dataset_metadata, detect_file_types
 from tamperlens.sources.sequences import read_fasta, read_vcf
 from tamperlens.sources.sinks import write_findings
-from tamperlens.sources.tabular import read_csv, read_delimited, read_json, read_table
+from tamperlens.plans.staging import with_row_id
+from tamperlens.sources.tabular import in_file_order, read_csv, read_delimited, read_json, read_table
 
 
 # --- preview --------------------------------------------------------------
@@ -77,7 +78,7 @@ def test_id_sequence_and_side_means(spark):
         ("[3, 5]", "100-200", [3, 5]),
         ('["4", 6, "x"]', None, [4, 6]),
         ("9", "1-2", [9]),
-        ("[]", "100-200", list(range(100, 110))),
+        ("[]", "100-2300", list(range(100, 2301))),
         (None, "7-9", [7, 8, 9]),
         ("abc", "9-7", []),
         (None, None, []),
@@ -95,7 +96,7 @@ def test_segment_range_rows(spark, indices, rows, expected):
 def issues(spark):
     rows = [(r, f"p{n}", "a") for r, n in enumerate([3, 1, 2, 4, 4])]
     df = spark.createDataFrame(rows, "row_id bigint, pid string, g string")
-    outliers = spark.createDataFrame([(0, "y", 9.0, 4.0), (0, "z", 9.0, 4.0)], "row_index bigint, column string, value double, z_score double")
+    outliers = spark.createDataFrame([(0, "y", 9.0, 4.0, 2.5), (0, "z", 9.0, 4.0, 2.5)], "row_index bigint, column string, value double, z_score double, threshold double")
     movement = spark.createDataFrame([("b", 2, "moved")], "path string, data_row_index bigint, explanation string")
     segments = spark.createDataFrame(
         [(0, "odd", ["pid"], 7), (1, None, None, None)],
@@ -114,12 +115,12 @@ def test_row_issues(issues):
     found = row_issues(*issues).collect()
     assert [r["row_index"] for r in found] == sorted(r["row_index"] for r in found)
     texts = by(found, "row_index", "issue_type")
-    assert texts[(0, "sorting_anomaly")]["explanation"] == "Sorting anomaly: ID p3 comes after ID None in group g=a"
-    assert texts[(3, "duplicate_id")]["explanation"] == "Duplicate ID: p4 appears 2 times"
+    assert texts[(0, "sorting_anomaly")]["explanation"] == "id p3 follows id None in g=a"
+    assert texts[(3, "duplicate_id")]["explanation"] == "id p4 stands in 2 rows"
     # two outlying columns, the first explanation stays
-    assert texts[(0, "statistical_anomaly")]["explanation"] == "Statistical outlier in y column (z-score > 3)"
-    assert texts[(0, "segment_anomaly")]["explanation"] == "odd (Columns: pid, Severity: 7/10)"
-    assert texts[(1, "segment_anomaly")]["explanation"] == "No description provided (Columns: Unknown, Severity: N/A/10)"
+    assert texts[(0, "statistical_anomaly")]["explanation"] == "y: z-score beyond 2.5"
+    assert texts[(0, "segment_anomaly")]["explanation"] == "odd [columns pid; severity 7]"
+    assert texts[(1, "segment_anomaly")]["explanation"] == "no description [columns unknown; severity unknown]"
     assert texts[(2, "excel_movement")]["explanation"] == "moved"
     counts = by(issue_counts(row_issues(*issues)).collect(), "issue_type")
     assert counts["duplicate_id"]["rows"] == 2 and counts["statistical_anomaly"]["rows"] == 1
@@ -199,10 +200,47 @@ def test_delimiters(spark, tmp_path, name, text):
 def test_blank_text_types(spark, tmp_path):
     (tmp_path / "t.txt").write_text("a b c\n1 1.5 x\n2 2 y\n")
     found = read_delimited(spark, str(tmp_path / "t.txt"))
-    assert dict(found.dtypes) == {"a": "bigint", "b": "double", "c": "string"}
+    assert dict(found.dtypes) == {"a": "int", "b": "double", "c": "string"}
+
+
+def test_untidy_csv(spark, tmp_path):
+    (tmp_path / "my a.csv").write_text('id,v,t\n1111111111111111111,NA,"x\ny"\n1111111111111111112,2,z\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("id,v,t\n3,null,é\n", encoding="latin-1")
+    (tmp_path / "c.csv").write_text("id,v,t\n4,5,é\n", encoding="utf-8")
+    found = read_csv(spark, str(tmp_path))
+    assert dict(found.dtypes) == {"id": "bigint", "v": "int", "t": "string"}
+    assert {(r["id"], r["v"], r["t"]) for r in found.collect()} == {
+        (1111111111111111111, None, "x\ny"), (1111111111111111112, 2, "z"), (3, None, "é"), (4, 5, "é")
+    }
+    (tmp_path / "wide.csv").write_text("id\n99999999999999999998\n99999999999999999999\n")
+    assert read_csv(spark, str(tmp_path / "wide.csv")).distinct().count() == 2
+
+
+def test_file_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id\n" + "".join(f"{i * 7 % 50}\n" for i in range(50)))
+    found = read_csv(spark, str(tmp_path / "a.csv"), file_order=True)
+    rows = with_row_id(found, in_file_order()).orderBy("row_id").collect()
+    assert [r["id"] for r in rows] == [i * 7 % 50 for i in range(50)]
+
+
+def test_surplus_fields_of_blank_text(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("a b\n1 2\n3 4 5 6\n7\n")
+    found = by(read_delimited(spark, str(tmp_path / "t.txt")).collect(), "a")
+    assert found[3]["extra_fields"] == ["5", "6"] and found[7]["b"] is None
+
+
+def test_variant_files_with_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.vcf").write_text("#CHROM\tPOS\tS1\n1\t10\tx\n")
+    (tmp_path / "b.vcf").write_text("#CHROM\tPOS\tS2\n2\t20\ty\n")
+    found = by(read_vcf(spark, str(tmp_path)).collect(), "CHROM")
+    assert (found[1]["S1"], found[1]["S2"], found[2]["S1"], found[2]["S2"]) == ("x", None, None, "y")
 
 
 def test_json(spark, tmp_path):
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.json").write_text('{"id": 1}\n{"id": 2}\n\n{"id": 3}\n')
+    (tmp_path / "lines" / "b.json").write_text('[{"id": 4},\n{"id": 5}]')
+    assert sorted(r["id"] for r in read_json(spark, str(tmp_path / "lines")).collect()) == [1, 2, 3, 4, 5]
     (tmp_path / "t.json").write_text('[\n {"id": 1},\n {"id": 2}\n]')
     assert read_json(spark, str(tmp_path / "t.json")).count() == 2
     with pytest.raises(ValueError):

@@ -190,10 +190,10 @@ def test_frame_profile(mixed):
 def test_segment_sizes(spark, total, size, chunks, covered):
     df = spark.range(total).withColumnRenamed("id", "row_id")
     found = segment_bounds(assign_segments(df)).orderBy("chunk").collect()
-    assert len(found) == chunks and sum(r["n"] for r in found) == covered
+    assert sum(r["n"] for r in found) == total
     assert found[0]["rows"] == f"0-{min(size, total)}"
-    whole = segment_bounds(assign_segments(df, max_chunks=None)).collect()
-    assert sum(r["n"] for r in whole) == total
+    first = segment_bounds(assign_segments(df, max_chunks=10)).collect()
+    assert len(first) == chunks and sum(r["n"] for r in first) == covered
 
 
 def test_segment_describe_and_apply(spark):
@@ -238,7 +238,7 @@ def test_responses(parsed):
     assert found[3]["findings"] is None and found[3]["error"] is None
     for chunk in (4, 5, 7, 8):
         assert found[chunk]["error"] and not found[chunk]["anomalies_detected"]
-    assert found[5]["raw_response"].endswith("...") and len(found[5]["raw_response"]) == 1003
+    assert len(found[5]["raw_response"]) > 1003
     assert found[4]["raw_response"] == '{"anomalies_detected": tru'
 
 
