@@ -10,6 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from catalog import all_queries  # noqa: E402
+from tamperlens.plans.staging import clear_staged  # noqa: E402
 from tamperlens.session import build_session  # noqa: E402
 
 HEADLINE = [
@@ -53,6 +54,7 @@ def main() -> None:
         started = time.perf_counter()
         catalog[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - started, 3)
+        clear_staged(spark)
     print(
         json.dumps(
             {

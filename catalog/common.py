@@ -130,7 +130,7 @@ def sql_upper_quantile(p: str) -> str:
 def sql_shapiro() -> str:
     """CTEs ending in ``shapiro`` ("column", gk, w, p), from ``cells`` and ``stats``.
 
-    Royston's AS R94 for groups of 20 to 5000 values.
+    Royston's AS R94 for groups of 20 and more values.
     """
     last = [0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056]
     following = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
@@ -142,7 +142,7 @@ def sql_shapiro() -> str:
             SELECT c."column", c.gk, value, n, vp,
                 row_number() OVER (PARTITION BY c."column", c.gk ORDER BY value) AS i
             FROM cells c JOIN stats s ON c."column" = s."column" AND c.gk = s.gk
-            WHERE n <= 5000 AND sd > 0),
+            WHERE sd > 0),
         halves AS (
             SELECT a."column", a.gk, a.n, a.vp, a.i, b.value - a.value AS d,
                 (a.i - 0.375) / (a.n + 0.25) AS share

@@ -347,7 +347,7 @@ SQL = {
     "shapiro_normality": f"""
         WITH {_sql_stats("events", ["value", "user_id"], "event_type", False)}, {sql_shapiro()}
         SELECT s."column", s."group", n AS sample_size, {sql_round("w", "shapiro_w")},
-            {sql_round("p", "shapiro_p")}
+            {sql_round("p", "shapiro_p")}, n <= 5000 AS calibrated
         FROM stats s LEFT JOIN (SELECT "column", gk, w, p FROM shapiro) t
             ON s."column" = t."column" AND s.gk = t.gk""",
     "multimodality": _sql_shapes("events", ["value", "user_id"], "event_type"),

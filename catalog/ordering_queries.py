@@ -172,8 +172,8 @@ def _sql_sequence(source: str, ident: str, groups: list[str], numeric: bool) ->
         text = "id || ' stands off its sorted place'"
         before = "m1"
     return f"""
-        numbered AS ({source}),
-        placed AS (
+        numbered AS MATERIALIZED ({source}),
+        placed AS MATERIALIZED (
             SELECT *, {ident} AS id,
                 row_number() OVER (PARTITION BY {keys} ORDER BY row_id) - 1 AS actual,
                 count(*) OVER (PARTITION BY {keys} ORDER BY {ident}
@@ -186,7 +186,7 @@ def _sql_sequence(source: str, ident: str, groups: list[str], numeric: bool) ->
             FROM numbered),
         gated AS (SELECT *, bool_or(coalesce(id < m1, false)) OVER (PARTITION BY {keys}) AS disordered
                   FROM placed),
-        found AS (
+        found AS MATERIALIZED (
             SELECT 'out_of_sequence_id' AS type, id::VARCHAR AS id_value, row_id AS row_index,
                 {label} AS group_label, actual AS actual_position, expected AS expected_position,
                 abs(actual - expected) AS position_difference,
@@ -211,12 +211,12 @@ _EVENT_SEQUENCE = _sql_sequence(SQL_EVENTS, "event_id", ["event_type"], True)
 _NAME_SEQUENCE = _sql_sequence(SQL_CUSTOMER, "c_name", ["c_mktsegment"], False)
 
 _LINE_DUPLICATES = f"""
-        base AS ({SQL_LINEITEM}),
+        base AS MATERIALIZED ({SQL_LINEITEM}),
         lagged AS (SELECT *, lag(l_orderkey) OVER (ORDER BY row_id) AS before FROM base),
         per_id AS (
             SELECT l_orderkey, count(*) AS n, count(DISTINCT (l_returnflag, l_linestatus)) AS conditions
             FROM base GROUP BY l_orderkey),
-        repeated AS (
+        repeated AS MATERIALIZED (
             SELECT 'duplicate_id' AS type, l_orderkey::VARCHAR AS id_value, row_id AS row_index,
                 'l_returnflag=' || l_returnflag || ', l_linestatus=' || l_linestatus AS group_label,
                 n AS duplicate_count, conditions AS different_conditions, 9::INTEGER AS severity,
@@ -287,14 +287,16 @@ SQL = {
         FROM found""",
     "sorting_anomalies": f"""
         WITH {_LINE_SEQUENCE}, {_LINE_DUPLICATES},
-        unioned AS (
+        unioned AS MATERIALIZED (
             SELECT type, id_value, row_index, group_label, duplicate_count, different_conditions,
                 NULL::BIGINT AS position_difference, NULL::BIGINT AS cluster_size, severity,
                 description, previous_id FROM repeated
             UNION ALL
             SELECT type, id_value, row_index, group_label, NULL, NULL, position_difference,
                 cluster_size, severity, description, previous_id FROM kept),
-        marked AS (SELECT *, row_id IN (SELECT row_index FROM unioned) AS flagged FROM base),
+        hit AS MATERIALIZED (SELECT DISTINCT row_index FROM unioned),
+        marked AS MATERIALIZED (
+            SELECT base.*, hit.row_index IS NOT NULL AS flagged FROM base LEFT JOIN hit ON row_id = row_index),
         {_sql_effects("flagged", "marked",
                       ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"])}
         SELECT type, id_value, row_index, group_label, duplicate_count, different_conditions,

@@ -1,12 +1,31 @@
-"""Shapiro-Wilk p-value after Royston's published algorithm AS R94 (1995)."""
+"""Normal quantiles and the Shapiro-Wilk statistic as SQL over ranks and moments.
 
-from __future__ import annotations
+After Wichura's AS 241 (1988) and Royston's AS R94 (1995).
+"""
 
-import math
-from statistics import NormalDist
+from __future__ import annotations
 
-import numpy as np
+from collections.abc import Sequence
 
+# fixed values: coefficients of AS 241, lowest power first: (numerator, denominator)
+MIDDLE = (
+    (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
+     4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+    (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4,
+     3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3),
+)
+TAIL = (
+    (1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0,
+     1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+    (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
+     1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9),
+)
+FAR = (
+    (6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1,
+     2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+    (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2,
+     7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15),
+)
 # fixed values: polynomial coefficients of AS R94, lowest power first
 LAST_WEIGHT = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
 NEXT_WEIGHT = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
@@ -15,58 +34,59 @@ SMALL_LOG_SD = (1.3822, -0.77857, 0.062767, -0.0020322)
 LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
 LARGE_LOG_SD = (-0.4803, -0.082676, 0.0030302)
 SMALL_GAMMA = (-2.273, 0.459)
+#: largest sample for which the p-value was calibrated
+CALIBRATED_ROWS = 5000
+
+
+def polynomial(coefficients: Sequence[float], x: str) -> str:
+    text = f"{coefficients[-1]!r}D"
+    for c in reversed(coefficients[:-1]):
+        text = f"({c!r}D + ({x}) * {text})"
+    return text
+
+
+def _ratio(pair: tuple[Sequence[float], Sequence[float]], x: str) -> str:
+    return f"{polynomial(pair[0], x)} / {polynomial(pair[1], x)}"
 
-_NORMAL = NormalDist()
 
+def lower_quantile(share: str) -> str:
+    """Standard normal value below which ``share`` (at most one half) lies."""
+    q, r = f"({share} - 0.5D)", f"sqrt(-ln({share}))"
+    return (
+        f"CASE WHEN {q} >= -0.425D THEN {q} * {_ratio(MIDDLE, f'(0.180625D - {q} * {q})')} "
+        f"WHEN {r} <= 5 THEN -{_ratio(TAIL, f'({r} - 1.6D)')} ELSE -{_ratio(FAR, f'({r} - 5)')} END"
+    )
 
-def _poly(coefficients, x: float) -> float:
-    return float(np.polynomial.polynomial.polyval(x, coefficients))
 
+def shapiro_w() -> str:
+    """W from n, sum_sq (of deviations), norm2, low1, low2, mid and the outer gaps.
 
-def _weights(n: int) -> np.ndarray:
-    """Upper-half weights, largest order statistic first."""
-    ranks = np.arange(1, n // 2 + 1)
-    m = np.array([-_NORMAL.inv_cdf((i - 0.375) / (n + 0.25)) for i in ranks])
-    if n == 3:
-        return np.array([math.sqrt(0.5)])
-    norm2 = 2 * float(m @ m)
-    root = 1 / math.sqrt(n)
-    weights = m.copy()
-    weights[0] = _poly(LAST_WEIGHT, root) + m[0] / math.sqrt(norm2)
-    fixed = 1
-    if n > 5:
-        weights[1] = _poly(NEXT_WEIGHT, root) + m[1] / math.sqrt(norm2)
-        fixed = 2
-    left = norm2 - 2 * float(m[:fixed] @ m[:fixed])
-    share = 1 - 2 * float(weights[:fixed] @ weights[:fixed])
-    weights[fixed:] = m[fixed:] / math.sqrt(left / share)
-    return weights
+    ``low1`` and ``low2`` are the two lowest expected normal scores, ``mid`` is the sum
+    of score times value over the ranks in between, ``gap1`` and ``gap2`` are the
+    distances of the outermost and second outermost values.
+    """
+    u = "(1 / sqrt(n))"
+    last = f"({polynomial(LAST_WEIGHT, u)} - low1 / sqrt(norm2))"
+    after = f"({polynomial(NEXT_WEIGHT, u)} - low2 / sqrt(norm2))"
+    two = (
+        f"{last} * gap1 + {after} * gap2 + mid / sqrt((norm2 - 2 * low1 * low1 - 2 * low2 * low2) "
+        f"/ (1 - 2 * {last} * {last} - 2 * {after} * {after}))"
+    )
+    # of four or five values only the outermost weight is set, of three all are known
+    one = (
+        f"{last} * gap1 + mid / sqrt((norm2 - 2 * low1 * low1) / (1 - 2 * {last} * {last}))"
+    )
+    linear = f"CASE WHEN n > 5 THEN {two} WHEN n > 3 THEN {one} ELSE sqrt(0.5D) * gap1 END"
+    return f"least(pow({linear}, 2) / sum_sq, 1D)"
 
 
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """(W, p) for 3 <= n <= 5000 values that are not all equal."""
-    x = np.sort(np.asarray(values, dtype="float64"))
-    n = len(x)
-    if n < 3 or x[0] == x[-1]:
-        return math.nan, math.nan
-    x = x - x[n // 2]
-    half = n // 2
-    spread = x[::-1][:half] - x[:half]
-    w = float(_weights(n) @ spread) ** 2 / float(((x - x.mean()) ** 2).sum())
-    w = min(w, 1.0)
-    if n == 3:
-        p = 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
-        return w, max(p, 0.0)
-    if w == 1.0:
-        return w, 1.0
-    y = math.log(1 - w)
-    if n <= 11:
-        limit = _poly(SMALL_GAMMA, n)
-        if y >= limit:
-            return w, 1e-99
-        y = -math.log(limit - y)
-        mean, sd = _poly(SMALL_MEAN, n), math.exp(_poly(SMALL_LOG_SD, n))
-    else:
-        size = math.log(n)
-        mean, sd = _poly(LARGE_MEAN, size), math.exp(_poly(LARGE_LOG_SD, size))
-    return w, 0.5 * math.erfc((y - mean) / sd / math.sqrt(2))
+def shapiro_z() -> str:
+    """Standard normal score of ``w``, whose upper tail is the p-value; for n > 3."""
+    small = f"(-ln({polynomial(SMALL_GAMMA, 'n')} - ln(1 - w)) - {polynomial(SMALL_MEAN, 'n')})"
+    large = f"(ln(1 - w) - {polynomial(LARGE_MEAN, 'ln(n)')})"
+    return (
+        f"CASE WHEN w = 1 THEN double('-infinity') "
+        f"WHEN n > 11 THEN {large} / exp({polynomial(LARGE_LOG_SD, 'ln(n)')}) "
+        f"WHEN ln(1 - w) >= {polynomial(SMALL_GAMMA, 'n')} THEN double('infinity') "
+        f"ELSE {small} / exp({polynomial(SMALL_LOG_SD, 'n')}) END"
+    )

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +14,18 @@ from tamperlens.functions.columns import (
     require_columns,
 )
 from tamperlens.functions.labels import score_tier
-from tamperlens.functions.normality import shapiro_wilk
+from tamperlens.functions.normality import CALIBRATED_ROWS, lower_quantile, shapiro_w, shapiro_z
+from tamperlens.functions.tails import normal_tail
 from tamperlens.plans.joins import attach_by_key
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
 from tamperlens.plans.quantiles import grouped_quantiles, quantiles_of_staged
-from tamperlens.plans.staging import previous_in_order, stage, stage_sorted
+from tamperlens.plans.staging import previous_in_order, running_total, stage, stage_sorted
 
 KEYS = ["column", "_g"]
 
 # fixed values: thresholds of the shape checks
 MIN_VALUES = 20
-SHAPIRO_ROWS = 5000
+RANK_STEP = 10_000
 GRID_POINTS = 100
 TOP_PEAKS = 3
 PEAK_SHARE = 0.7
@@ -140,23 +139,27 @@ def gap_analysis(
 def _grid(values: DataFrame, stats: DataFrame, limits: Limits) -> DataFrame:
     """(column, _g, i, x, density) on the grid from minimum to maximum.
 
-    Every distinct value adds its kernel to the grid points inside the task that
-    holds it; only grid sums are shuffled.
+    Every distinct value adds its kernel to one sum per grid point inside the task
+    that holds it; one row per key and task is shuffled.
     """
     last = GRID_POINTS - 1
     curve = stats.filter("std_dev > 0").selectExpr(
         *KEYS, "sample_size", "min", "max", "std_dev * pow(sample_size, -0.2D) AS h"
     )
     placed = attach_by_key(values, curve, KEYS, "sample_size", "value", limits=limits)
-    points = placed.selectExpr("*", f"explode(sequence(0, {last})) AS i").selectExpr(
-        "*", f"if(i = {last}, max, min + i * ((max - min) / {last})) AS x"
+
+    def x(i: int) -> str:
+        return "max" if i == last else f"(min + {i} * ((max - min) / {last}))"
+
+    kernels = [F.expr(f"sum(cnt * exp(-pow(({x(i)} - value) / h, 2) / 2)) AS k{i}") for i in range(GRID_POINTS)]
+    sums = placed.groupBy(*KEYS).agg(
+        *[F.expr(f"max({c}) AS {c}") for c in ("sample_size", "min", "max", "h")], *kernels
     )
-    return points.groupBy(*KEYS, "i").agg(
-        F.expr("max(x) AS x"),
-        F.expr(
-            "sum(cnt * exp(-pow((x - value) / h, 2) / 2)) "
-            "/ max(sample_size * h * sqrt(2 * pi())) AS density"
-        ),
+    listed = ", ".join(f"k{i}" for i in range(GRID_POINTS))
+    points = sums.selectExpr("*", f"posexplode(array({listed})) AS (i, _k)")
+    return points.selectExpr(
+        *KEYS, "i", f"if(i = {last}, max, min + i * ((max - min) / {last})) AS x",
+        "_k / (sample_size * h * sqrt(2 * pi())) AS density",
     )
 
 
@@ -209,27 +212,46 @@ def density_peaks(
     )
 
 
-def _shapiro_per_key(pdf: pd.DataFrame) -> pd.DataFrame:
-    sample = np.repeat(pdf["value"].to_numpy(), pdf["cnt"].to_numpy())
-    w, p = shapiro_wilk(sample)
-    return pd.DataFrame(
-        {"column": [pdf["column"].iloc[0]], "_g": [pdf["_g"].iloc[0]], "shapiro_w": [w], "shapiro_p": [p]}
-    )
-
+def _shapiro(
+    values: DataFrame, stats: DataFrame, limits: Limits, shapiro_rows: int | None = None
+) -> DataFrame:
+    """(column, _g, shapiro_w, shapiro_p) from ranks and sums, for groups of any size.
 
-def _shapiro(values: DataFrame, stats: DataFrame, limits: Limits) -> DataFrame:
-    """p per key of up to 5000 values; larger keys never reach the grouped step."""
-    small = stats.filter(f"sample_size <= {SHAPIRO_ROWS} AND std_dev > 0").select(*KEYS)
-    # key by key the counts are joined through the full statistics, so the rows
-    # of a large key are spread before they are dropped
-    every = attach_by_key(
-        values, stats.select(*KEYS, "sample_size"), KEYS, "sample_size", "value", limits=limits
+    A distinct value holds the ranks up to its running count; equal values unfold to
+    their ranks in steps, and one sum per key is all that is shuffled.
+    """
+    tested = stats.filter("std_dev > 0 AND sample_size >= 3")
+    if shapiro_rows is not None:
+        tested = tested.filter(f"sample_size <= {shapiro_rows}")
+    sizes = tested.selectExpr(*KEYS, "sample_size AS n", "mean", "pow(std_dev, 2) * (sample_size - 1) AS sum_sq")
+    placed = attach_by_key(
+        running_total(values, KEYS, "cnt", "upto"), sizes.withColumn("rows", F.col("n")), KEYS, "rows", "value", limits=limits
+    )
+    ranks = (
+        placed.selectExpr("*", f"explode(sequence(upto - cnt + 1, upto, {RANK_STEP}L)) AS start")
+        .selectExpr("*", f"explode(sequence(start, least(start + {RANK_STEP - 1}, upto))) AS rank")
+        .selectExpr(*KEYS, "n", "sum_sq", "rank", "value - mean AS x", "least(rank, n + 1 - rank) AS side")
+        .withColumn("low", F.expr(lower_quantile("((side - 0.375D) / (n + 0.25D))")))
+        .withColumn("score", F.expr("CASE WHEN 2 * rank < n + 1 THEN low WHEN 2 * rank > n + 1 THEN -low ELSE 0D END"))
     )
-    chosen = every.filter(f"sample_size <= {SHAPIRO_ROWS}").select(*KEYS, "value", "cnt")
-    results = chosen.groupBy(*KEYS).applyInPandas(
-        _shapiro_per_key, "column string, _g string, shapiro_w double, shapiro_p double"
+    inner = "rank > if(n > 5, 2, 1) AND rank < n + 1 - if(n > 5, 2, 1)"
+    summed = ranks.groupBy(*KEYS).agg(
+        F.expr("max(n) AS n"),
+        F.expr("max(sum_sq) AS sum_sq"),
+        F.expr("sum(score * score) AS norm2"),
+        F.expr(f"coalesce(sum(if({inner}, score * x, NULL)), 0D) AS mid"),
+        F.expr("min(if(rank = 1, score, NULL)) AS low1"),
+        F.expr("min(if(rank = 2, score, NULL)) AS low2"),
+        F.expr("max(if(rank = n, x, NULL)) - max(if(rank = 1, x, NULL)) AS gap1"),
+        F.expr("max(if(rank = n - 1, x, NULL)) - max(if(rank = 2, x, NULL)) AS gap2"),
+    )
+    three = "greatest(6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75D))), 0D)"
+    return (
+        summed.selectExpr("*", f"{shapiro_w()} AS w")
+        .selectExpr("*", f"{shapiro_z()} AS z")
+        .withColumn("tail", normal_tail("z"))
+        .selectExpr(*KEYS, "w AS shapiro_w", f"if(n = 3, {three}, tail) AS shapiro_p")
     )
-    return small.join(results, KEYS).select(*KEYS, "shapiro_w", "shapiro_p")
 
 
 def shapiro_normality(
@@ -239,13 +261,23 @@ def shapiro_normality(
     include_overall: bool = False,
     min_values: int = MIN_VALUES,
     limits: Limits = DEFAULT_LIMITS,
+    shapiro_rows: int | None = None,
 ) -> DataFrame:
-    """Shapiro-Wilk W and p for groups of up to 5000 values, NULL above."""
+    """Shapiro-Wilk W and p of every group, by one formula.
+
+    ``calibrated`` says whether p lies in the range its approximation was fitted
+    to.  ``shapiro_rows`` leaves larger groups out if a caller wants that.
+    """
     cells = _cells(df, columns, by, include_overall)
     stats = stage(_moments(cells, min_values))
-    found = _shapiro(_value_counts(cells, stats, limits), stats, limits)
+    found = _shapiro(_value_counts(cells, stats, limits), stats, limits, shapiro_rows)
     return stats.join(found, KEYS, "left").select(
-        "column", _group_name(), "sample_size", "shapiro_w", "shapiro_p"
+        "column",
+        _group_name(),
+        "sample_size",
+        "shapiro_w",
+        "shapiro_p",
+        F.expr(f"sample_size <= {CALIBRATED_ROWS} AS calibrated"),
     )
 
 
@@ -256,6 +288,7 @@ def multimodality(
     include_overall: bool = False,
     min_values: int = MIN_VALUES,
     limits: Limits = DEFAULT_LIMITS,
+    shapiro_rows: int | None = None,
 ) -> DataFrame:
     """Shape statistics, peaks, gaps and their additive suspicion score.
 
@@ -271,7 +304,7 @@ def multimodality(
         stats.join(medians, KEYS, "left")
         .join(_gaps(values, stats), KEYS, "left")
         .join(peaks, KEYS, "left")
-        .join(_shapiro(values, stats, limits), KEYS, "left")
+        .join(_shapiro(values, stats, limits, shapiro_rows), KEYS, "left")
         .withColumn("peak_count", F.expr("coalesce(peak_count, 0L)"))
     )
     score = (

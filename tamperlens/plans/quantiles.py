@@ -64,6 +64,10 @@ def quantiles_of_staged(
             F.expr(f"min(if(_upto > floor({rank}), {quoted(value)}, NULL)) AS {low}"),
             F.expr(f"min(if(_upto > ceil({rank}), {quoted(value)}, NULL)) AS {high}"),
         ]
-        columns.append(f"{low} + ({high} - {low}) * ({rank} - floor({rank})) AS {quoted(name)}")
+        # the formula of the built-in percentile, so that both plans give equal bits
+        columns.append(
+            f"if({low} = {high}, {low}, (ceil({rank}) - {rank}) * {low} + ({rank} - floor({rank})) * {high}) "
+            f"AS {quoted(name)}"
+        )
     edges = sized.groupBy(*keys).agg(F.expr("max(_n) AS _n"), *aggregates)
     return edges.selectExpr(*[quoted(k) for k in keys], *columns)

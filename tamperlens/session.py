@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -29,14 +26,12 @@ def build_session(app_name: str = "tamperlens", master: str | None = None, **con
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session may fall back to a temporary folder, because there the
-    driver and the executors are one machine.
+    Where it is unset, a folder in the session's warehouse, which is as shared as
+    its tables, is set and used.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = os.path.join(tempfile.gettempdir(), "tamperlens-checkpoints")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tamperlens"
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -177,10 +177,11 @@ def test_multimodality_scores(spark):
     assert found["normal"]["shapiro_p"] > 0.001
 
 
-def test_large_group_has_no_normality_test(spark):
+def test_large_group_is_tested_and_marked(spark):
     df = frame(spark, {"big": RNG.normal(size=5001), "small": RNG.normal(size=5000)})
     found = by(shapiro_normality(df, ["v"], "g").collect(), "group")
-    assert found["big"]["shapiro_p"] is None and found["small"]["shapiro_p"] is not None
+    assert found["big"]["shapiro_p"] is not None and not found["big"]["calibrated"]
+    assert found["small"]["shapiro_p"] is not None and found["small"]["calibrated"]
 
 
 def test_distributed_plans_give_the_same_rows(spark, tiny):

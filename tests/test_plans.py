@@ -46,6 +46,16 @@ def test_row_id_ignores_input_partitioning(spark):
     assert same_rows(with_row_id(df.repartition(7), ["k"]), with_row_id(df.repartition(3), ["k"]))
 
 
+def test_both_quantile_plans_give_equal_bits(spark):
+    df = spark.range(997 * 60).selectExpr("id % 997 AS k", "rand(3) * 1000 AS v")
+    wanted = {"q25": 0.25, "median": 0.5, "q90": 0.9}
+    plans = [
+        grouped_quantiles(df, ["k"], "v", wanted, 100, limits).orderBy("k").collect()
+        for limits in (Limits(), Limits(percentile_rows=1, hot_rows=50, spread=4))
+    ]
+    assert plans[0] == plans[1]
+
+
 def test_staged_tables_live_in_the_session_folder(spark):
     staged = stage(spark.range(5))
     folder = shared_folder(spark)
