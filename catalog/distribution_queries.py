@@ -180,7 +180,7 @@ def _sql_digits(source: str, columns: dict[str, str]) -> str:
                 concat_ws(',', CASE WHEN even > 0.65 THEN 'even_digits_overrepresented' END,
                     CASE WHEN five > 0.2 THEN 'digit_5_overrepresented' END,
                     CASE WHEN zero > 0.2 THEN 'digit_0_overrepresented' END) AS patterns_detected,
-                n::BIGINT AS sample_size
+                n::BIGINT AS sample_size, NULL::VARCHAR AS error
             FROM tiered)"""
 
 
@@ -240,7 +240,8 @@ _EVENT_STATS = _sql_stats("events", ["value"], "event_type", False)
 _SHOWN_STATS = f"""
         SELECT s."column", s."group", {sql_round("mean", "mean")}, {sql_round("median", "median")},
             {sql_round("sd", "std_dev")}, {sql_round("mn", "min")}, {sql_round("mx", "max")},
-            {sql_round("skewness", "skewness")}, {sql_round("kurtosis", "kurtosis")}, n AS sample_size
+            {sql_round("skewness", "skewness")}, {sql_round("kurtosis", "kurtosis")}, n AS sample_size,
+            NULL::VARCHAR AS error
         FROM stats s JOIN third t ON s."column" = t."column" AND s.gk = t.gk"""
 
 

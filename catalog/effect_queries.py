@@ -26,12 +26,12 @@ def event_groups(spark, sf_dir):
 
 
 def welch_comparison(spark, sf_dir):
-    found = compare_with_without(*_inputs(spark, sf_dir))
+    found = compare_with_without(*_inputs(spark, sf_dir), all_pairs=True)
     return rounded(found.drop("p_value", "significant"))
 
 
 def welch_p_values(spark, sf_dir):
-    found = compare_with_without(*_inputs(spark, sf_dir))
+    found = compare_with_without(*_inputs(spark, sf_dir), all_pairs=True)
     return rounded(found.select("scope", "outcome", "pair", "t_statistic", "p_value", "significant"))
 
 
@@ -39,13 +39,19 @@ def group_descriptions(spark, sf_dir):
     return rounded(descriptive_stats(*_inputs(spark, sf_dir)))
 
 
+def first_comparison(spark, sf_dir):
+    """Each event type against the first one to appear."""
+    found = compare_with_without(*_inputs(spark, sf_dir))
+    return rounded(found.select("scope", "outcome", "pair", "mean_difference", "cohens_d", "n1", "n2"))
+
+
 def changed_results(spark, sf_dir):
-    found = significance_change(*_inputs(spark, sf_dir))
+    found = significance_change(*_inputs(spark, sf_dir), all_pairs=True)
     return rounded(found.drop("with_p_value", "without_p_value", "significance_changed"))
 
 
 def changed_significance(spark, sf_dir):
-    found = significance_change(*_inputs(spark, sf_dir))
+    found = significance_change(*_inputs(spark, sf_dir), all_pairs=True)
     return rounded(
         found.select("column", "pair", "with_p_value", "without_p_value", "significance_changed")
     )
@@ -61,6 +67,7 @@ def unusual_rows(spark, sf_dir):
 QUERIES = {
     "group_order": event_groups,
     "compare_with_without": welch_comparison,
+    "compare_with_first": first_comparison,
     "welch_p_values": welch_p_values,
     "descriptive_stats": group_descriptions,
     "significance_change": changed_results,
@@ -110,6 +117,10 @@ SQL = {
             {sql_round("w.p", "without_p_value")}, (f.p < 0.05) <> (w.p < 0.05) AS significance_changed
         FROM tested f JOIN tested w ON f.outcome = w.outcome AND f.pair = w.pair
         WHERE f.scope = 'full_dataset' AND w.scope = 'without_suspicious'""",
+    "compare_with_first": f"""
+        WITH {_BASE}
+        SELECT scope, outcome, pair, {sql_round("diff", "mean_difference")}, {sql_round("d", "cohens_d")}, n1, n2
+        FROM pairs WHERE group1 = (SELECT arg_min(g, first_row) FROM firsts)""",
     "group_order": f"""
         SELECT event_type AS "group", min(row_id) AS first_row FROM ({SQL_EVENTS}) GROUP BY 1""",
     "compare_with_without": f"""

@@ -67,12 +67,12 @@ def effect_bars(spark, sf_dir):
 
 
 def chart_bars(spark, sf_dir):
-    found = with_without_chart(*_inputs(spark, sf_dir))
+    found = with_without_chart(*_inputs(spark, sf_dir), all_pairs=True)
     return rounded(found.filter("measure <> 'p_value_x100'"))
 
 
 def chart_p_values(spark, sf_dir):
-    return rounded(with_without_chart(*_inputs(spark, sf_dir)).filter("measure = 'p_value_x100'"), 4)
+    return rounded(with_without_chart(*_inputs(spark, sf_dir), all_pairs=True).filter("measure = 'p_value_x100'"), 4)
 
 
 def outliers(spark, sf_dir):
@@ -247,18 +247,20 @@ SQL = {
         FROM fenced GROUP BY outcome, s, g""",
     "effect_size_table": f"""
         WITH {SQL_EFFECTS},
-        two AS (
-            SELECT g, row_number() OVER (ORDER BY min(row_id)) AS k FROM cells WHERE s GROUP BY g
-            QUALIFY k <= 2),
+        places AS (SELECT g, row_number() OVER (ORDER BY min(row_id)) AS k FROM cells WHERE s GROUP BY g),
+        sums AS (
+            SELECT outcome, s, g, k, count(*) AS n, avg(value) AS m, var_samp(value) AS v
+            FROM cells JOIN places USING (g) GROUP BY ALL),
         sides AS (
-            SELECT outcome, s, count(*) FILTER (WHERE k = 1) AS na, count(*) FILTER (WHERE k = 2) AS nb,
-                avg(value) FILTER (WHERE k = 1) AS ma, avg(value) FILTER (WHERE k = 2) AS mb,
-                var_samp(value) FILTER (WHERE k = 1) AS va, var_samp(value) FILTER (WHERE k = 2) AS vb
-            FROM cells JOIN two USING (g) GROUP BY outcome, s)
-        SELECT outcome, CASE WHEN s THEN 'Raw Difference (Suspicious)' ELSE 'Raw Difference (Normal)' END
+            SELECT b.outcome, b.s, b.g AS "group", a.g AS against, b.k::INTEGER AS place,
+                a.n AS na, a.m AS ma, a.v AS va, b.n AS nb, b.m AS mb, b.v AS vb
+            FROM sums a JOIN sums b ON a.outcome = b.outcome AND a.s = b.s WHERE a.k = 1 AND b.k > 1)
+        SELECT outcome, "group", against, place,
+            CASE WHEN s THEN 'Raw Difference (Suspicious)' ELSE 'Raw Difference (Normal)' END
                 AS effect_size_type, {sql_round("abs(ma - mb)", "effect_size")} FROM sides
         UNION ALL
-        SELECT outcome, CASE WHEN s THEN 'Cohen''s d (Suspicious)' ELSE 'Cohen''s d (Normal)' END,
+        SELECT outcome, "group", against, place,
+            CASE WHEN s THEN 'Cohen''s d (Suspicious)' ELSE 'Cohen''s d (Normal)' END,
             {sql_round("CASE WHEN na <= 1 OR nb <= 1 OR (va = 0 AND vb = 0) THEN 0 ELSE (ma - mb) "
                        "/ sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) END", "effect_size")}
         FROM sides""",

@@ -46,7 +46,7 @@ def terminal_digit(df: DataFrame, column: str) -> str:
     return f"cast(abs({name} % 10) AS INT)"
 
 
-def _digit_counts(df: DataFrame, columns: Sequence[str] | None, min_values: int) -> DataFrame:
+def _digit_counts(df: DataFrame, columns: Sequence[str] | None, min_values: int | None) -> DataFrame:
     """One row per checked column with the ten counts ``d0`` … ``d9``."""
     chosen = df.columns if columns is None else present_columns(df, columns)
     cells = long_form(df, numeric_columns(df, chosen), value="digit", expression=terminal_digit)
@@ -54,7 +54,7 @@ def _digit_counts(df: DataFrame, columns: Sequence[str] | None, min_values: int)
         F.expr("count(*) AS sample_size"),
         *[F.expr(f"count_if(digit = {d}) AS d{d}") for d in range(10)],
     )
-    return counts.filter(f"sample_size >= {min_values}")
+    return counts if min_values is None else counts.filter(f"sample_size >= {min_values}")
 
 
 def digit_histogram(
@@ -79,8 +79,8 @@ def terminal_digits(
 ) -> DataFrame:
     """Uniformity of the ones digit, one row per column.
 
-    Columns with fewer than ``min_values`` finite values are left out.  Ties for
-    the most and least common digit go to the smaller digit.
+    A column of fewer than ``min_values`` finite values has counts and ``error``
+    only.  Ties for the most and least common digit go to the smaller digit.
     """
     n = "sample_size"
     chi_square = " + ".join(f"pow({d} - {n} / 10D, 2) / ({n} / 10D)" for d in DIGITS)
@@ -93,23 +93,25 @@ def terminal_digits(
         f"if(d5 / {n} > {SINGLE_DIGIT_SHARE}, 'digit_5_overrepresented', NULL), "
         f"if(d0 / {n} > {SINGLE_DIGIT_SHARE}, 'digit_0_overrepresented', NULL)"
     )
-    scored = _digit_counts(df, columns, min_values).selectExpr(
-        "*", f"{chi_square} AS chi_square", f"array_compact(array({seen})) AS _seen"
+    enough = f"{n} >= {min_values}"
+    scored = _digit_counts(df, columns, None).selectExpr(
+        "*", f"if({enough}, {chi_square}, NULL) AS chi_square", f"array_compact(array({seen})) AS _seen"
     )
     counts = ", ".join(f"'{d}', d{d}" for d in range(10))
     result = scored.selectExpr(
         "column",
         f"map({counts}) AS terminal_digit_counts",
         "chi_square",
-        f"({entropy}) / log2(10D) AS entropy",
-        f"{digit_tier('chi_square')} AS suspicion",
-        f"-{ranked}.d AS most_common_digit",
-        "array_min(_seen).digit AS least_common_digit",
-        f"array_compact(array({patterns})) AS patterns_detected",
+        f"if({enough}, ({entropy}) / log2(10D), NULL) AS entropy",
+        f"if({enough}, {digit_tier('chi_square')}, NULL) AS suspicion",
+        f"if({enough}, -{ranked}.d, NULL) AS most_common_digit",
+        f"if({enough}, array_min(_seen).digit, NULL) AS least_common_digit",
+        f"if({enough}, array_compact(array({patterns})), NULL) AS patterns_detected",
         n,
+        f"if({enough}, NULL, 'fewer than {min_values} values') AS error",
     )
     return result.withColumns(
-        {"p_value": chi_square_p("chi_square"), "suspicion_score": F.expr(tier_score("suspicion"))}
+        {"p_value": chi_square_p("chi_square"), "suspicion_score": F.expr(f"if(error IS NULL, {tier_score('suspicion')}, NULL)")}
     )
 
 

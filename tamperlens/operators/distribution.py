@@ -68,6 +68,14 @@ def _moments(cells: DataFrame, min_values: int) -> DataFrame:
     return summed.filter(f"sample_size >= {min_values}")
 
 
+def _with_small(result: DataFrame, moments: DataFrame, min_values: int) -> DataFrame:
+    """Add a row with ``error`` for every group that is too small for the check."""
+    small = moments.filter(f"sample_size < {min_values}").select(
+        "column", _group_name(), "sample_size", F.lit(f"fewer than {min_values} values").alias("error")
+    )
+    return result.unionByName(small, allowMissingColumns=True)
+
+
 def _largest(stats: DataFrame) -> int:
     return stats.agg(F.max("sample_size")).first()[0] or 0
 
@@ -82,13 +90,14 @@ def distribution_stats(
 ) -> DataFrame:
     """Moments and median per column and group.
 
-    Skewness and excess kurtosis are the population ones.  ``include_overall``
+    A group of fewer than ``min_values`` values has a row with ``error`` only.  Skewness and excess kurtosis are the population ones.  ``include_overall``
     adds the rows without a group (``group`` NULL) in the same pass.
     """
     cells = _cells(df, columns, by, include_overall)
-    stats = stage(_moments(cells, min_values))
+    moments = stage(_moments(cells, 0))
+    stats = moments.filter(f"sample_size >= {min_values}")
     medians = grouped_quantiles(cells, KEYS, "value", {"median": 0.5}, _largest(stats), limits)
-    return stats.join(medians, KEYS, "left").select(
+    found = stats.join(medians, KEYS, "left").select(
         "column",
         _group_name(),
         "mean",
@@ -99,7 +108,9 @@ def distribution_stats(
         "skewness",
         "kurtosis",
         "sample_size",
+        F.lit(None).cast("string").alias("error"),
     )
+    return _with_small(found, moments, min_values)
 
 
 def _value_counts(cells: DataFrame, stats: DataFrame, limits: Limits) -> DataFrame:
@@ -296,7 +307,8 @@ def multimodality(
     constant column yields a row with ``error`` set.
     """
     cells = _cells(df, columns, by, include_overall)
-    stats = stage(_moments(cells, min_values))
+    moments = stage(_moments(cells, 0))
+    stats = moments.filter(f"sample_size >= {min_values}")
     values = _value_counts(cells, stats, limits)
     medians = quantiles_of_staged(values, KEYS, "value", "cnt", {"median": 0.5}, limits)
     peaks = _peaks(_grid(values, stats, limits))
@@ -324,10 +336,11 @@ def multimodality(
         f"kurtosis < {FLAT_KURTOSIS} AS potential_multimodal",
         "transform(coalesce(_tops, array()), t -> t.x) AS peak_values",
     ).withColumn("suspicion", F.expr(score_tier("suspicion_score")))
-    return scored.select(
+    found = scored.select(
         "column",
         _group_name(),
         *[F.expr(f"if(std_dev > 0, {c}, NULL) AS {c}") for c in shown],
         "sample_size",
         F.expr("if(std_dev > 0, NULL, 'zero variance') AS error"),
     )
+    return _with_small(found, moments, min_values)

@@ -69,8 +69,14 @@ def group_order(df: DataFrame, group: str, row_id: str = "row_id") -> DataFrame:
     return keyed.filter("_g IS NOT NULL").groupBy("_g").agg(F.expr("min(_row) AS first_row"))
 
 
-def _pairs(groups: DataFrame, per_group: DataFrame, outcomes: Sequence[str]) -> DataFrame:
-    """All ordered group pairs per scope and outcome, summaries on both sides."""
+def _pairs(
+    groups: DataFrame, per_group: DataFrame, outcomes: Sequence[str], against: str | None, all_pairs: bool
+) -> DataFrame:
+    """Ordered group pairs per scope and outcome, summaries on both sides.
+
+    Each group meets the group ``against``, or the first one to appear; with
+    ``all_pairs`` every pair is formed, which grows with the square of the groups.
+    """
     scopes = ", ".join(f"'{scope}'" for scope in (FULL, WITHOUT, ONLY))
     names = ", ".join(text_literal(o) for o in outcomes)
     grid = groups.selectExpr("*", f"explode(array({scopes})) AS scope").selectExpr(
@@ -87,6 +93,13 @@ def _pairs(groups: DataFrame, per_group: DataFrame, outcomes: Sequence[str]) ->
         renamed = [f"{c} AS {c}{i}" for c in ("_g", "first_row", "n", "mean", "var")]
         return filled.selectExpr("scope", "outcome", f"{salt} AS _salt", *renamed)
 
+    if not all_pairs:
+        own = F.col("_g") == against if against is not None else None
+        named = groups.filter(own) if own is not None else groups.orderBy("first_row").limit(1)
+        # a row for each scope and outcome: the columns of the table bound it
+        base = side(1, "0L").join(F.broadcast(named.select(F.col("_g").alias("_g1"))), "_g1")
+        few = F.broadcast(base.select("scope", "outcome", *[f"{c}1" for c in ("_g", "first_row", "n", "mean", "var")]))
+        return side(2, "0L").join(few, ["scope", "outcome"]).filter("_g1 <> _g2")
     left = side(1, f"pmod(xxhash64(_g), {PAIR_SPREAD}L)")
     right = side(2, f"explode(sequence(0L, {PAIR_SPREAD - 1}L))")
     return left.join(right, ["scope", "outcome", "_salt"]).filter("first_row1 < first_row2")
@@ -134,10 +147,18 @@ def _compare(pairs: DataFrame) -> DataFrame:
 
 
 def compare_with_without(
-    df: DataFrame, rows: Rows, group: str, outcomes: Sequence[str], row_id: str = "row_id"
+    df: DataFrame,
+    rows: Rows,
+    group: str,
+    outcomes: Sequence[str],
+    row_id: str = "row_id",
+    against: str | None = None,
+    all_pairs: bool = False,
 ) -> DataFrame:
-    """Welch test and Cohen's d of every group pair in three scopes.
+    """Welch test and Cohen's d of group pairs in three scopes.
 
+    Each group is compared with the group ``against``, or with the first one to
+    appear; ``all_pairs`` compares every two groups.
     Pairs with fewer than two values on a side give an ``error`` row, except in
     the suspicious-only scope, where they are left out.  The sign of
     ``cohens_d`` is that of second minus first group, opposite to the t value.
@@ -145,7 +166,7 @@ def compare_with_without(
     names = numeric_columns(df, present_columns(df, outcomes))
     cells = _flagged_cells(df, rows, group, names, row_id)
     per_group = _summaries(_scoped(cells))
-    pairs = _pairs(group_order(df, group, row_id), per_group, names)
+    pairs = _pairs(group_order(df, group, row_id), per_group, names, against, all_pairs)
     return _compare(pairs).selectExpr(
         "scope",
         "outcome",
@@ -192,14 +213,21 @@ def descriptive_stats(
 
 
 def significance_change(
-    df: DataFrame, rows: Rows, group: str, outcomes: Sequence[str], row_id: str = "row_id"
+    df: DataFrame,
+    rows: Rows,
+    group: str,
+    outcomes: Sequence[str],
+    row_id: str = "row_id",
+    against: str | None = None,
+    all_pairs: bool = False,
 ) -> DataFrame:
     """Per outcome and pair, what removing the suspicious rows changes.
 
+    Pairs are those of ``compare_with_without`` with the same arguments.
     Percent changes compare the column without the rows to the column with them.
     """
     listed = rows_frame(df.sparkSession, rows)
-    compared = compare_with_without(df, listed, group, outcomes, row_id)
+    compared = compare_with_without(df, listed, group, outcomes, row_id, against, all_pairs)
 
     def of(scope: str, column: str, name: str) -> Column:
         return F.expr(f"max(if(scope = '{scope}', {column}, NULL)) AS {name}")

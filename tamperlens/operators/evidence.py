@@ -112,33 +112,37 @@ def box_summary(
 def effect_size_table(
     df: DataFrame, rows: Rows, group: str, outcomes: Sequence[str], row_id: str = "row_id"
 ) -> DataFrame:
-    """I4: (outcome, effect_size_type, effect_size) for the first two groups.
+    """I4: (outcome, group, against, place, effect_size_type, effect_size).
 
-    The groups are the first two that appear among the suspicious rows; an
-    outcome without values on one of the four sides is left out.
+    Groups are placed by their first suspicious row; each later group is measured
+    against the first.  An outcome without values on one of the four sides of a
+    pair is left out.
     """
     names = numeric_columns(df, present_columns(df, outcomes))
     listed = rows_frame(df.sparkSession, rows)
     keyed = df.selectExpr(f"{quoted(row_id)} AS row_index", f"cast({clean_sql(df, group)} AS STRING) AS _g")
-    first_two = (
+    seen = stage(
         keyed.filter("_g IS NOT NULL")
         .join(listed, "row_index", "left_semi")
         .groupBy("_g")
         .agg(F.expr("min(row_index) AS first_row"))
-        .orderBy("first_row")
-        .limit(2)
-    )
-    pair = first_two.agg(F.expr("sort_array(collect_list(struct(first_row, _g)))")).scalar()
-    sided = _flagged_cells(df, listed, group, names, row_id).withColumn("_pair", pair).selectExpr(
-        "*", "CASE _g WHEN get(_pair, 0)._g THEN 'a' WHEN get(_pair, 1)._g THEN 'b' END AS _side"
     )
+    # one row per group
+    placed = seen.selectExpr("_g", "row_number() OVER (ORDER BY first_row) AS place")
     aggregates = [
-        F.expr(f"{fn}(value) FILTER (WHERE _side = '{side}' AND {test}) AS {short}_{side}{flag}")
+        F.expr(f"{fn}(value) FILTER (WHERE {test}) AS {short}_b{flag}")
         for flag, test in (("s", "is_suspicious"), ("n", "NOT is_suspicious"))
-        for side in "ab"
         for short, fn in (("n", "count"), ("m", "avg"), ("v", "var_samp"))
     ]
-    stats = sided.filter("_side IS NOT NULL").groupBy("column").agg(*aggregates)
+    per_group = stage(
+        _flagged_cells(df, listed, group, names, row_id).groupBy("column", "_g").agg(*aggregates).join(placed, "_g")
+    )
+    sums = [f"{short}_b{flag}" for flag in "sn" for short in "nmv"]
+    first = per_group.filter("place = 1").selectExpr(
+        "`column`", "_g AS against", *[f"{c} AS {c.replace('_b', '_a')}" for c in sums]
+    )
+    # a row for each table column
+    stats = per_group.filter("place > 1").join(F.broadcast(first), "column")
     full = " AND ".join(f"n_{side}{flag} >= 1" for side in "ab" for flag in "sn")
 
     def raw(f: str) -> str:
@@ -161,13 +165,21 @@ def effect_size_table(
         f"struct({text_literal(name)} AS effect_size_type, {sql} AS effect_size)"
         for name, sql in entries.items()
     )
-    return stats.filter(full).selectExpr("`column` AS outcome", f"inline(array({bars}))")
+    return stats.filter(full).selectExpr(
+        "`column` AS outcome", "_g AS `group`", "against", "place", f"inline(array({bars}))"
+    )
 
 
 def with_without_chart(
-    df: DataFrame, rows: Rows, group: str, outcomes: Sequence[str], row_id: str = "row_id"
+    df: DataFrame,
+    rows: Rows,
+    group: str,
+    outcomes: Sequence[str],
+    row_id: str = "row_id",
+    against: str | None = None,
+    all_pairs: bool = False,
 ) -> DataFrame:
-    """Bars of the with/without chart.
+    """Bars of the with/without chart, pairs as in ``compare_with_without``.
 
     ``measure`` is ``mean`` (label group, spread deviation), ``effect_size`` or
     ``p_value_x100`` (label pair).
@@ -177,7 +189,7 @@ def with_without_chart(
     means = descriptive_stats(df, listed, group, outcomes, row_id).filter(shown).selectExpr(
         "outcome", "scope", "'mean' AS measure", "`group` AS label", "mean AS value", "std AS spread"
     )
-    pairs = compare_with_without(df, listed, group, outcomes, row_id).filter(
+    pairs = compare_with_without(df, listed, group, outcomes, row_id, against, all_pairs).filter(
         f"{shown} AND error IS NULL"
     )
     bars = (

@@ -13,6 +13,7 @@ from tamperlens.operators.distribution import (
     MIN_VALUES,
     _cells,
     _group_name,
+    _with_small,
 )
 from tamperlens.plans.joins import attach_by_key
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
@@ -53,15 +54,15 @@ def inlier_bands(
     statistics attached to its values.
     """
     cells = _cells(df, columns, by, include_overall)
-    stats = stage(
+    moments = stage(
         cells.groupBy(*KEYS)
         .agg(
             F.expr("count(*) AS sample_size"),
             F.expr("avg(value) AS mean"),
             F.expr("stddev_samp(value) AS std_dev"),
         )
-        .filter(f"sample_size >= {min_values}")
     )
+    stats = moments.filter(f"sample_size >= {min_values}")
     banded = (
         attach_by_key(cells, stats, KEYS, "sample_size", "value", limits=limits)
         .withColumn("_z", F.expr("abs((value - mean) / nullif(std_dev, 0D))"))
@@ -77,7 +78,7 @@ def inlier_bands(
     scored = ratios.selectExpr("*", f"{score_tier(f'({POINTS})')} AS suspicion")
     bands = [f"{band}_{kind}" for kind in ("count", "pct", "ratio") for band in BANDS]
     shown = ["mean", "std_dev", *bands, "suspicion"]
-    return scored.select(
+    found = scored.select(
         "column",
         _group_name(),
         *[F.expr(f"if(std_dev > 0, {c}, NULL) AS {c}") for c in shown],
@@ -85,3 +86,4 @@ def inlier_bands(
         "sample_size",
         F.expr("if(std_dev > 0, NULL, 'no spread of values') AS error"),
     )
+    return _with_small(found, moments, min_values)

@@ -10,6 +10,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tamperlens.operators.calcchain import fill_sheet_ids
 from tamperlens.plans.staging import stage
+from tamperlens.sources.tabular import typed
 
 _PIECE = 50_000  # cells handed to Spark at a time
 
@@ -127,21 +129,43 @@ def _cell_rows(path: str, content: bytes) -> Iterator[tuple]:
                         yield path, sheet, int(number), letters, _column_index(letters), value
 
 
-def _per_file(rows_of, columns: list[str]):
-    """A ``mapInPandas`` function that skips files it cannot read."""
+_BROKEN = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError, EOFError, zlib.error)
+
+
+def _per_file(rows_of, columns: list[str], errors: bool = False):
+    """A ``mapInPandas`` function over files: their rows, or (path, error) of broken ones.
+
+    Rows are handed on piece by piece, so no file is held as rows; what stands before
+    a break in a file counts.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    pieces = list(_frames(rows_of(path, content), columns))
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError):
-                    continue
-                yield from pieces
+                    for piece in _frames(rows_of(path, content), columns):
+                        if not errors:
+                            yield piece
+                except _BROKEN as failure:
+                    if errors:
+                        text = f"{type(failure).__name__}: {failure}"
+                        yield pd.DataFrame({"path": [path], "error": [text]})
 
     return run
 
 
+def unreadable_workbooks(files: DataFrame) -> DataFrame:
+    """(path, error) of files whose chain or first sheet cannot be read to its end."""
+
+    def everything(path: str, content: bytes) -> Iterator[tuple]:
+        yield from ((path,) for _ in _chain_rows(path, content))
+        yield from ((path,) for _ in _cell_rows(path, content))
+
+    return files.select("path", "content").mapInPandas(
+        _per_file(everything, ["path"], errors=True), "path string, error string"
+    )
+
+
 def parse_calc_chains(files: DataFrame) -> DataFrame:
     """(path, sheet_id, index, cell_ref) of every chain entry in file order.
 
@@ -165,17 +189,25 @@ def parse_workbook_cells(files: DataFrame) -> DataFrame:
 
 
 def workbook_tables(cells: DataFrame) -> DataFrame:
-    """A3: cells to one table: (path, sheet_row, header columns…), values as text.
+    """A3: cells to one table: (path, sheet_row, header columns…), typed by their values.
 
     The first row of each workbook names its columns; workbooks may have them in
-    different places.  Only the distinct header names reach the driver.
+    different places.  A name that stands several times in a workbook gets the
+    number of its repetition, a column without a name that of its place
+    (``column_3``), so no cell is lost.  The names are the columns of the result,
+    so they are what reaches the driver.
     """
     staged = stage(cells)
-    # one row per workbook, then per header cell: staged, so that their size decides the join
+    # one row per workbook, then per column of it: staged, so that their size decides the join
     tops = stage(staged.groupBy("path").agg(F.min("row").alias("_top")))
     placed = staged.join(tops, "path")
+    again = "row_number() OVER (PARTITION BY path, lower(_given) ORDER BY column_index)"
+    given = "max(if(row = _top, value, NULL))"
     headers = stage(
-        placed.filter("row = _top").select("path", "column_index", F.col("value").alias("_name"))
+        placed.groupBy("path", "column_index")
+        .agg(F.expr(f"coalesce(nullif(trim({given}), ''), concat('column_', column_index)) AS _given"))
+        .selectExpr("*", f"{again} AS _n")
+        .selectExpr("path", "column_index", "if(_n > 1, concat(_given, '_', _n), _given) AS _name")
     )
     named = placed.filter("row > _top").join(headers, ["path", "column_index"])
     order = headers.groupBy("_name").agg(F.min("column_index").alias("_i")).orderBy("_i", "_name")
@@ -185,7 +217,7 @@ def workbook_tables(cells: DataFrame) -> DataFrame:
         .pivot("_name", names)
         .agg(F.first("value"))
     )
-    return table
+    return typed(stage(table), ("path", "sheet_row"))
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:

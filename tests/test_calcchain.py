@@ -10,7 +10,13 @@ from conftest import by, same_rows
 
 from tamperlens.operators.calcchain import chain_anomalies, fill_sheet_ids, row_movement, split_cell_ref
 from tamperlens.plans.limits import Limits
-from tamperlens.sources.workbooks import read_calc_chains, read_workbooks
+from tamperlens.sources.workbooks import (
+    read_calc_chains,
+    read_workbooks,
+    unreadable_workbooks,
+    workbook_files,
+    workbook_tables,
+)
 
 SCHEMA = "path string, sheet_id string, index bigint, cell_ref string"
 
@@ -188,4 +194,19 @@ def test_read_workbooks(spark, books):
     table = read_workbooks(spark, books)
     assert set(table.columns) == {"path", "sheet_row", "id", "score"}
     rows = sorted((r["path"].rsplit("/", 1)[1], r["sheet_row"], r["id"], r["score"]) for r in table.collect())
-    assert rows == [("one.xlsx", 2, "11", "1.5"), ("one.xlsx", 3, "12", "true"), ("two.xlsx", 2, "21", "2.5")]
+    assert rows == [("one.xlsx", 2, 11, "1.5"), ("one.xlsx", 3, 12, "true"), ("two.xlsx", 2, 21, "2.5")]
+
+
+def test_repeated_and_blank_headers_lose_no_cell(spark):
+    cells = [("b", "S", 1, "A", 1, "x"), ("b", "S", 1, "B", 2, "x")]
+    cells += [("b", "S", 2, c, i, str(10 * i)) for i, c in enumerate("ABC", start=1)]
+    schema = "path string, sheet string, row bigint, column string, column_index int, value string"
+    row = workbook_tables(spark.createDataFrame(cells, schema)).first()
+    assert (row["x"], row["x_2"], row["column_3"]) == (10, 20, 30)
+
+
+def test_broken_workbooks_are_reported(spark, books):
+    files = workbook_files(spark, books)
+    found = {r["path"].rsplit("/", 1)[1]: r["error"] for r in unreadable_workbooks(files).collect()}
+    assert not {"one.xlsx", "two.xlsx"} & set(found)
+    assert all(found.values()) and any("BadZipFile" in e for e in found.values())

@@ -46,7 +46,7 @@ def test_digit_columns_and_tiers(spark):
     ]
     schema = "v_uniform double, v_heaped5 double, v_heaped0 double, v_even double, v_cents double, v_int bigint, v_short double"
     found = by(terminal_digits(spark.createDataFrame(rows, schema)).collect(), "column")
-    assert "v_short" not in found
+    assert found["v_short"]["error"] and found["v_short"]["suspicion"] is None and found["v_short"]["sample_size"] == 19
     assert found["v_uniform"]["suspicion"] == "none" and found["v_uniform"]["suspicion_score"] == 3
     assert found["v_uniform"]["p_value"] == pytest.approx(1) and found["v_uniform"]["entropy"] == pytest.approx(1)
     assert found["v_heaped5"]["suspicion"] == "high" and found["v_heaped5"]["most_common_digit"] == 5
@@ -122,7 +122,8 @@ def kde(values):
 
 def test_stats_by_group(spark):
     found = by(distribution_stats(frame(spark, SHAPES), ["v"], "g").collect(), "group")
-    assert sorted(found) == ["bimodal", "constant", "enough", "gap", "holes", "normal"]
+    assert sorted(found) == ["bimodal", "constant", "enough", "gap", "holes", "normal", "short"]
+    assert found["short"]["error"] and found["short"]["mean"] is None
     for name in ("normal", "bimodal", "gap"):
         v, row = np.asarray(SHAPES[name]), found[name]
         z = (v - v.mean()) / v.std()

@@ -39,7 +39,11 @@ def test_groups_in_order_of_appearance(planted):
 
 
 def test_compare(planted):
-    found = by(compare_with_without(planted, HIGH, "g", ["y", "s"]).collect(), "scope", "pair")
+    found = by(compare_with_without(planted, HIGH, "g", ["y", "s"], all_pairs=True).collect(), "scope", "pair")
+    linear = by(compare_with_without(planted, HIGH, "g", ["y", "s"]).collect(), "scope", "pair")
+    assert linear == {k: r for k, r in found.items() if k[1].startswith("a vs")}
+    named = compare_with_without(planted, HIGH, "g", ["y"], against="c").filter("scope = 'full_dataset'")
+    assert {r["pair"] for r in named.collect()} == {"c vs a", "c vs b"}
     full, without = found[("full_dataset", "a vs b")], found[("without_suspicious", "a vs b")]
     rows = [r for r in planted.collect() if r["g"] and r["y"] is not None and r["y"] == r["y"]]
     a = np.array([r["y"] for r in rows if r["g"] == "a"])
@@ -154,7 +158,10 @@ def test_known_values_on_the_tables(spark, sf_dir):
     )
     listed = events.filter("row_id % 100 = 0").select(F.col("row_id").alias("row_index"))
     full = by(
-        compare_with_without(events, listed, "event_type", ["value"]).filter("scope = 'full_dataset'").collect(), "pair"
+        compare_with_without(events, listed, "event_type", ["value"], all_pairs=True)
+        .filter("scope = 'full_dataset'")
+        .collect(),
+        "pair",
     )
     statistics = {frozenset(p.split(" vs ")): abs(r["t_statistic"]) for p, r in full.items()}
     assert statistics[frozenset(("click", "error"))] == pytest.approx(0.754632, abs=1e-6)
