@@ -15,6 +15,7 @@ from tamperlens.operators.segments import (
     segment_describe,
     segment_report,
     segment_rollup,
+    segment_types,
 )
 
 
@@ -84,8 +85,11 @@ def parsed_responses(spark, sf_dir):
 
 
 def rolled_up(spark, sf_dir):
-    found = segment_rollup(extract_response_json(_responses(spark, sf_dir)))
-    return found.withColumn("anomaly_types", F.array_join("anomaly_types", ","))
+    return segment_rollup(extract_response_json(_responses(spark, sf_dir)))
+
+
+def found_types(spark, sf_dir):
+    return segment_types(extract_response_json(_responses(spark, sf_dir)))
 
 
 def reported(spark, sf_dir):
@@ -104,6 +108,7 @@ QUERIES = {
     "segment_apply": scored_segments,
     "extract_response_json": parsed_responses,
     "segment_rollup": rolled_up,
+    "segment_types": found_types,
     "segment_report": reported,
     "report_findings": reported_findings,
 }
@@ -166,9 +171,10 @@ SQL = {
         WITH {_RESPONSES}
         SELECT (SELECT count(*) FROM confident) AS anomaly_chunks,
             (SELECT count(*) FROM confident) AS total_anomalies,
-            (SELECT coalesce(string_agg(DISTINCT event_type, ',' ORDER BY event_type), '') FROM confident)
-                AS anomaly_types,
+            (SELECT count(DISTINCT event_type) FROM confident) AS anomaly_types,
             count(*) AS total_chunks FROM answers""",
+    "segment_types": f"""
+        WITH {_RESPONSES} SELECT event_type AS type, count(*) AS findings FROM confident GROUP BY event_type""",
     "segment_report": f"""
         WITH {_RESPONSES}
         SELECT count(*) AS segments_analyzed, count(*) FILTER (WHERE NOT ok) AS error_segments,

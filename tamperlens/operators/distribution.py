@@ -116,7 +116,7 @@ def distribution_stats(
 def _value_counts(cells: DataFrame, stats: DataFrame, limits: Limits) -> DataFrame:
     """Staged (column, _g, value, cnt) rows in value order, eligible keys only."""
     eligible = stats.select(*KEYS, "sample_size")
-    kept = attach_by_key(cells, eligible, KEYS, "sample_size", "value", limits=limits)
+    kept = attach_by_key(cells, eligible, KEYS, "sample_size", limits)
     counts = kept.groupBy(*KEYS, "value").agg(F.count("*").alias("cnt"))
     return stage_sorted(counts, [*KEYS, "value"])
 
@@ -157,7 +157,7 @@ def _grid(values: DataFrame, stats: DataFrame, limits: Limits) -> DataFrame:
     curve = stats.filter("std_dev > 0").selectExpr(
         *KEYS, "sample_size", "min", "max", "std_dev * pow(sample_size, -0.2D) AS h"
     )
-    placed = attach_by_key(values, curve, KEYS, "sample_size", "value", limits=limits)
+    placed = attach_by_key(values, curve, KEYS, "sample_size", limits)
 
     def x(i: int) -> str:
         return "max" if i == last else f"(min + {i} * ((max - min) / {last}))"
@@ -236,7 +236,7 @@ def _shapiro(
         tested = tested.filter(f"sample_size <= {shapiro_rows}")
     sizes = tested.selectExpr(*KEYS, "sample_size AS n", "mean", "pow(std_dev, 2) * (sample_size - 1) AS sum_sq")
     placed = attach_by_key(
-        running_total(values, KEYS, "cnt", "upto"), sizes.withColumn("rows", F.col("n")), KEYS, "rows", "value", limits=limits
+        running_total(values, KEYS, "cnt", "upto"), sizes.withColumn("rows", F.col("n")), KEYS, "rows", limits
     )
     ranks = (
         placed.selectExpr("*", f"explode(sequence(upto - cnt + 1, upto, {RANK_STEP}L)) AS start")

@@ -299,7 +299,7 @@ def suspicious_effects(
         )
     )
     listed = cells.filter("is_suspicious")
-    joined = attach_by_key(listed, stats, keys, "n", row_id, limits=limits).filter("n >= 3")
+    joined = attach_by_key(listed, stats, keys, "n", limits).filter("n >= 3")
     spread = f"if(_rest > _m2 * {ROUNDING}D, sqrt(_rest / (n - 2)), NULL)"
     return (
         joined.selectExpr("*", "value - group_mean AS difference")

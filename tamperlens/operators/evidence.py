@@ -87,7 +87,7 @@ def box_summary(
     boxes = stage(sizes.join(quartiles, keys))
     inside = f"value BETWEEN q1 - {WHISKER}D * (q3 - q1) AND q3 + {WHISKER}D * (q3 - q1)"
     fenced = (
-        attach_by_key(cells, boxes, keys, "n", row_id, limits=limits)
+        attach_by_key(cells, boxes, keys, "n", limits)
         .groupBy(*keys)
         .agg(
             F.expr(f"min(value) FILTER (WHERE {inside}) AS whisker_low"),

@@ -64,7 +64,7 @@ def inlier_bands(
     )
     stats = moments.filter(f"sample_size >= {min_values}")
     banded = (
-        attach_by_key(cells, stats, KEYS, "sample_size", "value", limits=limits)
+        attach_by_key(cells, stats, KEYS, "sample_size", limits)
         .withColumn("_z", F.expr("abs((value - mean) / nullif(std_dev, 0D))"))
         .groupBy(*KEYS)
         .agg(*[F.expr(f"count_if({test}) AS {band}_count") for band, test in BANDS.items()])

@@ -73,7 +73,7 @@ def _with_id_counts(
     counts = stage(
         known.groupBy("_id").agg(F.expr("count(*) AS count")).filter("count > 1")
     )
-    return counts, attach_by_key(known, counts, ["_id"], "count", "row_index", limits)
+    return counts, attach_by_key(known, counts, ["_id"], "count", limits)
 
 
 def duplicate_id_rows(
@@ -156,7 +156,7 @@ def _repeated_across_groups(
         .agg(F.expr("sum(n) AS duplicate_count"), F.expr("count(*) AS different_conditions"))
         .filter("duplicate_count > 1 AND different_conditions > 1")
     )
-    rows = attach_by_key(facts, per_id, ["_id"], "duplicate_count", "row_index", limits)
+    rows = attach_by_key(facts, per_id, ["_id"], "duplicate_count", limits)
     return rows.select(
         F.expr("'duplicate_id' AS type"),
         F.expr("cast(_id AS STRING) AS id_value"),
@@ -207,7 +207,7 @@ def _expected_by_rank(
     counts = facts.filter("_id IS NOT NULL").groupBy(*keys, "_id").agg(F.expr("count(*) AS _n"))
     ranks = running_total(stage_sorted(counts, [*keys, "_id"]), keys, "_n", "_upto")
     ranked = stage(ranks.select(*keys, "_id", "_n", "_upto"))
-    joined = attach_by_key(placed, ranked, [*keys, "_id"], "_n", "row_index", limits)
+    joined = attach_by_key(placed, ranked, [*keys, "_id"], "_n", limits)
     return joined.withColumn("expected_position", F.expr("_upto - 1")).drop("_n", "_upto")
 
 
@@ -219,7 +219,7 @@ def _only_disordered(rows: DataFrame, keys: list[str], small: bool, limits: Limi
     states = stage(
         rows.groupBy(*keys).agg(F.expr("max(_descent) AS _disordered"), F.expr("count(*) AS _rows"))
     )
-    marked = attach_by_key(rows, states, keys, "_rows", "row_index", limits)
+    marked = attach_by_key(rows, states, keys, "_rows", limits)
     return marked.filter("_disordered").drop("_disordered", "_rows")
 
 
@@ -317,7 +317,7 @@ def filter_order_anomalies(findings: DataFrame, limits: Limits = DEFAULT_LIMITS)
     """
     staged = stage(findings.withColumn("_key", F.to_json("condition_values")))
     sizes = stage(staged.groupBy("_key").agg(F.count("*").alias("_size")))
-    sized = attach_by_key(staged, sizes, ["_key"], "_size", "row_index", limits=limits)
+    sized = attach_by_key(staged, sizes, ["_key"], "_size", limits)
     clustered = f"_size >= {CLUSTER_SIZE}"
     note = "concat(description, ', one of ', _size, ' in ', group_label)"
     return (
@@ -426,6 +426,7 @@ def sorting_anomalies(
         found = _with_previous_id(both, df, id_col, row_id, limits)
     columns = numeric_columns(df, exclude=[id_col, row_id, *groups], prioritize=prioritize)
     if check_dependent and columns:
+        found = stage(found)  # read for the effects and for the result
         effects = dependent_var_effects(df, found, columns, row_id)
         found = escalate_severity(found, effects, columns)
     return found.orderBy(F.desc("severity"), "row_index", "type")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamperlens.functions.columns import long_form, numeric_columns, present_columns
-from tamperlens.plans.staging import stage
 
 # fixed values: segment sizes and report bounds
 MAX_ROWS, MIN_ROWS, PARTS, ONE_PIECE = 500, 50, 10, 1000
@@ -159,25 +158,26 @@ def _confident() -> Column:
 
 
 def segment_rollup(responses: DataFrame) -> DataFrame:
-    """H5: one row over the confident anomalous segments.
+    """H5: one row over the confident anomalous segments; ``segment_types`` names the types.
 
-    ``anomaly_types`` is the set of finding names.  Only the flag and the names
-    of each response are staged, so the responses are parsed once.
+    ``anomaly_types`` is the number of different finding names.
     """
-    confident = stage(
-        responses.select(
-            F.coalesce(_confident(), F.lit(False)).alias("confident"),
-            F.expr("transform(findings, f -> f.type) AS types"),
-        )
+    confident = responses.select(
+        F.coalesce(_confident(), F.lit(False)).alias("confident"),
+        F.expr("transform(findings, f -> f.type) AS types"),
     )
-    names = confident.filter("confident").selectExpr("explode(types) AS type")
-    known = names.filter("type IS NOT NULL").distinct()
-    listing = known.agg(F.expr("sort_array(collect_list(type))")).scalar()
+    known = segment_types(responses).agg(F.count("*")).scalar()
     return confident.agg(
         F.expr("count_if(confident) AS anomaly_chunks"),
         F.expr("coalesce(sum(size(types)) FILTER (WHERE confident AND types IS NOT NULL), 0L) AS total_anomalies"),
         F.expr("count(*) AS total_chunks"),
-    ).select("anomaly_chunks", "total_anomalies", listing.alias("anomaly_types"), "total_chunks")
+    ).select("anomaly_chunks", "total_anomalies", known.alias("anomaly_types"), "total_chunks")
+
+
+def segment_types(responses: DataFrame) -> DataFrame:
+    """H5, long: (type, findings) of the confident anomalous segments."""
+    names = responses.filter(F.coalesce(_confident(), F.lit(False))).selectExpr("explode(findings.type) AS type")
+    return names.filter("type IS NOT NULL").groupBy("type").agg(F.count("*").alias("findings"))
 
 
 def segment_report(responses: DataFrame) -> DataFrame:

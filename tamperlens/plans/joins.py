@@ -16,14 +16,13 @@ def attach_by_key(
     per_key: DataFrame,
     keys: Sequence[str],
     rows: str,
-    spread_by: str,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Inner join of facts to a staged one-row-per-key table whose ``rows`` counts facts.
 
     At most ``max_hot_keys`` keys can own more than 1/max_hot_keys of all rows,
-    so those go out as a broadcast of proven size; their fact rows are spread
-    over salts and only pass through the shuffle join that serves the rest.
+    so those go out as a broadcast of proven size and their fact rows stay where
+    they are; only the rows of the other keys meet their results in a shuffle.
     Without a hot key this is an ordinary equi-join, and Catalyst broadcasts the
     staged table whenever its known file size allows.
     """
@@ -33,23 +32,14 @@ def attach_by_key(
         return facts.join(per_key, list(keys))
     payload = [c for c in per_key.columns if c not in keys]
     names = [quoted(k) for k in keys]
-    packed = f"struct({', '.join(quoted(c) for c in payload)})"
-    hot = per_key.filter(f"{quoted(rows)} >= {floor}").selectExpr(*names, f"{packed} AS _hot")
-    cold = per_key.filter(f"{quoted(rows)} < {floor}").selectExpr(
-        *names, "0L AS _salt", f"{packed} AS _cold"
-    )
-    spread = f"pmod(xxhash64({quoted(spread_by)}), {limits.spread}L) + 1"
+    hot = per_key.filter(f"{quoted(rows)} >= {floor}")
+    cold = per_key.filter(f"{quoted(rows)} < {floor}")
     # rows without a key match nothing and must not pile up in the shuffle
     keyed = facts.filter(" AND ".join(f"{k} IS NOT NULL" for k in names))
-    tagged = keyed.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_salt", F.expr(f"if(_hot IS NOT NULL, {spread}, 0L)")
-    )
-    joined = tagged.join(cold, [*keys, "_salt"], "left").withColumn(
-        "_found", F.coalesce("_hot", "_cold")
-    )
-    return joined.filter("_found IS NOT NULL").selectExpr(
-        *[quoted(c) for c in facts.columns], *[f"_found.{quoted(c)} AS {quoted(c)}" for c in payload]
-    )
+    columns = [quoted(c) for c in [*facts.columns, *payload]]
+    here = keyed.join(F.broadcast(hot), list(keys)).selectExpr(*columns)
+    rest = keyed.join(F.broadcast(hot.selectExpr(*names)), list(keys), "left_anti")
+    return here.unionAll(rest.join(cold, list(keys)).selectExpr(*columns))
 
 
 def join_spread(

@@ -56,7 +56,7 @@ def quantiles_of_staged(
         staged.groupBy(*keys).agg(F.sum(count).alias("_n"), F.count("*").alias("_rows"))
     )
     running = running_total(staged, keys, count, "_upto")
-    sized = attach_by_key(running, sizes, keys, "_rows", value, limits=limits)
+    sized = attach_by_key(running, sizes, keys, "_rows", limits)
     aggregates, columns = [], []
     for name, p in probabilities.items():
         rank, low, high = f"({p}D * (_n - 1))", quoted(f"_lo_{name}"), quoted(f"_hi_{name}")

@@ -265,7 +265,7 @@ def test_awkward_column_names(spark):
     assert multimodality(awkward, [value], group).count() == 3
     assert inlier_bands(awkward, [value], group, include_overall=True).count() == 4
     assert terminal_digits(awkward, [value]).first()["column"] == value
-    assert compare_with_without(awkward, [1, 2], group, [value]).count() == 6
+    assert compare_with_without(awkward, [1, 2], group, [value], all_pairs=True).count() == 6
     assert id_sequence(awkward, ident, group, [3]).filter("is_suspicious").count() == 1
     assert zscore_outliers(awkward, [value]).count() == 0
     assert set(r["column"] for r in column_profile(awkward).collect()) == {"row_id", *names}

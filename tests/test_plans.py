@@ -71,23 +71,25 @@ def _hot(spark):
     )
 
 
-def test_attach_by_key_spreads_hot_keys_without_changing_rows(spark, tiny):
+def test_attach_by_key_keeps_hot_rows_in_place_without_changing_rows(spark, tiny):
     facts = _hot(spark).union(spark.createDataFrame([(900, None), (901, None)], "row_id bigint, k string"))
     stats = stage(facts.filter("k IS NOT NULL AND k <> 'k7'").groupBy("k").agg(F.count("*").alias("n")))
-    plain = attach_by_key(facts, stats, ["k"], "n", "row_id")
-    spread = attach_by_key(facts, stats, ["k"], "n", "row_id", Limits(hot_rows=50, spread=4))
+    plain = attach_by_key(facts, stats, ["k"], "n")
+    spread = attach_by_key(facts, stats, ["k"], "n", Limits(hot_rows=50, spread=4))
     assert same_rows(plain, spread)
-    assert same_rows(plain, attach_by_key(facts, stats, ["k"], "n", "row_id", tiny))
-    assert "_salt" in plan(spread) and "_salt" not in plan(plain)
+    assert same_rows(plain, attach_by_key(facts, stats, ["k"], "n", tiny))
+    # the hot branch meets its results where its rows are: the only shuffle serves the rest
+    text = spread._jdf.queryExecution().sparkPlan().toString()
+    assert "LeftAnti" in text and "LeftAnti" not in plan(plain)
 
 
 def test_hot_key_broadcast_is_bounded(spark):
     """However many rows there are, at most max_hot_keys keys pass the threshold."""
     stats = stage(spark.range(100).select(F.col("id").alias("k"), F.lit(10).cast("bigint").alias("n")))
     facts = spark.range(100).select(F.col("id").alias("k"))
-    joined = attach_by_key(facts, stats, ["k"], "n", "k", limits=Limits(hot_rows=1, max_hot_keys=10))
+    joined = attach_by_key(facts, stats, ["k"], "n", limits=Limits(hot_rows=1, max_hot_keys=10))
     # each key owns a hundredth of the rows, so none may be broadcast as hot
-    assert "_salt" not in plan(joined)
+    assert "LeftAnti" not in plan(joined)
 
 
 def test_join_spread_equals_join(spark):

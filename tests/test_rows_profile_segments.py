@@ -35,6 +35,7 @@ from tamperlens.operators.segments import (
     segment_describe,
     segment_report,
     segment_rollup,
+    segment_types,
 )
 
 NAN = float("nan")
@@ -245,7 +246,8 @@ def test_responses(parsed):
 def test_rollups(parsed):
     one = segment_rollup(parsed).first()
     assert (one["anomaly_chunks"], one["total_anomalies"], one["total_chunks"]) == (2, 3, 8)
-    assert one["anomaly_types"] == ["t1", "t2"]
+    assert one["anomaly_types"] == 2
+    assert sorted(r["type"] for r in segment_types(parsed).collect()) == ["t1", "t2"]
     report = segment_report(parsed).first()
     assert tuple(report) == (8, 4, 3, 2)
 
