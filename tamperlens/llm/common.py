@@ -104,6 +104,12 @@ def parts_for(rows: int, per_part: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / per_part))
 
 
+def unit_rows(sizes: DataFrame, per_block: int) -> int:
+    """Rows that :func:`block_pairs` makes of groups of the given sizes (column n)."""
+    found = sizes.selectExpr(f"sum(CAST(n * ceil(n / {float(per_block)}D) AS DECIMAL(38,0))) AS rows").first()
+    return int(found.rows or 0)
+
+
 def block_pairs(members: DataFrame, sizes: DataFrame, key: str, member: str, per_block: int) -> DataFrame:
     """Spread each group over pairs of bounded blocks.
 

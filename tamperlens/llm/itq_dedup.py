@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamperlens.functions.columns import quoted
-from tamperlens.llm.common import Scratch, block_pairs, components, parts_for
+from tamperlens.llm.common import Scratch, block_pairs, components, parts_for, unit_rows
 
 CODED = "rep bigint, lab string, dim int, copies bigint, v binary, code bigint"
 FOUND = "rep bigint, links bigint, other bigint"
@@ -221,10 +221,10 @@ def link_near_duplicates(
             "xxhash64(lab, dim, tab, bit, part & ~shiftleft(1L, bit)) AS entry",
         )
     )
-    sizes = entries.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = scratch.stage(entries.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     placed = block_pairs(entries, sizes, "entry", "rep", per_block).drop("n")
     full = placed.join(coded.select("rep", "lab", "copies", "v", "code"), ["rep", "lab"])
-    tasks = parts_for(classes.count(), 1024, 8)
+    tasks = parts_for(unit_rows(sizes, per_block), 8192, 8)
     found = scratch.stage(
         full.withColumn("task", F.expr(f"pmod(xxhash64(entry, block_i, block_j), {tasks})"))
         .groupBy("task")

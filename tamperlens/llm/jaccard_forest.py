@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamperlens.functions.columns import quoted
-from tamperlens.llm.common import Scratch, block_pairs, components, parts_for
+from tamperlens.llm.common import Scratch, block_pairs, components, parts_for, unit_rows
 from tamperlens.llm.textcells import batches, mix, shingles, words_of
 
 SKETCH = "id bigint, n bigint, set_a bigint, set_b bigint, nodes array<bigint>"
 SETS = "id bigint, n bigint, hashes binary"
 FOUND = "id bigint, links bigint, other bigint"
+#: shingles of a document up to which it counts as one when blocks are measured
+SHINGLES_EACH = 8192
 
 
 class Forest:
@@ -279,12 +281,18 @@ def jaccard_join(
         "sets",
     )
     members = hoods.join(reps.selectExpr("class_id AS id", "copies"), "id").join(sets, "id")
-    sizes = hoods.groupBy("hood").agg(F.count("*").alias("units"))
-    units = block_pairs(members.drop("n"), sizes.selectExpr("hood", "units AS n"), "hood", "id", per_block)
-    candidates = hoods.count()
+    # a block is bounded by its documents and by their shingles
+    sizes = scratch.stage(
+        hoods.join(sets.selectExpr("id", "n AS shingles"), "id")
+        .groupBy("hood")
+        .agg(F.expr(f"greatest(count(*), sum(shingles) DIV {SHINGLES_EACH}) AS n")),
+        "sizes",
+    )
+    units = block_pairs(members.drop("n"), sizes, "hood", "id", per_block)
+    rows = unit_rows(sizes, per_block)
     found = scratch.stage(
         units.drop("n")
-        .withColumn("task", F.expr(f"pmod(xxhash64(hood, block_i, block_j), {parts_for(candidates, 512, 8)})"))
+        .withColumn("task", F.expr(f"pmod(xxhash64(hood, block_i, block_j), {parts_for(rows, 512, 8)})"))
         .groupBy("task")
         .applyInPandas(verify_units(threshold), FOUND),
         "found",
