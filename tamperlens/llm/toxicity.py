@@ -38,9 +38,11 @@ SHORTEST_EDITED = 5
 BEGINNINGS = (4, 5, 6, 7)
 WINDOW = 6
 SKETCHES = 6
-FEATURES = ("any_exact", "exact", "any_edited", "edited", "quoted", "abuse")
+FEATURES = ("any_hit", "hits", "edited_only", "quoted", "abuse")
 #: prior of the classifier: bias, then one weight for each feature
-PRIOR = (-2.5, 2.5, 1.0, 1.5, 0.7, 0.2, 0.5)
+PRIOR = (-2.5, 2.5, 1.0, 0.0, 0.2, 0.5)
+#: what a misspelled hit counts of an exact one, before the sample says otherwise
+EDITED_SHARE = 0.9
 HITS = "score double, n_exact bigint, n_edited bigint, n_quoted bigint, terms array<string>"
 
 
@@ -315,7 +317,8 @@ def window_scores(words: Words, automaton: Automaton, reporting: np.ndarray, add
     edited = per_doc((edits == 1) & ~quoted_hit)
     features = np.stack(
         [
-            (exact > 0).astype(float), np.log1p(exact), (edited > 0).astype(float), np.log1p(edited),
+            np.where(exact > 0, 1.0, EDITED_SHARE * (edited > 0)), np.log1p(exact + EDITED_SHARE * edited),
+            ((edited > 0) & (exact == 0)).astype(float),
             np.log1p(per_doc(quoted_hit)), np.log1p(per_doc(~quoted_hit, abuse)),
         ],
         axis=1,

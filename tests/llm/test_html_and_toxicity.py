@@ -125,7 +125,7 @@ def test_lexicon(marked):
 def test_held_out_rows_and_contexts(spark, marked, odd_documents, no_documents):
     docs, labels = marked
     extra = [
-        (5000, "you blarghed of the town"), (5001, "you blarghad of the town"),
+        (5000, "you blarghed of the town"), (5001, "you blarghad of the blargheed town"),
         (5002, 'the old word "blarghed" is a term'), (5003, None), (5004, ""),
     ]
     docs = docs.unionAll(spark.createDataFrame(extra, "doc_id bigint, text string"))
@@ -134,7 +134,7 @@ def test_held_out_rows_and_contexts(spark, marked, odd_documents, no_documents):
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     held = [i for i in truth if got[i].held_out]
     assert held and all(got[i].predicted == truth[i] for i in held)
-    assert got[5000].predicted == 1 and got[5001].n_edited == 1
+    assert got[5000].predicted == got[5001].predicted == 1 and got[5001].n_edited == 2
     assert got[5002].n_quoted == 1 and got[5002].score < got[5000].score
     assert got[5003].predicted == got[5004].predicted == 0 and got[5003].score == got[5004].score
     kept = without_toxic(docs, labels)
