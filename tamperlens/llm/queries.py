@@ -169,6 +169,33 @@ SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op6_jaccard_forest_join": rf"""
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, list_filter(string_split_regex(lower(text), '{SEPARATORS}'), lambda x: x <> '') AS w
+            FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+        ), sets AS (
+            SELECT doc_id, unnest(list_distinct(CASE
+                WHEN len(w) >= 5 THEN [array_to_string(w[i + 1:i + 5], ' ') FOR i IN range(len(w) - 4)]
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
+            FROM docs
+        ), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b USING (s)
+            WHERE a.doc_id <> b.doc_id GROUP BY ALL
+        ), links AS MATERIALIZED (
+            SELECT a, b, c = p.n AND c = q.n AS same
+            FROM shared JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id
+            WHERE c / (p.n + q.n - c) >= 0.8
+        ), reach AS (
+            SELECT a AS node, a AS seen FROM links
+            UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a
+        ), least AS (SELECT node, min(seen) AS g FROM reach GROUP BY node),
+        degree AS (SELECT a AS node, count(*) AS n, min(b) FILTER (WHERE same) AS twin FROM links GROUP BY a)
+        SELECT doc_id, least(doc_id, coalesce(twin, doc_id)) AS class_id,
+               CASE WHEN doc_id IS NOT NULL THEN coalesce(n, 0) END AS n_links,
+               coalesce(g, doc_id) AS group_id, coalesce(coalesce(g, doc_id) = doc_id, true) AS kept
+        FROM documents LEFT JOIN least ON doc_id = least.node LEFT JOIN degree ON doc_id = degree.node
+    """,
     "op10_itq_near_duplicates": """
         WITH RECURSIVE clean AS (
             SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
