@@ -3,9 +3,11 @@
 1. One pass over the texts gives each document a digest of its distinct word shingles
    and, for each tree of the forest, the trie nodes on the path of its signature.
 2. Documents with equal shingle sets form a class; only its representative goes on.
-3. Candidates share a trie node. Matching starts at the longest prefix. How often
-   matched documents meet over the trees tells the chance that such a pair was found
-   at all; while the estimated recall is below the target, the prefix is shortened.
+3. Candidates share a trie node. Matching starts at the longest prefix at which a pair
+   right at the threshold is found with the target's chance, whatever else the table
+   holds. How often matched documents meet over the trees tells the chance that such a
+   pair was found at all; while the estimated recall is below the target, the prefix is
+   shortened further.
 4. Candidates joined by shared nodes form a neighbourhood. Its documents are read once
    more, and every pair inside is compared exactly. Large neighbourhoods are cut into
    blocks, and pairs of blocks are separate units of work, so no task holds a group;
@@ -41,7 +43,7 @@ class Forest:
     """Shape of the LSH forest: ``trees`` tries over prefixes of up to ``deepest`` hashes."""
 
     def __init__(self, trees: int = 20, deepest: int = 8, shallowest: int = 5, seed: int = 11):
-        self.trees, self.deepest, self.shallowest = trees, deepest, shallowest
+        self.trees, self.deepest, self.shallowest, self.seed = trees, deepest, shallowest, seed
         rng = np.random.default_rng(seed)
         n = trees * deepest
         self.factor = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -51,6 +53,17 @@ class Forest:
     def depths(self) -> list[int]:
         return list(range(self.deepest, self.shallowest - 1, -1))
 
+    def chance(self, likeness: float, depth: int) -> float:
+        """The chance that a pair of this similarity shares a node at this depth."""
+        return 1 - (1 - likeness**depth) ** self.trees
+
+    def reaching(self, threshold: float, target: float) -> Forest:
+        """This forest with only depths that find a pair at the threshold with the target's chance."""
+        deepest = self.deepest
+        while deepest > 1 and self.chance(threshold, deepest) < target:
+            deepest -= 1
+        return Forest(self.trees, deepest, min(self.shallowest, deepest), self.seed)
+
     def nodes(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Trie nodes of each set: one row per set, trees x depths ids from the deepest."""
         out = np.empty((len(starts), self.trees, len(self.depths)), np.uint64)
@@ -208,11 +221,12 @@ def verify_units(threshold: float):
 def candidate_edges(
     scratch: Scratch, nodes: DataFrame, forest: Forest, threshold: float, target: float
 ) -> tuple[DataFrame, dict[int, float]]:
-    """Star edges (a, b) over shared trie nodes at the longest prefix that meets the target.
+    """Star edges (a, b) over shared trie nodes at the longest prefix of ``forest`` that meets the target.
 
     ``nodes`` has (id, nodes). Each node's documents are tied to its smallest one; the
     number of trees in which a tie repeats estimates the pair's similarity, and with it
-    the chance that it is found at this prefix (a truncated Horvitz-Thompson ratio).
+    the chance that it is found at this prefix (a truncated Horvitz-Thompson ratio). The
+    estimate is a mean over the table, so ``forest`` must reach the target at its deepest.
     """
     levels, recall = len(forest.depths), {}
     for at, depth in enumerate(forest.depths):
@@ -260,7 +274,7 @@ def jaccard_join(
     ``group_id`` the smallest id reachable by links, ``kept`` whether the row's id is it.
     A null id keeps null results and is kept.
     """
-    forest = forest or Forest()
+    forest = (forest or Forest()).reaching(threshold, target_recall)
     scratch = Scratch(docs.sparkSession, "jaccard")
     raw = scratch.stage(sketches(docs, id_col, text_col, k, forest), "sketches")
     # repeated rows of an id: the first by content speaks for it

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from llm.brute import PATTERNS, base_spans, brute_jaccard, smallest_reachable
-from tamperlens.llm.jaccard_forest import jaccard_join, one_of_each_group
+from tamperlens.llm.jaccard_forest import Forest, jaccard_join, one_of_each_group
 from tamperlens.llm.licenses import scan_licenses
 from tamperlens.llm.pii import digest_columns, find_personal_data, redact
 
@@ -118,3 +118,21 @@ def test_odd_documents_in_the_join(odd_documents, no_documents):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 4, 5, 6, 7, 8, 9, None]))
     assert jaccard_join(no_documents).count() == 0
     assert one_of_each_group(no_documents, jaccard_join(no_documents)).count() == 0
+
+
+def test_easy_copies_hide_no_pair_at_the_threshold(spark):
+    """Many pairs at 0.95 lift the estimated recall; lone pairs at 0.8 must be found all the same."""
+    rng = random.Random(4)
+    rows, hard = [], []
+    for n in range(1500):
+        shared, more = (40, 10) if n < 300 else (95, 5)  # shingles of the first text, and what the second adds
+        words = [f"w{rng.randrange(10**9)}" for _ in range(shared + more + 4)]
+        rows += [(2 * n, " ".join(words[: shared + 4])), (2 * n + 1, " ".join(words))]
+        hard += [2 * n] if n < 300 else []
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.n_links for r in jaccard_join(docs).collect()}
+    assert sum(got[i] for i in hard) >= 0.995 * len(hard)
+    assert Forest().reaching(0.8, 0.995).deepest == 6
+    for threshold in (0.5, 0.65, 0.9):
+        forest = Forest().reaching(threshold, 0.995)
+        assert forest.chance(threshold, forest.deepest) >= 0.995
