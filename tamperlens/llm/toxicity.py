@@ -5,7 +5,8 @@
    than chance allows. Near copies count once, so a copied document teaches nothing twice.
 2. The lexicon trie is intersected with Levenshtein automata of one edit into a single
    automaton, which reads all words of a batch in step. Terms too short for an edit, and
-   beginnings, must match exactly.
+   beginnings, must match exactly; whole words that a beginning covers stay, for their
+   misspellings.
 3. A window around each hit separates quotation (quote marks, reporting words, words
    about words) from abuse (second person, further hits). Logistic regression over the
    sample's window scores, with a prior for what the sample does not show, gives the score.
@@ -164,7 +165,8 @@ def learn_lexicon(sample: DataFrame, precision: float = 0.8) -> list[str]:
 
     A term passes if the likelihood ratio of its counts against the sample's base rate
     outweighs the number of terms looked at. Of a beginning and its extensions, the
-    longest with nearly all of the support stays.
+    longest with nearly all of the support stays. A whole word that a beginning covers
+    stays if it is long enough for an edit, as beginnings match only exactly.
     """
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -195,10 +197,18 @@ def learn_lexicon(sample: DataFrame, precision: float = 0.8) -> list[str]:
         if any(support[t] >= 0.95 * support[term] and (len(t.rstrip("*")) > len(stem) or t == stem) for t in longer):
             continue
         kept.append(term)
-    whole = [t for t in support if not t.endswith("*") and not any(t.startswith(k[:-1]) for k in kept)]
+    whole = [
+        t for t in support
+        if not t.endswith("*") and (long_enough(t) or not any(t.startswith(k[:-1]) for k in kept))
+    ]
     return sorted(kept + whole)
 
 
+def long_enough(term: str) -> bool:
+    """Whether a whole word is long enough to be told from others after an edit."""
+    return len(term.encode()) >= SHORTEST_EDITED
+
+
 class Automaton:
     """The lexicon trie crossed with one-edit Levenshtein automata, as one byte table.
 
@@ -210,6 +220,7 @@ class Automaton:
         self.lexicon = lexicon
         nodes: list[dict[int, int]] = [{}]
         ends: dict[int, int] = {}
+        begins: dict[int, int] = {}
         editable = [False]
         for number, term in enumerate(lexicon):
             node, stem = 0, term.rstrip("*").encode()
@@ -221,21 +232,24 @@ class Automaton:
                 node = nodes[node][byte]
                 if not term.endswith("*") and len(stem) >= shortest_edited:
                     editable[node] = editable[0] = True
-            ends.setdefault(node, number)
-        begins = {n for n, t in ends.items() if lexicon[t].endswith("*")}
+            (begins if term.endswith("*") else ends).setdefault(node, number)
 
+        # a pair is (node, edits so far), or (-1 - term, 0) once a beginning was read
         def close(states: set) -> frozenset:
             more = set(states)
             for node, used in states:
-                if used == 0:  # a byte of the term is left out
+                if used == 0 and node in begins:
+                    more.add((-1 - begins[node], 0))
+                if used == 0 and node >= 0:  # a byte of the term is left out
                     more.update((kid, 1) for kid in nodes[node].values() if editable[kid])
             return frozenset((n, u) for n, u in more if not (u == 1 and (n, 0) in more))
 
         def move(states: frozenset, byte: int | None) -> frozenset:
             out = set()
             for node, used in states:
-                if node in begins and used == 0:
+                if node < 0:
                     out.add((node, 0))
+                    continue
                 kid = nodes[node].get(byte) if byte is not None else None
                 if kid is not None and (used == 0 or editable[kid]):
                     out.add((kid, used))
@@ -265,9 +279,8 @@ class Automaton:
         self.term = np.full(len(number), -1, np.int64)
         self.edits = np.zeros(len(number), np.int64)
         for states, state in number.items():
-            matched = sorted((used, ends[n]) for n, used in states if n in ends)
+            matched = sorted((used, ends[n] if n >= 0 else -1 - n) for n, used in states if n < 0 or n in ends)
             if matched:
-                # of a beginning only the exact one counts, and that is what its state holds
                 self.edits[state], self.term[state] = matched[0]
 
     def match(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -157,3 +157,28 @@ def test_model_separates_the_table(spark, documents, sf_dir):
 def test_model_without_lexicon(odd_documents):
     scored = ToxicityModel([]).annotate(odd_documents.select("doc_id", "text"))
     assert scored.where("score < 0.5").count() == odd_documents.count()
+
+
+def matches(automaton, text):
+    words = words_of([text])
+    hit, term, used = automaton.match(words)
+    found = {bytes(words.data[words.start[i] : words.end[i]]).decode(): (automaton.lexicon[t], e) for i, t, e in zip(hit, term, used)}
+    return found
+
+
+def test_inflected_forms_leave_misspellings(spark):
+    plain = "the quiet river runs along a small old town with many green hills"
+    rows = [(f"{plain} t{i} {'idiot' if i < 100 else 'idiots'} x{i}", 1) for i in range(130)]
+    rows += [(f"{plain} c{i} y{i}", 0) for i in range(700)]
+    lexicon = learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    found = matches(Automaton(lexicon), "idjot iddiot idot idiots idiotic idiot river")
+    assert "river" not in found
+    assert [found[w][1] for w in ("idjot", "iddiot", "idot")] == [1, 1, 1]
+    assert [found[w][1] for w in ("idiots", "idiotic", "idiot")] == [0, 0, 0]
+
+
+def test_beginning_beside_the_whole_word():
+    found = matches(Automaton(sorted(["lowe*", "loweichen", "idiot", "idiot*"])), "lowi lower loweichon idiotic idiot idiut idiutic")
+    assert found == {
+        "lower": ("lowe*", 0), "loweichon": ("lowe*", 0), "idiotic": ("idiot*", 0), "idiot": ("idiot", 0), "idiut": ("idiot", 1)
+    }
