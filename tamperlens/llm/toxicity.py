@@ -39,6 +39,10 @@ SHORTEST_EDITED = 5
 BEGINNINGS = (4, 5, 6, 7)
 WINDOW = 6
 SKETCHES = 6
+#: sketches that also count together, so that near copies meet apart from texts with one passage in common
+TOGETHER = ((0, 1), (2, 3), (4, 5), (0, 1, 2), (3, 4, 5), (0, 1, 2, 3, 4, 5))
+#: shingle similarity from which a text of the sample is a near copy
+NEAR = 0.8
 FEATURES = ("any_hit", "hits", "edited_only", "quoted", "abuse")
 #: prior of the classifier: bias, then one weight for each feature
 PRIOR = (-2.5, 2.5, 1.0, 0.0, 0.2, 0.5)
@@ -62,10 +66,11 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 
 def sketched(sample: DataFrame) -> DataFrame:
-    """The sample without near copies: a text stays if it leads all of its MinHash groups.
+    """The sample without near copies: a text goes if one that stays is its near copy.
 
-    A text goes if any of ``SKETCHES`` smallest shingle hashes is shared with a text of
-    the same label that comes before it by hash.
+    Texts of a label meet where they share any of ``SKETCHES`` smallest shingle hashes, or
+    several of them at once; each is compared, by its full shingle set, with the first by
+    hash of every such group. Similarities of ``NEAR`` and more make a near copy.
     """
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,32 +82,61 @@ def sketched(sample: DataFrame) -> DataFrame:
                 least = np.zeros((end - begin, SKETCHES), np.uint64)
                 for i in range(SKETCHES if len(first) else 0):
                     least[present, i] = np.minimum.reduceat(mix(hashes + np.uint64(i * 7919)), first)
+                for group in TOGETHER:
+                    joint = np.zeros(end - begin, np.uint64)
+                    for i in group:
+                        joint = mix(joint + least[:, i])
+                    least = np.column_stack((least, joint))
                 part = frame.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1),
+                        pa.array(np.bincount(docs, minlength=end - begin), pa.int64()),
                         pa.array(list(least.view(np.int64)), pa.list_(pa.int64())),
                     ],
-                    names=["text", "toxic", "sketches"],
+                    names=["text", "toxic", "n", "sketches"],
                 )
 
+    def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            near = []
+            for a, b in zip(frame.column(2).to_pylist(), frame.column(3).to_pylist()):
+                docs, hashes = shingles(words_of([a, b]), 5)
+                one, two = hashes[docs == 0], hashes[docs == 1]
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                near.append(shared >= NEAR * (len(one) + len(two) - shared))
+            yield frame.select(["own", "head"]).filter(pa.array(near, pa.bool_()))
+
     scratch = Scratch(sample.sparkSession, "sketches")
     texts = scratch.stage(
-        sample.mapInArrow(run, "text string, toxic int, sketches array<bigint>")
+        sample.mapInArrow(run, "text string, toxic int, n bigint, sketches array<bigint>")
         .withColumn("own", F.xxhash64("text", "toxic"))
         .groupBy("own", "toxic")
-        .agg(F.min("text").alias("text"), F.min("sketches").alias("sketches")),
+        .agg(F.min(F.struct("text", "n", "sketches")).alias("s"))
+        .select("own", "toxic", "s.*"),
         "texts",
     )
-    groups = texts.selectExpr("own", "toxic", "posexplode(sketches) AS (place, sketch)")
-    heads = groups.groupBy("toxic", "place", "sketch").agg(F.min("own").alias("head"))
-    leading = (
-        groups.join(heads, ["toxic", "place", "sketch"])
-        .groupBy("own")
-        .agg(F.expr("bool_and(own = head) AS leads"))
-        .where("leads")
+    groups = texts.selectExpr("own", "toxic", "n", "posexplode(sketches) AS (place, sketch)")
+    heads = groups.groupBy("toxic", "place", "sketch").agg(F.min(F.struct("own", "n")).alias("h"))
+    pairs = (
+        groups.join(heads.selectExpr("toxic", "place", "sketch", "h.own AS head", "h.n AS of_head"), ["toxic", "place", "sketch"])
+        .where(f"own <> head AND least(n, of_head) >= {NEAR}D * greatest(n, of_head)")
+        .select("own", "head")
+        .distinct()
+    )
+    near = (
+        pairs.join(texts.select("own", "text"), "own")
+        .join(texts.selectExpr("own AS head", "text AS other"), "head")
+        .select("own", "head", "text", "other")
+        .mapInArrow(compare, "own bigint, head bigint")
+        .collect()  # a few pairs of numbers for each text of the bounded sample
     )
-    return texts.join(leading, "own").select("text", "toxic")
+    gone: set[int] = set()
+    for own, head in sorted((r.own, r.head) for r in near):  # a head comes before its texts
+        if head not in gone:
+            gone.add(own)
+    left = sample.sparkSession.createDataFrame([(x,) for x in sorted(gone)], "own bigint")
+    return texts.join(F.broadcast(left), "own", "left_anti").select("text", "toxic")
 
 
 def _term_codes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -182,3 +182,15 @@ def test_beginning_beside_the_whole_word():
     assert found == {
         "lower": ("lowe*", 0), "loweichon": ("lowe*", 0), "idiotic": ("idiot*", 0), "idiot": ("idiot", 0), "idiut": ("idiot", 1)
     }
+
+
+def test_only_near_copies_leave_the_sample(spark):
+    rng = random.Random(6)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passage, copy = fresh(60), fresh(100)
+    rows = [(f"{passage} {fresh(60)}", 1) for _ in range(120)]  # Jaccard about 0.3
+    rows += [(f"{copy} {fresh(2)}", 1) for _ in range(50)] + [(copy, 0), ("", 1), ("!", 1)]
+    kept = [tuple(r) for r in sketched(spark.createDataFrame(rows, "text string, toxic int")).collect()]
+    assert sum(t.startswith(passage) for t, _ in kept) == 120
+    assert sum(t.startswith(copy) for t, y in kept if y) == 1 and (copy, 0) in kept
+    assert sum(not t.strip("!") for t, _ in kept) == 1
