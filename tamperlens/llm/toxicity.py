@@ -4,9 +4,9 @@
    lexicon: whole words and word beginnings that stand in toxic documents far more often
    than chance allows. Near copies count once, so a copied document teaches nothing twice.
 2. The lexicon trie is intersected with Levenshtein automata of one edit into a single
-   automaton, which reads all words of a batch in step. Terms too short for an edit, and
-   beginnings, must match exactly; whole words that a beginning covers stay, for their
-   misspellings.
+   automaton, which reads all words of a batch in step, by characters. Terms too short for
+   an edit, and beginnings, must match exactly; whole words that a beginning covers stay,
+   for their misspellings. Words that the sample's clean texts know are no misspellings.
 3. A window around each hit separates quotation (quote marks, reporting words, words
    about words) from abuse (second person, further hits). Logistic regression over the
    sample's window scores, with a prior for what the sample does not show, gives the score.
@@ -35,7 +35,9 @@ REPORTING = (
     "slur spelled meaning definition sagte schrieb wort zitat nannte dit mot terme cite palabra dijo"
 ).split()
 ADDRESS = "you your youre yours u ur du dein dich dir sie ihr tu te ton vous votre usted tus eres".split()
-SHORTEST_EDITED = 5
+SHORTEST_EDITED = 5  # bytes, in at least FEWEST_EDITED characters
+FEWEST_EDITED = 4
+LEAST_KNOWN = 3  # clean texts that hold a known word
 BEGINNINGS = (4, 5, 6, 7)
 WINDOW = 6
 SKETCHES = 6
@@ -44,6 +46,8 @@ TOGETHER = ((0, 1), (2, 3), (4, 5), (0, 1, 2), (3, 4, 5), (0, 1, 2, 3, 4, 5))
 #: shingle similarity from which a text of the sample is a near copy
 NEAR = 0.8
 FEATURES = ("any_hit", "hits", "edited_only", "quoted", "abuse")
+#: share of toxic texts among those that hold a term
+PRECISION = 0.8
 #: prior of the classifier: bias, then one weight for each feature
 PRIOR = (-2.5, 2.5, 1.0, 0.0, 0.2, 0.5)
 #: what a misspelled hit counts of an exact one, before the sample says otherwise
@@ -194,7 +198,7 @@ def _runs(keys: np.ndarray, order: np.ndarray):
         yield int(keys[a]), order[a:b]
 
 
-def learn_lexicon(sample: DataFrame, precision: float = 0.8) -> list[str]:
+def learn_lexicon(sample: DataFrame, precision: float = PRECISION) -> list[str]:
     """Terms (a trailing * marks a beginning) that chance would not put into toxic texts.
 
     A term passes if the likelihood ratio of its counts against the sample's base rate
@@ -208,7 +212,7 @@ def learn_lexicon(sample: DataFrame, precision: float = 0.8) -> list[str]:
         return []
     rate = toxic / (toxic + clean)
     counts = term_counts(sample)
-    counts = counts.where(F.length("term") >= 4)
+    counts = counts.where("length(term) >= 4 OR NOT endswith(term, '*')")  # of short words the gain decides
     gain = (
         f"toxic * ln(toxic / (toxic + clean) / {rate}D) + "
         f"if(clean > 0, clean * ln(clean / (toxic + clean) / {1 - rate}D), 0)"
@@ -238,33 +242,72 @@ def learn_lexicon(sample: DataFrame, precision: float = 0.8) -> list[str]:
     return sorted(kept + whole)
 
 
-def long_enough(term: str) -> bool:
+def long_enough(term: str, shortest: int = SHORTEST_EDITED) -> bool:
     """Whether a whole word is long enough to be told from others after an edit."""
-    return len(term.encode()) >= SHORTEST_EDITED
+    return len(term.encode()) >= shortest and len(term) >= FEWEST_EDITED
+
+
+def known_words(sample: DataFrame, lexicon: list[str]) -> list[str]:
+    """Words an edit away from the lexicon that the clean texts of the sample hold as they are."""
+    automaton = Automaton(lexicon, any_first=True)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            texts, toxic = frame.column(0).to_pylist(), np.asarray(frame.column(1))
+            listed, labels = [], []
+            for begin, end in batches(texts):
+                words = words_of(texts[begin:end])
+                hit, _, edits = automaton.match(words)
+                pairs = {
+                    (int(words.doc[i]), words.data[words.start[i] : words.end[i]].tobytes().decode())
+                    for i in hit[edits == 1].tolist()
+                }
+                listed += [word for _, word in pairs]
+                labels += [int(toxic[begin + doc]) for doc, _ in pairs]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(listed, pa.string()), pa.array(labels, pa.int32())], names=["word", "toxic"]
+            )
+
+    rows = (
+        sample.mapInArrow(run, "word string, toxic int")
+        .groupBy("word")
+        .agg(F.expr("sum(if(toxic = 0, 1, 0)) AS clean"), F.count("*").alias("n"))
+        .where(f"clean >= {LEAST_KNOWN} AND clean > {1 - PRECISION}D * n")
+        .collect()  # words of the bounded sample near a term
+    )
+    return sorted(r.word for r in rows)
 
 
 class Automaton:
-    """The lexicon trie crossed with one-edit Levenshtein automata, as one byte table.
+    """The lexicon trie crossed with one-edit Levenshtein automata, as one character table.
 
     State 0 is dead, 1 the start. ``term`` is the term a word ending in the state matches
-    (-1: none) and ``edits`` its number of edits.
+    (-1: none) and ``edits`` its number of edits. ``any_first`` lets the edit be at the
+    first character too; words in ``known`` are no misspellings.
     """
 
-    def __init__(self, lexicon: list[str], shortest_edited: int = SHORTEST_EDITED):
+    def __init__(
+        self,
+        lexicon: list[str],
+        shortest_edited: int = SHORTEST_EDITED,
+        any_first: bool = False,
+        known: list[str] | None = None,
+    ):
         self.lexicon = lexicon
+        self.known = _codes(known or [])
         nodes: list[dict[int, int]] = [{}]
         ends: dict[int, int] = {}
         begins: dict[int, int] = {}
         editable = [False]
         for number, term in enumerate(lexicon):
-            node, stem = 0, term.rstrip("*").encode()
-            for byte in stem:
-                if byte not in nodes[node]:
+            node, stem = 0, term.rstrip("*")
+            for char in map(ord, stem):
+                if char not in nodes[node]:
                     nodes.append({})
                     editable.append(False)
-                    nodes[node][byte] = len(nodes) - 1
-                node = nodes[node][byte]
-                if not term.endswith("*") and len(stem) >= shortest_edited:
+                    nodes[node][char] = len(nodes) - 1
+                node = nodes[node][char]
+                if not term.endswith("*") and long_enough(stem, shortest_edited):
                     editable[node] = editable[0] = True
             (begins if term.endswith("*") else ends).setdefault(node, number)
 
@@ -274,35 +317,35 @@ class Automaton:
             for node, used in states:
                 if used == 0 and node in begins:
                     more.add((-1 - begins[node], 0))
-                if used == 0 and node >= 0:  # a byte of the term is left out
+                if used == 0 and node >= 0:  # a character of the term is left out
                     more.update((kid, 1) for kid in nodes[node].values() if editable[kid])
             return frozenset((n, u) for n, u in more if not (u == 1 and (n, 0) in more))
 
-        def move(states: frozenset, byte: int | None) -> frozenset:
+        def move(states: frozenset, char: int | None) -> frozenset:
             out = set()
             for node, used in states:
                 if node < 0:
                     out.add((node, 0))
                     continue
-                kid = nodes[node].get(byte) if byte is not None else None
+                kid = nodes[node].get(char) if char is not None else None
                 if kid is not None and (used == 0 or editable[kid]):
                     out.add((kid, used))
-                if used == 0 and node != 0:  # the first byte must be right
+                if used == 0 and (node != 0 or any_first):
                     if editable[node]:
                         out.add((node, 1))
                     out.update((k, 1) for k in nodes[node].values() if editable[k])
             return close(out)
 
-        letters = sorted({b for node in nodes for b in node})
-        self.classes = np.zeros(256, np.int64)
-        for i, byte in enumerate(letters):
-            self.classes[byte] = i + 1
-        start = frozenset({(0, 0)})
+        letters = sorted({c for node in nodes for c in node})
+        # the last entry: all characters beyond
+        self.classes = np.zeros(max([255, *letters]) + 2, np.int64)
+        self.classes[letters] = np.arange(len(letters)) + 1
+        start = close({(0, 0)}) if any_first else frozenset({(0, 0)})
         number, queue, table = {frozenset(): 0, start: 1}, [start], {}
         while queue:
             states = queue.pop()
-            for at, byte in enumerate([None, *letters]):
-                following = move(states, byte)
+            for at, char in enumerate([None, *letters]):
+                following = move(states, char)
                 if following not in number:
                     number[following] = len(number)
                     queue.append(following)
@@ -318,16 +361,22 @@ class Automaton:
                 self.edits[state], self.term[state] = matched[0]
 
     def match(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, term, edits) of every match; all words take one byte at a time together."""
+        """(word, term, edits) of every match; all words take one character at a time together."""
         state = np.ones(len(words.start), np.int32)
-        size = words.end - words.start
+        chars, start, size = words.data, words.start, words.end - words.start
+        if len(chars) and chars.max() >= 0x80:
+            place = np.cumsum((chars & 0xC0) != 0x80) - 1  # the character a byte belongs to
+            start, size = place[start], place[words.end] - place[start]
+            chars = np.frombuffer(chars.tobytes().decode().encode("utf-32-le"), np.uint32)
+            chars = np.minimum(chars, len(self.classes) - 1)
         alive, at = np.arange(len(state)), 0
         while len(alive):
             alive = alive[size[alive] > at]
-            state[alive] = self.table[state[alive], self.classes[words.data[words.start[alive] + at]]]
+            state[alive] = self.table[state[alive], self.classes[chars[start[alive] + at]]]
             alive = alive[state[alive] != 0]
             at += 1
         hit = np.flatnonzero(self.term[state] >= 0)
+        hit = hit[(self.edits[state[hit]] == 0) | ~np.isin(words.code[hit], self.known)]
         return hit, self.term[state[hit]], self.edits[state[hit]]
 
 
@@ -392,16 +441,17 @@ def fit(features: np.ndarray, toxic: np.ndarray, weight: np.ndarray, strength: f
 class ToxicityModel:
     """Lexicon and weights; small enough to travel with the job."""
 
-    def __init__(self, lexicon: list[str], beta: np.ndarray | None = None):
+    def __init__(self, lexicon: list[str], beta: np.ndarray | None = None, known: list[str] | None = None):
         self.lexicon = lexicon
+        self.automaton = Automaton(lexicon, any_first=True, known=known)
         self.beta = np.array(PRIOR) if beta is None else beta
 
     def annotate(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """``docs`` with score, hit counts and terms; names must not clash with these."""
-        lexicon, beta = self.lexicon, self.beta
+        lexicon, beta, automaton = self.lexicon, self.beta, self.automaton
 
         def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton, reporting, address = Automaton(lexicon), _codes(REPORTING), _codes(ADDRESS)
+            reporting, address = _codes(REPORTING), _codes(ADDRESS)
             names = np.array(lexicon, object)
             for frame in frames:
                 place = frame.schema.get_field_index(text_col)
@@ -434,10 +484,10 @@ class ToxicityModel:
 
     def below(self, docs: DataFrame, text_col: str, threshold: float) -> DataFrame:
         """Rows of ``docs``, all columns unchanged, that score below ``threshold``."""
-        lexicon, beta, place = self.lexicon, self.beta, docs.columns.index(text_col)
+        beta, automaton, place = self.beta, self.automaton, docs.columns.index(text_col)
 
         def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton, reporting, address = Automaton(lexicon), _codes(REPORTING), _codes(ADDRESS)
+            reporting, address = _codes(REPORTING), _codes(ADDRESS)
             for frame in frames:
                 texts = frame.column(place).to_pylist()
                 for begin, end in batches(texts):
@@ -461,10 +511,11 @@ def train_toxicity(
         sketched(sample_labelled(docs, labels, id_col, text_col, sample_rows)), "sample"
     )
     lexicon = learn_lexicon(sample)
+    known = known_words(sample, lexicon) if lexicon else []
+    automaton = Automaton(lexicon, any_first=True, known=known)
     codes = _codes(REPORTING), _codes(ADDRESS)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(lexicon)
         for frame in frames:
             texts = frame.column(0).to_pylist()
             for begin, end in batches(texts):
@@ -481,10 +532,10 @@ def train_toxicity(
         sample.mapInArrow(run, "toxic int, f array<double>").groupBy("toxic", "f").agg(F.count("*").alias("n"))
     ).collect()  # at most sample_rows rows
     if not rows:
-        return ToxicityModel(lexicon)
+        return ToxicityModel(lexicon, known=known)
     features = np.array([r.f for r in rows])
     beta = fit(features, np.array([r.toxic for r in rows], float), np.array([r.n for r in rows], float))
-    return ToxicityModel(lexicon, beta)
+    return ToxicityModel(lexicon, beta, known)
 
 
 def held_out(column: str) -> str:

@@ -194,3 +194,36 @@ def test_only_near_copies_leave_the_sample(spark):
     assert sum(t.startswith(passage) for t, _ in kept) == 120
     assert sum(t.startswith(copy) for t, y in kept if y) == 1 and (copy, 0) in kept
     assert sum(not t.strip("!") for t, _ in kept) == 1
+
+
+def test_edits_by_characters_and_at_the_start():
+    automaton = Automaton(["idiot", "moron", "trottél", "xq"], any_first=True, known=["motor", "boron"])
+    wanted = {"idíot": 1, "1diot": 1, "diot": 1, "aidiot": 1, "xoron": 1, "trottel": 1, "trottél": 0, "xq": 0, "моron": None}
+    found = matches(automaton, " ".join([*wanted, "boron", "xqa", "日本"]))
+    assert {w: e for w, (_, e) in found.items()} == {w: e for w, e in wanted.items() if e is not None}
+    random.seed(9)
+    terms = ["idiot", "trottél", "дурак"]
+    words = set(terms)
+    for _ in range(4000):
+        word = list(random.choice(terms))
+        for _ in range(random.randint(1, 2)):
+            at = random.randrange(len(word) + 1)
+            word[at : at + random.randint(0, 1)] = random.choices("idotréдкí1", k=random.randint(0, 1))
+        words.add("".join(word) or "a")
+    found = matches(Automaton(terms, any_first=True), " ".join(sorted(words)))
+    for word in words:
+        least = min(edits(word, t) for t in terms)
+        assert found[word][1] == least if least <= 1 else word not in found, word
+
+
+def test_short_terms_and_known_words(spark):
+    rng = random.Random(7)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    rows = [(i, f"{fresh(9)} {'xq' if i % 2 else 'trasch'} {fresh(9)}", 1) for i in range(200)]
+    rows += [(200 + i, f"{fresh(9)} {'crasch' if i % 9 == 0 else 'fine'} {fresh(9)}", 0) for i in range(900)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    extra = [(5000, "a xq b"), (5001, "a drasch b"), (5002, "a crasch b")]
+    got = {r.doc_id: r for r in score_toxicity(docs.unionAll(spark.createDataFrame(extra, docs.schema)), labels).collect()}
+    assert (got[5000].n_exact, got[5001].n_edited, got[5002].n_edited) == (1, 1, 0)
+    assert all(got[i].predicted == t for i, _, t in rows)
