@@ -3,7 +3,8 @@
 A byte-level BPE never merges across the pieces of its splitting rule. So a batch is
 split into pieces with NumPy, equal pieces are found by Arrow's dictionary encoding, and
 only pieces not met before are handed to the tokenizers library. Texts with characters
-beyond ASCII and Latin letters up to U+017F go to the library whole.
+beyond ASCII and Latin letters up to U+017F, and texts that hold an added token of the
+tokenizer such as <|endoftext|>, go to the library whole.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most_pieces = most_pieces
         vocabulary = self.tokenizer.get_vocab()
         # a byte-level token has one character for each byte of text
@@ -161,7 +162,11 @@ class PieceEncoder:
         starts = np.cumsum(sizes) - sizes
         kinds = _KINDS[np.minimum(chars, _PLAIN_END)]
         foreign = np.add.reduceat(np.append(kinds == FOREIGN, False), np.append(starts, len(chars)))[:-1]
-        odd = np.flatnonzero((foreign > 0) & (sizes > 0))
+        odd = (foreign > 0) & (sizes > 0)
+        for token in self.added:
+            if token in joined:
+                odd |= np.fromiter((token in t for t in texts), bool, len(texts))
+        odd = np.flatnonzero(odd)
         if len(odd):
             return self._encode_mixed(texts, set(odd.tolist()))
         return self._encode_plain(joined, chars, kinds, starts, sizes)

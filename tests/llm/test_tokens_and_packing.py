@@ -123,3 +123,13 @@ def test_copies_are_neighbours():
 def test_digest_is_crc32(spark):
     df = spark.createDataFrame([(bytearray(b"\x01\0\0\0"),)], "ids binary")
     assert df.selectExpr("crc32(ids) AS c").first().c == zlib.crc32(b"\x01\0\0\0")
+
+
+def test_added_tokens_as_in_the_library(encoder):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "plain words", None, "<|endof", "text|> on", "é<|endoftext|>", "日<|endoftext|>", "<|endoftext|>"]
+    want = [e.ids for e in Tokenizer.from_file(vocabulary()).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    ids, counts = encoder.encode(texts)
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+    assert len(want[-1]) == 1
