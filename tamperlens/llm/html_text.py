@@ -5,6 +5,8 @@ length and its commas, to its ancestors, less the further up; a container's poin
 discounted by the share of its text that stands in links. The best container is kept with
 those of its siblings that score well or are plain paragraphs, and inside them every block
 that is not part of a menu, header, footer, side bar, notice, advert, form or comment.
+Class names and ids tell clutter only where the element does not hold the page's articles
+or most of its points, and not at all on a page that would have no text by them.
 
 Pages are independent rows, read whole. A null page gives an empty text; so does a page
 without text. Null ids and repeated rows pass through; an empty table gives no rows.
@@ -42,8 +44,13 @@ CLUTTER_NAMES = set(
     "share sharing social related recommended recommendations pagination pager toolbar widget login search skip "
     "hidden copyright legal paywall outbrain taboola form".split()
 )
+#: of these, the ones of readers' texts, which can be longer than the article and hold articles of their own
+COMMENT_NAMES = set(
+    "comment comments commentlist disqus reply replies respond responses discussion".split()
+)
 GOOD_NAMES = set("article body content entry main post text story page blog hentry".split())
 CLOSED_BY_BLOCK = "p"
+LEAST_POINTS = 2  # about a paragraph of text
 FARTHEST = 8  # points have faded to a twenty-fourth there
 SAME_LEVEL = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -63,19 +70,24 @@ TEXT = "page_id bigint, url string, text string"
 
 
 class Node:
-    __slots__ = ("parent", "tag", "clutter", "weight", "points", "scored", "chars", "linked", "kids", "linky", "inside")
+    __slots__ = (
+        "parent", "tag", "clutter", "hard", "names", "weight", "points", "scored", "chars", "linked", "kids", "linky", "inside",
+        "worth", "largest", "above",
+    )
 
-    def __init__(self, parent, tag, clutter, weight):
+    def __init__(self, parent, tag, clutter, weight, hard=False, names=frozenset()):
         self.parent, self.tag, self.clutter, self.weight = parent, tag, clutter, weight
+        self.hard, self.names = hard, names  # clutter by tag, role or style; own clutter names
         self.points, self.scored, self.chars, self.linked, self.kids = 0.0, False, 0, 0, []
         self.linky = self.inside = False
+        self.worth, self.largest, self.above = 0.0, 0.0, False
         if parent is not None:
             parent.kids.append(self)
 
 
-def _judged(tag: str, raw: str, parent: Node) -> tuple[bool, float]:
-    """(clutter, class weight) of an element from its tag and attributes."""
-    clutter = parent.clutter or tag in CLUTTER
+def _judged(tag: str, raw: str, parent: Node) -> tuple[bool, frozenset | set, float]:
+    """(clutter by all but names, clutter names, class weight) of an element from its tag and attributes."""
+    clutter, names = parent.hard or tag in CLUTTER, frozenset()
     inside = parent
     while tag == "header" and inside is not None and inside.tag not in ("article", "main"):
         inside = inside.parent
@@ -83,7 +95,7 @@ def _judged(tag: str, raw: str, parent: Node) -> tuple[bool, float]:
         clutter = True
     weight = 25.0 if tag in ("article", "main") else 0.0
     if "=" not in raw and "hidden" not in raw:
-        return clutter, weight
+        return clutter, names, weight
     for name, a, b, c, bare in ATTRIBUTE.findall(raw):
         name, value = name.lower(), a or b or c
         if bare or (name == "aria-hidden" and value == "true"):
@@ -97,8 +109,8 @@ def _judged(tag: str, raw: str, parent: Node) -> tuple[bool, float]:
             if parts & GOOD_NAMES:
                 weight += 25
             if parts & CLUTTER_NAMES and not ("header" in parts and parts & {"article", "post", "entry"}):
-                clutter = True
-    return clutter, weight
+                names = names | parts & CLUTTER_NAMES
+    return clutter, names, weight
 
 
 class Page:
@@ -156,12 +168,13 @@ class Page:
         if tag in VOID or raw.endswith("/") and tag not in BLOCKS:
             return
         parent = self.stack[-1]
-        clutter, weight = _judged(tag, raw, parent)
+        hard, names, weight = _judged(tag, raw, parent)
+        clutter = parent.clutter or hard or bool(names)
         if clutter != parent.clutter:
             self._flush()
         if tag == "a":
             self.links += 1
-        self.stack.append(Node(parent, tag, clutter, weight))
+        self.stack.append(Node(parent, tag, clutter, weight, hard, names))
         self.nodes.append(self.stack[-1])
 
     def _end(self, tag: str) -> None:
@@ -200,14 +213,51 @@ class Page:
         self._flush()
 
 
+def _points(owner: Node, text: str) -> float:
+    points = 1 + text.count(",") + min(len(text) / 100, 3)
+    if owner.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "li", "th", "dt"):
+        points = min(points, 1) / 2
+    return points
+
+
+def _settle(page: Page, by_name: bool) -> None:
+    """Decide what is clutter; a name alone does not cut what holds the content of the page.
+
+    Readers' texts count as content only on a page with next to nothing else.
+    """
+    nodes = page.nodes
+    for node in nodes[1:]:
+        node.clutter = node.parent.clutter or node.hard
+        node.above = node.parent.above or bool(node.parent.names & COMMENT_NAMES)
+    if not by_name or not any(n.names for n in nodes):
+        return
+    visible = [(owner, _points(owner, text), linked / len(text)) for owner, text, linked in page.blocks if not owner.hard]
+    for owner, points, links in visible:
+        owner.worth += points * (1 - links)
+    for node in reversed(nodes[1:]):
+        node.parent.worth += node.worth
+    for readers in (False, True):
+        for node in nodes:
+            content = node.tag == "main" or node.tag == "article" and (readers or not node.above)
+            node.largest = node.worth if content and not node.hard else 0.0
+        for node in reversed(nodes[1:]):
+            node.parent.largest = max(node.parent.largest, node.largest)
+        total, largest = page.root.worth, page.root.largest
+        for node in nodes[1:]:
+            holds = 0 < largest <= 2 * node.largest or node.worth > 0.5 * total
+            if not readers and node.names & COMMENT_NAMES:
+                holds = holds and node.largest > 0
+            node.clutter = node.parent.clutter or node.hard or bool(node.names) and not holds
+        if largest or sum(points for owner, points, _ in visible if points >= 1 and not owner.clutter) >= LEAST_POINTS:
+            return
+
+
 def _score(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> list[Node]:
     """Give points to ancestors and sum their text; returns the containers with points."""
     for owner, text, linked in blocks:
         owner.chars += len(text)
         owner.linked += linked
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
-        if owner.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "li", "th", "dt"):
-            points = min(points, 1) / 2
+        points = _points(owner, text)
         # the block itself is a container only where text stands in it directly
         level = 1 if owner.tag in ("p", "pre", "li", "h1", "h2", "h3") else 0
         node = owner.parent if level else owner
@@ -241,6 +291,9 @@ def _below(node: Node | None, ids: set[int]) -> bool:
 def main_text(source: str | None) -> str:
     """Text blocks of the article of a page, joined by an empty line."""
     page = Page(source or "")
+    _settle(page, by_name=True)
+    if not any(not owner.clutter for owner, _, _ in page.blocks):
+        _settle(page, by_name=False)
     blocks = [b for b in page.blocks if not b[0].clutter]
     if not blocks:
         return ""

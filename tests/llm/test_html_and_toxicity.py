@@ -227,3 +227,24 @@ def test_short_terms_and_known_words(spark):
     got = {r.doc_id: r for r in score_toxicity(docs.unionAll(spark.createDataFrame(extra, docs.schema)), labels).collect()}
     assert (got[5000].n_exact, got[5001].n_edited, got[5002].n_edited) == (1, 1, 0)
     assert all(got[i].predicted == t for i, _, t in rows)
+
+
+ARTICLE = "<h1>Title</h1><p>First, of the paragraphs, with commas.</p><p>Second, of them, and longer than the first.</p>"
+KEPT = ["Title", "First, of the paragraphs, with commas.", "Second, of them, and longer than the first."]
+
+
+def test_names_do_not_cut_the_content():
+    remark = "<p>I, too, like, this, very, much, indeed, and, say, so, often, enough.</p>" * 9
+    extra = '<div class="share"><p>Share this</p></div>'
+    pages = [
+        f"<div class='layout no-sidebar'><article>{ARTICLE}{extra}</article></div>",
+        f"<p>Welcome</p><div class='layout no-sidebar'><article>{ARTICLE}</article></div><p>Bye</p>",
+        f"<div class='social'><div class='story'>{ARTICLE}</div>{extra}</div>",
+        f"<div id='discussion'><article>{ARTICLE}</article></div>",
+        f"<article>{ARTICLE}</article><section id='comments'><article class='c'>{remark}</article></section>",
+        f"<div class='content'>{ARTICLE}</div><section id='comments'>{remark}</section>",
+        f"<article>{ARTICLE}</article><div class='related'><article class='teaser'><p>Other</p></article></div>",
+    ]
+    for page in pages:
+        assert [t for t in main_text(f"<body>{page}</body>").split("\n\n") if t not in ("Welcome", "Bye")] == KEPT, page
+    assert main_text("<div class='hidden'><p>a</p></div><div class='ad'><p>b</p></div>") == "a"  # not empty
