@@ -6,7 +6,9 @@ discounted by the share of its text that stands in links. The best container is
 those of its siblings that score well or are plain paragraphs, and inside them every block
 that is not part of a menu, header, footer, side bar, notice, advert, form or comment.
 Class names and ids tell clutter only where the element does not hold the page's articles
-or most of its points, and not at all on a page that would have no text by them.
+or most of its points, and not at all on a page that would have no text by them. Links
+weigh in the choice of containers only. A heading of comments silences what follows it up
+to the next heading of its level.
 
 Pages are independent rows, read whole. A null page gives an empty text; so does a page
 without text. Null ids and repeated rows pass through; an empty table gives no rows.
@@ -71,7 +73,7 @@ TEXT = "page_id bigint, url string, text string"
 
 class Node:
     __slots__ = (
-        "parent", "tag", "clutter", "hard", "names", "weight", "points", "scored", "chars", "linked", "kids", "linky", "inside",
+        "parent", "tag", "clutter", "hard", "names", "weight", "points", "scored", "chars", "linked", "kids", "inside",
         "worth", "largest", "above",
     )
 
@@ -79,7 +81,7 @@ class Node:
         self.parent, self.tag, self.clutter, self.weight = parent, tag, clutter, weight
         self.hard, self.names = hard, names  # clutter by tag, role or style; own clutter names
         self.points, self.scored, self.chars, self.linked, self.kids = 0.0, False, 0, 0, []
-        self.linky = self.inside = False
+        self.inside = False
         self.worth, self.largest, self.above = 0.0, 0.0, False
         if parent is not None:
             parent.kids.append(self)
@@ -269,8 +271,6 @@ def _score(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> list[Node]
         node.parent.chars += node.chars
         node.parent.linked += node.linked
     for node in nodes[1:]:
-        lists = node.tag in ("ul", "ol", "dl", "table", "li", "div", "tr", "td")
-        node.linky = node.parent.linky or lists and node.linked > 0.5 * node.chars
         if node.scored:
             node.points += node.weight
     return [n for n in nodes if n.scored]
@@ -319,12 +319,17 @@ def main_text(source: str | None) -> str:
     for node in page.nodes:
         node.inside = id(node) in kept or node.parent is not None and node.parent.inside
     out: list[str] = []
-    silenced: set[int] = set()
+    silenced: dict[int, int] = {}  # parent of a heading of comments: level of the heading
     for owner, text, _ in blocks:
-        if not owner.inside or owner.linky or silenced and _below(owner, silenced):
+        if not owner.inside:
             continue
-        if owner.tag[0] == "h" and owner.tag[1:].isdigit() and COMMENT_HEADING.match(text):
-            silenced.add(id(owner.parent))
+        level = int(owner.tag[1:]) if owner.tag[0] == "h" and owner.tag[1:].isdigit() else 0
+        if level:
+            silenced = {k: v for k, v in silenced.items() if v < level}
+        if silenced and _below(owner, set(silenced)):
+            continue
+        if level and COMMENT_HEADING.match(text):
+            silenced[id(owner.parent)] = level
             continue
         out.append(text)
     return "\n\n".join(out)

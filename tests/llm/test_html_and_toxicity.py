@@ -248,3 +248,11 @@ def test_names_do_not_cut_the_content():
     for page in pages:
         assert [t for t in main_text(f"<body>{page}</body>").split("\n\n") if t not in ("Welcome", "Bye")] == KEPT, page
     assert main_text("<div class='hidden'><p>a</p></div><div class='ad'><p>b</p></div>") == "a"  # not empty
+
+
+def test_links_and_sections_of_the_article_stay():
+    links = "<ul><li><a href='a'>Smith 2001</a></li><li><a href='b'>Jones 2002</a></li></ul>"
+    table = "<table><tr><td><a href='c'>Berlin</a></td><td>3</td></tr></table>"
+    menu = "<div class='nav'><a href='d'>Home</a></div>"
+    text = main_text(f"<article>{ARTICLE}<h2>Comments</h2><h3>Bob</h3><p>reply</p><h2>References</h2>{links}{table}{menu}</article>")
+    assert text.split("\n\n") == [*KEPT, "References", "Smith 2001", "Jones 2002", "Berlin", "3"]
