@@ -80,20 +80,25 @@ def event_stats_with_overall(spark, sf_dir):
     return rounded(found)
 
 
+def _large(found):
+    """The rows and columns of the SQL, which lists no group that is too small for the check."""
+    return rounded(found.where("error IS NULL").drop("error"))
+
+
 def event_gaps(spark, sf_dir):
-    return rounded(gap_analysis(_events(spark, sf_dir), ["value"], "event_type"))
+    return _large(gap_analysis(_events(spark, sf_dir), ["value"], "event_type"))
 
 
 def event_density(spark, sf_dir):
-    return rounded(density_grid(_events(spark, sf_dir), ["value"], "event_type"))
+    return _large(density_grid(_events(spark, sf_dir), ["value"], "event_type"))
 
 
 def event_peaks(spark, sf_dir):
-    return rounded(density_peaks(_events(spark, sf_dir), ["value"], "event_type"))
+    return _large(density_peaks(_events(spark, sf_dir), ["value"], "event_type"))
 
 
 def event_normality(spark, sf_dir):
-    return rounded(shapiro_normality(_events(spark, sf_dir), ["value", "user_id"], "event_type"))
+    return _large(shapiro_normality(_events(spark, sf_dir), ["value", "user_id"], "event_type"))
 
 
 def _flat_shapes(found):

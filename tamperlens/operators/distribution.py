@@ -140,11 +140,17 @@ def gap_analysis(
     min_values: int = MIN_VALUES,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Widest gap between neighbouring values against the mean gap."""
+    """Widest gap between neighbouring values against the mean gap.
+
+    A group of fewer than ``min_values`` values has a row with ``error`` only.
+    """
     cells = _cells(df, columns, by, include_overall)
-    stats = stage(_moments(cells, min_values))
-    found = _gaps(_value_counts(cells, stats, limits), stats)
-    return found.select("column", _group_name(), "max_gap_size", "mean_gap", "suspicious_gaps")
+    moments = stage(_moments(cells, 0))
+    stats = moments.filter(f"sample_size >= {min_values}")
+    found = _gaps(_value_counts(cells, stats, limits), stats).select(
+        "column", _group_name(), "max_gap_size", "mean_gap", "suspicious_gaps", F.lit(None).cast("string").alias("error")
+    )
+    return _with_small(found, moments, min_values).drop("sample_size")
 
 
 def _grid(values: DataFrame, stats: DataFrame, limits: Limits) -> DataFrame:
@@ -182,11 +188,17 @@ def density_grid(
     min_values: int = MIN_VALUES,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Gaussian kernel density with Scott's bandwidth on 100 points."""
+    """Gaussian kernel density with Scott's bandwidth on 100 points.
+
+    A group of fewer than ``min_values`` values has one row with ``error`` only.
+    """
     cells = _cells(df, columns, by, include_overall)
-    stats = stage(_moments(cells, min_values))
-    grid = _grid(_value_counts(cells, stats, limits), stats, limits)
-    return grid.select("column", _group_name(), "i", "x", "density")
+    moments = stage(_moments(cells, 0))
+    stats = moments.filter(f"sample_size >= {min_values}")
+    grid = _grid(_value_counts(cells, stats, limits), stats, limits).select(
+        "column", _group_name(), "i", "x", "density", F.lit(None).cast("string").alias("error")
+    )
+    return _with_small(grid, moments, min_values).drop("sample_size")
 
 
 def _peaks(grid: DataFrame) -> DataFrame:
@@ -209,18 +221,24 @@ def density_peaks(
     min_values: int = MIN_VALUES,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """(column, group, peak_rank, x, density), the three highest peaks, and their count."""
+    """(column, group, peak_rank, x, density), the three highest peaks, and their count.
+
+    A group of fewer than ``min_values`` values has one row with ``error`` only.
+    """
     cells = _cells(df, columns, by, include_overall)
-    stats = stage(_moments(cells, min_values))
+    moments = stage(_moments(cells, 0))
+    stats = moments.filter(f"sample_size >= {min_values}")
     peaks = _peaks(_grid(_value_counts(cells, stats, limits), stats, limits))
-    return peaks.selectExpr(*KEYS, "peak_count", "posexplode(_tops) AS (_p, _top)").select(
+    found = peaks.selectExpr(*KEYS, "peak_count", "posexplode(_tops) AS (_p, _top)").select(
         "column",
         _group_name(),
         F.expr("peak_count"),
         F.expr("_p + 1 AS peak_rank"),
         F.expr("_top.x AS x"),
         F.expr("-_top.low AS density"),
+        F.lit(None).cast("string").alias("error"),
     )
+    return _with_small(found, moments, min_values).drop("sample_size")
 
 
 def _shapiro(
@@ -277,19 +295,23 @@ def shapiro_normality(
     """Shapiro-Wilk W and p of every group, by one formula.
 
     ``calibrated`` says whether p lies in the range its approximation was fitted
-    to.  ``shapiro_rows`` leaves larger groups out if a caller wants that.
+    to.  ``shapiro_rows`` leaves larger groups out if a caller wants that.  A group of
+    fewer than ``min_values`` values has a row with ``error`` only.
     """
     cells = _cells(df, columns, by, include_overall)
-    stats = stage(_moments(cells, min_values))
+    moments = stage(_moments(cells, 0))
+    stats = moments.filter(f"sample_size >= {min_values}")
     found = _shapiro(_value_counts(cells, stats, limits), stats, limits, shapiro_rows)
-    return stats.join(found, KEYS, "left").select(
+    tested = stats.join(found, KEYS, "left").select(
         "column",
         _group_name(),
         "sample_size",
         "shapiro_w",
         "shapiro_p",
         F.expr(f"sample_size <= {CALIBRATED_ROWS} AS calibrated"),
+        F.lit(None).cast("string").alias("error"),
     )
+    return _with_small(tested, moments, min_values)
 
 
 def multimodality(

@@ -235,3 +235,12 @@ def test_known_values_on_the_tables(spark, sf_dir):
     assert [round(gaps[g]["max_gap_size"], 2) for g in ("click", "error", "view")] == [103.43, 26.0, 55.9]
     bands = by(inlier_bands(events, ["value"], "event_type").collect(), "group")["view"]
     assert [bands[f"{b}_count"] for b in ("very_close", "close", "moderate", "far")] == [724, 904, 249, 105]
+
+
+@pytest.mark.parametrize("check", [gap_analysis, density_grid, density_peaks, shapiro_normality])
+def test_small_groups_come_back_with_an_error(spark, check):
+    df = frame(spark, {"normal": SHAPES["normal"], "tiny": [1.0, 2.0, 4.0]})
+    rows = check(df, ["v"], "g").collect()
+    assert [r["error"] for r in rows if r["group"] == "tiny"] == ["fewer than 20 values"]
+    others = [r["error"] for r in rows if r["group"] == "normal"]
+    assert others and set(others) == {None}
