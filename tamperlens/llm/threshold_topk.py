@@ -1,15 +1,18 @@
 """Exact top-k inner products by Fagin's threshold algorithm.
 
-Vectors become integers floor(scale * x). They are cut into blocks of bounded size; a task
-gets one block of vectors and one block of queries. It sorts the block's vectors by every
-dimension once, and walks the lists of each query in step: downwards where the query's
+Vectors become integers floor(scale * x) in packed blocks of bounded size, each with its
+lists: the block's vectors sorted by every dimension once. A task takes a round of queries
+through its blocks and walks the lists of many queries at once: downwards where a query's
 weight is positive, upwards where it is negative. Vectors met are scored whole; the walk
-ends when the bound, the score of a vector that stood at the frontier of every list, falls
-below the k-th best, so no unseen vector can win or tie. The best of all blocks are merged.
+of a query ends when the bound, the score of a vector that stood at the frontier of every
+list, falls below its k-th best so far, so no unseen vector can win or tie. The k-th best
+of earlier blocks is the starting bound of the next ones. The best of all tasks are merged.
 
 Vectors that are null, or hold null or non-finite components, take no part; neither do
 null ids. Repeated rows of an id are separate candidates with one id, and never their own
-query's. Vectors of another length than the query's are no candidates for it.
+query's. Each distinct vector of a query id asks for itself. Vectors of another length
+than the query's are no candidates for it. Components beyond 2**53 count as 2**53, scores
+beyond 64 bits are ranked among all and returned as the largest or smallest 64-bit integer.
 """
 
 from __future__ import annotations
@@ -17,82 +20,82 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamperlens.functions.columns import quoted
-from tamperlens.llm.common import Scratch, parts_for
-
-FOUND = "query_id bigint, vec_id bigint, score bigint"
-
-
-def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, v): vectors whose components are all finite, as integers."""
-    vector = quoted(vector_col)
-    return (
-        rows.selectExpr(f"CAST({quoted(id_col)} AS BIGINT) AS vec_id", f"{vector} AS raw")
-        .where(
-            "vec_id IS NOT NULL AND raw IS NOT NULL AND size(raw) > 0 AND "
-            "forall(raw, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
-        )
-        .selectExpr("vec_id", f"transform(raw, x -> floor({scale}D * CAST(x AS DOUBLE))) AS v")
-    )
-
-
-def threshold_walk(
-    vectors: np.ndarray, order: np.ndarray, weights: np.ndarray, own: np.ndarray, ids: np.ndarray,
-    k: int, step: int,
-) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, scores) of the k best of a block for one query.
-
-    ``order`` has each dimension's vectors by ascending value; ``own`` marks vectors of
-    the query's own id.
-    """
-    n = len(vectors)
-    lists = np.flatnonzero(weights)
-    upward = weights[lists] < 0
-    seen = own.copy()
-    best, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+from tamperlens.llm.common import Scratch
+from tamperlens.llm.vector_blocks import (
+    Block, Products, best_of_groups, contenders, integer_vectors, joined_by_dim, longs, pack, rounds,
+)
+
+FOUND = "query_id bigint, query_no bigint, vec_id bigint, score bigint, exact string"
+
+
+class Best:
+    """The k best (score, id) of each query of a chunk so far."""
+
+    def __init__(self, queries: Block, k: int):
+        self.k = k
+        self.row = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int64)
+        self.scores = np.zeros(0, object)
+        self.queries = len(queries.ids)
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        row, ids = np.concatenate((self.row, rows)), np.concatenate((self.ids, ids))
+        scores = np.concatenate((self.scores, scores)) if len(self.scores) else scores
+        top = best_of_groups(row, scores, ids, self.k)
+        self.row, self.ids, self.scores = row[top], ids[top], scores[top]
+
+    def kth(self, least) -> np.ndarray:
+        """Score of each query's k-th best; ``least`` where fewer are known."""
+        out = np.full(self.queries, least, object if isinstance(least, int) else np.float64)
+        ends = np.searchsorted(self.row, np.arange(self.queries), side="right")
+        known = np.bincount(self.row, minlength=self.queries) == self.k
+        out[known] = self.scores[ends[known] - 1]
+        return out
+
+
+def threshold_walk(queries: Block, held: Block, best: Best, step: int) -> int:
+    """Walk a block's lists for all queries of a chunk; returns the vectors met, over all queries."""
+    n, dim = held.v.shape
+    products = Products(queries, held)
+    values = np.take_along_axis(products.held, held.lists.astype(np.int64), axis=0)
+    up, down = np.minimum(products.queries, 0), np.maximum(products.queries, 0)
+    weightless = ~(products.queries != 0).any(axis=1)
+    met = np.zeros((len(queries.ids), n), bool)
+    own = queries.ids[:, None] == held.ids[None, :]
+    scores = np.zeros((len(queries.ids), n), products.queries.dtype)
+    scored = np.zeros(n, bool)
+    active = np.arange(len(queries.ids))
     depth = 0
-    while depth < n:
+    while depth < n and len(active):
         until = min(depth + step, n)
-        step *= 2  # deeper walks are taken in longer strides
-        down = order[n - until : n - depth, lists[~upward]]
-        up = order[depth:until, lists[upward]]
-        fresh = np.unique(np.concatenate((down.ravel(), up.ravel()))) if len(lists) else np.arange(n)
-        fresh = fresh[~seen[fresh]]
-        seen[fresh] = True
-        best = np.concatenate((best, fresh))
-        scores = np.concatenate((scores, vectors[fresh] @ weights))
-        top = np.lexsort((ids[best], -scores))[:k]
-        best, scores = best[top], scores[top]
+        step *= 4  # deeper walks are taken in longer strides
+        fresh = np.zeros((len(active), n), bool)
+        for d in range(dim):
+            falling = np.flatnonzero(products.queries[active, d] > 0)
+            rising = np.flatnonzero(products.queries[active, d] < 0)
+            fresh[np.ix_(falling, held.lists[n - until : n - depth, d])] = True
+            fresh[np.ix_(rising, held.lists[depth:until, d])] = True
+        fresh[weightless[active]] = True  # every score is zero, every vector a candidate
+        fresh &= ~met[active]
+        met[active] |= fresh
+        fresh &= ~own[active]
+        columns = np.flatnonzero(fresh.any(axis=0) & ~scored)
+        if len(columns):
+            scores[np.ix_(active, columns)] = products.of(active, columns)
+            # a column scored for all queries still walking need not be scored again
+            scored[columns] = True
+        least = best.kth(products.least)
+        good = fresh & (scores[active] >= least[active, None])
+        row, column = contenders(good, scores[active], best.k)
+        best.add(active[row], held.ids[column], scores[active[row], column])
         depth = until
-        if not len(lists):
-            break
-        frontier = np.where(upward, order[depth - 1, lists], order[n - depth, lists])
-        bound = int((vectors[frontier, lists] * weights[lists]).sum())
-        if len(best) == k and scores[-1] > bound:
-            break
-    return best, scores
-
-
-def search_block(rows: pd.DataFrame, k: int, step: int) -> Iterator[tuple]:
-    asked = rows["asks"].to_numpy(bool)
-    sizes = rows["v"].map(len).to_numpy()
-    for size in np.unique(sizes[asked]):
-        held = rows[~asked & (sizes == size)]
-        if not len(held):
-            continue
-        ids = held["vec_id"].to_numpy(np.int64)
-        vectors = np.stack(held["v"].to_numpy()).astype(np.int64)
-        order = np.argsort(vectors, axis=0, kind="stable")
-        queries = rows[asked & (sizes == size)]
-        for query, weights in zip(queries["vec_id"], queries["v"]):
-            found, scores = threshold_walk(
-                vectors, order, np.asarray(weights, np.int64), ids == query, ids, k, step
-            )
-            yield from ((query, int(ids[i]), int(s)) for i, s in zip(found, scores))
+        bound = down @ values[n - depth] + up @ values[depth - 1]
+        active = active[~(best.kth(products.least)[active] > bound[active])]
+    return int(met.sum())
 
 
 def exact_top_k(
@@ -103,38 +106,57 @@ def exact_top_k(
     k: int = 5,
     scale: int = 256,
     block: int = 8192,
-    query_block: int = 1024,
+    query_block: int = 256,
     step: int = 64,
+    round_bytes: int = 1 << 23,
 ) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k best of all other rows for each query.
 
     ``is_query`` is a condition on ``vec_id``. Ties go to the smaller id. The work grows
-    with queries times vectors, spread over tasks of bounded blocks.
+    with queries times vectors; the vectors are read once a round of ``round_bytes`` of
+    queries and are never shuffled, ``query_block`` queries are walked at a time.
     """
-    scratch = Scratch(rows.sparkSession, "topk")
-    vectors = scratch.stage(integer_vectors(rows, id_col, vector_col, scale), "vectors")
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "topk")
+    vectors = integer_vectors(rows, id_col, vector_col, scale)
+    held = scratch.stage(pack(vectors, block, sort_lists=True), "blocks")
     condition = F.expr(is_query) if isinstance(is_query, str) else is_query
-    queries = vectors.where(condition).distinct()
-    total, asked = vectors.count(), queries.count()
-    blocks, query_blocks = parts_for(total, block), parts_for(asked, query_block)
-    held = vectors.selectExpr(
-        "vec_id", "v", "false AS asks",
-        f"CAST(pmod(xxhash64(vec_id, v), {blocks}) AS INT) AS block_no",
-        f"explode(sequence(0, {query_blocks - 1})) AS query_no",
-    )
-    asking = queries.selectExpr(
-        "vec_id", "v", "true AS asks", f"explode(sequence(0, {blocks - 1})) AS block_no",
-        f"CAST(pmod(xxhash64(vec_id), {query_blocks}) AS INT) AS query_no",
-    )
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        found = list(search_block(group.sort_values("vec_id"), k, step))
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    best = held.unionByName(asking).groupBy("block_no", "query_no").applyInPandas(search, FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    asked = scratch.stage(pack(vectors.where(condition).distinct(), block), "queries")
+    first = 0
+    for number, part in enumerate(rounds(asked, round_bytes)):
+        chunks = joined_by_dim(part, query_block)
+        numbers = first + np.concatenate(([0], np.cumsum([len(c.ids) for c in chunks])))
+        first = int(numbers[-1])
+
+        def search(frames: Iterator[pa.RecordBatch], chunks=chunks, numbers=numbers) -> Iterator[pa.RecordBatch]:
+            best = [Best(c, k) for c in chunks]
+            for frame in frames:
+                for row in range(frame.num_rows):
+                    block_held = Block.read(frame.slice(row, 1).to_pylist()[0])
+                    for chunk, found in zip(chunks, best):
+                        if chunk.dim == block_held.dim:
+                            threshold_walk(chunk, block_held, found, step)
+            for chunk, found, no in zip(chunks, best, numbers):
+                if len(found.row):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(chunk.ids[found.row]), pa.array(no + found.row), pa.array(found.ids),
+                            pa.array(longs(found.scores)), pa.array([str(int(s)) for s in found.scores]),
+                        ],
+                        names=["query_id", "query_no", "vec_id", "score", "exact"],
+                    )
+
+        _merged(held.mapInArrow(search, FOUND), k).write.mode("append").parquet(scratch.path("found"))
+    if not first:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    scratch.drop("blocks", "queries")
+    return spark.read.parquet(scratch.path("found"))
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_no").orderBy(F.expr("CAST(exact AS DECIMAL(38,0))").desc(), "vec_id")
     return (
-        best.withColumn("rank", F.row_number().over(order))
+        found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )

@@ -42,6 +42,26 @@ def test_top_k_of_little(spark):
     assert exact_top_k(few.where("false"), "vec_id % 50 = 0").count() == 0
 
 
+def test_top_k_of_huge_and_repeated_queries(spark):
+    """Products beyond 64 bits are ranked exactly; each vector of a query id asks for itself."""
+    rows = [(0, [1e15, 1.0], 0, 0.0, 1), (1, [1e15, 2.0], 0, 0.0, 1), (2, [1e15, 3.0], 0, 0.0, 1), (3, [-1e15, 1.0], 0, 0.0, 1)]
+    df = spark.createDataFrame(rows, VECTORS.replace("float", "double"))
+    got = exact_top_k(df, "vec_id = 0").collect()
+    assert [(r.rank, r.vec_id) for r in sorted(got)] == [(1, 2), (2, 1), (3, 3)]
+    assert {r.vec_id: r.score for r in got}[2] == 2**63 - 1 and {r.vec_id: r.score for r in got}[3] == -(2**63)
+    twice = [(0, [1.0, 0.0], 0, 0.0, 1), (0, [0.0, 1.0], 0, 0.0, 1), (1, [3.0, 1.0], 0, 0.0, 1), (2, [1.0, 3.0], 0, 0.0, 1)]
+    got = exact_top_k(spark.createDataFrame(twice, VECTORS), "vec_id = 0", k=1).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 3 * 65536), (0, 1, 2, 3 * 65536)]
+
+
+def test_top_k_over_many_rounds(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4)], 0, 0.0, 1) for i in range(900)]
+    df = spark.createDataFrame(rows, VECTORS).repartition(7)
+    got = exact_top_k(df, "vec_id % 50 = 0", block=50, query_block=4, step=2, round_bytes=200).collect()
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in got} == brute_top(rows, 5)
+
+
 def test_entries_shared_by_codes():
     a = np.array([0, 0, 0], np.uint64)
     b = np.array([0, 1 << 5, 0x0003_0003_0003_0003], np.uint64)
