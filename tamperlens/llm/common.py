@@ -23,6 +23,16 @@ def free_name(columns: list[str], stem: str) -> str:
     return stem
 
 
+def bounded_batches(spark: SparkSession, most_bytes: int = 1 << 23) -> None:
+    """Bound the Arrow batches of the session in bytes, unless it sets a bound itself.
+
+    Batches are else bounded in rows only, and ten thousand long texts fill a worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(most_bytes))
+
+
 class Scratch:
     """Parquet tables in the shared folder of the session, dropped when no longer read.
 

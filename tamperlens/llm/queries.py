@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tamperlens.llm.common import Scratch, table
+from tamperlens.llm.conversation_repair import damaged, repair_conversations
+from tamperlens.llm.hard_negatives import mine_hard_negatives
 from tamperlens.llm.html_text import extract_text
 from tamperlens.llm.itq_dedup import link_near_duplicates
 from tamperlens.llm.jaccard_forest import jaccard_join
@@ -14,6 +16,7 @@ from tamperlens.llm.licenses import BASE, GAP, MORE, SEPARATORS, SHARE, scan_lic
 from tamperlens.llm.mixing import WORD, mix_sources
 from tamperlens.llm.packing import pack_documents
 from tamperlens.llm.pii import digest_columns, find_personal_data
+from tamperlens.llm.token_counts import count_tokens
 from tamperlens.llm.token_files import read_token_files, write_token_files
 from tamperlens.llm.threshold_topk import exact_top_k
 from tamperlens.llm.toxicity import score_toxicity
@@ -90,6 +93,27 @@ def op10_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op11_lr_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and repaired digest of every damaged conversation."""
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")), present="present")
+
+
+def op12_digest_cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, counted through a cache of this run."""
+    docs = table(spark, sf_dir, "documents")
+    cache = Scratch(spark, "count-cache").path("counts")
+    counts = count_tokens(docs, cache, vocabulary("piece_bpe_32k.model"))
+    return counts.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 4096 AS over_limit")
+
+
+def op13_slot_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive; some labels are shifted first."""
+    rows = table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id", "embedding", "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label"
+    )
+    return mine_hard_negatives(rows, "vec_id % 100 = 0", positives=5, k=5, low=80, high=100, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_threshold_topk": op1_threshold_topk,
     "op2_pii_weak_supervision": op2_pii_weak_supervision,
@@ -101,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_curve_packing": op9_curve_packing,
     "op10_itq_near_duplicates": op10_itq_near_duplicates,
+    "op11_lr_role_repair": op11_lr_role_repair,
+    "op12_digest_cache_counts": op12_digest_cache_counts,
+    "op13_slot_hard_negatives": op13_slot_hard_negatives,
 }
 
 _TEMPLATES = ", ".join(
@@ -215,4 +242,28 @@ SQL: dict[str, str] = {
                coalesce(component_id, vec_id) = vec_id AS kept
         FROM embeddings LEFT JOIN least ON vec_id = least.node LEFT JOIN degree ON vec_id = degree.node
     """,
+    "op13_slot_hard_negatives": """
+        WITH clean AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS (SELECT vec_id, label, unnest(v) AS x, unnest(range(len(v))) AS d FROM clean),
+        scored AS MATERIALIZED (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other, any_value(a.label = b.label) AS same,
+                   CAST(sum(a.x * b.x) AS BIGINT) AS score
+            FROM parts a JOIN parts b ON a.d = b.d AND a.vec_id <> b.vec_id
+            WHERE a.vec_id % 100 = 0 GROUP BY ALL
+        ), positives AS (
+            SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (
+                   PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.other) AS INTEGER) AS rank,
+               n.other AS negative_id, positive_score, n.score AS negative_score
+        FROM positives JOIN scored n USING (anchor_id)
+        WHERE NOT n.same AND 80 * positive_score <= 100 * n.score AND 100 * n.score <= 100 * positive_score
+        QUALIFY rank <= 5
+    """,
 }
