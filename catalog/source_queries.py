@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from catalog.common import EVENTS_ORDER, SQL_EVENTS, numbered, rounded, scratch, sql_round, table
 from tamperlens.operators.evidence import zscore_outliers
+from tamperlens.plans.staging import with_row_id
 from tamperlens.sources.archive import extract_json_blocks, report_ratings
 from tamperlens.sources.detect import dataset_metadata, detect_file_types
 from tamperlens.sources.sequences import read_fasta, read_vcf
 from tamperlens.sources.sinks import write_findings
-from tamperlens.sources.tabular import read_csv, read_delimited, read_json
+from tamperlens.sources.tabular import MISSING, in_file_order, read_csv, read_delimited, read_json
 
 
 def _customers(spark, sf_dir):
@@ -45,6 +46,52 @@ def csv_untidy(spark, sf_dir):
     return found.selectExpr("cast(big_id AS BIGINT) AS big_id", "balance", "replace(name, '\n', '|') AS name")
 
 
+def csv_documents(spark, sf_dir):
+    """Whole texts, with their quotes and line ends, in one file that is cut in many places."""
+    folder = scratch(spark, "csv")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs.coalesce(1).write.csv(
+        folder, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    found = read_csv(spark, folder, schema="doc_id BIGINT, text STRING, source STRING")
+    return found.selectExpr("doc_id", "md5(text) AS text_md5", "length(text) AS n_chars", "source")
+
+
+def csv_headers(spark, sf_dir):
+    """One folder whose files have their columns in other places, and other columns."""
+    folder = scratch(spark, "csv")
+    source = _customers(spark, sf_dir)
+    source.where("c_custkey % 3 = 0").select("c_custkey", "c_name").write.csv(folder, header=True)
+    source.where("c_custkey % 3 = 1").select("c_name", "c_custkey").write.mode("append").csv(folder, header=True)
+    more = source.where("c_custkey % 3 = 2").selectExpr(
+        "concat(c_mktsegment, '\n', 'x') AS note", "c_acctbal", "c_custkey"
+    )
+    more.write.mode("append").csv(folder, header=True, escape='"')
+    return read_csv(spark, folder).selectExpr("c_custkey", "c_name", "c_acctbal", "replace(note, '\n', '|') AS note")
+
+
+def blank_headers(spark, sf_dir):
+    """Blank-separated files with the same columns in two orders."""
+    folder = scratch(spark, "blanks")
+    for kind, columns in enumerate((["o_orderkey", "o_orderstatus"], ["o_orderstatus", "o_orderkey"])):
+        rows = table(spark, sf_dir, "orders").where(f"o_orderkey % 2 = {kind}").coalesce(1)
+        line = F.concat_ws("   ", *columns)
+        head = F.concat(F.lit("  ".join(columns) + "\n"), line)
+        first = F.monotonically_increasing_id() == 0
+        rows.select(F.when(first, head).otherwise(line).alias("value")).write.mode("append").text(folder)
+    return read_delimited(spark, folder).selectExpr("CAST(o_orderkey AS BIGINT) AS o_orderkey", "o_orderstatus")
+
+
+def delimited_order(spark, sf_dir):
+    """Row numbers of a tab-separated file in the order of its lines."""
+    folder = scratch(spark, "tsv")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    orders.repartition(1).sortWithinPartitions(F.desc("o_orderkey")).write.csv(folder, header=True, sep="\t")
+    found = read_delimited(spark, folder, file_order=True)
+    rows = with_row_id(found, in_file_order())
+    return rows.selectExpr("row_id", "CAST(o_orderkey AS BIGINT) AS o_orderkey", "o_totalprice")
+
+
 def json_documents(spark, sf_dir):
     """One folder with a file of one object per line and files that hold an array each."""
     folder = scratch(spark, "json")
@@ -192,6 +239,10 @@ QUERIES = {
     "read_csv": csv_table,
     "read_csv_latin1": csv_latin1,
     "read_csv_untidy": csv_untidy,
+    "read_csv_documents": csv_documents,
+    "read_csv_headers": csv_headers,
+    "read_delimited_headers": blank_headers,
+    "read_delimited_order": delimited_order,
     "read_json_documents": json_documents,
     "read_delimited": semicolon_text,
     "read_delimited_blanks": blank_text,
@@ -215,6 +266,17 @@ SQL = {
             CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS balance,
             c_name || CASE WHEN c_custkey % 5 = 0 THEN '|' ELSE ' ' END || 'é' AS name
         FROM customer""",
+    "read_csv_documents": f"""
+        SELECT doc_id, md5(t) AS text_md5, length(t)::INTEGER AS n_chars, source
+        FROM (SELECT *, CASE WHEN text NOT IN ({', '.join(f"'{m}'" for m in MISSING)}) THEN text END AS t FROM documents)""",
+    "read_csv_headers": """
+        SELECT c_custkey::INTEGER AS c_custkey, CASE WHEN c_custkey % 3 < 2 THEN c_name END AS c_name,
+            CASE WHEN c_custkey % 3 = 2 THEN c_acctbal END AS c_acctbal,
+            CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment || '|x' END AS note
+        FROM customer""",
+    "read_delimited_headers": "SELECT o_orderkey, o_orderstatus FROM orders",
+    "read_delimited_order": """
+        SELECT row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS row_id, o_orderkey, o_totalprice FROM orders""",
     "read_json_documents": "SELECT o_orderkey, o_orderstatus FROM orders",
     "read_delimited": _CUSTOMERS,
     "read_delimited_blanks": f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,12 +48,14 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 def detect_file_types(spark: SparkSession, path: str) -> DataFrame:
     """(path, file_type) by extension, else by the first line.
 
-    Spark's file scans leave out empty files, so these have no row.
+    Spark's scans leave out empty files, its listing does not; that is one name for each
+    file and on the driver anyway.
     """
     place = F.col("_metadata.file_path")
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(place.alias("path"))
-    ).withColumn("_kind", _kind_by_name(F.col("path")))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).inputFiles()
+    # as the metadata column spells paths without a host
+    files = spark.createDataFrame([(re.sub(r"^([^:/]+):///", r"\1:/", name),) for name in listed], "path string")
+    files = files.withColumn("_kind", _kind_by_name(F.col("path")))
     # only files whose name says nothing are opened; a first line is in the first split
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
     unnamed = lines.filter(_kind_by_name(place).isNull() & (F.col("_metadata.file_block_start") == 0))

@@ -47,10 +47,12 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
 
     Files of one header are read together; files without one are an error.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = spark.read.text(path).selectExpr(
+        "_metadata.file_path AS file", "value", "(_metadata.file_block_start, monotonically_increasing_id()) AS place"
+    )
     heads = (
         lines.groupBy("file")
-        .agg(F.expr("min(value) FILTER (WHERE value LIKE '#%' AND value NOT LIKE '##%') AS head"))
+        .agg(F.expr("min_by(value, place) FILTER (WHERE rtrim('\r', value) RLIKE '^#CHROM(\t|$)') AS head"))
         .collect()  # one row for each file
     )
     lost = [unquote(r.file) for r in heads if r.head is None]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+from collections import Counter
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamperlens.functions.columns import quoted, text_literal
+from tamperlens.sources.records import cut_records, raw_lines, scan_splits, start_states
 
 #: fixed values: texts that stand for a missing value
 MISSING = (
@@ -17,6 +20,8 @@ MISSING = (
 )
 # one bit for each kind of value; a column's bits together decide its type
 INT, BIG, WIDE, REAL, BOOL, DAY, TIME, TEXT = (1 << i for i in range(8))
+#: encodings in which quotes, separators and line ends are single ASCII bytes
+SPLITTABLE = ("UTF-8", "ISO-8859-1", "US-ASCII")
 FILE, START, ORDER = "source_file", "source_block", "source_order"
 
 
@@ -69,25 +74,98 @@ def typed(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def _file_sets(spark: SparkSession, path: str, encoding: str | None) -> dict[tuple[str, bool], list[str] | str]:
-    """Files by (encoding, whether a quoted value runs over a line end).
+def _file_sets(spark: SparkSession, path: str, encoding: str | None) -> dict[tuple, list[str]]:
+    """Files by (encoding, whether a quoted value may run over a line end, header line).
 
     One row for each file reaches the driver, as it does for Spark's own listing.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = spark.read.text(path).selectExpr(
+        "_metadata.file_path AS file", "_metadata.file_block_start = 0 AND trim(value) <> '' AS opens",
+        "monotonically_increasing_id() AS place", "value",
+    )
     flags = lines.groupBy("file").agg(
         F.expr("bool_and(is_valid_utf8(value)) AS utf8"),
         F.expr("bool_or(length(value) % 2 <> length(replace(value, '\"', '')) % 2) AS runs_on"),
+        F.expr("CAST(min_by(value, place) FILTER (WHERE opens) AS BINARY) AS header"),
     )
-    sets: dict[tuple[str, bool], list[str]] = {}
+    sets: dict[tuple, list[str]] = {}
     for row in flags.collect():
-        kind = (encoding or ("UTF-8" if row.utf8 else "ISO-8859-1"), row.runs_on)
+        coding = encoding or ("UTF-8" if row.utf8 else "ISO-8859-1")
+        # the header of a file with such values is its first record, not its first line
+        kind = (coding, row.runs_on, None if row.runs_on else bytes(row.header or b""))
         sets.setdefault(kind, []).append(unquote(row.file))
-    if len(sets) <= 1:  # all files alike: read the path as it was given
-        return {kind: path for kind in sets} or {(encoding or "UTF-8", False): path}
     return sets
 
 
+def header_names(header: str, sep: str) -> list[str]:
+    """Column names of a header record: free ones for empty and repeated names."""
+    found = next(csv.reader([header.removeprefix("\ufeff")], delimiter=sep), [])
+    counts = Counter(name.lower() for name in found)
+    names, taken = [], set()
+    for i, name in enumerate(found):
+        free = f"_c{i}" if not name else f"{name}{i}" if counts[name.lower()] > 1 else name
+        while free.lower() in taken:
+            free += "_"
+        taken.add(free.lower())
+        names.append(free)
+    return names
+
+
+def _lines_as_records(spark: SparkSession, files: list[str] | str, sep: str, coding: str) -> DataFrame:
+    """Files in which no record runs over a line end, through Spark's own reader."""
+    table = spark.read.csv(files, header=True, sep=sep, encoding=coding, quote='"', escape='"')
+    return table.selectExpr(
+        f"_metadata.file_path AS {FILE}", f"_metadata.file_block_start AS {START}",
+        f"monotonically_increasing_id() AS {ORDER}", *[quoted(c) for c in table.columns],
+    )
+
+
+def _cut_tables(spark: SparkSession, files: list[str], sep: str, coding: str) -> list[DataFrame]:
+    """Files with values that run over line ends: one table for each header.
+
+    They are split like any other; only files whose lines end in a bare carriage return,
+    and encodings in which a quote is not one known byte, are read whole.
+    """
+    whole: list[str] = []
+    if coding.upper() not in SPLITTABLE:
+        files, whole = [], files
+    lines = raw_lines(spark, files) if files else None
+    splits = scan_splits(lines, sep).collect() if files else []  # one row for each split
+    bare = {s.file for s in splits if s.bare_return}
+    whole += [unquote(f) for f in bare]
+    by_header: dict[bytes, list[str]] = {}
+    for split in splits:
+        if split.start == 0 and split.file not in bare:
+            by_header.setdefault(bytes(split.header or b""), []).append(split.file)
+    states = start_states([s for s in splits if s.file not in bare])
+    tables = []
+    for header, group in by_header.items():
+        names = header_names(header.decode(coding, "replace"), sep)
+        # the same splits as in the scan: a smaller set of files might be split otherwise
+        known = spark.createDataFrame([(f,) for f in group], "file string")
+        own = lines if len(by_header) == 1 and not bare else lines.join(F.broadcast(known), "file", "left_semi")
+        records = cut_records(own, sep, states).where("start <> 0 OR seq <> 0")
+        schema = ", ".join(f"{quoted(f'f{i}')} STRING" for i in range(len(names))) or "f0 STRING"
+        options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true"}
+        fields = F.from_csv(F.expr(f"decode(record, '{coding.upper()}')"), schema, options)
+        tables.append(
+            records.select(
+                F.col("file").alias(FILE), F.col("start").alias(START), F.col("seq").alias(ORDER), fields.alias("fields")
+            ).selectExpr(FILE, START, ORDER, *[f"fields.f{i} AS {quoted(n)}" for i, n in enumerate(names)])
+        )
+    if whole:
+        table = spark.read.csv(
+            whole, header=True, sep=sep, encoding=coding, multiLine=True, quote='"', escape='"'
+        )
+        tables.append(
+            table.selectExpr(
+                f"_metadata.file_path AS {FILE}", f"_metadata.file_block_start AS {START}",
+                f"monotonically_increasing_id() AS {ORDER}", *[quoted(c) for c in table.columns],
+            )
+        )
+    return tables
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -96,37 +174,48 @@ def read_csv(
     encoding: str | None = None,
     file_order: bool = False,
 ) -> DataFrame:
-    """A1: header from the file, types from the values, UTF-8 or else Latin-1 file by file.
+    """A1: header from each file, types from the values, UTF-8 or else Latin-1 file by file.
 
-    Files in which a quoted value runs over a line end are read whole, the others
-    are split.  ``file_order`` adds ``source_file``, ``source_block`` and
-    ``source_order``, whose order is the order of the rows in the files.
+    Files may have their columns in any order, or other columns. Files in which a quoted
+    value runs over a line end are split too (:mod:`tamperlens.sources.records`).
+    ``file_order`` adds ``source_file``, ``source_block`` and ``source_order``, whose order
+    is the order of the rows in the files.
     """
     tables = []
-    for (coding, runs_on), files in _file_sets(spark, path, encoding).items():
-        table = spark.read.csv(
-            files, header=True, sep=sep, encoding=coding, multiLine=runs_on, quote='"', escape='"'
-        )
-        if file_order:
-            table = table.selectExpr(
-                f"_metadata.file_path AS {FILE}", f"_metadata.file_block_start AS {START}",
-                f"monotonically_increasing_id() AS {ORDER}", *[quoted(c) for c in table.columns],
+    sets = _file_sets(spark, path, encoding)
+    for (coding, runs_on, _), files in sets.items():
+        if runs_on:
+            tables += _cut_tables(spark, files, sep, coding)
+        else:  # all files alike: read the path as it was given
+            tables.append(_lines_as_records(spark, path if len(sets) == 1 else files, sep, coding))
+    if not tables:
+        tables = [_lines_as_records(spark, path, sep, encoding or "UTF-8")]
+    return _together(tables, schema, (FILE, START, ORDER) if file_order else ())
+
+
+def _together(
+    tables: list[DataFrame], schema: str | T.StructType | None, place: tuple[str, ...], kept: tuple[str, ...] = ()
+) -> DataFrame:
+    """Union by name of tables of text columns, typed by their values or by ``schema``'s order."""
+    skipped = {FILE, START, ORDER, *kept}
+    if schema is not None:
+        tables = [
+            t.selectExpr(
+                *place, *[c for c in kept if c in t.columns],
+                *[
+                    f"try_cast({_value(have)} AS {kind}) AS {quoted(name)}"
+                    for have, (name, kind) in zip([c for c in t.columns if c not in skipped], _fields(schema))
+                ],
             )
-        tables.append(table)
+            for t in tables
+        ]
     raw = tables[0]
     for more in tables[1:]:
         raw = raw.unionByName(more, allowMissingColumns=True)
-    place = (FILE, START, ORDER) if file_order else ()
-    if schema is None:
-        return typed(raw, place)
-    names = [c for c in raw.columns if c not in place]
-    return raw.selectExpr(
-        *place,
-        *[
-            f"try_cast({_value(have)} AS {kind}) AS {quoted(name)}"
-            for have, (name, kind) in zip(names, _fields(schema))
-        ],
-    )
+    if schema is not None:
+        return raw
+    raw = raw.selectExpr(*place, *[quoted(c) for c in raw.columns if c not in (FILE, START, ORDER)])
+    return typed(raw, (*place, *[c for c in kept if c in raw.columns]))
 
 
 def in_file_order() -> list[Column]:
@@ -134,11 +223,6 @@ def in_file_order() -> list[Column]:
     return [F.col(FILE), F.col(START), F.col(ORDER)]
 
 
-def first_line(spark: SparkSession, path: str) -> str:
-    row = spark.read.text(path).filter(F.trim("value") != "").first()
-    return row[0] if row else ""
-
-
 def sniff_delimiter(line: str) -> str | None:
     """Tab, comma or semicolon if the line has one, ``None`` for blanks."""
     for sep in ("\t", ",", ";"):
@@ -152,28 +236,47 @@ def read_delimited(
     path: str,
     sep: str | None = None,
     schema: str | T.StructType | None = None,
+    file_order: bool = False,
 ) -> DataFrame:
     """A2: .tsv and .txt; the delimiter is read off the first line.
 
-    Blank-separated text is split on runs of blanks.  If a line has more fields
-    than the header, a column ``extra_fields`` holds what is left over.
+    Blank-separated text is split on runs of blanks; every file's first line is its header.
+    If a line has more fields than its header, a column ``extra_fields`` holds what is left
+    over. ``file_order`` as in :func:`read_csv`.
     """
-    line = first_line(spark, path)
-    sep = sep or sniff_delimiter(line)
-    if sep is not None:
-        return read_csv(spark, path, sep, schema)
-    # one header line per file, equal to the first line
-    header, names = text_literal(line.strip()), line.split()
-    lines = spark.read.text(path).filter(f"trim(value) NOT IN ('', {header})")
-    parts = lines.selectExpr(r"split(trim(value), r'\s+') AS parts")
-    fields = _fields(schema) if schema is not None else [(n, None) for n in names]
-    over = parts.filter(f"size(parts) > {len(fields)}")
-    extra = [] if over.isEmpty() else [f"slice(parts, {len(fields) + 1}, size(parts)) AS extra_fields"]
-    raw = parts.selectExpr(*extra, *[f"get(parts, {i}) AS {quoted(n)}" for i, (n, _) in enumerate(fields)])
-    keep = ("extra_fields",) if extra else ()
-    if schema is None:
-        return typed(raw, keep)
-    return raw.selectExpr(*keep, *[f"try_cast({_value(n)} AS {kind}) AS {quoted(n)}" for n, kind in fields])
+    lines = spark.read.text(path).selectExpr(
+        "_metadata.file_path AS file", f"_metadata.file_block_start AS {START}",
+        f"monotonically_increasing_id() AS {ORDER}", "trim(value) AS line",
+    ).where("line <> ''")
+    first = F.min_by("line", ORDER).alias("header"), F.min(ORDER).alias("place")
+    heads = lines.where(f"{START} = 0").groupBy("file").agg(*first).orderBy("file").collect()  # one row for each file
+    if sep is None and heads:
+        sep = sniff_delimiter(heads[0].header)
+    if sep is not None or not heads:
+        return read_csv(spark, path, sep or ",", schema, file_order=file_order)
+    by_header: dict[str, list[str]] = {}
+    for head in heads:
+        by_header.setdefault(head.header, []).append(head.file)
+    tables, kept = [], ()
+    for header, files in by_header.items():
+        names = header_names(",".join(f'"{n}"' for n in header.replace('"', '""').split()), ",")
+        own = lines
+        if len(by_header) > 1:
+            known = spark.createDataFrame([(f,) for f in files], "file string")
+            own = lines.join(F.broadcast(known), "file", "left_semi")
+        # one header line per file: the first one
+        rows = own.where(f"NOT ({START} = 0 AND line = {text_literal(header)})").selectExpr(
+            f"file AS {FILE}", START, ORDER, r"split(line, r'\s+') AS parts"
+        )
+        width = len(_fields(schema)) if schema is not None else len(names)
+        extra = []
+        if not rows.where(f"size(parts) > {width}").isEmpty():
+            extra, kept = [f"slice(parts, {width + 1}, size(parts)) AS extra_fields"], ("extra_fields",)
+        named = names if schema is None else [n for n, _ in _fields(schema)]
+        tables.append(
+            rows.selectExpr(FILE, START, ORDER, *extra, *[f"get(parts, {i}) AS {quoted(n)}" for i, n in enumerate(named)])
+        )
+    return _together(tables, schema, (FILE, START, ORDER) if file_order else (), kept)
 
 
 def _fields(schema: str | T.StructType) -> list[tuple[str, str]]:
