@@ -33,6 +33,18 @@ def bounded_batches(spark: SparkSession, most_bytes: int = 1 << 23) -> None:
         spark.conf.set(name, str(most_bytes))
 
 
+def parts_by_size(df: DataFrame, bytes_per_part: int = 1 << 25) -> list[int]:
+    """Leading argument for a range partitioning of ``df``, or none where the session's will do.
+
+    The session's number of partitions suits one size of input; where Catalyst's estimate
+    from the files asks for more, so many are named.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = math.ceil(size / bytes_per_part)
+    known = size < 1 << 56  # inputs without files have no estimate
+    return [wanted] if known and wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+
+
 class Scratch:
     """Parquet tables in the shared folder of the session, dropped when no longer read.
 

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tamperlens.functions.columns import quoted
+from tamperlens.llm.common import bounded_batches, parts_by_size
 from tamperlens.llm.token_files import _slices, with_end
 from tamperlens.llm.tokens import worker_encoder
 
@@ -89,7 +90,7 @@ def curve_keys(docs: DataFrame, id_col: str, text_col: str, projection: Projecti
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for begin, end in _slices(frame.column(1), 1 << 22):
+            for begin, end in _slices(frame.column(1), 1 << 20):
                 part = frame.slice(begin, end - begin)
                 texts = part.column(1)
                 sizes = np.asarray(pa.compute.binary_length(texts).fill_null(0)).astype(np.int64)
@@ -144,7 +145,7 @@ def pack_documents(
         first = TaskContext.get().partitionId() << _SEQUENCE_BITS
         done, filled = 0, 0  # closed sequences, ids in the open one
         for frame in frames:
-            for begin, end in _slices(frame.column(1), 1 << 22):
+            for begin, end in _slices(frame.column(1), 1 << 20):
                 ids, sizes = encoder.encode(frame.column(1).slice(begin, end - begin).to_pylist())
                 ids, sizes = with_end(ids, sizes, end_id)
                 doc, start, size, sequence, offset = cut(sizes, filled, length)
@@ -167,9 +168,10 @@ def pack_documents(
                 total = filled + int(sizes.sum())
                 done, filled = done + total // length, total % length
 
+    bounded_batches(docs.sparkSession)
     return (
         curve_keys(docs, id_col, text_col, projection or Projection())
-        .repartitionByRange("curve_key", "doc_id", "tie")
+        .repartitionByRange(*parts_by_size(docs), "curve_key", "doc_id", "tie")
         .sortWithinPartitions("curve_key", "doc_id", "tie", "text")
         .select("doc_id", "text")
         .mapInArrow(run, PIECES)

@@ -106,7 +106,7 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return docs[keep], hashes[keep]
 
 
-def batches(texts: list[str | None], most: int = 1 << 22):
+def batches(texts: list[str | None], most: int = 1 << 20):
     """Index ranges of about ``most`` characters; a longer text is a batch of its own."""
     begin, total = 0, 0
     for i, text in enumerate(texts):

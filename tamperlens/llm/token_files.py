@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamperlens.functions.columns import quoted
+from tamperlens.llm.common import bounded_batches, parts_by_size
 from tamperlens.llm.simple8b import read_file, write_file
 from tamperlens.llm.tokens import worker_encoder
 
@@ -70,7 +71,7 @@ def write_token_files(
 
         for frame in frames:
             keys = frame.column(0)
-            for begin, end in _slices(frame.column(1), min(1 << 22, 4 * ids_per_file)):
+            for begin, end in _slices(frame.column(1), min(1 << 20, 4 * ids_per_file)):
                 key = keys.slice(begin, end - begin)
                 ids, lengths = encoder.encode(frame.column(1).slice(begin, end - begin).to_pylist())
                 ids, lengths = with_end(ids, lengths, end_id)
@@ -82,11 +83,12 @@ def write_token_files(
         if held:
             yield close()
 
+    bounded_batches(docs.sparkSession)
     rows = docs.selectExpr(
         f"CAST({quoted(id_col)} AS BIGINT) AS doc_id", f"CAST({quoted(text_col)} AS STRING) AS text"
     ).withColumn("tie", F.xxhash64("text"))
     (
-        rows.repartitionByRange("doc_id", "tie")
+        rows.repartitionByRange(*parts_by_size(rows), "doc_id", "tie")
         .sortWithinPartitions("doc_id", "tie", "text")
         .select("doc_id", "text")
         .mapInArrow(run, FILES)

@@ -88,14 +88,20 @@ def piece_starts(chars: np.ndarray, kinds: np.ndarray, text_start: np.ndarray) -
 
 
 class PieceEncoder:
-    """Encoder with a bounded memory of pieces, for use inside one Python worker."""
+    """Encoder with a bounded memory of pieces, for use inside one Python worker.
 
-    def __init__(self, path: str, most_pieces: int = 800_000):
+    A piece takes about 300 bytes. When ``most_pieces`` are known, the third that was met
+    most often is kept. Texts are taken ``slice_chars`` characters at a time, which bounds
+    the arrays of a step.
+    """
+
+    def __init__(self, path: str, most_pieces: int = 400_000, slice_chars: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most_pieces = most_pieces
+        self.slice_chars = slice_chars
         vocabulary = self.tokenizer.get_vocab()
         # a byte-level token has one character for each byte of text
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int32)
@@ -107,14 +113,33 @@ class PieceEncoder:
         self.slot: dict[str, int] = {}
         self.begin = np.zeros(1 << 16, np.int32)
         self.length = np.zeros(1 << 16, np.int32)
+        self.met = np.zeros(1 << 16, np.int32)  # slices that held the piece
         self.ids = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
+    def _keep_frequent(self) -> None:
+        """Forget all pieces but the third met most often; their counts are halved."""
+        known = len(self.slot)
+        often = np.argpartition(self.met[:known], known - known // 3)[known - known // 3 :]
+        often = often[self.met[often] > 1]
+        stays = np.zeros(known, bool)
+        stays[often] = True
+        pieces = [p for p, at in self.slot.items() if stays[at]]  # in order of their slots
+        rows = np.flatnonzero(stays)
+        lengths, met = self.length[rows], self.met[rows]
+        ends = np.cumsum(lengths)
+        source = np.repeat(self.begin[rows] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        ids = self.ids[source]
+        self._forget()
+        self._remember(pieces, ids, lengths)
+        self.met[: len(pieces)] = met // 2
+
     def _remember(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         slots = len(self.slot)
         while slots + len(pieces) > len(self.begin):
             self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
             self.length = np.concatenate((self.length, np.zeros_like(self.length)))
+            self.met = np.concatenate((self.met, np.zeros_like(self.met)))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.begin[slots : slots + len(pieces)] = self.used + np.cumsum(lengths) - lengths
@@ -147,7 +172,7 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row as uint32, number of ids of each text)."""
         ids, counts = [], []
-        for begin, end in batches(texts):
+        for begin, end in batches(texts, self.slice_chars):
             flat, lengths = self._encode_batch([t or "" for t in texts[begin:end]])
             ids.append(flat)
             counts.append(lengths)
@@ -193,11 +218,12 @@ class PieceEncoder:
         ).dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
         if len(self.slot) + len(distinct) > self.most_pieces:
-            self._forget()
+            self._keep_frequent()
         new = [p for p in distinct if p not in self.slot]
         if new:
             self._learn(new)
         slots = np.fromiter(map(self.slot.__getitem__, distinct), np.int32, len(distinct))
+        self.met[slots] += 1  # distinct pieces have distinct slots
         index = pieces.indices.to_numpy()
         lengths = self.length[slots][index]
         ends = np.cumsum(lengths, dtype=np.int32)
