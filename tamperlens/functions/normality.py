@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 # fixed values: coefficients of AS 241, lowest power first: (numerator, denominator)
 MIDDLE = (
     (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
@@ -49,15 +52,81 @@ def _ratio(pair: tuple[Sequence[float], Sequence[float]], x: str) -> str:
     return f"{polynomial(pair[0], x)} / {polynomial(pair[1], x)}"
 
 
-def lower_quantile(share: str) -> str:
-    """Standard normal value below which ``share`` (at most one half) lies."""
-    q, r = f"({share} - 0.5D)", f"sqrt(-ln({share}))"
+def lower_quantile(share: str, root: str | None = None) -> str:
+    """Standard normal value below which ``share`` (at most one half) lies.
+
+    ``root`` is sqrt(-ln(share)), where it is known.
+    """
+    q, r = f"({share} - 0.5D)", root or f"sqrt(-ln({share}))"
     return (
         f"CASE WHEN {q} >= -0.425D THEN {q} * {_ratio(MIDDLE, f'(0.180625D - {q} * {q})')} "
         f"WHEN {r} <= 5 THEN -{_ratio(TAIL, f'({r} - 1.6D)')} ELSE -{_ratio(FAR, f'({r} - 5)')} END"
     )
 
 
+def with_quantiles(df: DataFrame, shares: dict[str, str]) -> DataFrame:
+    """Columns of the standard normal values below which the given shares lie.
+
+    The smaller side of each share and its root are columns first: the formula uses them
+    many times, and as text they would outgrow generated code.
+    """
+    sides = {f"_{name}_side": F.expr(f"least({p}, 1 - {p})") for name, p in shares.items()}
+    roots = {f"_{name}_root": F.expr(f"sqrt(-ln(_{name}_side))") for name in shares}
+    found = {
+        name: F.expr(f"if({p} <= 0.5D, 1, -1) * ({lower_quantile(f'_{name}_side', f'_{name}_root')})")
+        for name, p in shares.items()
+    }
+    return df.withColumns(sides).withColumns(roots).withColumns(found).drop(*sides, *roots)
+
+
+#: ranks at either end whose scores are summed one by one; further in, the corrected
+#: integrals below are good to 1e-12
+EDGE_RANKS = 64
+#: fixed values: corrections of the midpoint rule by the first and third derivative
+FIRST, THIRD = "(1D / 24)", "(7D / 5760)"
+
+
+def density(z: str) -> str:
+    return f"(exp(-{z} * {z} / 2) / sqrt(2 * pi()))"
+
+
+def score_integral(z: str) -> str:
+    """Antiderivative over ranks of the normal score at ``z``, corrected for sums of whole ranks.
+
+    With h = 1 / (n + 1/4) the score z(x) has the derivatives h / d and h^3 (1 + 2 z^2) / d^3
+    for the density d, and its integral is -d / h. The difference between the values half a
+    rank beyond either end is the sum of the scores in between.
+    """
+    d, h = density(z), "(1D / (n + 0.25D))"
+    return (
+        f"(-{d} / {h} - {FIRST} * {h} / {d} "
+        f"+ {THIRD} * pow({h} / {d}, 3) * (1 + 2 * {z} * {z}))"
+    )
+
+
+def square_integral(share: str, z: str) -> str:
+    """The same for the squares of the scores, whose integral is (share - z d) / h."""
+    d, h = density(z), "(1D / (n + 0.25D))"
+    return (
+        f"(({share} - {z} * {d}) / {h} - {FIRST} * 2 * {z} * {h} / {d} "
+        f"+ {THIRD} * 2 * {z} * pow({h} / {d}, 3) * (4 + 2 * {z} * {z}))"
+    )
+
+
+def share_of_rank(rank: str) -> str:
+    """Share of the distribution below the score of a rank of n."""
+    return f"(({rank} - 0.375D) / (n + 0.25D))"
+
+
+def edge_sum(first: str, last: str, power: int = 1) -> str:
+    """Sum over low ranks from ``first`` to ``last``, at most ``EDGE_RANKS`` of them."""
+    score = f"pow({lower_quantile(share_of_rank('r'))}, {power})" if power != 1 else lower_quantile(share_of_rank("r"))
+    return (
+        f"CASE WHEN {first} <= {last} THEN "
+        f"aggregate(sequence({first}, {last}), 0D, (s, r) -> s + {score}) ELSE 0D END"
+    )
+
+
 def shapiro_w() -> str:
     """W from n, sum_sq (of deviations), norm2, low1, low2, mid and the outer gaps.
 

@@ -14,18 +14,27 @@ from tamperlens.functions.columns import (
     require_columns,
 )
 from tamperlens.functions.labels import score_tier
-from tamperlens.functions.normality import CALIBRATED_ROWS, lower_quantile, shapiro_w, shapiro_z
+from tamperlens.functions.normality import (
+    CALIBRATED_ROWS,
+    EDGE_RANKS,
+    edge_sum,
+    score_integral,
+    shapiro_w,
+    shapiro_z,
+    share_of_rank,
+    square_integral,
+    with_quantiles,
+)
 from tamperlens.functions.tails import normal_tail
 from tamperlens.plans.joins import attach_by_key
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
 from tamperlens.plans.quantiles import grouped_quantiles, quantiles_of_staged
-from tamperlens.plans.staging import previous_in_order, running_total, stage, stage_sorted
+from tamperlens.plans.staging import Sizes, previous_in_order, running_total, stage, stage_keys, stage_sorted
 
 KEYS = ["column", "_g"]
 
 # fixed values: thresholds of the shape checks
 MIN_VALUES = 20
-RANK_STEP = 10_000
 GRID_POINTS = 100
 TOP_PEAKS = 3
 PEAK_SHARE = 0.7
@@ -76,10 +85,6 @@ def _with_small(result: DataFrame, moments: DataFrame, min_values: int) -> DataF
     return result.unionByName(small, allowMissingColumns=True)
 
 
-def _largest(stats: DataFrame) -> int:
-    return stats.agg(F.max("sample_size")).first()[0] or 0
-
-
 def distribution_stats(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -94,9 +99,9 @@ def distribution_stats(
     adds the rows without a group (``group`` NULL) in the same pass.
     """
     cells = _cells(df, columns, by, include_overall)
-    moments = stage(_moments(cells, 0))
+    moments, sizes = stage_keys(_moments(cells, 0), "sample_size")
     stats = moments.filter(f"sample_size >= {min_values}")
-    medians = grouped_quantiles(cells, KEYS, "value", {"median": 0.5}, _largest(stats), limits)
+    medians = grouped_quantiles(cells, KEYS, "value", {"median": 0.5}, sizes.largest, limits)
     found = stats.join(medians, KEYS, "left").select(
         "column",
         _group_name(),
@@ -113,10 +118,10 @@ def distribution_stats(
     return _with_small(found, moments, min_values)
 
 
-def _value_counts(cells: DataFrame, stats: DataFrame, limits: Limits) -> DataFrame:
+def _value_counts(cells: DataFrame, stats: DataFrame, limits: Limits, sizes: Sizes) -> DataFrame:
     """Staged (column, _g, value, cnt) rows in value order, eligible keys only."""
     eligible = stats.select(*KEYS, "sample_size")
-    kept = attach_by_key(cells, eligible, KEYS, "sample_size", limits)
+    kept = attach_by_key(cells, eligible, KEYS, "sample_size", limits, sizes)
     counts = kept.groupBy(*KEYS, "value").agg(F.count("*").alias("cnt"))
     return stage_sorted(counts, [*KEYS, "value"])
 
@@ -145,15 +150,15 @@ def gap_analysis(
     A group of fewer than ``min_values`` values has a row with ``error`` only.
     """
     cells = _cells(df, columns, by, include_overall)
-    moments = stage(_moments(cells, 0))
+    moments, sizes = stage_keys(_moments(cells, 0), "sample_size")
     stats = moments.filter(f"sample_size >= {min_values}")
-    found = _gaps(_value_counts(cells, stats, limits), stats).select(
+    found = _gaps(_value_counts(cells, stats, limits, sizes), stats).select(
         "column", _group_name(), "max_gap_size", "mean_gap", "suspicious_gaps", F.lit(None).cast("string").alias("error")
     )
     return _with_small(found, moments, min_values).drop("sample_size")
 
 
-def _grid(values: DataFrame, stats: DataFrame, limits: Limits) -> DataFrame:
+def _grid(values: DataFrame, stats: DataFrame, limits: Limits, sizes: Sizes) -> DataFrame:
     """(column, _g, i, x, density) on the grid from minimum to maximum.
 
     Every distinct value adds its kernel to one sum per grid point inside the task
@@ -163,7 +168,7 @@ def _grid(values: DataFrame, stats: DataFrame, limits: Limits) -> DataFrame:
     curve = stats.filter("std_dev > 0").selectExpr(
         *KEYS, "sample_size", "min", "max", "std_dev * pow(sample_size, -0.2D) AS h"
     )
-    placed = attach_by_key(values, curve, KEYS, "sample_size", limits)
+    placed = attach_by_key(values, curve, KEYS, "sample_size", limits, sizes)
 
     def x(i: int) -> str:
         return "max" if i == last else f"(min + {i} * ((max - min) / {last}))"
@@ -193,9 +198,9 @@ def density_grid(
     A group of fewer than ``min_values`` values has one row with ``error`` only.
     """
     cells = _cells(df, columns, by, include_overall)
-    moments = stage(_moments(cells, 0))
+    moments, sizes = stage_keys(_moments(cells, 0), "sample_size")
     stats = moments.filter(f"sample_size >= {min_values}")
-    grid = _grid(_value_counts(cells, stats, limits), stats, limits).select(
+    grid = _grid(_value_counts(cells, stats, limits, sizes), stats, limits, sizes).select(
         "column", _group_name(), "i", "x", "density", F.lit(None).cast("string").alias("error")
     )
     return _with_small(grid, moments, min_values).drop("sample_size")
@@ -226,9 +231,9 @@ def density_peaks(
     A group of fewer than ``min_values`` values has one row with ``error`` only.
     """
     cells = _cells(df, columns, by, include_overall)
-    moments = stage(_moments(cells, 0))
+    moments, sizes = stage_keys(_moments(cells, 0), "sample_size")
     stats = moments.filter(f"sample_size >= {min_values}")
-    peaks = _peaks(_grid(_value_counts(cells, stats, limits), stats, limits))
+    peaks = _peaks(_grid(_value_counts(cells, stats, limits, sizes), stats, limits, sizes))
     found = peaks.selectExpr(*KEYS, "peak_count", "posexplode(_tops) AS (_p, _top)").select(
         "column",
         _group_name(),
@@ -242,41 +247,69 @@ def density_peaks(
 
 
 def _shapiro(
-    values: DataFrame, stats: DataFrame, limits: Limits, shapiro_rows: int | None = None
+    values: DataFrame, stats: DataFrame, limits: Limits, sizes: Sizes, shapiro_rows: int | None = None
 ) -> DataFrame:
     """(column, _g, shapiro_w, shapiro_p) from ranks and sums, for groups of any size.
 
-    A distinct value holds the ranks up to its running count; equal values unfold to
-    their ranks in steps, and one sum per key is all that is shuffled.
+    A distinct value holds the ranks up to its running count, and the sum of their normal
+    scores is closed: the difference of two integrals, but for the few outermost ranks. So
+    a value is one row whatever its count, and one sum per key is all that is shuffled.
     """
     tested = stats.filter("std_dev > 0 AND sample_size >= 3")
     if shapiro_rows is not None:
         tested = tested.filter(f"sample_size <= {shapiro_rows}")
-    sizes = tested.selectExpr(*KEYS, "sample_size AS n", "mean", "pow(std_dev, 2) * (sample_size - 1) AS sum_sq")
+    per_key = tested.selectExpr(*KEYS, "sample_size AS n", "mean", "pow(std_dev, 2) * (sample_size - 1) AS sum_sq")
     placed = attach_by_key(
-        running_total(values, KEYS, "cnt", "upto"), sizes.withColumn("rows", F.col("n")), KEYS, "rows", limits
+        running_total(values, KEYS, "cnt", "upto"), per_key.withColumn("rows", F.col("n")), KEYS, "rows", limits, sizes
     )
-    ranks = (
-        placed.selectExpr("*", f"explode(sequence(upto - cnt + 1, upto, {RANK_STEP}L)) AS start")
-        .selectExpr("*", f"explode(sequence(start, least(start + {RANK_STEP - 1}, upto))) AS rank")
-        .selectExpr(*KEYS, "n", "sum_sq", "rank", "value - mean AS x", "least(rank, n + 1 - rank) AS side")
-        .withColumn("low", F.expr(lower_quantile("((side - 0.375D) / (n + 0.25D))")))
-        .withColumn("score", F.expr("CASE WHEN 2 * rank < n + 1 THEN low WHEN 2 * rank > n + 1 THEN -low ELSE 0D END"))
+    # the outermost one or two ranks at either end have weights of their own
+    ranks = placed.selectExpr(
+        *KEYS, "n", "sum_sq", "value - mean AS x", "upto - cnt + 1 AS first", "upto AS last",
+        "if(n > 5, 2L, 1L) AS own", f"least({EDGE_RANKS}L, n div 2) AS edge",
+    ).selectExpr(
+        "*", "greatest(first, edge + 1) AS inner_first", "least(last, n - edge) AS inner_last",
+        "greatest(first, own + 1) AS low_first", "least(last, edge) AS low_last",
+        "greatest(n + 1 - last, own + 1) AS high_first", "least(n + 1 - first, edge) AS high_last",
+    )
+    some = "inner_first <= inner_last"
+    ends = {
+        "z1": f"if({some}, {share_of_rank('(inner_first - 0.5D)')}, NULL)",
+        "z2": f"if({some}, {share_of_rank('(inner_last + 0.5D)')}, NULL)",
+    }
+    summed = (
+        with_quantiles(ranks, ends)
+        .withColumn(
+            "scores",
+            F.expr(
+                f"coalesce({score_integral('z2')} - {score_integral('z1')}, 0D) "
+                f"+ {edge_sum('low_first', 'low_last')} - {edge_sum('high_first', 'high_last')}"
+            ),
+        )
+        .groupBy(*KEYS)
+        .agg(
+            F.expr("max(n) AS n"),
+            F.expr("max(sum_sq) AS sum_sq"),
+            F.expr("max(edge) AS edge"),
+            F.expr("sum(scores * x) AS mid"),
+            F.expr("max(if(last = n, x, NULL)) - max(if(first = 1, x, NULL)) AS gap1"),
+            F.expr("max(if(first <= n - 1 AND last >= n - 1, x, NULL)) - max(if(first <= 2 AND last >= 2, x, NULL)) AS gap2"),
+        )
     )
-    inner = "rank > if(n > 5, 2, 1) AND rank < n + 1 - if(n > 5, 2, 1)"
-    summed = ranks.groupBy(*KEYS).agg(
-        F.expr("max(n) AS n"),
-        F.expr("max(sum_sq) AS sum_sq"),
-        F.expr("sum(score * score) AS norm2"),
-        F.expr(f"coalesce(sum(if({inner}, score * x, NULL)), 0D) AS mid"),
-        F.expr("min(if(rank = 1, score, NULL)) AS low1"),
-        F.expr("min(if(rank = 2, score, NULL)) AS low2"),
-        F.expr("max(if(rank = n, x, NULL)) - max(if(rank = 1, x, NULL)) AS gap1"),
-        F.expr("max(if(rank = n - 1, x, NULL)) - max(if(rank = 2, x, NULL)) AS gap2"),
+    # sums that depend on the number of values alone
+    outer = {"low1": share_of_rank("1D"), "low2": share_of_rank("2D"), "z": share_of_rank("(edge + 0.5D)")}
+    summed = stage(
+        with_quantiles(summed, outer).withColumn(
+            "norm2",
+            F.expr(
+                f"2 * ({edge_sum('1L', 'edge', 2)}) + if(n <= 2 * {EDGE_RANKS} + 1, 0D, "  # the rank in the middle scores 0
+                f"{square_integral(share_of_rank('(n - edge + 0.5D)'), '(-z)')} "
+                f"- {square_integral(share_of_rank('(edge + 0.5D)'), 'z')})"
+            ),
+        )
     )
     three = "greatest(6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75D))), 0D)"
     return (
-        summed.selectExpr("*", f"{shapiro_w()} AS w")
+        summed.drop("z").selectExpr("*", f"{shapiro_w()} AS w")
         .selectExpr("*", f"{shapiro_z()} AS z")
         .withColumn("tail", normal_tail("z"))
         .selectExpr(*KEYS, "w AS shapiro_w", f"if(n = 3, {three}, tail) AS shapiro_p")
@@ -299,9 +332,9 @@ def shapiro_normality(
     fewer than ``min_values`` values has a row with ``error`` only.
     """
     cells = _cells(df, columns, by, include_overall)
-    moments = stage(_moments(cells, 0))
+    moments, sizes = stage_keys(_moments(cells, 0), "sample_size")
     stats = moments.filter(f"sample_size >= {min_values}")
-    found = _shapiro(_value_counts(cells, stats, limits), stats, limits, shapiro_rows)
+    found = _shapiro(_value_counts(cells, stats, limits, sizes), stats, limits, sizes, shapiro_rows)
     tested = stats.join(found, KEYS, "left").select(
         "column",
         _group_name(),
@@ -329,16 +362,16 @@ def multimodality(
     constant column yields a row with ``error`` set.
     """
     cells = _cells(df, columns, by, include_overall)
-    moments = stage(_moments(cells, 0))
+    moments, sizes = stage_keys(_moments(cells, 0), "sample_size")
     stats = moments.filter(f"sample_size >= {min_values}")
-    values = _value_counts(cells, stats, limits)
+    values = _value_counts(cells, stats, limits, sizes)
     medians = quantiles_of_staged(values, KEYS, "value", "cnt", {"median": 0.5}, limits)
-    peaks = _peaks(_grid(values, stats, limits))
+    peaks = _peaks(_grid(values, stats, limits, sizes))
     joined = (
         stats.join(medians, KEYS, "left")
         .join(_gaps(values, stats), KEYS, "left")
         .join(peaks, KEYS, "left")
-        .join(_shapiro(values, stats, limits, shapiro_rows), KEYS, "left")
+        .join(_shapiro(values, stats, limits, sizes, shapiro_rows), KEYS, "left")
         .withColumn("peak_count", F.expr("coalesce(peak_count, 0L)"))
     )
     score = (

@@ -22,7 +22,7 @@ from tamperlens.operators.rows import flag_rows, rows_frame
 from tamperlens.plans.joins import attach_by_key
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
 from tamperlens.plans.quantiles import grouped_quantiles
-from tamperlens.plans.staging import stage
+from tamperlens.plans.staging import stage, stage_keys
 
 # fixed values: scope names and thresholds
 FULL, WITHOUT, ONLY = "full_dataset", "without_suspicious", "suspicious_only"
@@ -196,17 +196,17 @@ def descriptive_stats(
     """Mean, median, deviation and range per scope, outcome and group."""
     scoped = _scoped(_flagged_cells(df, rows, group, outcomes, row_id))
     keys = ["scope", "outcome", "_g"]
-    stats = stage(
+    stats, sizes = stage_keys(
         scoped.groupBy(*keys).agg(
             F.expr("avg(value) AS mean"),
             F.expr("coalesce(stddev_samp(value), 0D) AS std"),
             F.expr("min(value) AS min"),
             F.expr("max(value) AS max"),
             F.expr("count(*) AS n"),
-        )
+        ),
+        "n",
     )
-    largest = stats.agg(F.max("n")).first()[0] or 0
-    medians = grouped_quantiles(scoped, keys, "value", {"median": 0.5}, largest, limits)
+    medians = grouped_quantiles(scoped, keys, "value", {"median": 0.5}, sizes.largest, limits)
     return stats.join(medians, keys).selectExpr(
         "scope", "outcome", "_g AS `group`", "mean", "median", "std", "min", "max", "n"
     )
@@ -291,15 +291,16 @@ def suspicious_effects(
     """
     cells = _flagged_cells(df, rows, group, outcomes, row_id)
     keys = ["column", "_g"]
-    stats = stage(
+    stats, sizes = stage_keys(
         cells.groupBy(*keys).agg(
             F.expr("count(*) AS n"),
             F.expr("avg(value) AS group_mean"),
             F.expr("var_pop(value) * count(*) AS _m2"),
-        )
+        ),
+        "n",
     )
     listed = cells.filter("is_suspicious")
-    joined = attach_by_key(listed, stats, keys, "n", limits).filter("n >= 3")
+    joined = attach_by_key(listed, stats, keys, "n", limits, sizes).filter("n >= 3")
     spread = f"if(_rest > _m2 * {ROUNDING}D, sqrt(_rest / (n - 2)), NULL)"
     return (
         joined.selectExpr("*", "value - group_mean AS difference")

@@ -29,7 +29,7 @@ from tamperlens.operators.rows import flag_rows, rows_frame
 from tamperlens.plans.joins import attach_by_key
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
 from tamperlens.plans.quantiles import grouped_quantiles
-from tamperlens.plans.staging import BLOCK, SEQ, previous_in_order, stage
+from tamperlens.plans.staging import BLOCK, SEQ, previous_in_order, stage, stage_keys
 
 # fixed values: preview and chart bounds
 CONTEXT, HEAD = 2, 5
@@ -79,15 +79,14 @@ def box_summary(
     """
     cells = _flagged_cells(df, rows, group, outcomes, row_id)
     keys = ["column", "is_suspicious", "_g"]
-    sizes = stage(cells.groupBy(*keys).agg(F.count("*").alias("n")))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
+    counts, sizes = stage_keys(cells.groupBy(*keys).agg(F.count("*").alias("n")), "n")
     quartiles = grouped_quantiles(
-        cells, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, largest, limits
+        cells, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, sizes.largest, limits
     )
-    boxes = stage(sizes.join(quartiles, keys))
+    boxes = stage(counts.join(quartiles, keys))
     inside = f"value BETWEEN q1 - {WHISKER}D * (q3 - q1) AND q3 + {WHISKER}D * (q3 - q1)"
     fenced = (
-        attach_by_key(cells, boxes, keys, "n", limits)
+        attach_by_key(cells, boxes, keys, "n", limits, sizes)
         .groupBy(*keys)
         .agg(
             F.expr(f"min(value) FILTER (WHERE {inside}) AS whisker_low"),

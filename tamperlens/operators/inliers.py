@@ -17,7 +17,7 @@ from tamperlens.operators.distribution import (
 )
 from tamperlens.plans.joins import attach_by_key
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
-from tamperlens.plans.staging import stage
+from tamperlens.plans.staging import stage_keys
 
 # fixed values: shares each band is compared with
 EXPECTED_SHARES = {"very_close": 0.383, "close": 0.348, "moderate": 0.236, "far": 0.033}
@@ -54,17 +54,17 @@ def inlier_bands(
     statistics attached to its values.
     """
     cells = _cells(df, columns, by, include_overall)
-    moments = stage(
-        cells.groupBy(*KEYS)
-        .agg(
+    moments, sizes = stage_keys(
+        cells.groupBy(*KEYS).agg(
             F.expr("count(*) AS sample_size"),
             F.expr("avg(value) AS mean"),
             F.expr("stddev_samp(value) AS std_dev"),
-        )
+        ),
+        "sample_size",
     )
     stats = moments.filter(f"sample_size >= {min_values}")
     banded = (
-        attach_by_key(cells, stats, KEYS, "sample_size", limits)
+        attach_by_key(cells, stats, KEYS, "sample_size", limits, sizes)
         .withColumn("_z", F.expr("abs((value - mean) / nullif(std_dev, 0D))"))
         .groupBy(*KEYS)
         .agg(*[F.expr(f"count_if({test}) AS {band}_count") for band, test in BANDS.items()])

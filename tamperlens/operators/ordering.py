@@ -30,7 +30,7 @@ from tamperlens.plans.blocks import (
 )
 from tamperlens.plans.joins import attach_by_key
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
-from tamperlens.plans.staging import partition_by, running_total, stage, stage_sorted
+from tamperlens.plans.staging import partition_by, running_total, stage, stage_keys, stage_observed, stage_sorted
 
 # fixed values: thresholds of the ordering checks
 NUMERIC_SHIFT = 4
@@ -70,10 +70,10 @@ def _with_id_counts(
     """(_id, count) of repeated ids, and their rows with the count."""
     facts, _ = _identified(df, id_col, row_id)
     known = facts.filter("_id IS NOT NULL")
-    counts = stage(
-        known.groupBy("_id").agg(F.expr("count(*) AS count")).filter("count > 1")
+    counts, sizes = stage_keys(
+        known.groupBy("_id").agg(F.expr("count(*) AS count")).filter("count > 1"), "count"
     )
-    return counts, attach_by_key(known, counts, ["_id"], "count", limits)
+    return counts, attach_by_key(known, counts, ["_id"], "count", limits, sizes)
 
 
 def duplicate_id_rows(
@@ -129,8 +129,8 @@ def _with_previous_id(
         identified.selectExpr("row_index", text), "row_index", "_id", "previous_id"
     )
     if limits.lookup_rows > 0:
-        findings = stage(findings)
-        if findings.count() <= limits.lookup_rows:
+        findings, seen = stage_observed(findings, n="count(*)")
+        if seen["n"] <= limits.lookup_rows:
             asked = findings.select("row_index").distinct()
             before = before.join(F.broadcast(asked), "row_index")
     return findings.join(before, "row_index", "left")
@@ -151,12 +151,13 @@ def _repeated_across_groups(
     facts, keys = _identified(df, id_col, row_id, groups)
     facts = facts.filter("_id IS NOT NULL")
     per_pair = facts.groupBy("_id", *keys).agg(F.expr("count(*) AS n"))
-    per_id = stage(
+    per_id, sizes = stage_keys(
         per_pair.groupBy("_id")
         .agg(F.expr("sum(n) AS duplicate_count"), F.expr("count(*) AS different_conditions"))
-        .filter("duplicate_count > 1 AND different_conditions > 1")
+        .filter("duplicate_count > 1 AND different_conditions > 1"),
+        "duplicate_count",
     )
-    rows = attach_by_key(facts, per_id, ["_id"], "duplicate_count", limits)
+    rows = attach_by_key(facts, per_id, ["_id"], "duplicate_count", limits, sizes)
     return rows.select(
         F.expr("'duplicate_id' AS type"),
         F.expr("cast(_id AS STRING) AS id_value"),
@@ -206,8 +207,8 @@ def _expected_by_rank(
         return placed.withColumn("expected_position", F.expr(f"{upto} - 1"))
     counts = facts.filter("_id IS NOT NULL").groupBy(*keys, "_id").agg(F.expr("count(*) AS _n"))
     ranks = running_total(stage_sorted(counts, [*keys, "_id"]), keys, "_n", "_upto")
-    ranked = stage(ranks.select(*keys, "_id", "_n", "_upto"))
-    joined = attach_by_key(placed, ranked, [*keys, "_id"], "_n", limits)
+    ranked, sizes = stage_keys(ranks.select(*keys, "_id", "_n", "_upto"), "_n")
+    joined = attach_by_key(placed, ranked, [*keys, "_id"], "_n", limits, sizes)
     return joined.withColumn("expected_position", F.expr("_upto - 1")).drop("_n", "_upto")
 
 
@@ -216,10 +217,10 @@ def _only_disordered(rows: DataFrame, keys: list[str], small: bool, limits: Limi
     if small:
         marked = rows.selectExpr("*", f"max(_descent) OVER ({partition_by(keys)}) AS _disordered")
         return marked.filter("_disordered").drop("_disordered")
-    states = stage(
-        rows.groupBy(*keys).agg(F.expr("max(_descent) AS _disordered"), F.expr("count(*) AS _rows"))
+    states, sizes = stage_keys(
+        rows.groupBy(*keys).agg(F.expr("max(_descent) AS _disordered"), F.expr("count(*) AS _rows")), "_rows"
     )
-    marked = attach_by_key(rows, states, keys, "_rows", limits)
+    marked = attach_by_key(rows, states, keys, "_rows", limits, sizes)
     return marked.filter("_disordered").drop("_disordered", "_rows")
 
 
@@ -244,13 +245,19 @@ def _surrounding() -> str:
 
 
 def _misplaced(
-    df: DataFrame, id_col: str, groups: list[str], row_id: str, strategy: str, limits: Limits
+    df: DataFrame,
+    id_col: str,
+    groups: list[str],
+    row_id: str,
+    strategy: str,
+    limits: Limits,
+    total: int | None = None,
 ) -> DataFrame:
     """C3-C5; ``previous_id`` (inside the group) only for ids that are no numbers."""
     numeric = is_numeric(df.schema[id_col].dataType)
     facts, keys = _identified(df, id_col, row_id, groups)
     facts = facts.dropna(subset=keys)
-    small = fits_window(facts, keys, limits, strategy)
+    small = fits_window(facts, keys, limits, strategy, total)
     block_rows = None if small else limits.block_rows
     placed = position_in_group(facts, keys, "row_index", "actual_position", block_rows)
     seen = over_neighbours(placed, keys, "actual_position", NEIGHBOURS, _around, block_rows)
@@ -316,8 +323,8 @@ def filter_order_anomalies(findings: DataFrame, limits: Limits = DEFAULT_LIMITS)
     pass through here.
     """
     staged = stage(findings.withColumn("_key", F.to_json("condition_values")))
-    sizes = stage(staged.groupBy("_key").agg(F.count("*").alias("_size")))
-    sized = attach_by_key(staged, sizes, ["_key"], "_size", limits)
+    per_key, sizes = stage_keys(staged.groupBy("_key").agg(F.count("*").alias("_size")), "_size")
+    sized = attach_by_key(staged, per_key, ["_key"], "_size", limits, sizes)
     clustered = f"_size >= {CLUSTER_SIZE}"
     note = "concat(description, ', one of ', _size, ' in ', group_label)"
     return (
@@ -411,12 +418,19 @@ def sorting_anomalies(
     strategy: str = "auto",
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Duplicates across groups and misplaced ids, filtered and ranked."""
+    """Duplicates across groups and misplaced ids, filtered and ranked.
+
+    The columns it needs are staged once; their rows are counted on that write, so groups
+    are only measured where the table itself exceeds what a window may hold.
+    """
     groups = present_columns(df, _as_columns(groups))
     require_columns(df, [id_col, row_id])
+    columns = numeric_columns(df, exclude=[id_col, row_id, *groups], prioritize=prioritize)
+    needed = dict.fromkeys([row_id, id_col, *groups, *(columns if check_dependent else [])])
+    df, seen = stage_observed(df.selectExpr(*[quoted(c) for c in needed]), n="count(*)")
     repeated = _repeated_across_groups(df, id_col, groups, row_id, limits)
     kept = filter_order_anomalies(
-        _misplaced(df, id_col, groups, row_id, strategy, limits), limits
+        _misplaced(df, id_col, groups, row_id, strategy, limits, seen["n"]), limits
     )
     if "previous_id" in kept.columns:
         repeated = _with_previous_id(repeated, df, id_col, row_id, limits)
@@ -424,7 +438,6 @@ def sorting_anomalies(
     else:
         both = repeated.unionByName(kept, allowMissingColumns=True)
         found = _with_previous_id(both, df, id_col, row_id, limits)
-    columns = numeric_columns(df, exclude=[id_col, row_id, *groups], prioritize=prioritize)
     if check_dependent and columns:
         found = stage(found)  # read for the effects and for the result
         effects = dependent_var_effects(df, found, columns, row_id)

@@ -18,9 +18,14 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return counts.agg(F.max("n")).first()[0] or 0
 
 
-def fits_window(df: DataFrame, keys: Sequence[str], limits: Limits, strategy: str) -> bool:
+def fits_window(
+    df: DataFrame, keys: Sequence[str], limits: Limits, strategy: str, total: int | None = None
+) -> bool:
+    """Whether every group fits a plain window; ``total`` rows of all groups, where known, may say so."""
     if strategy not in ("auto", "window", "blocked"):
         raise ValueError(f"unknown strategy {strategy!r}")
+    if strategy == "auto" and total is not None and total <= limits.window_rows:
+        return True
     if strategy == "auto":
         return largest_group(df, keys) <= limits.window_rows
     return strategy == "window"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tamperlens.functions.columns import quoted
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
+from tamperlens.plans.staging import Sizes
 
 
 def attach_by_key(
@@ -17,16 +18,20 @@ def attach_by_key(
     keys: Sequence[str],
     rows: str,
     limits: Limits = DEFAULT_LIMITS,
+    sizes: Sizes | None = None,
 ) -> DataFrame:
     """Inner join of facts to a staged one-row-per-key table whose ``rows`` counts facts.
 
+    ``sizes`` are those that :func:`tamperlens.plans.staging.stage_keys` gave, of this table
+    or of one it was filtered from; without them a job asks for them.
+
     At most ``max_hot_keys`` keys can own more than 1/max_hot_keys of all rows,
     so those go out as a broadcast of proven size and their fact rows stay where
     they are; only the rows of the other keys meet their results in a shuffle.
     Without a hot key this is an ordinary equi-join, and Catalyst broadcasts the
     staged table whenever its known file size allows.
     """
-    total, largest = per_key.agg(F.sum(rows), F.max(rows)).first()
+    total, largest = sizes or per_key.agg(F.sum(rows), F.max(rows)).first()
     floor = max(limits.hot_rows, int(total or 0) // limits.max_hot_keys + 1)
     if (largest or 0) < floor:
         return facts.join(per_key, list(keys))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tamperlens.functions.columns import quoted
 from tamperlens.plans.joins import attach_by_key
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
-from tamperlens.plans.staging import running_total, stage, stage_sorted
+from tamperlens.plans.staging import running_total, stage_keys, stage_sorted
 
 
 def grouped_quantiles(
@@ -52,11 +52,11 @@ def quantiles_of_staged(
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Quantiles from staged (keys, value, count) rows sorted by keys and value."""
-    sizes = stage(
-        staged.groupBy(*keys).agg(F.sum(count).alias("_n"), F.count("*").alias("_rows"))
+    per_key, sizes = stage_keys(
+        staged.groupBy(*keys).agg(F.sum(count).alias("_n"), F.count("*").alias("_rows")), "_rows"
     )
     running = running_total(staged, keys, count, "_upto")
-    sized = attach_by_key(running, sizes, keys, "_rows", limits)
+    sized = attach_by_key(running, per_key, keys, "_rows", limits, sizes)
     aggregates, columns = [], []
     for name, p in probabilities.items():
         rank, low, high = f"({p}D * (_n - 1))", quoted(f"_lo_{name}"), quoted(f"_hi_{name}")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tamperlens.functions.columns import quoted
@@ -33,6 +34,31 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+class Sizes(NamedTuple):
+    """Rows of all keys together, and of the largest key."""
+
+    total: int
+    largest: int
+
+
+def stage_observed(df: DataFrame, **measures: str) -> tuple[DataFrame, dict]:
+    """:func:`stage`, with aggregates of the rows taken while they are written."""
+    seen = Observation()
+    staged = stage(df.observe(seen, *[F.expr(sql).alias(name) for name, sql in measures.items()]))
+    return staged, seen.get
+
+
+def stage_keys(per_key: DataFrame, rows: str) -> tuple[DataFrame, Sizes]:
+    """Stage a table of one row per key whose ``rows`` counts its facts, and sum it up.
+
+    The sums are observed on the write, so no job runs for them. A task that is run again
+    can only make them larger than they are, which choices by size bear.
+    """
+    count = quoted(rows)
+    staged, seen = stage_observed(per_key, total=f"sum({count})", largest=f"max({count})")
+    return staged, Sizes(int(seen["total"] or 0), int(seen["largest"] or 0))
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Delete every table this application staged; results built on them end here."""
     path = spark._jvm.org.apache.hadoop.fs.Path(
