@@ -13,9 +13,9 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from catalog.common import LINEITEM_ORDER, SQL_LINEITEM, numbered
+from catalog.common import LINEITEM_ORDER, SQL_LINEITEM, numbered, table
 from tamperlens.operators.calcchain import chain_anomalies, row_movement, split_cell_ref
-from tamperlens.sources.workbooks import parse_calc_chains, parse_workbook_cells, workbook_tables
+from tamperlens.sources.workbooks import parse_calc_chains, parse_workbook_cells, unreadable_workbooks, workbook_tables
 
 BOOK_ROWS = 400
 
@@ -112,12 +112,59 @@ def tables_from_files(spark, sf_dir):
     )
 
 
+def _build_dated_book(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Orders with their dates as styled day counts; two columns of one name. Every fifth book is cut short."""
+    pdf = pdf.sort_values("o_orderkey")
+    space = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    names = ("key", "day", "key", "key_2", "moment")
+    head = "".join(f'<c r="{c}1" t="inlineStr"><is><t>{n}</t></is></c>' for c, n in zip("ABCDE", names))
+    rows = [f'<row r="1">{head}</row>']
+    for r, (key, days) in enumerate(zip(pdf["o_orderkey"], pdf["days"]), start=2):
+        cells = (f'<c r="A{r}"><v>{key}</v></c>', f'<c r="B{r}" s="1"><v>{days}</v></c>', f'<c r="C{r}"><v>{key + 1}</v></c>',
+                 f'<c r="D{r}"><v>{key + 2}</v></c>', f'<c r="E{r}" s="2"><v>{days + 0.25}</v></c>')
+        rows.append(f'<row r="{r}">{"".join(cells)}</row>')
+    styles = ('<numFmts><numFmt numFmtId="170" formatCode="yyyy/mm/dd hh:mm"/></numFmts>'
+              '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/></cellXfs>')
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("xl/styles.xml", f'<styleSheet xmlns="{space}">{styles}</styleSheet>')
+        archive.writestr(
+            "xl/worksheets/sheet1.xml", f'<worksheet xmlns="{space}"><sheetData>{"".join(rows)}</sheetData></worksheet>'
+        )
+    content = buffer.getvalue()
+    cut = int(pdf["book"].iloc[0]) % 5 == 4
+    return pd.DataFrame({"path": [f"book-{pdf['book'].iloc[0]}"], "content": [content[:-40] if cut else content]})
+
+
+def _dated_books(spark, sf_dir):
+    """Twenty orders to a book."""
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_orderkey div 20 AS book", "datediff(o_orderdate, DATE'1899-12-30') AS days"
+    )
+    return orders.groupBy("book").applyInPandas(_build_dated_book, "path string, content binary")
+
+
+def workbook_dates(spark, sf_dir):
+    found = workbook_tables(parse_workbook_cells(_dated_books(spark, sf_dir)))
+    return found.selectExpr(
+        "CAST(key AS BIGINT) AS key", "day", "date_format(moment, 'yyyy-MM-dd HH:mm') AS moment",
+        "CAST(key_3 AS BIGINT) AS again", "CAST(key_2 AS BIGINT) AS other",
+    )
+
+
+def broken_books(spark, sf_dir):
+    found = unreadable_workbooks(_dated_books(spark, sf_dir))
+    return found.selectExpr("path", "split_part(error, ':', 1) AS error")
+
+
 QUERIES = {
     "split_cell_ref": cell_references,
     "chain_anomalies": broken_order,
     "row_movement": moved_rows,
     "read_calc_chains": chains_from_files,
     "read_workbooks": tables_from_files,
+    "read_workbook_dates": workbook_dates,
+    "unreadable_workbooks": broken_books,
 }
 
 _CHAIN = rf"""
@@ -194,6 +241,12 @@ SQL = {
         FROM hits GROUP BY path, row_index""",
     "read_calc_chains": f"""
         WITH {_CHAIN} SELECT path, sheet_id, index, cell_ref FROM chain""",
+    "read_workbook_dates": """
+        SELECT o_orderkey AS key, o_orderdate::DATE AS day, strftime(o_orderdate, '%Y-%m-%d') || ' 06:00' AS moment,
+            o_orderkey + 1 AS again, o_orderkey + 2 AS other
+        FROM orders WHERE o_orderkey // 20 % 5 <> 4""",
+    "unreadable_workbooks": """
+        SELECT DISTINCT 'book-' || o_orderkey // 20 AS path, 'BadZipFile' AS error FROM orders WHERE o_orderkey // 20 % 5 = 4""",
     "read_workbooks": f"""
         WITH {_CHAIN}
         SELECT path, index + 2 AS sheet_row, l_quantity AS quantity, l_extendedprice AS price FROM chain""",

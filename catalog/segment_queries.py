@@ -84,6 +84,17 @@ def parsed_responses(spark, sf_dir):
     )
 
 
+def whole_responses(spark, sf_dir):
+    """Keys that the fixed columns do not know, in the answer and in its finding."""
+    more = F.replace("response", F.lit('"severity": 7'), F.lit('"severity": 7, "score": 0.5'))
+    extra = F.concat(F.lit('"extra": {"chunk": '), F.col("chunk").cast("string"), F.lit('}, "confidence"'))
+    answers = _responses(spark, sf_dir).withColumn("response", F.replace(more, F.lit('"confidence"'), extra))
+    return extract_response_json(answers).selectExpr(
+        "chunk", "variant_get(parsed, '$.extra.chunk', 'bigint') AS extra_chunk",
+        "variant_get(parsed, '$.findings[0].score', 'double') AS score", "parsed IS NOT NULL AS readable",
+    )
+
+
 def rolled_up(spark, sf_dir):
     return segment_rollup(extract_response_json(_responses(spark, sf_dir)))
 
@@ -107,6 +118,7 @@ QUERIES = {
     "segment_describe": described_segments,
     "segment_apply": scored_segments,
     "extract_response_json": parsed_responses,
+    "response_objects": whole_responses,
     "segment_rollup": rolled_up,
     "segment_types": found_types,
     "segment_report": reported,
@@ -167,6 +179,10 @@ SQL = {
             CASE WHEN value < 10 THEN 'Nothing found for ' || user_id
                 WHEN value < 20 THEN '{{broken ' || user_id END AS raw_response
         FROM answers""",
+    "response_objects": f"""
+        WITH {_RESPONSES}
+        SELECT chunk, CASE WHEN ok THEN chunk END AS extra_chunk, CASE WHEN ok THEN 0.5::DOUBLE END AS score, ok AS readable
+        FROM answers""",
     "segment_rollup": f"""
         WITH {_RESPONSES}
         SELECT (SELECT count(*) FROM confident) AS anomaly_chunks,

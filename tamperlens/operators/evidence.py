@@ -29,7 +29,7 @@ from tamperlens.operators.rows import flag_rows, rows_frame
 from tamperlens.plans.joins import attach_by_key
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
 from tamperlens.plans.quantiles import grouped_quantiles
-from tamperlens.plans.staging import BLOCK, SEQ, previous_in_order, stage, stage_keys
+from tamperlens.plans.staging import BLOCK, SEQ, previous_in_order, stage, stage_keys, with_row_id
 
 # fixed values: preview and chart bounds
 CONTEXT, HEAD = 2, 5
@@ -127,7 +127,7 @@ def effect_size_table(
         .agg(F.expr("min(row_index) AS first_row"))
     )
     # one row per group
-    placed = seen.selectExpr("_g", "row_number() OVER (ORDER BY first_row) AS place")
+    placed = with_row_id(seen, ["first_row"], "place").selectExpr("_g", "CAST(place + 1 AS INT) AS place")
     aggregates = [
         F.expr(f"{fn}(value) FILTER (WHERE {test}) AS {short}_b{flag}")
         for flag, test in (("s", "is_suspicious"), ("n", "NOT is_suspicious"))

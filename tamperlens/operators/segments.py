@@ -127,7 +127,9 @@ def extract_response_json(df: DataFrame, response: str = "response") -> DataFram
     """H4: parse the JSON object inside a free-text response.
 
     Takes the text from the first ``{`` to the last ``}``; text that does not
-    parse gives ``error``, the raw text and no anomalies.
+    parse gives ``error``, the raw text and no anomalies.  ``parsed`` is the whole
+    object as a VARIANT, so keys that the fixed columns do not know are kept, in
+    the object and in each of its findings.
     """
     found = F.regexp_extract(response, r"(?s)\{.*\}", 0)
     text = F.when(found != "", found).otherwise(F.col(response))
@@ -145,6 +147,7 @@ def extract_response_json(df: DataFrame, response: str = "response") -> DataFram
                 "confidence": F.when(F.col("_ok"), F.col("_p.confidence").try_cast("double")),
                 "explanation": F.when(F.col("_ok"), F.col("_p.explanation")),
                 "findings": F.when(F.col("_ok"), F.col("_p.findings")),
+                "parsed": F.when(F.col("_ok"), F.try_parse_json(text)),
                 "error": F.when(F.col("_ok"), F.col("_p.error")).otherwise(F.lit(PARSE_ERROR)),
                 "raw_response": F.when(~F.col("_ok"), F.col(response)),
             }

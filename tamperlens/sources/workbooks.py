@@ -6,6 +6,7 @@ files are divided among tasks and each is read on its own.
 
 from __future__ import annotations
 
+import datetime
 import io
 import posixpath
 import re
@@ -94,7 +95,60 @@ def _first_sheet(archive: zipfile.ZipFile) -> tuple[str, str]:
     return "Sheet1", "xl/worksheets/sheet1.xml"
 
 
-def _cell_value(cell, shared: list[str]) -> str | None:
+#: fixed values: built-in number formats that show dates or times
+DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+
+
+def _shows_dates(code: str) -> bool:
+    """Whether a custom number format shows a date or time."""
+    shown = re.sub(r'"[^"]*"|\\.|[_*].', "", code.split(";")[0])
+    # brackets hold colours, places and conditions, or hours and the like that run on
+    shown = re.sub(r"\[(?!(?:h+|m+|s+)\])[^\]]*\]", "", shown, flags=re.IGNORECASE)
+    return shown.strip().lower() != "general" and bool(re.search("[dmyhs]", shown, re.IGNORECASE))
+
+
+def _date_styles(archive: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles whose values are dates or times."""
+    if "xl/styles.xml" not in archive.namelist():
+        return set()
+    custom, styles = {}, set()
+    with archive.open("xl/styles.xml") as stream:
+        for element in ElementTree.parse(stream).getroot():
+            if _local_name(element) == "numFmts":
+                custom = {f.get("numFmtId"): f.get("formatCode") or "" for f in element}
+            elif _local_name(element) == "cellXfs":
+                formats = [f.get("numFmtId") or "0" for f in element]
+                styles = {
+                    i for i, f in enumerate(formats)
+                    if (_shows_dates(custom[f]) if f in custom else f.isdigit() and int(f) in DATE_FORMATS)
+                }
+    return styles
+
+
+def _counts_from_1904(archive: zipfile.ZipFile) -> bool:
+    if "xl/workbook.xml" not in archive.namelist():
+        return False
+    return any(p.get("date1904") in ("1", "true") for p in _elements(archive, "xl/workbook.xml", "workbookPr"))
+
+
+def _date_text(value: str, from_1904: bool) -> str:
+    """A day count as date, date and time, or time of day; what is none stays as it is."""
+    try:
+        days = float(value)
+        if not 0 <= days < 2_958_466:  # the year 9999
+            return value
+    except ValueError:
+        return value
+    time = datetime.timedelta(milliseconds=round((days % 1) * 86_400_000))
+    if days < 1 and time:
+        return str(datetime.datetime.min + time)[11:]
+    # the calendar of 1900 has a day too many, the 60th
+    first = datetime.datetime(1904, 1, 1) if from_1904 else datetime.datetime(1899, 12, 30 if days >= 60 else 31)
+    found = first + datetime.timedelta(days=int(days)) + time
+    return str(found) if time else str(found.date())
+
+
+def _cell_value(cell, shared: list[str], dates: set[int], from_1904: bool) -> str | None:
     kind = cell.get("t", "n")
     texts = {"v": [], "t": []}
     for part in cell.iter():
@@ -109,6 +163,8 @@ def _cell_value(cell, shared: list[str]) -> str | None:
         return shared[int(value)]
     if kind == "b":
         return "true" if value == "1" else "false"
+    if kind == "n" and int(cell.get("s") or 0) in dates:
+        return _date_text(value, from_1904)
     return value
 
 
@@ -119,11 +175,12 @@ def _cell_rows(path: str, content: bytes) -> Iterator[tuple]:
             for item in _elements(archive, "xl/sharedStrings.xml", "si"):
                 shared.append("".join(t.text or "" for t in item.iter() if _local_name(t) == "t"))
         sheet, member = _first_sheet(archive)
+        dates, from_1904 = _date_styles(archive), _counts_from_1904(archive)
         for row in _elements(archive, member, "row"):
             for cell in row:
                 match = re.match(r"([A-Z]+)([0-9]+)", cell.get("r") or "")
                 if match:
-                    value = _cell_value(cell, shared)
+                    value = _cell_value(cell, shared, dates, from_1904)
                     if value is not None:
                         letters, number = match.groups()
                         yield path, sheet, int(number), letters, _column_index(letters), value
@@ -188,26 +245,42 @@ def parse_workbook_cells(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_per_file(_cell_rows, columns), CELL_SCHEMA)
 
 
+def _free_names(headers: pd.DataFrame) -> pd.DataFrame:
+    """Names of one workbook's columns, each once whatever its case; a sheet has at most 16,384."""
+    headers = headers.sort_values("column_index", ignore_index=True)
+    given = headers["_given"].str.lower()
+    taken, names, seen = set(given), [], set()
+    for name, lower in zip(headers["_given"], given):
+        free, number = name, 2
+        if lower in seen:
+            while (free := f"{name}_{number}").lower() in taken:
+                number += 1
+            taken.add(free.lower())
+        seen.add(lower)
+        names.append(free)
+    return headers.assign(_name=names)[["path", "column_index", "_name"]]
+
+
 def workbook_tables(cells: DataFrame) -> DataFrame:
     """A3: cells to one table: (path, sheet_row, header columns…), typed by their values.
 
     The first row of each workbook names its columns; workbooks may have them in
     different places.  A name that stands several times in a workbook gets the
     number of its repetition, a column without a name that of its place
-    (``column_3``), so no cell is lost.  The names are the columns of the result,
+    (``column_3``), and the next number where a name is taken, so no cell is lost.
+    Cells in a date format are dates, timestamps or times of day.  The names are the columns of the result,
     so they are what reaches the driver.
     """
     staged = stage(cells)
     # one row per workbook, then per column of it: staged, so that their size decides the join
     tops = stage(staged.groupBy("path").agg(F.min("row").alias("_top")))
     placed = staged.join(tops, "path")
-    again = "row_number() OVER (PARTITION BY path, lower(_given) ORDER BY column_index)"
     given = "max(if(row = _top, value, NULL))"
     headers = stage(
         placed.groupBy("path", "column_index")
         .agg(F.expr(f"coalesce(nullif(trim({given}), ''), concat('column_', column_index)) AS _given"))
-        .selectExpr("*", f"{again} AS _n")
-        .selectExpr("path", "column_index", "if(_n > 1, concat(_given, '_', _n), _given) AS _name")
+        .groupBy("path")
+        .applyInPandas(_free_names, "path string, column_index int, _name string")
     )
     named = placed.filter("row > _top").join(headers, ["path", "column_index"])
     order = headers.groupBy("_name").agg(F.min("column_index").alias("_i")).orderBy("_i", "_name")

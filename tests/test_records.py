@@ -6,12 +6,14 @@ import csv
 import io
 import random
 
+import pandas as pd
 import pytest
 
 from tamperlens.plans.staging import with_row_id
 from tamperlens.sources.detect import detect_file_types
 from tamperlens.sources.records import ends_inside, raw_lines, scan_splits, start_states
 from tamperlens.sources.sequences import read_vcf
+from tamperlens.sources.workbooks import _date_text, _free_names, _shows_dates
 from tamperlens.sources.tabular import header_names, in_file_order, read_csv, read_delimited
 
 
@@ -140,3 +142,18 @@ def test_empty_files_have_a_type(spark, tmp_path):
     (tmp_path / "full.csv").write_text("a,b\n1,2\n")
     found = {r.path.rsplit("/", 1)[-1]: r.file_type for r in detect_file_types(spark, str(tmp_path)).collect()}
     assert found == {"e.csv": "tabular", "my%20e.TSV": "tabular", "plain": "unknown", "full.csv": "tabular"}
+
+
+def test_dates_of_workbooks():
+    assert [_shows_dates(c) for c in ("yyyy-mm-dd", "General", '0.0" days"', "[Red]0.00", "[h]:mm", "#,##0", r"dd\.mm", "@", "0_d")] == [
+        True, False, False, False, True, False, True, False, False
+    ]
+    assert _date_text("44562", False) == "2022-01-01" and _date_text("44562.5", False) == "2022-01-01 12:00:00"
+    assert _date_text("1", False) == "1900-01-01" and _date_text("61", False) == "1900-03-01"
+    assert _date_text("0", True) == "1904-01-01" and _date_text("0.25", False) == "06:00:00"
+    assert _date_text("-3", False) == "-3" and _date_text("x", False) == "x" and _date_text("1e9", False) == "1e9"
+
+
+def test_names_of_columns_are_free():
+    frame = pd.DataFrame({"path": "b", "column_index": [4, 1, 2, 3, 5], "_given": ["A", "a", "a", "a_2", "b"]})
+    assert _free_names(frame)["_name"].tolist() == ["a", "a_3", "a_2", "A_4", "b"]
