@@ -5,8 +5,10 @@ lists: the block's vectors sorted by every dimension once. A task takes a round
 through its blocks and walks the lists of many queries at once: downwards where a query's
 weight is positive, upwards where it is negative. Vectors met are scored whole; the walk
 of a query ends when the bound, the score of a vector that stood at the frontier of every
-list, falls below its k-th best so far, so no unseen vector can win or tie. The k-th best
-of earlier blocks is the starting bound of the next ones. The best of all tasks are merged.
+list, falls below its k-th best so far, so no unseen vector can win or tie. Where a stride
+down the lists would read more entries than vectors are left, which is soon the case in
+many dimensions, the rest of the block is met at once. The k-th best of earlier blocks is
+the starting bound of the next ones. The best of all tasks are merged.
 
 Vectors that are null, or hold null or non-finite components, take no part; neither do
 null ids. Repeated rows of an id are separate candidates with one id, and never their own
@@ -72,14 +74,19 @@ def threshold_walk(queries: Block, held: Block, best: Best, step: int) -> int:
     depth = 0
     while depth < n and len(active):
         until = min(depth + step, n)
+        if step * dim > n - met[active].sum(axis=1).max():
+            until = n  # the stride would read more entries than any query has vectors left
         step *= 4  # deeper walks are taken in longer strides
         fresh = np.zeros((len(active), n), bool)
-        for d in range(dim):
-            falling = np.flatnonzero(products.queries[active, d] > 0)
-            rising = np.flatnonzero(products.queries[active, d] < 0)
-            fresh[np.ix_(falling, held.lists[n - until : n - depth, d])] = True
-            fresh[np.ix_(rising, held.lists[depth:until, d])] = True
-        fresh[weightless[active]] = True  # every score is zero, every vector a candidate
+        if until == n:
+            fresh[:] = True
+        else:
+            for d in range(dim):
+                falling = np.flatnonzero(products.queries[active, d] > 0)
+                rising = np.flatnonzero(products.queries[active, d] < 0)
+                fresh[np.ix_(falling, held.lists[n - until : n - depth, d])] = True
+                fresh[np.ix_(rising, held.lists[depth:until, d])] = True
+            fresh[weightless[active]] = True  # every score is zero, every vector a candidate
         fresh &= ~met[active]
         met[active] |= fresh
         fresh &= ~own[active]

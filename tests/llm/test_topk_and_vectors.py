@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from tamperlens.llm.itq_dedup import first_shared, learn_rotation, codes_of, link_near_duplicates
-from tamperlens.llm.threshold_topk import exact_top_k
+from tamperlens.llm.threshold_topk import Best, exact_top_k, threshold_walk
+from tamperlens.llm.vector_blocks import Block
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, score double, task int"
 
@@ -62,6 +63,24 @@ def test_top_k_over_many_rounds(spark):
     assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in got} == brute_top(rows, 5)
 
 
+def test_walks_stop_early():
+    """In few dimensions the bound ends a walk after a small part of the lists."""
+    rng = np.random.default_rng(3)
+    v = rng.integers(-4000, 4000, (8192, 2))
+    held = Block(np.arange(8192), np.zeros(8192, np.int64), v, np.argsort(v, axis=0, kind="stable"))
+    queries = Block(np.arange(0, 8192, 512), np.zeros(16, np.int64), v[::512])
+    best = Best(queries, 5)
+    met = threshold_walk(queries, held, best, 16)
+    assert met < 0.2 * 16 * 8192
+    for q in range(16):
+        scored = sorted((-int(v[i] @ queries.v[q]), i) for i in range(8192) if i != queries.ids[q])[:5]
+        mine = best.row == q
+        assert [(-int(s), int(i)) for s, i in zip(best.scores[mine], best.ids[mine])] == scored
+    # a second block far from the first one's best ends at once
+    low = Block(np.arange(9000, 9100), np.zeros(100, np.int64), np.ones((100, 2), np.int64), np.tile(np.arange(100)[:, None], 2))
+    assert threshold_walk(queries, low, best, 1) <= 16 * 100 * 0.2
+
+
 def test_entries_shared_by_codes():
     a = np.array([0, 0, 0], np.uint64)
     b = np.array([0, 1 << 5, 0x0003_0003_0003_0003], np.uint64)
