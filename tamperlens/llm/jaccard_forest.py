@@ -14,8 +14,9 @@
    a unit returns counts and a spanning forest, never its pairs.
 
 Null ids, and texts without words, link with nothing. A text of fewer words than a
-shingle has its whole word row as its only shingle. Of repeated rows of one id the first by
-content speaks for all; every input row gets its result row. Empty tables give no rows.
+shingle has its whole word row as its only shingle. A document is an id with a shingle set:
+different texts of one id are compared like any others, equal ones count once. Every input
+row gets its result row. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,11 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamperlens.functions.columns import quoted
-from tamperlens.llm.common import Scratch, block_pairs, components, parts_for, unit_rows
+from tamperlens.llm.common import Scratch, block_pairs, bounded_batches, components, parts_for, unit_rows
 from tamperlens.llm.textcells import batches, mix, shingles, words_of
+from tamperlens.plans.joins import attach_by_key
+from tamperlens.plans.limits import Limits
 
 SKETCH = "id bigint, n bigint, set_a bigint, set_b bigint, nodes array<bigint>"
-SETS = "id bigint, n bigint, hashes binary"
+SETS = "id bigint, n bigint, set_a bigint, set_b bigint, hashes binary"
+DIGEST = ["n", "set_a", "set_b"]
+#: classes of this many rows are broadcast instead of shuffled; at most 100,000 can be
+HOT = Limits(hot_rows=1000)
 FOUND = "id bigint, links bigint, other bigint"
 #: shingles of a document up to which it counts as one when blocks are measured
 SHINGLES_EACH = 8192
@@ -79,57 +85,70 @@ class Forest:
         return out.reshape(len(starts), -1)
 
 
-def _text_sets(ids, texts, k):
-    """(ids with words, starts, hashes) for each manageable part of a batch."""
+def _text_sets(ids: pa.Array, texts, k):
+    """(ids, places with words, starts, hashes) for each manageable part of a batch."""
     for begin, end in batches(texts):
         docs, hashes = shingles(words_of(texts[begin:end]), k)
         present, starts = np.unique(docs, return_index=True)
-        yield ids[begin:end], present, starts, hashes
+        yield ids.slice(begin, end - begin), present, starts, hashes
+
+
+def _digests(starts: np.ndarray, hashes: np.ndarray) -> list[pa.Array]:
+    """(n, set_a, set_b) of shingle sets: their size and two sums of their hashes."""
+    if not len(starts):
+        return [pa.array([], pa.int64())] * 3
+    return [
+        pa.array(np.diff(np.append(starts, len(hashes))), pa.int64()),
+        pa.array(np.add.reduceat(mix(hashes), starts).view(np.int64)),
+        pa.array(np.add.reduceat(mix(~hashes), starts).view(np.int64)),
+    ]
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, forest: Forest) -> DataFrame:
-    """Set digest and trie nodes of every document that has an id and words."""
+    """Set digest and trie nodes of every row; n is 0 for those without an id or words."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", *DIGEST, "nodes"]
         for frame in frames:
-            ids = np.asarray(frame.column(0))
-            for part, present, starts, hashes in _text_sets(ids, frame.column(1).to_pylist(), k):
-                if not len(present):
-                    continue
-                nodes = forest.nodes(hashes, starts)
-                width = nodes.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(part[present], pa.int64()),
-                        pa.array(np.diff(np.append(starts, len(hashes))), pa.int64()),
-                        pa.array(np.add.reduceat(mix(hashes), starts).view(np.int64)),
-                        pa.array(np.add.reduceat(mix(~hashes), starts).view(np.int64)),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.arange(len(starts) + 1) * width, pa.int32()),
-                            pa.array(nodes.reshape(-1).view(np.int64)),
-                        ),
-                    ],
-                    names=["id", "n", "set_a", "set_b", "nodes"],
-                )
-
-    return _keyed(docs, id_col, text_col).mapInArrow(run, SKETCH)
+            for ids, present, starts, hashes in _text_sets(frame.column(0), frame.column(1).to_pylist(), k):
+                if len(present):
+                    nodes = forest.nodes(hashes, starts)
+                    listed = pa.ListArray.from_arrays(
+                        pa.array(np.arange(len(starts) + 1) * nodes.shape[1], pa.int32()),
+                        pa.array(nodes.reshape(-1).view(np.int64)),
+                    )
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(present)), *_digests(starts, hashes), listed], names=names
+                    )
+                absent = np.setdiff1d(np.arange(len(ids)), present)
+                if len(absent):
+                    none = pa.nulls(len(absent), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            ids.take(pa.array(absent)), pa.array(np.zeros(len(absent), np.int64)), none, none,
+                            pa.nulls(len(absent), pa.list_(pa.int64())),
+                        ],
+                        names=names,
+                    )
+
+    bounded_batches(docs.sparkSession)
+    rows = docs.selectExpr(f"CAST({quoted(id_col)} AS BIGINT) AS id", f"CAST({quoted(text_col)} AS STRING) AS text")
+    return rows.selectExpr("id", "if(id IS NULL, NULL, text) AS text").mapInArrow(run, SKETCH)
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """Whole sorted shingle sets of the given (id, text) rows as binary."""
+    """Whole sorted shingle sets of the given (id, text) rows as binary, with their digests."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            ids = np.asarray(frame.column(0))
-            for part, present, starts, hashes in _text_sets(ids, frame.column(1).to_pylist(), k):
+            for ids, present, starts, hashes in _text_sets(frame.column(0), frame.column(1).to_pylist(), k):
                 sets = np.split(hashes, starts[1:]) if len(starts) else []
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(part[present], pa.int64()),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
+                        ids.take(pa.array(present, pa.int64())), *_digests(starts, hashes),
+                        pa.array([x.tobytes() for x in sets], pa.binary()),
                     ],
-                    names=["id", "n", "hashes"],
+                    names=["id", *DIGEST, "hashes"],
                 )
 
     return docs.mapInArrow(run, SETS)
@@ -267,34 +286,43 @@ def jaccard_join(
     forest: Forest | None = None,
     per_block: int = 256,
 ) -> DataFrame:
-    """Rows (id_col, class_id, n_links, group_id, kept), one for each input row.
+    """Rows (id_col, class_id, n_links, group_id, kept, shingle_set), one for each input row.
 
     ``class_id`` is the smallest id with the same shingle set, ``n_links`` the number of
     other documents with Jaccard similarity >= ``threshold`` (copies included),
-    ``group_id`` the smallest id reachable by links, ``kept`` whether the row's id is it.
-    A null id keeps null results and is kept.
+    ``group_id`` the smallest id reachable by links, ``kept`` whether the row is of that id
+    and, where several of its texts are in the group, of the one with the least digest.
+    ``shingle_set`` is the digest of the row's set, null without words. A null id keeps
+    null results and is kept.
     """
     forest = (forest or Forest()).reaching(threshold, target_recall)
     scratch = Scratch(docs.sparkSession, "jaccard")
     raw = scratch.stage(sketches(docs, id_col, text_col, k, forest), "sketches")
-    # repeated rows of an id: the first by content speaks for it
-    one = raw.groupBy("id").agg(F.min(F.struct("n", "set_a", "set_b", "nodes")).alias("s")).select("id", "s.*")
+    one = raw.where("n > 0").groupBy("id", *DIGEST).agg(F.min("nodes").alias("nodes"), F.count("*").alias("rows"))
     classes = (
-        one.groupBy("n", "set_a", "set_b")
-        .agg(F.min(F.struct("id", "nodes")).alias("r"), F.count("*").alias("copies"))
-        .selectExpr("n", "set_a", "set_b", "r.id AS class_id", "copies", "r.nodes AS nodes")
+        one.groupBy(*DIGEST)
+        .agg(F.min(F.struct("id", "nodes")).alias("r"), F.count("*").alias("copies"), F.sum("rows").alias("rows"))
+        .selectExpr(*DIGEST, "r.id AS class_id", "copies", "rows", "r.nodes AS nodes")
     )
-    reps = scratch.stage(classes, "classes")
-    edges, _ = candidate_edges(scratch, reps.selectExpr("class_id AS id", "nodes"), forest, threshold, target_recall)
+    # classes are told apart by a number of their own: texts of one id may be in several
+    reps = scratch.stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    edges, _ = candidate_edges(scratch, reps.selectExpr("node AS id", "nodes"), forest, threshold, target_recall)
     hoods = scratch.stage(
         components(scratch, edges, "hoods").selectExpr("node AS id", "component AS hood"), "hoods"
     )
-    texts = _keyed(docs, id_col, text_col).join(hoods.select("id"), "id", "left_semi")
+    asked = scratch.stage(
+        reps.join(hoods, reps["node"] == hoods["id"]).selectExpr("class_id", *DIGEST, "node", "copies"), "asked"
+    )
+    texts = _keyed(docs, id_col, text_col).join(asked.selectExpr("class_id AS id").distinct(), "id", "left_semi")
     sets = scratch.stage(
-        shingle_sets(texts, k).groupBy("id").agg(F.min(F.struct("n", "hashes")).alias("s")).select("id", "s.*"),
+        shingle_sets(texts, k)
+        .groupBy("id", *DIGEST)
+        .agg(F.min("hashes").alias("hashes"))
+        .join(asked.withColumnRenamed("class_id", "id"), ["id", *DIGEST])
+        .selectExpr("node AS id", "n", "hashes", "copies"),
         "sets",
     )
-    members = hoods.join(reps.selectExpr("class_id AS id", "copies"), "id").join(sets, "id")
+    members = hoods.join(sets, "id")
     # a block is bounded by its documents and by their shingles
     sizes = scratch.stage(
         hoods.join(sets.selectExpr("id", "n AS shingles"), "id")
@@ -311,49 +339,84 @@ def jaccard_join(
         .applyInPandas(verify_units(threshold), FOUND),
         "found",
     )
-    groups = components(scratch, found.selectExpr("id AS a", "other AS b"), "groups")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    by_class = (
-        reps.selectExpr("n", "set_a", "set_b", "class_id", "copies")
-        .join(links.withColumnRenamed("id", "class_id"), "class_id", "left")
-        .join(groups.selectExpr("node AS class_id", "component"), "class_id", "left")
+    scratch.drop("hoods", "asked", "sets", "sizes")
+    groups = components(scratch, found.selectExpr("id AS a", "other AS b"), "groups").join(
+        reps.select("node", "class_id", *DIGEST), "node"
+    )
+    head = F.min(F.struct(F.col("class_id"), F.struct(*DIGEST).alias("digest"))).alias("head")
+    heads = groups.groupBy("component").agg(head)
+    links = found.groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links"))
+    by_class = scratch.stage(
+        reps.select("node", *DIGEST, "class_id", "copies", "rows")
+        .join(links, "node", "left")
+        .join(groups.select("node", "component").join(heads, "component"), "node", "left")
         .selectExpr(
-            "n", "set_a", "set_b", "class_id",
-            "copies - 1 + coalesce(links, 0) AS n_links", "coalesce(component, class_id) AS group_id",
-        )
+            *DIGEST, "rows", "class_id", "copies - 1 + coalesce(links, 0) AS n_links",
+            "coalesce(head.class_id, class_id) AS group_id",
+            "coalesce(head.digest = struct(n, set_a, set_b), true) AS heads",
+        ),
+        "by-class",
     )
-    per_id = (
-        one.drop("nodes").join(by_class, ["n", "set_a", "set_b"]).select("id", "class_id", "n_links", "group_id")
+    key = quoted(id_col)
+    with_words = attach_by_key(raw.where("n > 0").select("id", *DIGEST), by_class, DIGEST, "rows", HOT).selectExpr(
+        f"id AS {key}", "class_id", "n_links", "group_id", "group_id = id AND heads AS kept",
+        "struct(n, set_a, set_b) AS shingle_set",
     )
-    ids = docs.selectExpr(f"CAST({quoted(id_col)} AS BIGINT) AS id")
-    return (
-        ids.join(per_id, "id", "left")
-        .selectExpr(
-            f"id AS {quoted(id_col)}",
-            "coalesce(class_id, id) AS class_id",
-            "CASE WHEN id IS NOT NULL THEN coalesce(n_links, 0) END AS n_links",
-            "coalesce(group_id, id) AS group_id",
-            "coalesce(group_id = id, true) AS kept",
-        )
+    without = raw.where("n = 0").selectExpr(
+        f"id AS {key}", "id AS class_id", "if(id IS NULL, NULL, 0L) AS n_links", "id AS group_id", "true AS kept",
+        "CAST(NULL AS STRUCT<n: BIGINT, set_a: BIGINT, set_b: BIGINT>) AS shingle_set",
     )
+    return with_words.unionByName(without)
 
 
 def one_of_each_group(
-    docs: DataFrame, joined: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, joined: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5
 ) -> DataFrame:
-    """Documents that stay: those of the smallest id of each group, and all without an id.
+    """Documents that stay: the one that heads its group, and all without an id or words.
 
-    Equal rows of an id that repeats stay once; its different texts all stay, as an id
-    says nothing about which of them the group is about.
+    Of the rows of an id that repeats those stay whose text heads a group, one of each
+    shingle set, and one of each text without words. ``k`` is that of the join.
     """
-    key = quoted(id_col)
-    keep = joined.where(f"kept AND {key} IS NOT NULL").select(F.col(key).alias("_kept")).distinct()
-    repeated = docs.groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_n")).where("_n > 1")
-    single = keep.join(repeated, "_kept", "left_anti")
-    several = keep.join(repeated, "_kept", "left_semi")
+    key, text = quoted(id_col), f"CAST({quoted(text_col)} AS STRING)"
+    named = joined.where(f"{key} IS NOT NULL").withColumnRenamed(id_col, "_kept")
+    per_id = named.groupBy("_kept").agg(F.count("*").alias("_n"), F.count_if("kept").alias("_k")).where("_k > 0")
     nameless = docs.where(F.col(key).isNull())
-    return (
-        docs.join(single, docs[id_col] == single["_kept"], "left_semi")
-        .unionAll(docs.join(several, docs[id_col] == several["_kept"], "left_semi").dropDuplicates([id_col, text_col]))
-        .unionAll(nameless)
+    single = docs.join(per_id.where("_n = 1"), F.expr(f"{key} = _kept"), "left_semi")
+    repeated = docs.join(per_id.where("_n > 1"), F.expr(f"{key} = _kept"), "left_semi")
+    # few texts: those of ids that stand in several rows
+    own = repeated.selectExpr(f"CAST({key} AS BIGINT) AS id", f"coalesce({text}, '') AS text").distinct()
+    digests = _text_digests(own, k)
+    heads = named.where("kept").selectExpr("_kept AS id", "shingle_set").distinct()
+    stays = (
+        digests.join(heads.withColumnRenamed("id", "_id"), F.expr("id = _id AND shingle_set <=> digest"))
+        .selectExpr("id AS _id", "text AS _text", "digest", "if(digest IS NULL, text, '') AS _alone")
+    )
+    rows = F.struct(*[F.col(quoted(c)) for c in docs.columns])
+    ones = (
+        repeated.select(rows.alias("_row"), F.expr(f"{key} AS _key"), F.expr(f"coalesce({text}, '') AS _own"))
+        .join(stays, F.expr("_key = _id AND _own = _text"))
+        .groupBy("_id", "digest", "_alone")
+        .agg(F.min_by("_row", "_own").alias("_row"))
+        .select("_row.*")
     )
+    return single.unionByName(ones).unionByName(nameless)
+
+
+def _text_digests(texts: DataFrame, k: int) -> DataFrame:
+    """(id, text, digest) of (id, text) rows; the digest is null without words."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            at = 0
+            for ids, present, starts, hashes in _text_sets(frame.column(0), frame.column(1).to_pylist(), k):
+                place = np.full(len(ids), -1)
+                place[present] = np.arange(len(present))
+                index = pa.array(place, mask=place < 0)
+                yield pa.RecordBatch.from_arrays(
+                    [ids, frame.column(1).slice(at, len(ids)), *[d.take(index) for d in _digests(starts, hashes)]],
+                    names=["id", "text", *DIGEST],
+                )
+                at += len(ids)
+
+    found = texts.mapInArrow(run, "id bigint, text string, n bigint, set_a bigint, set_b bigint")
+    return found.selectExpr("id", "text", "if(n IS NULL, NULL, struct(n, set_a, set_b)) AS digest")

@@ -61,7 +61,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_jaccard_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, links and group of every document."""
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("shingle_set")
 
 
 def op7_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,3 +136,28 @@ def test_easy_copies_hide_no_pair_at_the_threshold(spark):
     for threshold in (0.5, 0.65, 0.9):
         forest = Forest().reaching(threshold, 0.995)
         assert forest.chance(threshold, forest.deepest) >= 0.995
+
+
+def test_texts_of_repeated_ids_are_compared(spark):
+    a = "one two three four five six seven eight nine ten"
+    b = "red green blue white black brown pink grey gold plum"
+    rows = [(1, a, "x"), (1, b, "y"), (2, b, "z"), (3, b.upper() + "!", "z"), (5, a, "q"), (5, "something else entirely here now", "q"),
+            (6, None, "n"), (6, "", "n"), (6, "", "n"), (1, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, shingle_set string")
+    joined = jaccard_join(docs)
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.group_id, r.kept) for r in joined.collect())
+    assert got == sorted([
+        (1, 1, 1, 1, True), (1, 1, 1, 1, True), (1, 1, 2, 1, True), (2, 1, 2, 1, False), (3, 1, 2, 1, False),
+        (5, 1, 1, 1, False), (5, 5, 0, 5, True), (6, 6, 0, 6, True), (6, 6, 0, 6, True), (6, 6, 0, 6, True),
+    ])
+    stays = sorted((r.doc_id, r.text or "", r.shingle_set) for r in one_of_each_group(docs, joined).collect())
+    assert stays == sorted([(1, a, "x"), (1, b, "y"), (5, "something else entirely here now", "q"), (6, "", "n")])
+
+
+def test_near_texts_of_one_id_leave_one(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(7, " ".join(words)), (7, " ".join([*words, "more"])), (8, " ".join(words[1:]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    joined = jaccard_join(docs)
+    assert sorted((r.n_links, r.group_id) for r in joined.collect()) == [(2, 7)] * 3
+    assert [r.doc_id for r in one_of_each_group(docs, joined).collect()] == [7]
