@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -66,6 +67,9 @@ COMMENT_HEADING = re.compile(
 TAG = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>)", re.S
 )
+#: what begins a tag; and tags of pages with a quote that no tag closes: a tag ends at the next ">"
+MARK = re.compile(r"</?[a-zA-Z]|<[!?]")
+LOOSE_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>)", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 TEXT = "page_id bigint, url string, text string"
@@ -74,7 +78,7 @@ TEXT = "page_id bigint, url string, text string"
 class Node:
     __slots__ = (
         "parent", "tag", "clutter", "hard", "names", "weight", "points", "scored", "chars", "linked", "kids", "inside",
-        "worth", "largest", "above",
+        "worth", "largest", "above", "at", "last",
     )
 
     def __init__(self, parent, tag, clutter, weight, hard=False, names=frozenset()):
@@ -83,18 +87,17 @@ class Node:
         self.points, self.scored, self.chars, self.linked, self.kids = 0.0, False, 0, 0, []
         self.inside = False
         self.worth, self.largest, self.above = 0.0, 0.0, False
+        self.at = self.last = 0  # own place among the nodes, and that of the last one below
         if parent is not None:
             parent.kids.append(self)
 
 
-def _judged(tag: str, raw: str, parent: Node) -> tuple[bool, frozenset | set, float]:
-    """(clutter by all but names, clutter names, class weight) of an element from its tag and attributes."""
-    clutter, names = parent.hard or tag in CLUTTER, frozenset()
-    inside = parent
-    while tag == "header" and inside is not None and inside.tag not in ("article", "main"):
-        inside = inside.parent
-    if tag == "header" and inside is None:
-        clutter = True
+def _judged(tag: str, raw: str, parent: Node, inside: bool) -> tuple[bool, frozenset | set, float]:
+    """(clutter by all but names, clutter names, class weight) of an element from its tag and attributes.
+
+    ``inside``: an article or main is open.
+    """
+    clutter, names = parent.hard or tag in CLUTTER or tag == "header" and not inside, frozenset()
     weight = 25.0 if tag in ("article", "main") else 0.0
     if "=" not in raw and "hidden" not in raw:
         return clutter, names, weight
@@ -116,11 +119,17 @@ def _judged(tag: str, raw: str, parent: Node) -> tuple[bool, frozenset | set, fl
 
 
 class Page:
-    """Blocks (owner, text, characters in links) of a page in order."""
+    """Blocks (owner, text, characters in links) of a page in order.
+
+    Open elements are known by name and place, so a tag costs the same however deep it
+    stands, and the work grows with the page's length on any input.
+    """
 
     def __init__(self, source: str):
         self.root = Node(None, "#", False, 0.0)
         self.stack = [self.root]
+        self.places: dict[str, list[int]] = defaultdict(list)  # depths of the open elements of a name
+        self.block_at = [0]  # depth of the nearest block at or above each open element
         self.nodes = [self.root]  # parents before their children
         self.links = 0
         self.blocks: list[tuple[Node, str, int]] = []
@@ -132,10 +141,7 @@ class Page:
         if self.open:
             text = " ".join(html.unescape("".join(self.open)).split())
             if text:
-                owner = self.stack[-1]
-                while owner.tag not in BLOCKS and owner.parent is not None:
-                    owner = owner.parent
-                self.blocks.append((owner, text, min(self.open_linked, len(text))))
+                self.blocks.append((self.stack[self.block_at[-1]], text, min(self.open_linked, len(text))))
             self.open, self.open_linked = [], 0
 
     def _text(self, text: str) -> None:
@@ -144,20 +150,21 @@ class Page:
             self.open_linked += len(text.strip())
 
     def _pop(self, depth: int) -> None:
-        for node in self.stack[depth:]:
+        for node in reversed(self.stack[depth:]):
+            self.places[node.tag].pop()
             if node.tag == "a":
                 self.links -= 1
-        del self.stack[depth:]
+        del self.stack[depth:], self.block_at[depth:]
+
+    def _nearest(self, names) -> int:
+        """Depth of the nearest open element of these names; 0 if none is open."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
 
     def _close(self, names: tuple, scopes: set) -> None:
         """Close the nearest open element of ``names``, unless a scope comes first."""
-        for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[depth].tag
-            if tag in names:
-                self._pop(depth)
-                return
-            if tag in scopes:
-                return
+        depth = self._nearest(names)
+        if depth and depth > self._nearest(scopes):
+            self._pop(depth)
 
     def _start(self, tag: str, raw: str) -> None:
         if tag in BLOCKS:
@@ -170,37 +177,48 @@ class Page:
         if tag in VOID or raw.endswith("/") and tag not in BLOCKS:
             return
         parent = self.stack[-1]
-        hard, names, weight = _judged(tag, raw, parent)
+        hard, names, weight = _judged(tag, raw, parent, bool(self._nearest(("article", "main"))))
         clutter = parent.clutter or hard or bool(names)
         if clutter != parent.clutter:
             self._flush()
         if tag == "a":
             self.links += 1
+        self.places[tag].append(len(self.stack))
+        self.block_at.append(len(self.stack) if tag in BLOCKS else self.block_at[-1])
         self.stack.append(Node(parent, tag, clutter, weight, hard, names))
         self.nodes.append(self.stack[-1])
 
     def _end(self, tag: str) -> None:
         if tag in BLOCKS:
             self._flush()
-        for depth in range(len(self.stack) - 1, 0, -1):
-            node = self.stack[depth]
-            if node.tag == tag:
-                if node.clutter != self.stack[depth - 1].clutter:
-                    self._flush()
-                self._pop(depth)
-                return
-            if tag not in BLOCKS and node.tag in BLOCKS:
-                return  # a stray inline end tag closes no block
+        depth = self._nearest((tag,))
+        # a stray inline end tag closes no block
+        if not depth or tag not in BLOCKS and depth < self.block_at[-1]:
+            return
+        if self.stack[depth].clutter != self.stack[depth - 1].clutter:
+            self._flush()
+        self._pop(depth)
 
     def _read(self, source: str) -> None:
-        at = 0
+        at, looked, last, tag_at = 0, 0, source.rfind(">"), TAG
         while True:
-            found = TAG.search(source, at)
-            if found is None:
+            begin = source.find("<", looked)
+            found = tag_at.match(source, begin) if begin >= 0 else None
+            if begin >= 0 and found is None and MARK.match(source, begin):
+                if begin < last:  # a quote runs to the end of the page: from here on quotes count no more
+                    tag_at = LOOSE_TAG
+                    found = tag_at.match(source, begin)
+                else:
+                    begin = -1  # no tag ends any more
+            if begin < 0:
                 self._text(source[at:])
                 break
+            if found is None:
+                looked = begin + 1
+                continue
             if found.start() > at:
                 self._text(source[at : found.start()])
+            looked = found.end()
             at = found.end()
             if found[2] is None:
                 continue
@@ -209,7 +227,7 @@ class Page:
                 self._end(tag)
             elif tag in RAW and not found[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                at = looked = end.end() if end else len(source)
             else:
                 self._start(tag, found[3])
         self._flush()
@@ -280,14 +298,6 @@ def _value(node: Node) -> float:
     return node.points * (1 - node.linked / node.chars) if node.chars else 0.0
 
 
-def _below(node: Node | None, ids: set[int]) -> bool:
-    while node is not None:
-        if id(node) in ids:
-            return True
-        node = node.parent
-    return False
-
-
 def main_text(source: str | None) -> str:
     """Text blocks of the article of a page, joined by an empty line."""
     page = Page(source or "")
@@ -316,20 +326,24 @@ def main_text(source: str | None) -> str:
         heading = sibling.tag in ("h1", "h2", "h3") and density == 0 and best.tag != "article"
         if plain or heading or (density < 0.5 and _value(sibling) >= max(10.0, 0.2 * _value(best))):
             kept.add(id(sibling))
+    for at, node in enumerate(page.nodes):
+        node.at = node.last = at
+    for node in reversed(page.nodes[1:]):
+        node.parent.last = max(node.parent.last, node.last)
     for node in page.nodes:
         node.inside = id(node) in kept or node.parent is not None and node.parent.inside
     out: list[str] = []
-    silenced: dict[int, int] = {}  # parent of a heading of comments: level of the heading
+    silenced: dict[int, Node] = {}  # level of a heading of comments: its parent
     for owner, text, _ in blocks:
         if not owner.inside:
             continue
         level = int(owner.tag[1:]) if owner.tag[0] == "h" and owner.tag[1:].isdigit() else 0
         if level:
-            silenced = {k: v for k, v in silenced.items() if v < level}
-        if silenced and _below(owner, set(silenced)):
+            silenced = {k: v for k, v in silenced.items() if k < level}
+        if any(above.at <= owner.at <= above.last for above in silenced.values()):
             continue
         if level and COMMENT_HEADING.match(text):
-            silenced[id(owner.parent)] = level
+            silenced[level] = owner.parent
             continue
         out.append(text)
     return "\n\n".join(out)

@@ -4,6 +4,8 @@ import html
 import random
 import re
 
+import time
+
 import pytest
 
 from tamperlens.llm.common import table
@@ -256,3 +258,23 @@ def test_links_and_sections_of_the_article_stay():
     menu = "<div class='nav'><a href='d'>Home</a></div>"
     text = main_text(f"<article>{ARTICLE}<h2>Comments</h2><h3>Bob</h3><p>reply</p><h2>References</h2>{links}{table}{menu}</article>")
     assert text.split("\n\n") == [*KEPT, "References", "Smith 2001", "Jones 2002", "Berlin", "3"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<b></i>" * 140_000, "<span><p>" * 110_000, "<b x " * 200_000, "<b x='" * 170_001, "<b>" * 150_000 + "<header></header>" * 30_000,
+        "<u><div>" + "<b>" * 120_000 + "</u>" * 120_000, "<article><h2>Comments</h2>" + "<div>text here, " * 60_000, "< " * 500_000,
+    ],
+    ids=["stray ends", "unclosed spans", "unclosed tags", "unclosed quotes", "headers", "far ends", "silenced", "no tags"],
+)
+def test_broken_pages_take_linear_time(page):
+    """A megabyte of each; a walk over the open elements at every tag would take minutes."""
+    started = time.process_time()
+    main_text(page)
+    assert time.process_time() - started < 15
+
+
+def test_article_below_an_unclosed_quote():
+    page = "<article><p title='open>First paragraph, with some words, and more.</p><p>Second one, as long as that, or so.</p></article>"
+    assert "Second one" in main_text(page)
