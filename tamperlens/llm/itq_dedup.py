@@ -33,6 +33,8 @@ from tamperlens.llm.common import Scratch, block_pairs, components, parts_for, u
 CODED = "rep bigint, lab string, dim int, copies bigint, v binary, code bigint"
 FOUND = "rep bigint, links bigint, other bigint"
 BITS = 64
+#: rotations are learned for this many most frequent lengths, each from at most so many bytes of vectors
+LEARNED_LENGTHS, SAMPLE_BYTES = 64, 1 << 26
 
 
 def learn_rotation(sample: np.ndarray, rounds: int = 30, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +60,11 @@ def learn_rotation(sample: np.ndarray, rounds: int = 30, seed: int = 3) -> tuple
     return mean, basis @ rotation
 
 
+def plain_map(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, map) for a length without a sample: random directions that follow from the length."""
+    return np.zeros(dim), np.random.default_rng(dim).standard_normal((dim, BITS))
+
+
 def codes_of(vectors: np.ndarray, mean: np.ndarray, mapping: np.ndarray) -> np.ndarray:
     positive = (vectors - mean) @ mapping >= 0
     return np.packbits(positive, axis=1, bitorder="little").view(np.uint64).ravel()
@@ -95,6 +102,19 @@ def first_shared(a: np.ndarray, b: np.ndarray, tables: int) -> tuple[np.ndarray,
     return table, bit
 
 
+def _cosines(vectors: list[np.ndarray], sizes: np.ndarray, i: np.ndarray, j: np.ndarray, at_once: int = 4096) -> np.ndarray:
+    """Cosines of pairs of vectors, whose units may differ in length, some thousand at a time."""
+    out = np.zeros(len(i))
+    for size in np.unique(sizes[i]):
+        same = np.flatnonzero(sizes[i] == size)
+        for begin in range(0, len(same), at_once):
+            part = same[begin : begin + at_once]
+            a, c = np.stack([vectors[x] for x in i[part]]), np.stack([vectors[x] for x in j[part]])
+            dot = np.einsum("ij,ij->i", a, c)
+            out[part] = dot / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", c, c))
+    return out
+
+
 def compare_rows(rows: pd.DataFrame, tables: int, threshold: float) -> pd.DataFrame:
     """Judge all pairs of every unit in ``rows``; pairs live only inside this call."""
     rows = rows.sort_values(["entry", "block_i", "block_j", "rep"], ignore_index=True)
@@ -104,7 +124,7 @@ def compare_rows(rows: pd.DataFrame, tables: int, threshold: float) -> pd.DataFr
     table, bit = rows["tab"].to_numpy(), rows["bit"].to_numpy()
     block, across = rows["block"].to_numpy(), (rows["block_i"] != rows["block_j"]).to_numpy()
     vectors = [np.frombuffer(v, np.float64) for v in rows["v"]]
-    ids, links, others = [], [], []
+    sizes = np.array([len(v) for v in vectors], np.int64)
     begin = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
     stops = np.append(begin[1:], len(unit))
     widest = int((stops - begin).max()) if len(begin) else 0
@@ -120,10 +140,7 @@ def compare_rows(rows: pd.DataFrame, tables: int, threshold: float) -> pd.DataFr
         i, j = i[use], j[use]
         if not len(i):
             continue
-        a, c = np.stack([vectors[x] for x in i]), np.stack([vectors[x] for x in j])
-        dot = np.einsum("ij,ij->i", a, c)
-        cosine = dot / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", c, c))
-        near = cosine >= threshold
+        near = _cosines(vectors, sizes, i, j) >= threshold
         lefts.append(i[near])
         rights.append(j[near])
     left = np.concatenate(lefts) if lefts else np.zeros(0, np.int64)
@@ -174,17 +191,15 @@ def link_near_duplicates(
         clean.groupBy("lab", "raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes"
     )
     models = {}
-    dims = [r[0] for r in classes.selectExpr("size(raw) AS d").distinct().limit(65).collect()]
-    for dim in dims if len(dims) <= 64 else []:
-        sample = (
-            classes.where(F.size("raw") == dim).select("raw").orderBy(F.xxhash64("rep", "lab")).limit(fit_rows)
-        )
-        units = np.array([r[0] for r in sample.collect()], np.float64)
-        units /= np.abs(units).max(axis=1, keepdims=True)
+    counted = classes.groupBy(F.size("raw").alias("d")).agg(F.count("*").alias("n"))
+    for dim, _ in counted.orderBy(F.desc("n"), "d").limit(LEARNED_LENGTHS).collect():
+        rows_of = max(2, min(fit_rows, SAMPLE_BYTES // (8 * dim)))
+        sample = classes.where(F.size("raw") == dim).select("raw").orderBy(F.xxhash64("rep", "lab")).limit(rows_of)
+        flat = sample.toArrow().column("raw").combine_chunks().flatten()
+        units = np.asarray(flat, np.float64).reshape(-1, dim)
+        units = units / np.abs(units).max(axis=1, keepdims=True)
         units /= np.linalg.norm(units, axis=1, keepdims=True)
         models[dim] = learn_rotation(units)
-    if len(dims) > 64:
-        raise ValueError("vectors of more than 64 different lengths")
 
     def encode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -202,7 +217,7 @@ def link_near_duplicates(
                         part.column(0), part.column(1),
                         pa.array(np.full(len(mine), dim), pa.int32()), part.column(3),
                         pa.array([v.tobytes() for v in vectors], pa.binary()),
-                        pa.array(codes_of(vectors, *models[int(dim)]).view(np.int64)),
+                        pa.array(codes_of(vectors, *(models.get(int(dim)) or plain_map(int(dim)))).view(np.int64)),
                     ],
                     names=["rep", "lab", "dim", "copies", "v", "code"],
                 )

@@ -147,3 +147,17 @@ def test_odd_vectors(spark):
     assert all(by[i] == (0, i, True) for i in range(4, 12))
     empty = spark.createDataFrame([], VECTORS)
     assert link_near_duplicates(empty).count() == 0
+
+
+def test_vectors_of_many_lengths(spark):
+    """A hundred lengths, most of them without a learned rotation."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for dim in range(1, 101):
+        v = rng.standard_normal(dim)
+        rows += [(10 * dim + i, [float(x) for x in v + (0 if i else 1e-3)], 1, 0.0, 1) for i in range(2)]
+    df = spark.createDataFrame(rows, VECTORS.replace("float", "double"))
+    got = {r.vec_id: r for r in link_near_duplicates(df).collect()}
+    near = brute_links(rows)
+    assert sum(r.n_links for r in got.values()) >= 0.95 * sum(map(len, near.values()))
+    assert all(got[i].n_links <= len(near[i]) for i in got if i in near)
