@@ -35,6 +35,8 @@ FOUND = "rep bigint, links bigint, other bigint"
 BITS = 64
 #: rotations are learned for this many most frequent lengths, each from at most so many bytes of vectors
 LEARNED_LENGTHS, SAMPLE_BYTES = 64, 1 << 26
+#: of fewer vectors the mean and rotation would only tell these apart
+LEAST_SAMPLE = 256
 
 
 def learn_rotation(sample: np.ndarray, rounds: int = 30, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +63,7 @@ def learn_rotation(sample: np.ndarray, rounds: int = 30, seed: int = 3) -> tuple
 
 
 def plain_map(dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, map) for a length without a sample: random directions that follow from the length."""
+    """(mean, map) for a length without a sample: random directions, always the same for a length."""
     return np.zeros(dim), np.random.default_rng(dim).standard_normal((dim, BITS))
 
 
@@ -192,7 +194,7 @@ def link_near_duplicates(
     )
     models = {}
     counted = classes.groupBy(F.size("raw").alias("d")).agg(F.count("*").alias("n"))
-    for dim, _ in counted.orderBy(F.desc("n"), "d").limit(LEARNED_LENGTHS).collect():
+    for dim, _ in counted.where(f"n >= {LEAST_SAMPLE}").orderBy(F.desc("n"), "d").limit(LEARNED_LENGTHS).collect():
         rows_of = max(2, min(fit_rows, SAMPLE_BYTES // (8 * dim)))
         sample = classes.where(F.size("raw") == dim).select("raw").orderBy(F.xxhash64("rep", "lab")).limit(rows_of)
         flat = sample.toArrow().column("raw").combine_chunks().flatten()
