@@ -28,8 +28,8 @@ from tamperlens.functions.normality import (
 from tamperlens.functions.tails import normal_tail
 from tamperlens.plans.joins import attach_by_key
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
-from tamperlens.plans.quantiles import grouped_quantiles, quantiles_of_staged
-from tamperlens.plans.staging import Sizes, previous_in_order, running_total, stage, stage_keys, stage_sorted
+from tamperlens.plans.quantiles import grouped_quantiles, quantile_columns
+from tamperlens.plans.staging import Sizes, along_order, stage, stage_keys, stage_sorted
 
 KEYS = ["column", "_g"]
 
@@ -126,9 +126,21 @@ def _value_counts(cells: DataFrame, stats: DataFrame, limits: Limits, sizes: Siz
     return stage_sorted(counts, [*KEYS, "value"])
 
 
-def _gaps(values: DataFrame, stats: DataFrame) -> DataFrame:
-    steps = previous_in_order(values, KEYS, "value", "_before")
-    widest = steps.groupBy(*KEYS).agg(F.expr("coalesce(max(value - _before), 0D) AS max_gap_size"))
+def _placed(values: DataFrame, stats: DataFrame, limits: Limits, sizes: Sizes) -> DataFrame:
+    """Distinct values with running count, value before, and the moments of their key.
+
+    Gaps, kernels, normal scores and medians are all sums and extremes over these rows.
+    """
+    per_key = stats.selectExpr(*KEYS, "sample_size", "mean", "std_dev", "min", "max")
+    ordered = along_order(values, KEYS, "cnt", "value", "upto", "before")
+    return attach_by_key(ordered, per_key, KEYS, "sample_size", limits, sizes)
+
+
+def _gap_aggregates() -> list[Column]:
+    return [F.expr("coalesce(max(value - before), 0D) AS max_gap_size")]
+
+
+def _gaps(stats: DataFrame, widest: DataFrame) -> DataFrame:
     return stats.join(widest, KEYS, "left").selectExpr(
         *KEYS,
         "max_gap_size",
@@ -152,31 +164,34 @@ def gap_analysis(
     cells = _cells(df, columns, by, include_overall)
     moments, sizes = stage_keys(_moments(cells, 0), "sample_size")
     stats = moments.filter(f"sample_size >= {min_values}")
-    found = _gaps(_value_counts(cells, stats, limits, sizes), stats).select(
+    placed = _placed(_value_counts(cells, stats, limits, sizes), stats, limits, sizes)
+    found = _gaps(stats, placed.groupBy(*KEYS).agg(*_gap_aggregates())).select(
         "column", _group_name(), "max_gap_size", "mean_gap", "suspicious_gaps", F.lit(None).cast("string").alias("error")
     )
     return _with_small(found, moments, min_values).drop("sample_size")
 
 
-def _grid(values: DataFrame, stats: DataFrame, limits: Limits, sizes: Sizes) -> DataFrame:
-    """(column, _g, i, x, density) on the grid from minimum to maximum.
+#: Scott's bandwidth
+BANDWIDTH = "nullif(std_dev, 0D) * pow(sample_size, -0.2D)"
 
-    Every distinct value adds its kernel to one sum per grid point inside the task
-    that holds it; one row per key and task is shuffled.
-    """
+
+def _kernel_aggregates() -> list[Column]:
+    """Every distinct value adds its kernel to one sum per grid point inside the task that
+    holds it; one row per key and task is shuffled."""
     last = GRID_POINTS - 1
-    curve = stats.filter("std_dev > 0").selectExpr(
-        *KEYS, "sample_size", "min", "max", "std_dev * pow(sample_size, -0.2D) AS h"
-    )
-    placed = attach_by_key(values, curve, KEYS, "sample_size", limits, sizes)
 
     def x(i: int) -> str:
         return "max" if i == last else f"(min + {i} * ((max - min) / {last}))"
 
-    kernels = [F.expr(f"sum(cnt * exp(-pow(({x(i)} - value) / h, 2) / 2)) AS k{i}") for i in range(GRID_POINTS)]
-    sums = placed.groupBy(*KEYS).agg(
-        *[F.expr(f"max({c}) AS {c}") for c in ("sample_size", "min", "max", "h")], *kernels
-    )
+    return [F.expr(f"sum(cnt * exp(-pow(({x(i)} - value) / h, 2) / 2)) AS k{i}") for i in range(GRID_POINTS)]
+
+
+def _grid(sums: DataFrame, stats: DataFrame) -> DataFrame:
+    """(column, _g, i, x, density) on the grid from minimum to maximum, of keys with a spread."""
+    last = GRID_POINTS - 1
+    kernels = [f"k{i}" for i in range(GRID_POINTS)]
+    curve = stats.filter("std_dev > 0").selectExpr(*KEYS, "sample_size", "min", "max", f"{BANDWIDTH} AS h")
+    sums = sums.select(*KEYS, *kernels).join(curve, KEYS)
     listed = ", ".join(f"k{i}" for i in range(GRID_POINTS))
     points = sums.selectExpr("*", f"posexplode(array({listed})) AS (i, _k)")
     return points.selectExpr(
@@ -185,6 +200,11 @@ def _grid(values: DataFrame, stats: DataFrame, limits: Limits, sizes: Sizes) ->
     )
 
 
+def _kernel_sums(cells: DataFrame, stats: DataFrame, limits: Limits, sizes: Sizes) -> DataFrame:
+    placed = _placed(_value_counts(cells, stats, limits, sizes), stats, limits, sizes)
+    return placed.withColumn("h", F.expr(BANDWIDTH)).groupBy(*KEYS).agg(*_kernel_aggregates())
+
+
 def density_grid(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -200,7 +220,7 @@ def density_grid(
     cells = _cells(df, columns, by, include_overall)
     moments, sizes = stage_keys(_moments(cells, 0), "sample_size")
     stats = moments.filter(f"sample_size >= {min_values}")
-    grid = _grid(_value_counts(cells, stats, limits, sizes), stats, limits, sizes).select(
+    grid = _grid(_kernel_sums(cells, stats, limits, sizes), stats).select(
         "column", _group_name(), "i", "x", "density", F.lit(None).cast("string").alias("error")
     )
     return _with_small(grid, moments, min_values).drop("sample_size")
@@ -233,7 +253,7 @@ def density_peaks(
     cells = _cells(df, columns, by, include_overall)
     moments, sizes = stage_keys(_moments(cells, 0), "sample_size")
     stats = moments.filter(f"sample_size >= {min_values}")
-    peaks = _peaks(_grid(_value_counts(cells, stats, limits, sizes), stats, limits, sizes))
+    peaks = _peaks(_grid(_kernel_sums(cells, stats, limits, sizes), stats))
     found = peaks.selectExpr(*KEYS, "peak_count", "posexplode(_tops) AS (_p, _top)").select(
         "column",
         _group_name(),
@@ -246,26 +266,17 @@ def density_peaks(
     return _with_small(found, moments, min_values).drop("sample_size")
 
 
-def _shapiro(
-    values: DataFrame, stats: DataFrame, limits: Limits, sizes: Sizes, shapiro_rows: int | None = None
-) -> DataFrame:
-    """(column, _g, shapiro_w, shapiro_p) from ranks and sums, for groups of any size.
+def _with_scores(placed: DataFrame) -> DataFrame:
+    """Rows of :func:`_placed` with the sum of the normal scores of their ranks.
 
     A distinct value holds the ranks up to its running count, and the sum of their normal
     scores is closed: the difference of two integrals, but for the few outermost ranks. So
-    a value is one row whatever its count, and one sum per key is all that is shuffled.
+    a value is one row whatever its count.
     """
-    tested = stats.filter("std_dev > 0 AND sample_size >= 3")
-    if shapiro_rows is not None:
-        tested = tested.filter(f"sample_size <= {shapiro_rows}")
-    per_key = tested.selectExpr(*KEYS, "sample_size AS n", "mean", "pow(std_dev, 2) * (sample_size - 1) AS sum_sq")
-    placed = attach_by_key(
-        running_total(values, KEYS, "cnt", "upto"), per_key.withColumn("rows", F.col("n")), KEYS, "rows", limits, sizes
-    )
     # the outermost one or two ranks at either end have weights of their own
     ranks = placed.selectExpr(
-        *KEYS, "n", "sum_sq", "value - mean AS x", "upto - cnt + 1 AS first", "upto AS last",
-        "if(n > 5, 2L, 1L) AS own", f"least({EDGE_RANKS}L, n div 2) AS edge",
+        "*", "sample_size AS n", "value - mean AS x", "upto - cnt + 1 AS first", "upto AS last",
+        "if(sample_size > 5, 2L, 1L) AS own", f"least({EDGE_RANKS}L, sample_size div 2) AS edge",
     ).selectExpr(
         "*", "greatest(first, edge + 1) AS inner_first", "least(last, n - edge) AS inner_last",
         "greatest(first, own + 1) AS low_first", "least(last, edge) AS low_last",
@@ -276,28 +287,40 @@ def _shapiro(
         "z1": f"if({some}, {share_of_rank('(inner_first - 0.5D)')}, NULL)",
         "z2": f"if({some}, {share_of_rank('(inner_last + 0.5D)')}, NULL)",
     }
-    summed = (
-        with_quantiles(ranks, ends)
-        .withColumn(
-            "scores",
-            F.expr(
-                f"coalesce({score_integral('z2')} - {score_integral('z1')}, 0D) "
-                f"+ {edge_sum('low_first', 'low_last')} - {edge_sum('high_first', 'high_last')}"
-            ),
-        )
-        .groupBy(*KEYS)
-        .agg(
-            F.expr("max(n) AS n"),
-            F.expr("max(sum_sq) AS sum_sq"),
-            F.expr("max(edge) AS edge"),
-            F.expr("sum(scores * x) AS mid"),
-            F.expr("max(if(last = n, x, NULL)) - max(if(first = 1, x, NULL)) AS gap1"),
-            F.expr("max(if(first <= n - 1 AND last >= n - 1, x, NULL)) - max(if(first <= 2 AND last >= 2, x, NULL)) AS gap2"),
-        )
+    return with_quantiles(ranks, ends).withColumn(
+        "scores",
+        F.expr(
+            f"coalesce({score_integral('z2')} - {score_integral('z1')}, 0D) "
+            f"+ {edge_sum('low_first', 'low_last')} - {edge_sum('high_first', 'high_last')}"
+        ),
     )
+
+
+def _score_aggregates() -> list[Column]:
+    """One sum per key and the outer gaps are all that normality needs of the values."""
+    def at(rank: str) -> str:
+        return f"max(if(first <= {rank} AND last >= {rank}, x, NULL))"
+
+    return [
+        F.expr("sum(scores * x) AS mid"),
+        F.expr(f"{at('n')} - {at('1')} AS gap1"),
+        F.expr(f"{at('n - 1')} - {at('2')} AS gap2"),
+    ]
+
+
+def _shapiro(sums: DataFrame, stats: DataFrame, shapiro_rows: int | None = None) -> DataFrame:
+    """(column, _g, shapiro_w, shapiro_p) from sums of :func:`_score_aggregates`, for groups of any size."""
+    tested = stats.filter("std_dev > 0 AND sample_size >= 3")
+    if shapiro_rows is not None:
+        tested = tested.filter(f"sample_size <= {shapiro_rows}")
+    per_key = tested.selectExpr(
+        *KEYS, "sample_size AS n", "pow(std_dev, 2) * (sample_size - 1) AS sum_sq",
+        f"least({EDGE_RANKS}L, sample_size div 2) AS edge",
+    )
+    summed = sums.select(*KEYS, "mid", "gap1", "gap2").join(per_key, KEYS)
     # sums that depend on the number of values alone
     outer = {"low1": share_of_rank("1D"), "low2": share_of_rank("2D"), "z": share_of_rank("(edge + 0.5D)")}
-    summed = stage(
+    summed = (
         with_quantiles(summed, outer).withColumn(
             "norm2",
             F.expr(
@@ -334,7 +357,8 @@ def shapiro_normality(
     cells = _cells(df, columns, by, include_overall)
     moments, sizes = stage_keys(_moments(cells, 0), "sample_size")
     stats = moments.filter(f"sample_size >= {min_values}")
-    found = _shapiro(_value_counts(cells, stats, limits, sizes), stats, limits, sizes, shapiro_rows)
+    placed = _with_scores(_placed(_value_counts(cells, stats, limits, sizes), stats, limits, sizes))
+    found = _shapiro(placed.groupBy(*KEYS).agg(*_score_aggregates()), stats, shapiro_rows)
     tested = stats.join(found, KEYS, "left").select(
         "column",
         _group_name(),
@@ -358,20 +382,25 @@ def multimodality(
 ) -> DataFrame:
     """Shape statistics, peaks, gaps and their additive suspicion score.
 
-    Everything past the moments works on one staged table of value counts.  A
-    constant column yields a row with ``error`` set.
+    Everything past the moments is one aggregate over one table of value counts in
+    order.  A constant column yields a row with ``error`` set.
     """
     cells = _cells(df, columns, by, include_overall)
     moments, sizes = stage_keys(_moments(cells, 0), "sample_size")
     stats = moments.filter(f"sample_size >= {min_values}")
     values = _value_counts(cells, stats, limits, sizes)
-    medians = quantiles_of_staged(values, KEYS, "value", "cnt", {"median": 0.5}, limits)
-    peaks = _peaks(_grid(values, stats, limits, sizes))
+    middle, median = quantile_columns("value", {"median": 0.5}, "sample_size", "upto")
+    placed = _with_scores(_placed(values, stats, limits, sizes).withColumn("h", F.expr(BANDWIDTH)))
+    sums = stage(
+        placed.groupBy(*KEYS).agg(
+            F.expr("max(sample_size) AS _n"), *middle, *_gap_aggregates(), *_kernel_aggregates(), *_score_aggregates()
+        )
+    )
     joined = (
-        stats.join(medians, KEYS, "left")
-        .join(_gaps(values, stats), KEYS, "left")
-        .join(peaks, KEYS, "left")
-        .join(_shapiro(values, stats, limits, sizes, shapiro_rows), KEYS, "left")
+        stats.join(sums.selectExpr(*KEYS, *median), KEYS, "left")
+        .join(_gaps(stats, sums.select(*KEYS, "max_gap_size")), KEYS, "left")
+        .join(_peaks(_grid(sums, stats)), KEYS, "left")
+        .join(_shapiro(sums, stats, shapiro_rows), KEYS, "left")
         .withColumn("peak_count", F.expr("coalesce(peak_count, 0L)"))
     )
     score = (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tamperlens.functions.columns import quoted
 from tamperlens.plans.joins import attach_by_key
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
-from tamperlens.plans.staging import running_total, stage_keys, stage_observed
+from tamperlens.plans.staging import stage_keys, stage_observed
 
 #: two to the bits of a double's mantissa, and the least double with a leading one
 MANTISSA, LEAST_ORDINARY = 1 << 52, 2.0**-1022
@@ -132,27 +132,19 @@ def _between(rank: str, low: str, high: str) -> str:
     return f"if({low} = {high}, {low}, (ceil({rank}) - {rank}) * {low} + ({rank} - floor({rank})) * {high})"
 
 
-def quantiles_of_staged(
-    staged: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    count: str,
-    probabilities: Mapping[str, float],
-    limits: Limits = DEFAULT_LIMITS,
-) -> DataFrame:
-    """Quantiles from staged (keys, value, count) rows sorted by keys and value."""
-    per_key, sizes = stage_keys(
-        staged.groupBy(*keys).agg(F.sum(count).alias("_n"), F.count("*").alias("_rows")), "_rows"
-    )
-    running = running_total(staged, keys, count, "_upto")
-    sized = attach_by_key(running, per_key, keys, "_rows", limits, sizes)
+def quantile_columns(
+    value: str, probabilities: Mapping[str, float], total: str = "_n", upto: str = "_upto"
+) -> tuple[list, list[str]]:
+    """Aggregates over rows with running counts, and SQL of the quantiles over their result.
+
+    The result needs ``_n``, the number of values.
+    """
     aggregates, columns = [], []
     for name, p in probabilities.items():
-        rank, low, high = f"({p}D * (_n - 1))", quoted(f"_lo_{name}"), quoted(f"_hi_{name}")
-        aggregates += [
-            F.expr(f"min(if(_upto > floor({rank}), {quoted(value)}, NULL)) AS {low}"),
-            F.expr(f"min(if(_upto > ceil({rank}), {quoted(value)}, NULL)) AS {high}"),
-        ]
-        columns.append(f"{_between(rank, low, high)} AS {quoted(name)}")
-    edges = sized.groupBy(*keys).agg(F.expr("max(_n) AS _n"), *aggregates)
-    return edges.selectExpr(*[quoted(k) for k in keys], *columns)
+        low, high = quoted(f"_lo_{name}"), quoted(f"_hi_{name}")
+        for end, side in ((low, "floor"), (high, "ceil")):
+            aggregates.append(
+                F.expr(f"min(if({upto} > {side}({p}D * ({total} - 1)), {quoted(value)}, NULL)) AS {end}")
+            )
+        columns.append(f"{_between(f'({p}D * (_n - 1))', low, high)} AS {quoted(name)}")
+    return aggregates, columns

@@ -131,6 +131,31 @@ def running_total(staged: DataFrame, keys: Sequence[str], amount: str, out: str)
     )
 
 
+def along_order(
+    staged: DataFrame, keys: Sequence[str], amount: str, value: str, upto: str, before: str
+) -> DataFrame:
+    """:func:`running_total` of ``amount`` and :func:`previous_in_order` of ``value`` in one pass.
+
+    Both look inside (keys, block) by one window, and one table of blocks carries them on.
+    """
+    names = [quoted(k) for k in [*keys, BLOCK]]
+    here = f"(PARTITION BY {', '.join(names)} ORDER BY {SEQ})"
+    blocks = staged.groupBy(*keys, BLOCK).agg(F.sum(amount).alias("_total"), F.max_by(value, SEQ).alias("_last"))
+    along = f"({partition_by(keys)} ORDER BY {BLOCK})"
+    carried = blocks.selectExpr(
+        *names, f"sum(_total) OVER {along} - _total AS _base", f"lag(_last) OVER {along} AS _carry"
+    )
+    return (
+        staged.selectExpr(
+            "*", f"sum({quoted(amount)}) OVER {here} AS _local", f"row_number() OVER {here} AS _n",
+            f"lag({quoted(value)}) OVER {here} AS _prev",
+        )
+        .join(carried, [*keys, BLOCK])
+        .withColumns({upto: F.expr("_base + _local"), before: F.expr("if(_n = 1, _carry, _prev)")})
+        .drop("_base", "_local", "_n", "_prev", "_carry")
+    )
+
+
 def previous_in_order(staged: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Value of the preceding row inside ``keys`` along a staged sort.
 

@@ -64,9 +64,11 @@ def test_a_value_is_one_row_whatever_its_count(spark):
     mean = sum(c[2] * c[3] for c in counts) / n
     sum_sq = sum((c[2] - mean) ** 2 * c[3] for c in counts)
     stats = stage(spark.createDataFrame(
-        [("v", "g", n, mean, math.sqrt(sum_sq / (n - 1)))], "column string, _g string, sample_size long, mean double, std_dev double"
+        [("v", "g", n, mean, math.sqrt(sum_sq / (n - 1)), 1.0, 4.0)],
+        "column string, _g string, sample_size long, mean double, std_dev double, min double, max double",
     ))
-    got = distribution._shapiro(values, stats, DEFAULT_LIMITS, Sizes(n, n))
+    placed = distribution._with_scores(distribution._placed(values, stats, DEFAULT_LIMITS, Sizes(n, n)))
+    got = distribution._shapiro(placed.groupBy("column", "_g").agg(*distribution._score_aggregates()), stats)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
     # for so many rows W is the squared correlation of the values with normal scores
