@@ -289,15 +289,27 @@ def read_json(
     path: str,
     schema: str | T.StructType | None = None,
     multi_line: bool | None = None,
+    file_order: bool = False,
 ) -> DataFrame:
     """A5: a JSON array or object per file, or one object per line.
 
     Without ``multi_line`` each file is looked at: if every line that is not blank
-    is a whole object, it is read line by line, else as one document.
+    is a whole object, it is read line by line, else as one document.  ``file_order``
+    as in :func:`read_csv`.
     """
     reader = spark.read.schema(schema) if schema is not None else spark.read
+
+    def read(files: list[str] | str, whole: bool) -> DataFrame:
+        rows = reader.json(files, multiLine=whole)
+        if not file_order:
+            return rows
+        return rows.selectExpr(
+            f"_metadata.file_path AS {FILE}", f"_metadata.file_block_start AS {START}",
+            f"monotonically_increasing_id() AS {ORDER}", *[quoted(c) for c in rows.columns],
+        )
+
     if multi_line is not None:
-        return reader.json(path, multiLine=multi_line)
+        return read(path, multi_line)
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("line"))
     by_file = (
         lines.filter("line <> ''")
@@ -306,20 +318,23 @@ def read_json(
         .collect()  # one row for each file
     )
     if len({r.by_line for r in by_file}) <= 1:
-        return reader.json(path, multiLine=not (by_file and by_file[0].by_line))
+        return read(path, not (by_file and by_file[0].by_line))
     kinds = [[unquote(r.file) for r in by_file if r.by_line == kind] for kind in (True, False)]
-    return reader.json(kinds[0]).unionByName(reader.json(kinds[1], multiLine=True), allowMissingColumns=True)
+    return read(kinds[0], False).unionByName(read(kinds[1], True), allowMissingColumns=True)
+
 
+def read_table(spark: SparkSession, path: str, file_order: bool = False) -> DataFrame:
+    """Reader by extension, as far as the table readers go.
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Reader by extension, as far as the table readers go."""
+    ``file_order`` as in :func:`read_csv`; rows of workbooks have ``sheet_row`` anyway.
+    """
     name = path.lower()
     if name.endswith(".csv"):
-        return read_csv(spark, path)
+        return read_csv(spark, path, file_order=file_order)
     if name.endswith((".tsv", ".txt")):
-        return read_delimited(spark, path)
+        return read_delimited(spark, path, file_order=file_order)
     if name.endswith(".json"):
-        return read_json(spark, path)
+        return read_json(spark, path, file_order=file_order)
     if name.endswith(".xlsx"):
         from tamperlens.sources.workbooks import read_workbooks
 

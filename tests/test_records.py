@@ -14,7 +14,7 @@ from tamperlens.sources.detect import detect_file_types
 from tamperlens.sources.records import ends_inside, raw_lines, scan_splits, start_states
 from tamperlens.sources.sequences import read_vcf
 from tamperlens.sources.workbooks import _date_text, _free_names, _shows_dates
-from tamperlens.sources.tabular import header_names, in_file_order, read_csv, read_delimited
+from tamperlens.sources.tabular import header_names, in_file_order, read_csv, read_delimited, read_json, read_table
 
 
 @pytest.fixture
@@ -157,3 +157,14 @@ def test_dates_of_workbooks():
 def test_names_of_columns_are_free():
     frame = pd.DataFrame({"path": "b", "column_index": [4, 1, 2, 3, 5], "_given": ["A", "a", "a", "a_2", "b"]})
     assert _free_names(frame)["_name"].tolist() == ["a", "a_3", "a_2", "A_4", "b"]
+
+
+def test_json_and_tables_in_file_order(spark, tmp_path):
+    lines = "".join('{"id": %d}\n' % (i * 7 % 50) for i in range(50))
+    (tmp_path / "a.json").write_text(lines)
+    (tmp_path / "b.json").write_text("[" + ",".join('{"id": %d}' % i for i in (103, 101, 102)) + "]")
+    (tmp_path / "c.tsv").write_text("id\tv\n2\tx\n1\ty\n")
+    found = read_json(spark, str(tmp_path / "*.json"), file_order=True)
+    assert [r.id for r in found.orderBy(*in_file_order()).collect()] == [i * 7 % 50 for i in range(50)] + [103, 101, 102]
+    found = read_table(spark, str(tmp_path / "c.tsv"), file_order=True)
+    assert [r.id for r in found.orderBy(*in_file_order()).collect()] == [2, 1]
