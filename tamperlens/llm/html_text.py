@@ -95,7 +95,7 @@ class Node:
 def _judged(tag: str, raw: str, parent: Node, inside: bool) -> tuple[bool, frozenset | set, float]:
     """(clutter by all but names, clutter names, class weight) of an element from its tag and attributes.
 
-    ``inside``: an article or main is open.
+    ``inside``: an article or main is open (asked of headers only).
     """
     clutter, names = parent.hard or tag in CLUTTER or tag == "header" and not inside, frozenset()
     weight = 25.0 if tag in ("article", "main") else 0.0
@@ -177,7 +177,8 @@ class Page:
         if tag in VOID or raw.endswith("/") and tag not in BLOCKS:
             return
         parent = self.stack[-1]
-        hard, names, weight = _judged(tag, raw, parent, bool(self._nearest(("article", "main"))))
+        inside = tag == "header" and self._nearest(("article", "main")) > 0
+        hard, names, weight = _judged(tag, raw, parent, inside)
         clutter = parent.clutter or hard or bool(names)
         if clutter != parent.clutter:
             self._flush()
