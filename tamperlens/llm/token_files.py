@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tamperlens.functions.columns import quoted
 from tamperlens.llm.common import bounded_batches, parts_by_size
 from tamperlens.llm.simple8b import read_file, write_file
-from tamperlens.llm.tokens import worker_encoder
+from tamperlens.llm.tokens import drop_encoders, worker_encoder
 
 FILES = "part int, file int, ids_before bigint, documents bigint, ids bigint, content binary"
 ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
@@ -107,7 +107,7 @@ def _slices(texts: pa.Array, most: int):
         begin = end
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, ids_per_batch: int = 1 << 18) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids) decoded from the files of a folder.
 
     ``ids`` are little-endian unsigned 32-bit integers. ``start`` counts all ids of earlier documents. Only one total for each part of the
@@ -122,23 +122,30 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     starts = spark.createDataFrame(offsets, "part int, part_start bigint")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         for frame in frames:
             for content, begin in zip(frame.column(0), frame.column(1)):
                 ids, keys, known, lengths = read_file(content.as_py())
                 ends = np.cumsum(lengths, dtype=np.int64)
-                offsets = pa.py_buffer(np.append(0, 4 * ends).astype(np.int32))
-                each = pa.BinaryArray.from_buffers(
-                    pa.binary(), len(keys), [None, offsets, pa.py_buffer(ids.astype("<u4").tobytes())]
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys, pa.int64(), mask=~known),
-                        pa.array(begin.as_py() + ends - lengths, pa.int64()),
-                        pa.array(lengths, pa.int64()),
-                        each,
-                    ],
-                    names=["doc_id", "start", "n_tokens", "ids"],
-                )
+                flat, first = ids.astype("<u4"), 0
+                while first < len(keys):  # documents of about a megabyte of ids at a time
+                    base = ends[first] - lengths[first]
+                    last = max(int(np.searchsorted(ends, base + ids_per_batch, side="right")), first + 1)
+                    some = slice(first, last)
+                    offsets = pa.py_buffer(np.append(0, 4 * (ends[some] - base)).astype(np.int32))
+                    each = pa.BinaryArray.from_buffers(
+                        pa.binary(), last - first, [None, offsets, pa.py_buffer(flat[base : ends[last - 1]].tobytes())]
+                    )
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(keys[some], pa.int64(), mask=~known[some]),
+                            pa.array(begin.as_py() + ends[some] - lengths[some], pa.int64()),
+                            pa.array(lengths[some], pa.int64()),
+                            each,
+                        ],
+                        names=["doc_id", "start", "n_tokens", "ids"],
+                    )
+                    first = last
 
     return (
         files.join(F.broadcast(starts), "part")  # one row for each part

@@ -9,8 +9,10 @@ tokenizer such as <|endoftext|>, go to the library whole.
 
 from __future__ import annotations
 
+import os
 import sys
 import types
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +98,8 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str, most_pieces: int = 400_000, slice_chars: int = 1 << 20):
+        # a task has one core; a thread for each of the machine would take memory of its own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -146,28 +150,29 @@ class PieceEncoder:
         self.length[slots : slots + len(pieces)] = lengths
         self.ids[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        for i, piece in enumerate(pieces):
-            self.slot[piece] = slots + i
+        self.slot.update(zip(pieces, range(slots, slots + len(pieces))))
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces; runs of " word" pieces go through the library as one text."""
-        words = [p for p in pieces if len(p) > 1 and p[0] == " " and p[1].isalpha()]
-        others = [p for p in pieces if not (len(p) > 1 and p[0] == " " and p[1].isalpha())]
+        words, others = [], []
+        for piece in pieces:
+            (words if piece[0] == " " and piece[1:2].isalpha() else others).append(piece)
         for at in range(0, len(words), 1024):
             group = words[at : at + 1024]
             joined = "".join(group)
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
             token_ends = np.cumsum(self.width[ids])
-            piece_ends = np.cumsum(np.fromiter((len(p.encode()) for p in group), np.int64, len(group)))
+            sizes = map(len, group if joined.isascii() else map(str.encode, group))
+            piece_ends = np.cumsum(np.fromiter(sizes, np.int64, len(group)))
             last = np.searchsorted(token_ends, piece_ends)
             if last[-1] < len(ids) and (token_ends[last] == piece_ends).all():
                 self._remember(group, ids, np.diff(last, prepend=-1))
             else:  # the library splits otherwise: one by one
                 others.extend(group)
         if others:
-            found = [e.ids for e in self.tokenizer.encode_batch(others, add_special_tokens=False)]
-            flat = np.fromiter((i for x in found for i in x), np.uint32)
-            self._remember(others, flat, np.array([len(x) for x in found], np.int64))
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+            flat = np.fromiter(chain.from_iterable(found), np.uint32)
+            self._remember(others, flat, np.fromiter(map(len, found), np.int64, len(found)))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row as uint32, number of ids of each text)."""
@@ -200,7 +205,7 @@ class PieceEncoder:
         plain = [t for i, t in enumerate(texts) if i not in odd]
         flat, lengths = self._encode_batch(plain) if plain else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         cuts = np.split(flat, np.cumsum(lengths)[:-1]) if plain else []
-        whole = self.tokenizer.encode_batch([texts[i] for i in sorted(odd)], add_special_tokens=False)
+        whole = self.tokenizer.encode_batch_fast([texts[i] for i in sorted(odd)], add_special_tokens=False)
         theirs = iter([np.array(e.ids, np.uint32) for e in whole])
         ours = iter(cuts)
         parts = [next(theirs) if i in odd else next(ours) for i in range(len(texts))]
@@ -219,10 +224,12 @@ class PieceEncoder:
         distinct = pieces.dictionary.to_pylist()
         if len(self.slot) + len(distinct) > self.most_pieces:
             self._keep_frequent()
-        new = [p for p in distinct if p not in self.slot]
-        if new:
-            self._learn(new)
-        slots = np.fromiter(map(self.slot.__getitem__, distinct), np.int32, len(distinct))
+        slots = np.fromiter(map(self.slot.get, distinct, repeat(-1)), np.int32, len(distinct))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            unknown = [distinct[i] for i in new.tolist()]
+            self._learn(unknown)
+            slots[new] = np.fromiter(map(self.slot.__getitem__, unknown), np.int32, len(unknown))
         self.met[slots] += 1  # distinct pieces have distinct slots
         index = pieces.indices.to_numpy()
         lengths = self.length[slots][index]
@@ -244,3 +251,10 @@ def worker_encoder(path: str) -> PieceEncoder:
     if path not in encoders:
         encoders[path] = PieceEncoder(path)
     return encoders[path]
+
+
+def drop_encoders() -> None:
+    """Free the encoders of this Python worker, for tasks that only read what others encoded."""
+    held = sys.modules.get("_tamperlens_worker")
+    if held is not None:
+        held.__dict__.pop("encoders", None)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 
 import numpy as np
@@ -12,7 +14,7 @@ from tamperlens.llm.packing import Projection, cut, hilbert_keys, pack_documents
 from tamperlens.llm.queries import vocabulary
 from tamperlens.llm.simple8b import pack, read_file, unpack, write_file
 from tamperlens.llm.token_files import FILES, read_token_files, write_token_files
-from tamperlens.llm.tokens import PieceEncoder
+from tamperlens.llm.tokens import PieceEncoder, drop_encoders
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +53,21 @@ def test_simple8b_round_trip(ids):
     assert lengths.tolist() == [len(ids), 0]
 
 
+def test_token_files_are_read_some_documents_at_a_time(spark, documents):
+    folder = Scratch(spark, "test").path("files")
+    write_token_files(documents, folder, vocabulary())
+    whole = sorted(read_token_files(spark, folder).collect(), key=lambda r: r.start)
+    assert sorted(read_token_files(spark, folder, 1000).collect(), key=lambda r: r.start) == whole
+
+
+def test_reading_drops_the_encoders_of_a_worker(monkeypatch):
+    held = types.ModuleType("_tamperlens_worker")
+    held.encoders = {"some path": object()}
+    monkeypatch.setitem(sys.modules, "_tamperlens_worker", held)
+    drop_encoders()
+    assert not hasattr(held, "encoders")
+
+
 def test_token_files(spark, documents, odd_documents, no_documents, encoder):
     for df in (documents, odd_documents):
         folder = Scratch(spark, "test").path("files")
