@@ -74,6 +74,16 @@ def typed(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def first_lines(lines: DataFrame, line: str, place: str) -> list:
+    """(file, line) of the smallest ``place`` of each file.
+
+    The aggregate holds one number for each file. One that holds the lines themselves
+    would sort all lines of a task.
+    """
+    places = lines.groupBy("file").agg(F.min(place).alias(place))
+    return lines.join(F.broadcast(places), ["file", place]).select("file", line).collect()
+
+
 def _file_sets(spark: SparkSession, path: str, encoding: str | None) -> dict[tuple, list[str]]:
     """Files by (encoding, whether a quoted value may run over a line end, header line).
 
@@ -86,13 +96,14 @@ def _file_sets(spark: SparkSession, path: str, encoding: str | None) -> dict[tup
     flags = lines.groupBy("file").agg(
         F.expr("bool_and(is_valid_utf8(value)) AS utf8"),
         F.expr("bool_or(length(value) % 2 <> length(replace(value, '\"', '')) % 2) AS runs_on"),
-        F.expr("CAST(min_by(value, place) FILTER (WHERE opens) AS BINARY) AS header"),
-    )
+    ).collect()
+    opening = lines.where("opens").selectExpr("file", "place", "CAST(value AS BINARY) AS value")
+    heads = {row.file: bytes(row.value) for row in first_lines(opening, "value", "place")}
     sets: dict[tuple, list[str]] = {}
-    for row in flags.collect():
+    for row in flags:
         coding = encoding or ("UTF-8" if row.utf8 else "ISO-8859-1")
         # the header of a file with such values is its first record, not its first line
-        kind = (coding, row.runs_on, None if row.runs_on else bytes(row.header or b""))
+        kind = (coding, row.runs_on, None if row.runs_on else heads.get(row.file, b""))
         sets.setdefault(kind, []).append(unquote(row.file))
     return sets
 
@@ -248,15 +259,14 @@ def read_delimited(
         "_metadata.file_path AS file", f"_metadata.file_block_start AS {START}",
         f"monotonically_increasing_id() AS {ORDER}", "trim(value) AS line",
     ).where("line <> ''")
-    first = F.min_by("line", ORDER).alias("header"), F.min(ORDER).alias("place")
-    heads = lines.where(f"{START} = 0").groupBy("file").agg(*first).orderBy("file").collect()  # one row for each file
+    heads = sorted(first_lines(lines.where(f"{START} = 0"), "line", ORDER))  # one row for each file
     if sep is None and heads:
-        sep = sniff_delimiter(heads[0].header)
+        sep = sniff_delimiter(heads[0].line)
     if sep is not None or not heads:
         return read_csv(spark, path, sep or ",", schema, file_order=file_order)
     by_header: dict[str, list[str]] = {}
     for head in heads:
-        by_header.setdefault(head.header, []).append(head.file)
+        by_header.setdefault(head.line, []).append(head.file)
     tables, kept = [], ()
     for header, files in by_header.items():
         names = header_names(",".join(f'"{n}"' for n in header.replace('"', '""').split()), ",")
@@ -284,6 +294,17 @@ def _fields(schema: str | T.StructType) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in parsed.fields]
 
 
+def _document_schema(spark: SparkSession, files: list[str] | str) -> T.StructType | None:
+    """Schema of files that hold a document each, inferred from their texts.
+
+    Spark's own look at such files packs them by bytes alone, so thousands of small ones
+    are one task.
+    """
+    texts = spark.read.text(files, wholetext=True)
+    found = spark.read.json(texts.rdd.map(lambda row: row.value)).schema
+    return found if found.fields else None
+
+
 def read_json(
     spark: SparkSession,
     path: str,
@@ -297,9 +318,11 @@ def read_json(
     is a whole object, it is read line by line, else as one document.  ``file_order``
     as in :func:`read_csv`.
     """
-    reader = spark.read.schema(schema) if schema is not None else spark.read
+    plain = False  # whether all files are known to be UTF-8 text
 
     def read(files: list[str] | str, whole: bool) -> DataFrame:
+        kinds = _document_schema(spark, files) if schema is None and whole and plain else schema
+        reader = spark.read.schema(kinds) if kinds is not None else spark.read
         rows = reader.json(files, multiLine=whole)
         if not file_order:
             return rows
@@ -314,9 +337,13 @@ def read_json(
     by_file = (
         lines.filter("line <> ''")
         .groupBy("file")
-        .agg(F.expr("bool_and(line LIKE '{%}' AND try_parse_json(line) IS NOT NULL) AS by_line"))
+        .agg(
+            F.expr("bool_and(line LIKE '{%}' AND try_parse_json(line) IS NOT NULL) AS by_line"),
+            F.expr("bool_and(is_valid_utf8(line) AND NOT contains(line, '\\0') AND NOT contains(line, '\ufeff')) AS plain"),
+        )
         .collect()  # one row for each file
     )
+    plain = all(r.plain for r in by_file)
     if len({r.by_line for r in by_file}) <= 1:
         return read(path, not (by_file and by_file[0].by_line))
     kinds = [[unquote(r.file) for r in by_file if r.by_line == kind] for kind in (True, False)]

@@ -341,3 +341,41 @@ def test_json_blocks(spark):
     assert [f["type"] for f in found[1]["findings"]] == ["sorting_anomaly", "duplicate_ids"]
     assert found[2]["column_count"] is None and found[4]["finding_count"] is None
     assert found[3]["column_count"] == 0 and found[3]["finding_count"] == 0
+
+
+@pytest.mark.parametrize("query, files", [
+    ("csv_documents", "*.csv"), ("delimited_order", "*.csv"), ("json_documents", "kind=lines/*.json"),
+])
+def test_no_single_task_writes_the_files_of_a_query(spark, sf_dir, tmp_path, monkeypatch, query, files):
+    from catalog import source_queries
+
+    docs = tmp_path / "tables"
+    for name in ("documents", "orders"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(4).write.parquet(f"{docs}/{name}.parquet")
+    monkeypatch.setattr(source_queries, "scratch", lambda spark, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        getattr(source_queries, query)(spark, str(docs)).count()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list(tmp_path.glob(f"[cjt]s*/{files}"))) > 1
+
+
+def test_documents_of_json_files_are_inferred_from_their_texts(spark, tmp_path):
+    from tamperlens.sources.tabular import _document_schema, read_json
+
+    (tmp_path / "a.json").write_text('[{"a": 1}, {"b": "é"}]', encoding="utf-8")
+    (tmp_path / "b.json").write_text('[{"a": 2.5,\n "c": [1]}]', encoding="utf-8")
+    own = spark.read.json(str(tmp_path), multiLine=True)
+    assert _document_schema(spark, str(tmp_path)) == own.schema
+    found = read_json(spark, str(tmp_path))
+    assert found.schema == own.schema and sorted(found.collect(), key=str) == sorted(own.collect(), key=str)
+
+
+def test_first_lines_of_files(spark):
+    from tamperlens.sources.tabular import first_lines
+
+    lines = spark.createDataFrame([("x", 3, "c"), ("x", 2, "b"), ("y", 9, "z"), ("y", 11, "a")], "file string, place bigint, line string")
+    assert sorted(tuple(r) for r in first_lines(lines, "line", "place")) == [("x", "b"), ("y", "z")]
