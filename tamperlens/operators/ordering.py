@@ -6,6 +6,7 @@ All operators expect a dense ``row_id`` (see ``with_row_id``) as the file order.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,17 @@ from tamperlens.plans.blocks import (
 )
 from tamperlens.plans.joins import attach_by_key
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
-from tamperlens.plans.staging import partition_by, running_total, stage, stage_keys, stage_observed, stage_sorted
+from tamperlens.plans.staging import (
+    BLOCK,
+    SEQ,
+    Sizes,
+    partition_by,
+    running_total,
+    stage,
+    stage_keys,
+    stage_observed,
+    stage_sorted,
+)
 
 # fixed values: thresholds of the ordering checks
 NUMERIC_SHIFT = 4
@@ -194,6 +205,18 @@ def duplicate_ids_across_groups(
 # --- misplaced identifiers ------------------------------------------------
 
 
+def _id_counts(facts: DataFrame, keys: list[str], *spans: str) -> DataFrame:
+    """(keys…, _id, _n, spans…): rows of each id in its group."""
+    return facts.filter("_id IS NOT NULL").groupBy(*keys, "_id").agg(
+        F.expr("count(*) AS _n"), *[F.expr(sql) for sql in spans]
+    )
+
+
+def _id_ranks(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``_id_counts`` with ``_upto``, the rows of all ids up to it in its group."""
+    return running_total(stage_sorted(counts, [*keys, "_id"]), keys, "_n", "_upto").drop(SEQ, BLOCK)
+
+
 def _expected_by_rank(
     placed: DataFrame, facts: DataFrame, keys: list[str], small: bool, limits: Limits
 ) -> DataFrame:
@@ -205,13 +228,108 @@ def _expected_by_rank(
     if small:
         upto = f"count(_id) OVER ({partition_by(keys)} ORDER BY _id RANGE UNBOUNDED PRECEDING)"
         return placed.withColumn("expected_position", F.expr(f"{upto} - 1"))
-    counts = facts.filter("_id IS NOT NULL").groupBy(*keys, "_id").agg(F.expr("count(*) AS _n"))
-    ranks = running_total(stage_sorted(counts, [*keys, "_id"]), keys, "_n", "_upto")
-    ranked, sizes = stage_keys(ranks.select(*keys, "_id", "_n", "_upto"), "_n")
+    ranked, sizes = stage_keys(_id_ranks(_id_counts(facts, keys), keys), "_n")
     joined = attach_by_key(placed, ranked, [*keys, "_id"], "_n", limits, sizes)
     return joined.withColumn("expected_position", F.expr("_upto - 1")).drop("_n", "_upto")
 
 
+def _in_blocks(facts: DataFrame, keys: list[str], limits: Limits) -> DataFrame:
+    """Staged positions by block windows; ``_descent``: the id sorts before the one preceding it in the block."""
+    descent = "coalesce(_id < lag(_id) OVER ({0}), false) OR _id IS NULL"
+    return stage(
+        position_in_group(
+            facts, keys, "row_index", "actual_position", limits.block_rows,
+            lambda window: {"_descent": descent.format(window)},
+        )
+    )
+
+
+def _by_order(placed: DataFrame, keys: list[str], limits: Limits) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows of groups whose ids never descend, and of the others; None where there are none.
+
+    Ids are compared inside blocks by ``_descent`` and at block ends by one row for each group
+    and block. A group with a missing id is one of the others.
+    """
+    blocks = placed.groupBy(*keys, F.expr(f"row_index div {limits.block_rows}L AS _ob")).agg(
+        F.expr("count(*) AS _in"),
+        F.expr("max(_descent) AS _inside"),
+        F.expr("min_by(_id, row_index) AS _head"),
+        F.expr("max_by(_id, row_index) AS _tail"),
+    )
+    before = f"lag(_tail) OVER ({partition_by(keys)} ORDER BY _ob)"
+    states = (
+        blocks.selectExpr(*keys, "_in", f"_inside OR coalesce(_head < {before}, false) AS _down")
+        .groupBy(*keys)
+        .agg(F.expr("max(_down) AS _disordered"), F.expr("sum(_in) AS _rows"))
+    )
+    states, seen = stage_observed(
+        states, total="sum(_rows)", largest="max(_rows)", down="count_if(_disordered)", n="count(*)"
+    )
+    if seen["down"] == 0:
+        return placed, None
+    if seen["down"] == seen["n"]:
+        return None, placed
+    sizes = Sizes(seen["total"], seen["largest"])
+    marked = attach_by_key(placed, states, keys, "_rows", limits, sizes).drop("_rows")
+    return tuple(marked.filter(test).drop("_disordered") for test in ("NOT _disordered", "_disordered"))
+
+
+def _moved_rows(placed: DataFrame, keys: list[str], shift: int, limits: Limits) -> DataFrame:
+    """Rows of ``_in_blocks`` that stand ``shift`` places and more off, with neighbours.
+
+    The first and last position of an id in its group tell whether any of its rows is off,
+    so only the rows of such ids meet their rank, and only rows near them are looked up.
+    Where ids never descend, the last position of an id is its rank and nothing is sorted.
+    Many rows off their place take the block windows over all rows.
+    """
+    spans = ["min(actual_position) AS _first", "max(actual_position) AS _last"]
+    off = f"greatest(abs(_first - _upto + 1), abs(_last - _upto + 1)) >= {shift}"
+    rising, others = _by_order(placed, keys, limits)
+    placed = placed.drop("_descent")
+    ranks = []
+    if rising is not None:
+        ranks.append(_id_counts(rising, keys, *spans).withColumn("_upto", F.expr("_last + 1")))
+    if others is not None:
+        ranks.append(_id_ranks(_id_counts(others, keys, *spans), keys))
+    moved, sizes = stage_keys(
+        reduce(DataFrame.unionByName, [r.filter(off).drop("_first", "_last") for r in ranks]), "_n"
+    )
+    few = (2 * NEIGHBOURS + 1) * sizes.total <= limits.lookup_rows
+    rows = placed
+    if not few:
+        rows = over_neighbours(
+            placed, keys, "actual_position", NEIGHBOURS, _around, limits.block_rows
+        ).withColumn("surrounding_ids", F.expr(_surrounding()))
+        rows = rows.select(*placed.columns, "surrounding_ids")
+    found = (
+        attach_by_key(rows.filter("_id IS NOT NULL"), moved, [*keys, "_id"], "_n", limits, sizes)
+        .withColumn("expected_position", F.expr("_upto - 1"))
+        .drop("_n", "_upto")
+        .filter(f"abs(actual_position - expected_position) >= {shift}")
+    )
+    if not few:
+        return found
+    found = stage(found)
+    asked = found.selectExpr(
+        *keys,
+        "row_index AS _asking",
+        f"explode(sequence({-NEIGHBOURS}, {NEIGHBOURS})) AS relative_position",
+        "actual_position + relative_position AS actual_position",
+    )
+    near = (
+        placed.select(*keys, "actual_position", "_id")
+        .join(F.broadcast(asked), [*keys, "actual_position"])
+        .groupBy(F.col("_asking").alias("row_index"))
+        .agg(
+            F.expr(
+                "sort_array(collect_list(struct(relative_position, cast(_id AS STRING) AS id_value))) "
+                "AS surrounding_ids"
+            )
+        )
+    )
+    return found.join(near, "row_index")
+
+
 def _only_disordered(rows: DataFrame, keys: list[str], small: bool, limits: Limits) -> DataFrame:
     """Keep groups in which some id sorts before the id preceding it."""
     if small:
@@ -245,31 +363,29 @@ def _surrounding() -> str:
 
 
 def _misplaced(
-    df: DataFrame,
-    id_col: str,
-    groups: list[str],
-    row_id: str,
-    strategy: str,
-    limits: Limits,
-    total: int | None = None,
+    facts: DataFrame, keys: list[str], groups: list[str], numeric: bool, small: bool, limits: Limits
 ) -> DataFrame:
-    """C3-C5; ``previous_id`` (inside the group) only for ids that are no numbers."""
-    numeric = is_numeric(df.schema[id_col].dataType)
-    facts, keys = _identified(df, id_col, row_id, groups)
-    facts = facts.dropna(subset=keys)
-    small = fits_window(facts, keys, limits, strategy, total)
-    block_rows = None if small else limits.block_rows
-    placed = position_in_group(facts, keys, "row_index", "actual_position", block_rows)
-    seen = over_neighbours(placed, keys, "actual_position", NEIGHBOURS, _around, block_rows)
-    if not numeric:
-        descent = (
-            "_before1 IS NOT NULL AND _id IS NOT NULL AND (_before1._id IS NULL OR _id < _before1._id)"
-        )
-        seen = _only_disordered(seen.selectExpr("*", f"{descent} AS _descent"), keys, small, limits)
-    ranked = _expected_by_rank(seen.filter("_id IS NOT NULL"), facts, keys, small, limits)
+    """C3-C5; ``previous_id`` (inside the group) only for ids that are no numbers.
+
+    ``facts`` has (row_index, _id, keys…), where all keys are known.
+    """
+    shift = NUMERIC_SHIFT if numeric else STRING_SHIFT
+    if numeric and not small:
+        ranked = _moved_rows(_in_blocks(facts, keys, limits), keys, shift, limits)
+    else:
+        block_rows = None if small else limits.block_rows
+        placed = position_in_group(facts, keys, "row_index", "actual_position", block_rows)
+        seen = over_neighbours(placed, keys, "actual_position", NEIGHBOURS, _around, block_rows)
+        if not numeric:
+            descent = (
+                "_before1 IS NOT NULL AND _id IS NOT NULL AND (_before1._id IS NULL OR _id < _before1._id)"
+            )
+            seen = _only_disordered(seen.selectExpr("*", f"{descent} AS _descent"), keys, small, limits)
+        ranked = _expected_by_rank(seen.filter("_id IS NOT NULL"), facts, keys, small, limits)
+        ranked = ranked.withColumn("surrounding_ids", F.expr(_surrounding()))
     flagged = ranked.selectExpr(
         "*", "abs(actual_position - expected_position) AS position_difference"
-    ).filter(f"position_difference >= {NUMERIC_SHIFT if numeric else STRING_SHIFT}")
+    ).filter(f"position_difference >= {shift}")
     if numeric:
         severity = f"cast(least(position_difference + 5, {TOP_SEVERITY}) AS INT)"
         description = "concat(_id, ' stands ', position_difference, ' places off its sorted place')"
@@ -287,7 +403,7 @@ def _misplaced(
         "actual_position",
         "expected_position",
         "position_difference",
-        F.expr(f"{_surrounding()} AS surrounding_ids"),
+        "surrounding_ids",
         F.expr(f"{severity} AS severity"),
         F.expr(f"{description} AS description"),
         *previous,
@@ -310,7 +426,11 @@ def out_of_sequence_ids(
     """
     groups = present_columns(df, _as_columns(groups))
     require_columns(df, [id_col, row_id])
-    found = _misplaced(df, id_col, groups, row_id, strategy, limits)
+    facts, keys = _identified(df, id_col, row_id, groups)
+    facts = facts.dropna(subset=keys)
+    small = fits_window(facts, keys, limits, strategy)
+    numeric = is_numeric(df.schema[id_col].dataType)
+    found = _misplaced(facts, keys, groups, numeric, small, limits)
     if "previous_id" in found.columns:
         return found
     return _with_previous_id(found, df, id_col, row_id, limits)
@@ -429,9 +549,12 @@ def sorting_anomalies(
     needed = dict.fromkeys([row_id, id_col, *groups, *(columns if check_dependent else [])])
     df, seen = stage_observed(df.selectExpr(*[quoted(c) for c in needed]), n="count(*)")
     repeated = _repeated_across_groups(df, id_col, groups, row_id, limits)
-    kept = filter_order_anomalies(
-        _misplaced(df, id_col, groups, row_id, strategy, limits, seen["n"]), limits
-    )
+    facts, keys = _identified(df, id_col, row_id, groups)
+    facts = facts.dropna(subset=keys)
+    small = fits_window(facts, keys, limits, strategy, seen["n"])
+    numeric = is_numeric(df.schema[id_col].dataType)
+    found = _misplaced(facts, keys, groups, numeric, small, limits)
+    kept = filter_order_anomalies(found, limits)
     if "previous_id" in kept.columns:
         repeated = _with_previous_id(repeated, df, id_col, row_id, limits)
         found = repeated.unionByName(kept, allowMissingColumns=True)

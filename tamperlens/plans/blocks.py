@@ -32,12 +32,18 @@ def fits_window(
 
 
 def position_in_group(
-    df: DataFrame, keys: Sequence[str], order: str, out: str, block_rows: int | None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    out: str,
+    block_rows: int | None,
+    inside: Callable[[str], Mapping[str, str]] | None = None,
 ) -> DataFrame:
     """0-based position inside ``keys`` by the dense BIGINT ``order`` column.
 
     With ``block_rows`` the rows are numbered inside (keys, block of order) and
     the block counts are summed up; without it a plain window numbers the group.
+    ``inside`` names further columns over the window of the blocks, which takes no second sort.
     """
     if block_rows is None:
         ranked = f"row_number() OVER ({partition_by(keys)} ORDER BY {quoted(order)})"
@@ -50,9 +56,10 @@ def position_in_group(
         f"coalesce(sum(_cnt) OVER ({partition_by(keys)} ORDER BY _ob "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _base",
     )
-    local = f"row_number() OVER ({partition_by([*keys, '_ob'])} ORDER BY {quoted(order)}) - 1"
+    window = f"{partition_by([*keys, '_ob'])} ORDER BY {quoted(order)}"
+    more = [f"{sql} AS {quoted(name)}" for name, sql in (inside(window) if inside else {}).items()]
     return (
-        blocked.selectExpr("*", f"{local} AS _local")
+        blocked.selectExpr("*", f"row_number() OVER ({window}) - 1 AS _local", *more)
         .join(bases, [*keys, "_ob"])
         .withColumn(out, F.expr("cast(_base + _local AS BIGINT)"))
         .drop("_ob", "_local", "_base")
