@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamperlens.functions.columns import (
@@ -125,6 +125,12 @@ def duplicate_ids(
     )
 
 
+def _as_previous(df: DataFrame, id_col: str, value: str) -> str:
+    """SQL of an id as ``previous_id``."""
+    numeric = is_numeric(df.schema[id_col].dataType)
+    return f"cast(cast({value} AS BIGINT) AS STRING)" if numeric else f"cast({value} AS STRING)"
+
+
 def _with_previous_id(
     findings: DataFrame, df: DataFrame, id_col: str, row_id: str, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
@@ -133,8 +139,7 @@ def _with_previous_id(
     Few findings look their row numbers up in one pass over the table; many meet
     it in an equi-join on the row number, where no key repeats.
     """
-    numeric = is_numeric(df.schema[id_col].dataType)
-    text = "cast(cast(_id AS BIGINT) AS STRING) AS _id" if numeric else "cast(_id AS STRING) AS _id"
+    text = f"{_as_previous(df, id_col, '_id')} AS _id"
     identified, _ = _identified(df, id_col, row_id)
     before = previous_row_value(
         identified.selectExpr("row_index", text), "row_index", "_id", "previous_id"
@@ -155,11 +160,8 @@ def previous_ids(df: DataFrame, id_col: str, row_id: str = "row_id") -> DataFram
     return _with_previous_id(rows, df, id_col, row_id, Limits(lookup_rows=0))
 
 
-def _repeated_across_groups(
-    df: DataFrame, id_col: str, groups: list[str], row_id: str, limits: Limits
-) -> DataFrame:
-    """C2 without the previous id."""
-    facts, keys = _identified(df, id_col, row_id, groups)
+def _repeated_across_groups(facts: DataFrame, keys: list[str], limits: Limits) -> DataFrame:
+    """The rows of ``facts`` with ``duplicate_count`` and ``different_conditions``, without texts."""
     facts = facts.filter("_id IS NOT NULL")
     per_pair = facts.groupBy("_id", *keys).agg(F.expr("count(*) AS n"))
     per_id, sizes = stage_keys(
@@ -168,22 +170,27 @@ def _repeated_across_groups(
         .filter("duplicate_count > 1 AND different_conditions > 1"),
         "duplicate_count",
     )
-    rows = attach_by_key(facts, per_id, ["_id"], "duplicate_count", limits, sizes)
-    return rows.select(
-        F.expr("'duplicate_id' AS type"),
-        F.expr("cast(_id AS STRING) AS id_value"),
-        "row_index",
-        group_map(groups, keys).alias("condition_values"),
-        group_label(groups, keys).alias("group_label"),
-        "duplicate_count",
-        "different_conditions",
-        F.expr(f"{TOP_SEVERITY} AS severity"),
-        F.expr(
-            "concat(_id, ' stands in ', different_conditions, ' groups') AS description"
-        ),
+    return attach_by_key(facts, per_id, ["_id"], "duplicate_count", limits, sizes).withColumns(
+        {"type": F.expr("'duplicate_id'"), "severity": F.expr(str(TOP_SEVERITY))}
     )
 
 
+def _repeated_texts(groups: list[str], keys: list[str]) -> dict[str, Column]:
+    """The texts of a row of ``_repeated_across_groups``, made where it is shown."""
+    return {
+        "id_value": F.expr("cast(_id AS STRING)"),
+        "condition_values": group_map(groups, keys),
+        "group_label": group_label(groups, keys),
+        "description": F.expr("concat(_id, ' stands in ', different_conditions, ' groups')"),
+    }
+
+
+REPEATED = [
+    "type", "id_value", "row_index", "condition_values", "group_label",
+    "duplicate_count", "different_conditions", "severity", "description",
+]
+
+
 def duplicate_ids_across_groups(
     df: DataFrame,
     id_col: str,
@@ -198,8 +205,9 @@ def duplicate_ids_across_groups(
     the id's rows.  A NULL group is one group value.
     """
     groups = present_columns(df, _as_columns(groups))
-    found = _repeated_across_groups(df, id_col, groups, row_id, limits)
-    return _with_previous_id(found, df, id_col, row_id, limits)
+    facts, keys = _identified(df, id_col, row_id, groups)
+    found = _repeated_across_groups(facts, keys, limits).withColumns(_repeated_texts(groups, keys))
+    return _with_previous_id(found.select(*REPEATED), df, id_col, row_id, limits)
 
 
 # --- misplaced identifiers ------------------------------------------------
@@ -233,14 +241,37 @@ def _expected_by_rank(
     return joined.withColumn("expected_position", F.expr("_upto - 1")).drop("_n", "_upto")
 
 
+def _descents(window: str) -> dict[str, str]:
+    """Whether the id sorts before the one preceding it in its block, or is missing."""
+    return {"_descent": f"coalesce(_id < lag(_id) OVER ({window}), false) OR _id IS NULL"}
+
+
 def _in_blocks(facts: DataFrame, keys: list[str], limits: Limits) -> DataFrame:
-    """Staged positions by block windows; ``_descent``: the id sorts before the one preceding it in the block."""
-    descent = "coalesce(_id < lag(_id) OVER ({0}), false) OR _id IS NULL"
+    """Staged positions by block windows, with ``_descent``."""
     return stage(
-        position_in_group(
-            facts, keys, "row_index", "actual_position", limits.block_rows,
-            lambda window: {"_descent": descent.format(window)},
-        )
+        position_in_group(facts, keys, "row_index", "actual_position", limits.block_rows, _descents)
+    )
+
+
+def _along_file(facts: DataFrame, keys: list[str], limits: Limits) -> DataFrame:
+    """``_in_blocks`` of the rows of all groups, with the ``_previous`` id of the file; not staged.
+
+    One shuffle by block of the file serves all; the first row of a block takes the last id of
+    the block before, one row for each block.
+    """
+    size = max(limits.block_rows, 1)
+    ends = facts.filter(f"pmod(row_index, {size}L) = {size - 1}L")
+    ends = previous_row_value(ends.select("row_index", "_id"), "row_index", "_id", "_carried")
+
+    def before(window: str) -> dict[str, str]:
+        follows = f"lag(row_index) OVER ({window}) = row_index - 1"
+        return {"_near": f"if({follows}, lag(_id) OVER ({window}), NULL)"}
+
+    placed = position_in_group(facts, keys, "row_index", "actual_position", size, _descents, before)
+    return (
+        placed.join(F.broadcast(ends), "row_index", "left")
+        .withColumn("_previous", F.expr("coalesce(_near, _carried)"))
+        .drop("_near", "_carried")
     )
 
 
@@ -367,12 +398,16 @@ def _misplaced(
 ) -> DataFrame:
     """C3-C5; ``previous_id`` (inside the group) only for ids that are no numbers.
 
-    ``facts`` has (row_index, _id, keys…), where all keys are known.
+    ``facts`` has (row_index, _id, keys…), where all keys are known. They may come from
+    ``_along_file``, staged; their ``_previous`` stays.
     """
+    kept = [F.col(c) for c in facts.columns if c == "_previous"]
     shift = NUMERIC_SHIFT if numeric else STRING_SHIFT
     if numeric and not small:
-        ranked = _moved_rows(_in_blocks(facts, keys, limits), keys, shift, limits)
+        placed = facts if "_descent" in facts.columns else _in_blocks(facts, keys, limits)
+        ranked = _moved_rows(placed, keys, shift, limits)
     else:
+        facts = facts.drop("actual_position", "_descent")
         block_rows = None if small else limits.block_rows
         placed = position_in_group(facts, keys, "row_index", "actual_position", block_rows)
         seen = over_neighbours(placed, keys, "actual_position", NEIGHBOURS, _around, block_rows)
@@ -407,6 +442,7 @@ def _misplaced(
         F.expr(f"{severity} AS severity"),
         F.expr(f"{description} AS description"),
         *previous,
+        *kept,
     )
 
 
@@ -540,29 +576,39 @@ def sorting_anomalies(
 ) -> DataFrame:
     """Duplicates across groups and misplaced ids, filtered and ranked.
 
-    The columns it needs are staged once; their rows are counted on that write, so groups
-    are only measured where the table itself exceeds what a window may hold.
+    Ids, groups, positions and previous ids are staged once; the rows are counted on that
+    write, so groups are only measured where the table itself exceeds what a window may hold.
+    Findings are kept without their texts until they are sorted.
     """
     groups = present_columns(df, _as_columns(groups))
     require_columns(df, [id_col, row_id])
     columns = numeric_columns(df, exclude=[id_col, row_id, *groups], prioritize=prioritize)
-    needed = dict.fromkeys([row_id, id_col, *groups, *(columns if check_dependent else [])])
-    df, seen = stage_observed(df.selectExpr(*[quoted(c) for c in needed]), n="count(*)")
-    repeated = _repeated_across_groups(df, id_col, groups, row_id, limits)
-    facts, keys = _identified(df, id_col, row_id, groups)
-    facts = facts.dropna(subset=keys)
-    small = fits_window(facts, keys, limits, strategy, seen["n"])
     numeric = is_numeric(df.schema[id_col].dataType)
-    found = _misplaced(facts, keys, groups, numeric, small, limits)
-    kept = filter_order_anomalies(found, limits)
-    if "previous_id" in kept.columns:
-        repeated = _with_previous_id(repeated, df, id_col, row_id, limits)
+    facts, keys = _identified(df, id_col, row_id, groups)
+    facts, seen = stage_observed(_along_file(facts, keys, limits), n="count(*)")
+    grouped = facts.dropna(subset=keys)
+    small = fits_window(grouped, keys, limits, strategy, seen["n"])
+    repeated = _repeated_across_groups(facts.drop("actual_position", "_descent"), keys, limits)
+    misplaced = _misplaced(
+        grouped if numeric else grouped.drop("_previous"), keys, groups, numeric, small, limits
+    )
+    kept = filter_order_anomalies(misplaced, limits)
+    previous = F.expr(_as_previous(df, id_col, "_previous"))
+    if numeric:
         found = repeated.unionByName(kept, allowMissingColumns=True)
     else:
-        both = repeated.unionByName(kept, allowMissingColumns=True)
-        found = _with_previous_id(both, df, id_col, row_id, limits)
+        repeated = repeated.withColumn("previous_id", previous)
+        found = repeated.drop("_previous").unionByName(kept, allowMissingColumns=True)
+    effects = []
     if check_dependent and columns:
         found = stage(found)  # read for the effects and for the result
-        effects = dependent_var_effects(df, found, columns, row_id)
-        found = escalate_severity(found, effects, columns)
-    return found.orderBy(F.desc("severity"), "row_index", "type")
+        found = escalate_severity(found, dependent_var_effects(df, found, columns, row_id), columns)
+        effects = ["dependent_var_effects"]
+    ranked = found.orderBy(F.desc("severity"), "row_index", "type")
+    texts = {name: F.coalesce(name, text) for name, text in _repeated_texts(groups, keys).items()}
+    if numeric:
+        texts["previous_id"] = previous
+    shown = ["row_index", *[c for c in REPEATED if c != "row_index"]]
+    more = ["actual_position", "expected_position", "position_difference", "surrounding_ids", "cluster_size"]
+    ends = [*more, "previous_id"] if numeric else ["previous_id", *more]
+    return ranked.withColumns(texts).select(*shown, *ends, *effects)

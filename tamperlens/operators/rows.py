@@ -6,9 +6,11 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamperlens.functions.columns import is_numeric, quoted, require_columns
-from tamperlens.plans.staging import stage, with_row_id
+from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
+from tamperlens.plans.staging import stage, stage_observed, with_row_id
 
 __all__ = [
     "column_roles",
@@ -68,19 +70,57 @@ def parse_row_spec(df: DataFrame, spec: str, out: str = "row_index") -> DataFram
     return numbers.select(*df.columns, out)
 
 
+def _row_marks(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Staged (_block, _words), one bit for each of 4096 row numbers, and the number of blocks."""
+    require_columns(rows, ["row_index"])
+    listed = rows.select(F.col("row_index").cast("bigint")).filter("row_index IS NOT NULL")
+    bits = (
+        listed.repartition(F.expr("shiftright(row_index, 12)"))
+        .selectExpr(
+            "shiftright(row_index, 12) AS _block",
+            "shiftright(row_index, 6) & 63 AS _word",
+            "shiftleft(1L, CAST(row_index & 63 AS INT)) AS _bit",
+        )
+        .groupBy("_block", "_word")
+        .agg(F.expr("bit_or(_bit) AS _bits"))
+    )
+    words = "transform(sequence(0L, 63L), i -> coalesce(_known[i], 0L)) AS _words"
+    marks, seen = stage_observed(
+        bits.groupBy("_block")
+        .agg(F.expr("map_from_entries(collect_list(struct(_word, _bits))) AS _known"))
+        .selectExpr("_block", words),
+        blocks="count(*)",
+    )
+    return marks, seen["blocks"]
+
+
 def flag_rows(
     df: DataFrame,
     rows: DataFrame | Iterable[int],
     row_id: str = "row_id",
     flag: str = "is_suspicious",
+    limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Boolean column telling listed rows from the others."""
+    """Boolean column telling listed rows from the others.
+
+    A frame of rows becomes one bit for each row number, so that the listed rows
+    travel to the table, which stays where it is.
+    """
     require_columns(df, [row_id])
+    columns = [quoted(c) for c in df.columns]
+    if isinstance(rows, DataFrame) and isinstance(df.schema[row_id].dataType, T.IntegralType):
+        marks, blocks = _row_marks(rows)
+        row = f"CAST({quoted(row_id)} AS BIGINT)"
+        marked = df.withColumn("_block", F.expr(f"shiftright({row}, 12)")).join(
+            F.broadcast(marks) if blocks <= limits.mark_blocks else marks, "_block", "left"
+        )
+        bit = f"getbit(_words[CAST(shiftright({row}, 6) & 63 AS INT)], CAST({row} & 63 AS INT))"
+        return marked.selectExpr(*columns, f"coalesce({bit} = 1, false) AS {quoted(flag)}")
     listed = rows_frame(df.sparkSession, rows).selectExpr(
         f"row_index AS {quoted(row_id)}", f"true AS {quoted(flag)}"
     )
     known = f"coalesce({quoted(flag)}, false) AS {quoted(flag)}"
-    return df.join(listed, row_id, "left").selectExpr(*[quoted(c) for c in df.columns], known)
+    return df.join(listed, row_id, "left").selectExpr(*columns, known)
 
 
 def split_suspicious(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tamperlens.functions.columns import quoted
 from tamperlens.plans.limits import Limits
-from tamperlens.plans.staging import partition_by
+from tamperlens.plans.staging import partition_by, stage
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -38,12 +38,15 @@ def position_in_group(
     out: str,
     block_rows: int | None,
     inside: Callable[[str], Mapping[str, str]] | None = None,
+    along: Callable[[str], Mapping[str, str]] | None = None,
 ) -> DataFrame:
     """0-based position inside ``keys`` by the dense BIGINT ``order`` column.
 
     With ``block_rows`` the rows are numbered inside (keys, block of order) and
     the block counts are summed up; without it a plain window numbers the group.
-    ``inside`` names further columns over the window of the blocks, which takes no second sort.
+    ``inside`` names further columns over the window of the blocks, which takes no second sort,
+    and ``along`` columns over all rows of a block of the order, whatever their group. With
+    ``along`` rows whose keys are NULL form groups as well; else they are left out.
     """
     if block_rows is None:
         ranked = f"row_number() OVER ({partition_by(keys)} ORDER BY {quoted(order)})"
@@ -56,13 +59,22 @@ def position_in_group(
         f"coalesce(sum(_cnt) OVER ({partition_by(keys)} ORDER BY _ob "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _base",
     )
+    def named(columns, window: str) -> list[str]:
+        return [f"{sql} AS {quoted(name)}" for name, sql in (columns(window) if columns else {}).items()]
+
+    on = [*keys, "_ob"]
+    if along:
+        # all windows lie inside blocks of the order, so one shuffle by block serves them
+        blocked = blocked.selectExpr("*", *named(along, f"PARTITION BY _ob ORDER BY {quoted(order)}"))
+        # staged, so that Catalyst knows its size before the rows are shuffled for a join
+        bases = stage(bases).selectExpr("_base", *[f"{quoted(k)} AS {quoted('_b' + k)}" for k in on])
+        on = F.expr(" AND ".join(f"{quoted(k)} <=> {quoted('_b' + k)}" for k in on))
     window = f"{partition_by([*keys, '_ob'])} ORDER BY {quoted(order)}"
-    more = [f"{sql} AS {quoted(name)}" for name, sql in (inside(window) if inside else {}).items()]
     return (
-        blocked.selectExpr("*", f"row_number() OVER ({window}) - 1 AS _local", *more)
-        .join(bases, [*keys, "_ob"])
+        blocked.selectExpr("*", f"row_number() OVER ({window}) - 1 AS _local", *named(inside, window))
+        .join(bases, on)
         .withColumn(out, F.expr("cast(_base + _local AS BIGINT)"))
-        .drop("_ob", "_local", "_base")
+        .drop("_ob", "_local", "_base", *[f"_b{k}" for k in [*keys, "_ob"]])
     )
 
 

@@ -23,6 +23,8 @@ class Limits:
     max_hot_keys: int = 100_000
     # row numbers a lookup may broadcast (8 bytes each before hashing)
     lookup_rows: int = 500_000
+    # blocks of 4096 row numbers whose marks a broadcast may hold (half a kilobyte each)
+    mark_blocks: int = 100_000
     # ways a hot key is spread
     spread: int = 64
 
