@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamperlens.functions.columns import (
     clean_sql,
+    double_sql,
     is_floating,
     is_numeric,
     long_form,
@@ -19,6 +22,7 @@ from tamperlens.functions.columns import (
 )
 from tamperlens.plans.limits import DEFAULT_LIMITS, Limits
 from tamperlens.plans.quantiles import grouped_quantiles
+from tamperlens.plans.staging import stage
 
 # fixed values: listing and review bounds
 LISTED_VALUES = 20
@@ -45,6 +49,34 @@ def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return cells.groupBy("column", "value").agg(F.expr("count(*) AS n"))
 
 
+def _counted_type(data_type: T.DataType) -> str | None:
+    """Type whose values differ just where the texts of ``data_type`` do; None counts texts."""
+    if isinstance(data_type, T.IntegralType):
+        return "bigint"
+    if is_floating(data_type):
+        return "double"
+    if isinstance(data_type, (T.DateType, T.TimestampNTZType)):
+        return data_type.simpleString()
+    return None
+
+
+def _distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str | None, DataFrame]:
+    """(column, value, n) of the columns by ``_counted_type``; numbers are not written as texts."""
+    kinds: dict[str | None, list[str]] = {}
+    for c in columns:
+        kinds.setdefault(_counted_type(df.schema[c].dataType), []).append(c)
+    found = {}
+    for kind, named in kinds.items():
+        if kind is None:
+            found[kind] = _value_counts(df, named)
+            continue
+        zero = " + 0D" if kind == "double" else ""
+        values = df.selectExpr(*[f"cast({clean_sql(df, c)} AS {kind}){zero} AS {quoted(c)}" for c in named])
+        cells = unpivoted(values, named, [], "value")
+        found[kind] = cells.groupBy("column", "value").agg(F.expr("count(*) AS n"))
+    return found
+
+
 def listed_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = LISTED_VALUES) -> DataFrame:
     """(column, values, is_sampled): all distinct values up to n, else n of them.
 
@@ -71,6 +103,20 @@ def listed_values(df: DataFrame, columns: Sequence[str] | None = None, n: int =
     )
 
 
+def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, min, max, mean, std): one row of aggregates over the table as it lies, then turned."""
+    doubles = df.selectExpr(*[f"{double_sql(df, c)} AS c{i}" for i, c in enumerate(columns)])
+    kinds = {"min": "min", "max": "max", "mean": "avg", "std": "stddev_samp"}
+    row = doubles.agg(
+        *[F.expr(f"{fn}(c{i}) AS {name}{i}") for i in range(len(columns)) for name, fn in kinds.items()]
+    )
+    entries = [
+        f"struct({text_literal(c)} AS column, {', '.join(f'{name}{i} AS {name}' for name in kinds)})"
+        for i, c in enumerate(columns)
+    ]
+    return row.selectExpr(f"inline(array({', '.join(entries)}))")
+
+
 def column_profile(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -86,12 +132,21 @@ def column_profile(
     if with_values:
         plain = column_profile(df, columns, limits=limits)
         return plain.join(listed_values(df, columns), "column", "left")
-    counts = _value_counts(df, columns).groupBy("column").agg(
-        F.expr("count(*) AS unique_count"),
-        F.expr("sum(n) AS total_count"),
-        F.expr("coalesce(sum(n) FILTER (WHERE value IS NOT NULL), 0L) AS non_null_count"),
-    )
     numeric = [c for c in columns if is_numeric(df.schema[c].dataType)]
+    by_kind = _distinct_counts(df, columns)
+    # the values of numbers are met again for the medians, decimals and booleans apart
+    by_kind.update({kind: stage(by_kind[kind]) for kind in ("bigint", "double") if kind in by_kind})
+    counts = reduce(
+        DataFrame.unionAll,
+        [
+            values.groupBy("column").agg(
+                F.expr("count(*) AS unique_count"),
+                F.expr("sum(n) AS total_count"),
+                F.expr("coalesce(sum(n) FILTER (WHERE value IS NOT NULL), 0L) AS non_null_count"),
+            )
+            for values in by_kind.values()
+        ],
+    )
     names = ", ".join(text_literal(c) for c in numeric)
     kinds = schema_table(df.selectExpr(*[quoted(c) for c in columns])).selectExpr(
         "`column`", "dtype", f"array_contains(array({names}), `column`) AS is_numeric" if numeric else "false AS is_numeric"
@@ -105,15 +160,19 @@ def column_profile(
     if not numeric:
         empty = [f"cast(NULL AS DOUBLE) AS {c}" for c in ("min", "max", "mean", "median", "std")]
         return profile.selectExpr("*", *empty)
-    cells = long_form(df, numeric)
-    stats = cells.groupBy("column").agg(
-        F.expr("min(value) AS min"),
-        F.expr("max(value) AS max"),
-        F.expr("avg(value) AS mean"),
-        F.expr("stddev_samp(value) AS std"),
-    )
+    stats = _moments(df, numeric)
+    valued = [
+        values.selectExpr("`column`", "cast(value AS DOUBLE) AS value", "n")
+        for kind, values in by_kind.items()
+        if kind in ("bigint", "double")
+    ]
+    others = [c for c in numeric if _counted_type(df.schema[c].dataType) is None]
+    if others:
+        valued.append(long_form(df, others).selectExpr("`column`", "value", "1L AS n"))
     largest = df.count()  # answered from file footers when df is a plain scan
-    medians = grouped_quantiles(cells, ["column"], "value", {"median": 0.5}, largest, limits)
+    medians = grouped_quantiles(
+        reduce(DataFrame.unionAll, valued), ["column"], "value", {"median": 0.5}, largest, limits, "n"
+    )
     return profile.join(stats, "column", "left").join(medians, "column", "left").select(
         *profile.columns, "min", "max", "mean", "median", "std"
     )

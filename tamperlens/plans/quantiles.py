@@ -23,25 +23,28 @@ def grouped_quantiles(
     probabilities: Mapping[str, float],
     largest: int,
     limits: Limits = DEFAULT_LIMITS,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per key, one interpolated quantile column per entry.
 
     ``largest`` is the row count of the biggest key, known from the caller's
     statistics.  While every group fits one buffer the built-in percentile is used;
     beyond that the ranks are selected digit by digit (:func:`selected_quantiles`),
-    which neither sorts nor shuffles values.  Both give equal bits.
+    which neither sorts nor shuffles values.  Both give equal bits.  With a BIGINT column
+    ``weight`` a row stands for so many equal values.
     """
     present = df.filter(f"{quoted(value)} IS NOT NULL")
     if largest <= limits.percentile_rows:
         ranks = ", ".join(f"{p}D" for p in probabilities.values())
+        times = f", {quoted(weight)}" if weight else ""
         found = present.groupBy(*keys).agg(
-            F.expr(f"percentile({quoted(value)}, array({ranks})) AS _q")
+            F.expr(f"percentile({quoted(value)}, array({ranks}){times}) AS _q")
         )
         return found.selectExpr(
             *[quoted(k) for k in keys],
             *[f"_q[{i}] AS {quoted(name)}" for i, name in enumerate(probabilities)],
         )
-    return selected_quantiles(present, keys, value, probabilities, limits)
+    return selected_quantiles(present, keys, value, probabilities, limits, weight)
 
 
 def ordered_key(value: str) -> str:
@@ -79,6 +82,7 @@ def selected_quantiles(
     value: str,
     probabilities: Mapping[str, float],
     limits: Limits = DEFAULT_LIMITS,
+    weight: str | None = None,
 ) -> DataFrame:
     """Quantiles of groups of any size by radix selection, for all keys at once.
 
@@ -88,8 +92,9 @@ def selected_quantiles(
     or as soon as every bucket in question holds one value, all ranks are known.
     """
     names = [quoted(k) for k in keys]
-    cells = df.selectExpr(*names, f"{ordered_key(quoted(value))} AS _k")
-    per_key, sizes = stage_keys(cells.groupBy(*keys).agg(F.count("*").alias("_n")), "_n")
+    times = quoted(weight) if weight else "1L"
+    cells = df.selectExpr(*names, f"{ordered_key(quoted(value))} AS _k", f"{times} AS _times")
+    per_key, sizes = stage_keys(cells.groupBy(*keys).agg(F.sum("_times").alias("_n")), "_n")
     ends = [f"CAST({side}({p}D * (_n - 1)) AS BIGINT)" for p in probabilities.values() for side in ("floor", "ceil")]
     open_ranks = per_key.selectExpr(
         *names, "_n", f"explode(array_distinct(array({', '.join(ends)}))) AS _rank"
@@ -100,10 +105,10 @@ def selected_quantiles(
         prefix = f"shiftright(_k, {shift + 16})" if shift < 48 else "0L"
         counts = (
             attach_by_key(cells, asked, keys, "_n", limits, sizes)
-            .selectExpr(*names, "_k", "_asked", f"{prefix} AS _digits")
+            .selectExpr(*names, "_k", "_times", "_asked", f"{prefix} AS _digits")
             .where("array_contains(_asked, _digits)")
             .groupBy(*keys, "_digits", F.expr(f"shiftright(_k, {shift})").alias("_next"))
-            .agg(F.count("*").alias("_c"), F.min("_k").alias("_low"), F.max("_k").alias("_high"))
+            .agg(F.sum("_times").alias("_c"), F.min("_k").alias("_low"), F.max("_k").alias("_high"))
         )
         upto = f"sum(_c) OVER (PARTITION BY {', '.join([*names, '_digits'])} ORDER BY _next)"
         running = counts.selectExpr("*", f"{upto} AS _upto")

@@ -55,3 +55,12 @@ def test_selection_shuffles_counts_only(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan
     assert {r.k: r["median"] for r in found.collect()} == {r.k: r["median"] for r in grouped_quantiles(df, ["k"], "v", {"median": 0.5}, 1).collect()}
+
+
+def test_weights_stand_for_equal_values(spark):
+    df = spark.range(900).selectExpr("id % 2 AS k", "CAST(id * id % 41 AS DOUBLE) - 9 AS v")
+    counts = df.groupBy("k", "v").count()
+    want = {r.k: r for r in grouped_quantiles(df, ["k"], "v", WANTED, 450).collect()}
+    for limits in (Limits(), Limits(percentile_rows=1), Limits(percentile_rows=1, hot_rows=20, max_hot_keys=3)):
+        got = grouped_quantiles(counts, ["k"], "v", WANTED, 450, limits, "count").collect()
+        assert {r.k: r for r in got} == want
