@@ -89,6 +89,67 @@ def piece_starts(chars: np.ndarray, kinds: np.ndarray, text_start: np.ndarray) -
     return np.flatnonzero(mark[:n])
 
 
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first bytes of a word
+
+
+def short_keys(pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which pieces, first word, second word): the bytes of pieces of at most 16 bytes.
+
+    Bytes beyond the end are zero, so two pieces have equal words only if one is the other
+    followed by NUL characters; texts with such characters are not looked up this way.
+    """
+    offsets = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1, 4 * pieces.offset)
+    begin, length = offsets[:-1], np.diff(offsets)
+    data = np.zeros(offsets[-1] + 16, np.uint8)
+    if offsets[-1]:
+        data[:-16] = np.frombuffer(pieces.buffers()[2], np.uint8, offsets[-1])
+    words = np.ndarray((len(data) - 7,), np.dtype("<u8"), data, strides=(1,))
+    short = np.flatnonzero(length <= 16)
+    begin, length = begin[short], length[short]
+    low = words[begin] & _KEEP[np.minimum(length, 8)]
+    return short, low, words[begin + 8] & _KEEP[np.maximum(length, 8) - 8]
+
+
+class ShortPieces:
+    """Hash table from :func:`short_keys` to slots, read and filled by whole arrays."""
+
+    def __init__(self, bits: int = 20):
+        self.bits, self.held = bits, 0
+        self.slot = np.full(1 << bits, -1, np.int32)
+        self.low = np.zeros(1 << bits, np.uint64)
+        self.high = np.zeros(1 << bits, np.uint64)
+
+    def _place(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        mixed = low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed ^= mixed >> np.uint64(32)
+        return ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 where it is not held."""
+        at, found = self._place(low, high), np.full(len(low), -1, np.int32)
+        left = np.arange(len(low))
+        while len(left):
+            slot = self.slot[at]
+            same = (self.low[at] == low[left]) & (self.high[at] == high[left]) & (slot >= 0)
+            found[left[same]] = slot[same]
+            on = ~same & (slot >= 0)  # another key stands here
+            left, at = left[on], (at[on] + 1) & (len(self.slot) - 1)
+        return found
+
+    def add(self, low: np.ndarray, high: np.ndarray, slots: np.ndarray) -> None:
+        """Hold distinct keys that are not held yet, as long as a quarter stays free."""
+        if self.held + len(low) > 3 * len(self.slot) // 4:
+            return
+        self.held += len(low)
+        at, left = self._place(low, high), np.arange(len(low))
+        while len(left):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = slots[left[free]]  # of several keys for one place one stays
+            stands = free & (self.slot[at] == slots[left])
+            self.low[at[stands]], self.high[at[stands]] = low[left[stands]], high[left[stands]]
+            left, at = left[~stands], (at[~stands] + 1) & (len(self.slot) - 1)
+
+
 class PieceEncoder:
     """Encoder with a bounded memory of pieces, for use inside one Python worker.
 
@@ -115,6 +176,7 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         self.slot: dict[str, int] = {}
+        self.short = ShortPieces()  # slots of short pieces, whose strings need not be made
         self.begin = np.zeros(1 << 16, np.int32)
         self.length = np.zeros(1 << 16, np.int32)
         self.met = np.zeros(1 << 16, np.int32)  # slices that held the piece
@@ -221,15 +283,26 @@ class PieceEncoder:
         pieces = pa.StringArray.from_buffers(
             len(begin), pa.py_buffer(offsets), pa.py_buffer(joined.encode("utf-8"))
         ).dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
+        distinct = pieces.dictionary
         if len(self.slot) + len(distinct) > self.most_pieces:
             self._keep_frequent()
-        slots = np.fromiter(map(self.slot.get, distinct, repeat(-1)), np.int32, len(distinct))
-        new = np.flatnonzero(slots < 0)
-        if len(new):
-            unknown = [distinct[i] for i in new.tolist()]
-            self._learn(unknown)
-            slots[new] = np.fromiter(map(self.slot.__getitem__, unknown), np.int32, len(unknown))
+        slots = np.full(len(distinct), -1, np.int32)
+        short, low, high = short_keys(distinct)
+        if "\0" in joined:
+            short, low, high = short[:0], low[:0], high[:0]
+        slots[short] = self.short.find(low, high)
+        missed = np.flatnonzero(slots < 0)
+        if len(missed):
+            strings = distinct.take(pa.array(missed)).to_pylist()
+            slots[missed] = np.fromiter(map(self.slot.get, strings, repeat(-1)), np.int32, len(strings))
+            unknown = [strings[i] for i in np.flatnonzero(slots[missed] < 0).tolist()]
+            if unknown:
+                self._learn(unknown)
+                slots[slots < 0] = np.fromiter(map(self.slot.__getitem__, unknown), np.int32, len(unknown))
+            late = np.zeros(len(distinct), bool)
+            late[missed] = True
+            late = late[short]
+            self.short.add(low[late], high[late], slots[short[late]])
         self.met[slots] += 1  # distinct pieces have distinct slots
         index = pieces.indices.to_numpy()
         lengths = self.length[slots][index]

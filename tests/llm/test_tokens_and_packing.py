@@ -5,6 +5,7 @@ import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +15,7 @@ from tamperlens.llm.packing import Projection, cut, hilbert_keys, pack_documents
 from tamperlens.llm.queries import vocabulary
 from tamperlens.llm.simple8b import pack, read_file, unpack, write_file
 from tamperlens.llm.token_files import FILES, read_token_files, write_token_files
-from tamperlens.llm.tokens import PieceEncoder, drop_encoders
+from tamperlens.llm.tokens import PieceEncoder, ShortPieces, drop_encoders, short_keys
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +43,47 @@ def test_encoder_forgets_and_reads_special_strings_as_text(encoder):
         assert ids.tolist() == [i for w in direct(e, texts) for i in w]
 
 
+def test_known_short_pieces_make_no_strings(monkeypatch):
+    """op5: pieces of up to 16 bytes that are known are found by their bytes."""
+    encoder = PieceEncoder(vocabulary())
+    asked = []
+
+    class Asked(dict):
+        def get(self, piece, other=None):
+            asked.append(piece)
+            return super().get(piece, other)
+
+    encoder.slot = Asked()
+    texts = ["a bé " + "x" * 15 + " " + "y" * 16 + " " + "z" * 17 + " ü" + "é" * 7, "b a's 12345 !?", "nul\0 nul \0\0"]
+    want = [i for w in direct(encoder, texts) for i in w]
+    assert encoder.encode(texts[:2])[0].tolist() == [i for w in direct(encoder, texts[:2]) for i in w]
+    asked.clear()
+    for _ in range(2):
+        assert encoder.encode(texts[:2])[0].tolist() == [i for w in direct(encoder, texts[:2]) for i in w]
+    # longer than 16 bytes: the sixteen y and the seventeen z with their blanks, and é
+    assert set(asked) == {" " + "y" * 16, " " + "z" * 17, " ü" + "é" * 7}
+    for _ in range(2):
+        assert encoder.encode(texts)[0].tolist() == want
+
+
+@pytest.mark.parametrize("bits", [3, 6, 12])
+def test_short_pieces_equal_a_dictionary(bits):
+    rng = np.random.default_rng(3)
+    table, known = ShortPieces(bits), {}
+    for _ in range(40):
+        words = {"".join(rng.choice(list("abé"), rng.integers(1, 12))) for _ in range(rng.integers(1, 30))}
+        pieces = sorted(words)
+        short, low, high = short_keys(pa.array(pieces))
+        assert [pieces[i] for i in short] == [w for w in pieces if len(w.encode()) <= 16]
+        found = table.find(low, high)
+        assert all(slot in (-1, known.get(pieces[i])) for i, slot in zip(short, found.tolist()))
+        new = np.flatnonzero(found < 0)
+        fits = table.held + len(new) <= 3 * 2**bits // 4
+        slots = np.array([known.setdefault(pieces[short[i]], len(known)) for i in new], np.int32)
+        table.add(low[new], high[new], slots)
+        assert (table.find(low, high) >= 0).all() or not fits
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 50256), st.integers(0, 2**32 - 1)), max_size=3000))
 def test_simple8b_round_trip(ids):
