@@ -53,6 +53,8 @@ LONE_SHIFT = 7
 NOTED_EFFECT = 0.5
 LARGE_EFFECT = 0.8
 NEIGHBOURS = 2
+# so many times what a lookup may broadcast still goes by an ordinary join
+MANY_LOOKUPS = 20
 
 
 def _identified(
@@ -325,7 +327,8 @@ def _moved_rows(placed: DataFrame, keys: list[str], shift: int, limits: Limits)
     moved, sizes = stage_keys(
         reduce(DataFrame.unionByName, [r.filter(off).drop("_first", "_last") for r in ranks]), "_n"
     )
-    few = (2 * NEIGHBOURS + 1) * sizes.total <= limits.lookup_rows
+    asking = (2 * NEIGHBOURS + 1) * sizes.total
+    few = asking <= MANY_LOOKUPS * limits.lookup_rows
     rows = placed
     if not few:
         rows = over_neighbours(
@@ -349,7 +352,7 @@ def _moved_rows(placed: DataFrame, keys: list[str], shift: int, limits: Limits)
     )
     near = (
         placed.select(*keys, "actual_position", "_id")
-        .join(F.broadcast(asked), [*keys, "actual_position"])
+        .join(F.broadcast(asked) if asking <= limits.lookup_rows else asked, [*keys, "actual_position"])
         .groupBy(F.col("_asking").alias("row_index"))
         .agg(
             F.expr(
